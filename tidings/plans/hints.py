@@ -1,0 +1,35 @@
+"""Join-strategy helpers.
+
+Broadcasting is only requested for a side whose size has been checked;
+anything bigger falls back to a shuffled join (sort-merge, or a broadcast
+chosen by AQE from runtime statistics).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Dimension tables (sources, sectors, word lists, subscriptions) are bounded by
+# this many rows; a bigger one is joined by shuffle instead.
+DIMENSION_MAX_ROWS = 100_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS) -> DataFrame:
+    """``broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df``.
+
+    The check runs ``limit(max_rows + 1).count()``: it stops reading after
+    ``max_rows + 1`` rows, so it is cheap for a dimension and bounded for a
+    fact that was passed by mistake.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
+def salted(df: DataFrame, key_cols: list[str], buckets: int, seed_col: str | None = None, name: str = "_salt") -> DataFrame:
+    """Add a salt column spreading one hot key over ``buckets`` tasks.
+
+    The salt is a hash of ``seed_col`` (deterministic, so a retried task
+    produces the same rows)."""
+    src = F.col(seed_col) if seed_col else F.monotonically_increasing_id()
+    return df.withColumn(name, F.pmod(F.xxhash64(src), F.lit(buckets)).cast("int"))
