@@ -6,6 +6,7 @@ import importlib
 
 CATALOGS = (
     "catalog_stats",
+    "catalog_news",
 )
 
 
