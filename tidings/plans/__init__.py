@@ -7,6 +7,7 @@ import importlib
 CATALOGS = (
     "catalog_stats",
     "catalog_news",
+    "catalog_functions",
 )
 
 
