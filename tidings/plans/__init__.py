@@ -8,6 +8,8 @@ CATALOGS = (
     "catalog_stats",
     "catalog_news",
     "catalog_functions",
+    "catalog_sectors",
+    "catalog_rollups",
 )
 
 
