@@ -10,6 +10,7 @@ CATALOGS = (
     "catalog_functions",
     "catalog_sectors",
     "catalog_rollups",
+    "catalog_scoring",
 )
 
 
