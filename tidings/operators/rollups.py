@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import core as C
-from ..plans.hints import salted
+from .topn import top_n_per_group
 
 STATE_COLS = ("news_count", "score_sum", "positive_count", "neutral_count", "negative_count")
 
@@ -119,12 +119,8 @@ def top_terms(rows: DataFrame, group_cols: list[str], term_col: str, k: int = 5,
     """
     counts = rows.filter(F.col(term_col).isNotNull() & (F.col(term_col) != "")).groupBy(*group_cols, term_col).agg(
         F.count(F.lit(1)).alias("cnt"))
-    counts = salted(counts, group_cols, salt_buckets, seed_col=term_col)
     order = [F.col("cnt").desc(), F.col(term_col).asc()]
-    w1 = Window.partitionBy(*group_cols, "_salt").orderBy(*order)
-    stage1 = counts.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k)
-    w2 = Window.partitionBy(*group_cols).orderBy(*order)
-    top = stage1.withColumn("_rank", F.row_number().over(w2)).filter(F.col("_rank") <= k)
+    top = top_n_per_group(counts, group_cols, order, k, salt_key=F.col(term_col), buckets=salt_buckets)
     agg = top.groupBy(*group_cols).agg(F.sort_array(F.collect_list(F.struct("_rank", F.col(term_col).alias("t")))).alias("_l"))
     return agg.select(*group_cols, F.transform("_l", lambda x: x["t"]).alias(out_col))
 

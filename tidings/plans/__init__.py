@@ -11,6 +11,7 @@ CATALOGS = (
     "catalog_sectors",
     "catalog_rollups",
     "catalog_scoring",
+    "catalog_ingest",
 )
 
 

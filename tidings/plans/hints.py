@@ -24,12 +24,3 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS) -> Data
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
-
-
-def salted(df: DataFrame, key_cols: list[str], buckets: int, seed_col: str | None = None, name: str = "_salt") -> DataFrame:
-    """Add a salt column spreading one hot key over ``buckets`` tasks.
-
-    The salt is a hash of ``seed_col`` (deterministic, so a retried task
-    produces the same rows)."""
-    src = F.col(seed_col) if seed_col else F.monotonically_increasing_id()
-    return df.withColumn(name, F.pmod(F.xxhash64(src), F.lit(buckets)).cast("int"))

@@ -24,7 +24,9 @@ TOP_SECTORS = 8
 HIGH_IMPACT_MIN = 70
 CATCH_ALL_SECTOR = "综合"          # placeholder sector of the minimal variant
 SOURCE_STATUSES = ("active", "inactive", "error")
-JOB_STATUSES = ("running", "success", "failed")
+JOB_STATUSES = ("pending", "running", "success", "failed", "cancelled")
+SOURCE_TYPES = ("rss", "api", "scrape", "webhook")
+DEFAULT_FETCH_INTERVAL_S = 300
 CONFIG_TYPES = ("string", "integer", "float", "boolean", "json")
 TREND_LABELS = ("rising", "falling", "stable", "volatile")
 # default reply of the scorer when a reply cannot be parsed
