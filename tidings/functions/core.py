@@ -202,8 +202,12 @@ def config_int(value, default: int = S.DEFAULT_RETENTION_DAYS) -> Column:
 
 # ---- C-12 duration -------------------------------------------------------------------
 def duration_ms(started, completed) -> Column:
+    """(completed - started) in milliseconds, rounded half away from zero
+    (an epoch difference stored into an integer column); NULL if either is missing."""
     a, b = _c(started), _c(completed)
-    return F.when(a.isNotNull() & b.isNotNull(), F.timestamp_diff("MILLISECOND", a, b))
+    us = F.timestamp_diff("MICROSECOND", a, b)
+    ms = idiv(F.abs(us) * 2 + 1000, F.lit(2000)) * F.signum(us).cast("bigint")
+    return F.when(a.isNotNull() & b.isNotNull(), ms)
 
 
 # ---- C-13 / means -----------------------------------------------------------------

@@ -12,6 +12,7 @@ CATALOGS = (
     "catalog_rollups",
     "catalog_scoring",
     "catalog_ingest",
+    "catalog_writes",
 )
 
 

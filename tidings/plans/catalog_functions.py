@@ -213,7 +213,7 @@ def q_fn_typed_config(spark, sf_dir):
      CASE WHEN event_type = 'error' THEN NULL
           ELSE ts + to_milliseconds(CAST(floor(value * 1000) AS BIGINT)) END AS completed_at FROM events)
 SELECT event_id, started_at, completed_at,
-       CASE WHEN started_at IS NOT NULL AND completed_at IS NOT NULL THEN date_diff('millisecond', started_at, completed_at) END AS duration_ms
+       CASE WHEN started_at IS NOT NULL AND completed_at IS NOT NULL THEN (date_diff('microsecond', started_at, completed_at) * 2 + 1000) // 2000 END AS duration_ms
 FROM r""",
 )
 def q_fn_duration_ms(spark, sf_dir):
