@@ -13,6 +13,7 @@ CATALOGS = (
     "catalog_scoring",
     "catalog_ingest",
     "catalog_writes",
+    "catalog_streaming",
 )
 
 
