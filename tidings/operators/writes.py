@@ -107,20 +107,41 @@ def read_snapshot(snapshots: DataFrame, key: str, as_of: Column) -> DataFrame:
 
 
 # ---- W-1 run history fold ----------------------------------------------------------------------------
-def job_log_fold(log: DataFrame) -> DataFrame:
+def job_log_fold(log: DataFrame, bucket: str = "hour") -> DataFrame:
     """Start records (status 'running', one per run) and finish records
     (status 'success' / 'failed', per job) -> one row per run.
 
     A finish record closes every run of its job that started at or before
     it and is still open: the closing record of a run is the first finish
-    record of the same job at or after its start.  Rows per window
-    partition = records of one job (run logs are one row per run)."""
-    w = Window.partitionBy("job_name").orderBy(F.col("event_time").asc(), F.col("is_finish").desc()) \
-        .rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    record of the same job at or after its start (an as-of lookup).
+
+    Done in two running (O(n)) passes instead of a per-job window:
+    1. inside each (job, time bucket), a running min over the rows in
+       reverse time order finds a close in the run's own bucket;
+    2. over the per-(job, bucket) summaries (one row per bucket) a running
+       min in reverse order finds the first finish of any later bucket.
+    No task ever holds more than one bucket of one job."""
     fin = F.when(F.col("is_finish"), F.struct("event_time", "status", "records_processed", "error_message"))
-    x = log.withColumn("is_finish", F.col("status") != "running").withColumn("_close", F.min(fin).over(w))
-    runs = x.filter(~F.col("is_finish"))
-    return runs.select(
+    x = (log.withColumn("is_finish", F.col("status") != "running")
+         .withColumn("_b", F.date_trunc(bucket, F.col("event_time")))
+         .withColumn("_fin", fin))
+    # reverse time order; at equal times finishes come first, so they count for a start at that time
+    w_in = (Window.partitionBy("job_name", "_b").orderBy(F.col("event_time").desc(), F.col("is_finish").desc())
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    runs = x.withColumn("_close_in", F.min("_fin").over(w_in)).filter(~F.col("is_finish"))
+    per_bucket = x.filter("is_finish").groupBy("job_name", "_b").agg(F.min("_fin").alias("_first"))
+    w_next = (Window.partitionBy("job_name").orderBy(F.col("_b").desc())
+              .rowsBetween(Window.unboundedPreceding, -1))
+    # buckets of a job that hold only starts also need the first later finish
+    start_buckets = runs.select("job_name", "_b").distinct()
+    bounds = start_buckets.unionByName(per_bucket.select("job_name", "_b")).distinct()
+    later = (bounds.join(per_bucket, ["job_name", "_b"], "left")
+             .withColumn("_later", F.min("_first").over(w_next))
+             .select("job_name", "_b", "_later"))
+    j = runs.join(later, ["job_name", "_b"], "left")
+    close = F.coalesce(F.col("_close_in"), F.col("_later"))
+    j = j.withColumn("_close", close)
+    return j.select(
         "run_id", "job_name", F.col("event_time").alias("started_at"),
         F.coalesce(F.col("_close.status"), F.lit("running")).alias("status"),
         F.col("_close.event_time").alias("completed_at"),
