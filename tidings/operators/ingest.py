@@ -118,7 +118,10 @@ def dedupe_first_wins(df: DataFrame, keys: list[str], seq_col: str) -> DataFrame
 def anti_join_existing(incoming: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """Entries whose key is not stored yet; plain equality, so NULL keys never
     match and always count as new (a SQL unique key treats NULLs as distinct)."""
-    return incoming.join(stored.select(*keys).filter(_key_not_null(keys)), keys, "left_anti")
+    # distinct first: a key stored many times (a hot key) becomes one row per
+    # task before the shuffle, so the anti join never sees a skewed build side
+    stored_keys = stored.select(*keys).filter(_key_not_null(keys)).distinct()
+    return incoming.join(stored_keys, keys, "left_anti")
 
 
 def insert_or_ignore(stored: DataFrame, incoming: DataFrame, keys: list[str], seq_col: str) -> DataFrame:

@@ -65,21 +65,26 @@ def sector_tagging(news: DataFrame, keywords: DataFrame, text_col: str = "conten
 
     relevance = distinct keywords of the sector found / size of its list.
     The best sector (highest relevance, then lowest id) is primary.  News
-    without any hit gets the catch-all sector (id -1, relevance 0)."""
+    without any hit gets the catch-all sector (id -1, relevance 0).
+
+    One left-outer nested-loop join against the broadcast keyword list
+    yields hits and misses in a single pass over the text; only
+    (news, sector, hit count) rows are shuffled."""
     kw = keywords.select("sector_id", "word").distinct()
     sizes = kw.groupBy("sector_id").agg(F.count(F.lit(1)).alias("list_size"))
     kwb = bounded_broadcast(kw)
-    hits = (
+    pairs = (
         news.select(F.col("id").alias("news_id"), F.col(text_col).alias("_t"))
-        .join(kwb, F.col("_t").contains(F.col("word")))
+        .join(kwb, F.col("_t").contains(F.col("word")), "left")
         .groupBy("news_id", "sector_id")
-        .agg(F.count(F.lit(1)).alias("hits"))
+        .agg(F.count("word").alias("hits"))
+    )
+    j = pairs.join(bounded_broadcast(sizes), "sector_id", "left")
+    allrows = j.select(
+        "news_id",
+        F.coalesce(F.col("sector_id"), F.lit(CATCH_ALL_ID)).alias("sector_id"),
+        F.coalesce(F.col("hits") / F.col("list_size"), F.lit(0.0)).alias("relevance"),
     )
-    scored = hits.join(bounded_broadcast(sizes), "sector_id").select(
-        "news_id", "sector_id", (F.col("hits") / F.col("list_size")).alias("relevance"))
-    misses = news.select(F.col("id").alias("news_id")).join(hits.select("news_id"), "news_id", "left_anti").select(
-        "news_id", F.lit(CATCH_ALL_ID).alias("sector_id"), F.lit(0.0).alias("relevance"))
-    allrows = scored.unionByName(misses)
     w = Window.partitionBy("news_id").orderBy(F.col("relevance").desc(), F.col("sector_id").asc())
     return allrows.withColumn("is_primary", F.row_number().over(w) == 1)
 
