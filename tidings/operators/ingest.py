@@ -98,7 +98,7 @@ def union_feeds(feeds: Mapping[str, DataFrame], feed_col: str = "feed") -> DataF
 
 
 # ---- U-1 / J-9 first writer wins ------------------------------------------------------------------
-def _key_not_null(keys: list[str]) -> Column:
+def key_not_null(keys: list[str]) -> Column:
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(k).isNotNull()
@@ -109,7 +109,7 @@ def dedupe_first_wins(df: DataFrame, keys: list[str], seq_col: str) -> DataFrame
     """Keep the first row (lowest ``seq_col``) of every non-NULL key; rows with
     a NULL key part never collide and are all kept."""
     cols = df.columns
-    nn = _key_not_null(keys)
+    nn = key_not_null(keys)
     firsts = (df.filter(nn).groupBy(*keys)
               .agg(F.min_by(F.struct(*cols), F.col(seq_col)).alias("_r")).select("_r.*"))
     return firsts.unionByName(df.filter(~nn))
@@ -120,7 +120,7 @@ def anti_join_existing(incoming: DataFrame, stored: DataFrame, keys: list[str])
     match and always count as new (a SQL unique key treats NULLs as distinct)."""
     # distinct first: a key stored many times (a hot key) becomes one row per
     # task before the shuffle, so the anti join never sees a skewed build side
-    stored_keys = stored.select(*keys).filter(_key_not_null(keys)).distinct()
+    stored_keys = stored.select(*keys).filter(key_not_null(keys)).distinct()
     return incoming.join(stored_keys, keys, "left_anti")
 
 
@@ -134,7 +134,7 @@ def mark_new(entries: DataFrame, stored: DataFrame, keys: list[str] = ("source_i
              seq_col: str = "id") -> DataFrame:
     """is_new = first in the batch for its key and not stored before."""
     keys = list(keys)
-    nn = _key_not_null(keys)
+    nn = key_not_null(keys)
     firsts = entries.filter(nn).groupBy(*keys).agg(F.min(seq_col).alias("_first"))
     stored_keys = stored.select(*keys).filter(nn).distinct().withColumn("_stored", F.lit(True))
     j = entries.join(firsts, keys, "left").join(stored_keys, keys, "left")

@@ -67,20 +67,46 @@ def epoch_writer(target: str, fmt: str = "parquet", partition_cols: list[str] |
 
 
 # ---- R-1 ingest with dedupe against the stored table ---------------------------------------------
-def ingest_batch_writer(target: str, keys: list[str], seq_col: str) -> Callable[[DataFrame, int], None]:
+KEY_BUCKETS = 1024
+
+
+def key_bucket(keys: list[str], buckets: int = KEY_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def ingest_batch_writer(target: str, keys: list[str], seq_col: str, index: str | None = None,
+                        buckets: int = KEY_BUCKETS) -> Callable[[DataFrame, int], None]:
     """Per epoch: first writer per key inside the epoch, minus keys stored by
     earlier epochs (the epoch's own earlier attempt is excluded, so a replay
-    rewrites the same rows)."""
+    rewrites the same rows).
+
+    Stored keys are also kept in a key index ``index/epoch=N/bucket=B``
+    (hash bucket of the key).  An epoch only reads the index folders of the
+    buckets its own keys fall in -- at most ``buckets`` small ints reach the
+    driver -- so the per-epoch cost follows the epoch size, not the size of
+    everything stored so far."""
+    index = index or f"{target}_keys"
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        firsts = I.dedupe_first_wins(batch, keys, seq_col)
+        firsts = I.dedupe_first_wins(batch, keys, seq_col).withColumn("bucket", key_bucket(keys, buckets))
+        firsts.persist()
         try:
-            stored = spark.read.parquet(target).filter(F.col("epoch") < epoch).select(*keys)
-            new = I.anti_join_existing(firsts, stored, keys)
-        except Exception:  # noqa: BLE001 - no stored table yet
+            hit = [r.bucket for r in firsts.select("bucket").distinct().collect()]
             new = firsts
-        new.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+            if hit:
+                try:
+                    stored = spark.read.parquet(index).filter((F.col("epoch") < epoch) & F.col("bucket").isin(hit))
+                    new = I.anti_join_existing(firsts, stored, keys + ["bucket"])
+                except Exception:  # noqa: BLE001 - no key index yet
+                    pass
+            new.drop("bucket").write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+            # the index is written after the rows: a failure in between replays both
+            (spark.read.parquet(f"{target}/epoch={epoch}").select(*keys).filter(I.key_not_null(keys))
+             .withColumn("bucket", key_bucket(keys, buckets))
+             .write.mode("overwrite").partitionBy("bucket").parquet(f"{index}/epoch={epoch}"))
+        finally:
+            firsts.unpersist()
 
     return write
 
