@@ -60,6 +60,9 @@ def theta_join_keyword(news: DataFrame, keywords: DataFrame, text_col: str = "ti
 
 
 # ---- G-3 sector tagging + D-15 primary sector -----------------------------------------
+TAG_MAX_WORDS = 10_000
+
+
 def sector_tagging(news: DataFrame, keywords: DataFrame, text_col: str = "content") -> DataFrame:
     """news -> (news_id, sector_id, relevance, is_primary).
 
@@ -67,19 +70,61 @@ def sector_tagging(news: DataFrame, keywords: DataFrame, text_col: str = "conten
     The best sector (highest relevance, then lowest id) is primary.  News
     without any hit gets the catch-all sector (id -1, relevance 0).
 
-    One left-outer nested-loop join against the broadcast keyword list
-    yields hits and misses in a single pass over the text; only
-    (news, sector, hit count) rows are shuffled."""
+    Under the size bound the keyword lists become literal arrays (folded to
+    one constant by Catalyst): every distinct word is searched once per
+    text, each sector counts its words among the hits, and the rows are
+    exploded -- a narrow, map-only stage with no join and no shuffle, so a
+    hot source or a huge text costs only its own task.  Beyond the bound the
+    same result comes from a nested-loop join plus regrouping."""
     kw = keywords.select("sector_id", "word").distinct()
+    rows = kw.limit(TAG_MAX_WORDS + 1).collect()
+    if len(rows) > TAG_MAX_WORDS:
+        return _sector_tagging_join(news, kw, text_col)
+    lists: dict = {}
+    for r in rows:
+        lists.setdefault(r.sector_id, []).append(r.word)
+    if not lists:
+        return news.select(F.col("id").alias("news_id"), F.lit(CATCH_ALL_ID).alias("sector_id"),
+                           F.lit(0.0).alias("relevance"), F.lit(True).alias("is_primary"))
+    words = F.array(*[F.lit(w) for w in sorted({r.word for r in rows if r.word is not None})]).cast("array<string>")
+    sectors = F.array(*[
+        F.struct(F.lit(sid).cast("int").alias("sector_id"),
+                 F.array(*[F.lit(w) for w in ws if w is not None]).cast("array<string>").alias("words"),
+                 F.lit(float(len(ws))).alias("n"))
+        for sid, ws in sorted(lists.items(), key=lambda kv: (kv[0] is None, kv[0]))])
+    x = news.select(F.col("id").alias("news_id"), F.col(text_col).alias("_t"))
+    x = x.withColumn("_hit", F.filter(words, lambda w: F.col("_t").contains(w)))
+    scored = F.transform(sectors, lambda s: F.named_struct(
+        F.lit("sector_id"), s["sector_id"],
+        F.lit("relevance"), F.size(F.array_intersect(s["words"], F.col("_hit"))) / s["n"]))
+    # _hit is referenced twice here, so Catalyst keeps it a column of its own
+    # instead of inlining the text search into the per-sector lambda
+    none = F.array().cast("array<struct<sector_id:int,relevance:double>>")
+    x = x.select("news_id", F.when(F.size("_hit") == 0, none)
+                 .otherwise(F.filter(scored, lambda e: e["relevance"] > 0)).alias("_f"))
+    catch_all = F.array(F.struct(F.lit(CATCH_ALL_ID).cast("int").alias("sector_id"), F.lit(0.0).alias("relevance")))
+    x = x.select("news_id", F.when(F.size("_f") > 0, F.col("_f")).otherwise(catch_all).alias("_s"))
+    # best = highest relevance, then lowest sector id
+    best = F.array_max(F.transform(F.col("_s"), lambda e: F.named_struct(F.lit("r"), e["relevance"], F.lit("k"), -e["sector_id"])))
+    x = x.select("news_id", "_s", (-best["k"]).alias("_best"))
+    # _s is never empty: explode_outer keeps Catalyst from inferring a
+    # size(_s) > 0 filter, which predicate pushdown would inline (and so
+    # repeat) the whole text search into
+    x = x.select("news_id", F.explode_outer("_s").alias("e"), "_best")
+    return x.select("news_id", F.col("e.sector_id").alias("sector_id"), F.col("e.relevance").alias("relevance"),
+                    (F.col("e.sector_id") == F.col("_best")).alias("is_primary"))
+
+
+def _sector_tagging_join(news: DataFrame, kw: DataFrame, text_col: str) -> DataFrame:
+    """Large keyword lists: one left-outer nested-loop join of the text
+    against the distinct words, then (news, sector, hit count) regrouping."""
     sizes = kw.groupBy("sector_id").agg(F.count(F.lit(1)).alias("list_size"))
-    kwb = bounded_broadcast(kw)
-    pairs = (
-        news.select(F.col("id").alias("news_id"), F.col(text_col).alias("_t"))
-        .join(kwb, F.col("_t").contains(F.col("word")), "left")
-        .groupBy("news_id", "sector_id")
-        .agg(F.count("word").alias("hits"))
-    )
-    j = pairs.join(bounded_broadcast(sizes), "sector_id", "left")
+    words = kw.select("word").distinct()
+    hits = news.select(F.col("id").alias("news_id"), F.col(text_col).alias("_t")).join(
+        words, F.col("_t").contains(F.col("word")), "left").select("news_id", "word")
+    pairs = (hits.join(kw, "word", "left").groupBy("news_id", "sector_id")
+             .agg(F.count("word").alias("hits")))
+    j = pairs.join(sizes, "sector_id", "left")
     allrows = j.select(
         "news_id",
         F.coalesce(F.col("sector_id"), F.lit(CATCH_ALL_ID)).alias("sector_id"),
