@@ -34,3 +34,10 @@ def test_entities_from_strings_and_objects(spark):
     assert [(x.name, x.type) for x in got[0]] == [("A", "unknown"), ("B", "unknown")]
     assert [(x.name, x.type, x.sentiment) for x in got[1]] == [("C", "org", 0.2)]
     assert got[2] == []
+
+
+def test_occurrences_in_multibyte_text(spark):
+    news = spark.createDataFrame([(1, "t", "ééé über über ü"), (2, "t", "plain")], "id long, title string, content string")
+    lex = spark.createDataFrame([("positive", "é"), ("positive", "über"), ("negative", "ü")], "polarity string, word string")
+    got = {r.id: (r.pos_hits, r.neg_hits) for r in G.lexicon_score(news, lex, text=F.col("content")).collect()}
+    assert got == {1: (5, 3), 2: (0, 0)}

@@ -26,8 +26,10 @@ LEXICON_MAX_WORDS = 10_000
 
 
 def _occurrences(text: Column, word: Column) -> Column:
-    """Non-overlapping occurrences of ``word`` in ``text``."""
-    return ((F.length(text) - F.length(F.replace(text, word, F.lit("")))) / F.length(word)).cast("bigint")
+    """Non-overlapping occurrences of ``word`` in ``text``: every removed
+    occurrence shortens the text by the word's bytes.  Byte lengths are
+    stored with a UTF-8 string, character lengths need a scan of it."""
+    return ((F.octet_length(text) - F.octet_length(F.replace(text, word, F.lit("")))) / F.octet_length(word)).cast("bigint")
 
 
 def _finish(df: DataFrame, p: str = "pos_hits", n: str = "neg_hits") -> DataFrame:
