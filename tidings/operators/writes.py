@@ -84,9 +84,13 @@ def affected_rows(removed: DataFrame, table: str) -> DataFrame:
 def write_partitioned_fact(fact: DataFrame, path: str, date_col: str = "date", id_col: str = "news_id",
                            mode: str = "append") -> None:
     """Month partitions, each file sorted by (date, id) so row-group min/max
-    statistics prune reads on date and id."""
+    statistics prune reads on date and id.
+
+    Range partitioning on (month, date, id) gives every task one contiguous
+    key range: a hot month is split over many tasks (never one task per
+    month) and the files of a month do not overlap in (date, id)."""
     (fact.withColumn("yyyymm", C.yyyymm(date_col))
-     .repartition("yyyymm")
+     .repartitionByRange("yyyymm", date_col, id_col)
      .sortWithinPartitions(date_col, id_col)
      .write.mode(mode).partitionBy("yyyymm").parquet(path))
 
