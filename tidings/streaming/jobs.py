@@ -168,31 +168,51 @@ def stream_daily_stats(scored: DataFrame, target: str, checkpoint: str) -> Strea
     return run_available(st.writeStream.outputMode("complete").foreachBatch(write), checkpoint)
 
 
-# ---- R-6 idempotent upsert of re-delivered results ---------------------------------------------------
-def _previous_version(spark: SparkSession, target: str, epoch: int) -> DataFrame | None:
-    """Version written by the previous epoch (None for the first one)."""
-    if epoch == 0:
-        return None
+# ---- R-6 idempotent upsert of re-delivered results ---------------------------------------------
+# Keyed results are a bucketed, versioned table: ``target/v=N/bucket=B``.  An
+# epoch rewrites only the buckets its keys fall in, as version ``v=epoch``;
+# the live rows of a bucket are those of its highest version.  Per-epoch
+# cost follows the epoch, not the table.  A replayed epoch reads only
+# versions below its own, so it rewrites the same folder with the same rows.
+def _latest_of_buckets(spark: SparkSession, target: str, hit: list[int], epoch: int) -> DataFrame | None:
+    """Live rows of the ``hit`` buckets as of before ``epoch`` (None if none)."""
     try:
-        return spark.read.parquet(f"{target}/v={epoch - 1}")
+        prev = spark.read.parquet(target).filter((F.col("v") < epoch) & F.col("bucket").isin(hit))
     except Exception:  # noqa: BLE001 - nothing written yet
         return None
+    top = prev.groupBy("bucket").agg(F.max("v").alias("v"))  # at most len(hit) rows
+    return prev.join(F.broadcast(top), ["bucket", "v"], "left_semi").drop("v")
 
 
-def upsert_writer(target: str, key: str, version_col: str, created_col: str = "created_at") -> Callable[[DataFrame, int], None]:
-    """Merge the epoch into the previous version (highest version per key
-    wins, earliest created_at kept) and write version ``v=epoch``.  A replayed
-    epoch rewrites the same version, so re-delivery is harmless."""
+def bucketed_merge_writer(target: str, keys: list[str], merge: Callable[[DataFrame, DataFrame], DataFrame],
+                          buckets: int = KEY_BUCKETS) -> Callable[[DataFrame, int], None]:
+    """foreachBatch body: ``merge(live rows of the touched buckets, epoch rows)``
+    written as version ``v=epoch`` of those buckets."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        prev = _previous_version(batch.sparkSession, target, epoch)
-        base = prev.select(*batch.columns) if prev is not None else batch.limit(0)
-        merged = W.upsert_last_wins(base, batch, key, version_col, created_col)
-        merged.write.mode("overwrite").parquet(f"{target}/v={epoch}")
+        b = batch.withColumn("bucket", key_bucket(keys, buckets))
+        b.persist()
+        try:
+            hit = [r.bucket for r in b.select("bucket").distinct().collect()]  # <= buckets small ints
+            if not hit:
+                return
+            prev = _latest_of_buckets(b.sparkSession, target, hit, epoch)
+            merged = b if prev is None else merge(prev.select(*b.columns), b)
+            merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/v={epoch}")
+        finally:
+            b.unpersist()
 
     return write
 
 
+def upsert_writer(target: str, key: str, version_col: str, created_col: str = "created_at",
+                  buckets: int = KEY_BUCKETS) -> Callable[[DataFrame, int], None]:
+    """Merge the epoch into the live rows (highest version per key wins,
+    earliest created_at kept); re-delivery is harmless."""
+    return bucketed_merge_writer(
+        target, [key], lambda prev, b: W.upsert_last_wins(prev, b, key, version_col, created_col), buckets)
+
+
 # ---- R-7 hourly windows per source ----------------------------------------------------------------------
 def stream_hourly_window(scored: DataFrame, delay: str) -> DataFrame:
     """Event-time hourly stats per source.  ``delay`` bounds the state; rows
@@ -208,20 +228,20 @@ def stream_hourly_window(scored: DataFrame, delay: str) -> DataFrame:
                     "score_sum", "positive_count", "neutral_count", "negative_count")
 
 
-def replace_by_key_writer(target: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+def replace_by_key_writer(target: str, keys: list[str], buckets: int = KEY_BUCKETS) -> Callable[[DataFrame, int], None]:
     """Update-mode rows carry the full new aggregate of their key: replace by key."""
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        prev = _previous_version(batch.sparkSession, target, epoch)
-        out = batch if prev is None else prev.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
-        out.write.mode("overwrite").parquet(f"{target}/v={epoch}")
-
-    return write
+    return bucketed_merge_writer(
+        target, keys, lambda prev, b: prev.join(b.select(*keys, "bucket"), keys + ["bucket"], "left_anti").unionByName(b),
+        buckets)
 
 
 def latest_version(spark: SparkSession, target: str) -> DataFrame:
-    """Read the highest ``v=N`` folder of a versioned table."""
+    """Live rows of a versioned table: per bucket its highest ``v=N`` folder
+    (bucketed layout), else the highest ``v=N`` folder of the table."""
     all_v = spark.read.parquet(target)
+    if "bucket" in all_v.columns:
+        top = all_v.groupBy("bucket").agg(F.max("v").alias("v"))  # one row per bucket
+        return all_v.join(F.broadcast(top), ["bucket", "v"], "left_semi").drop("v", "bucket")
     top = all_v.agg(F.max("v").alias("v"))
     return all_v.join(top, "v", "left_semi").drop("v")
 
