@@ -62,3 +62,18 @@ def test_parse_messages_flags_corrupt(spark):
     df = spark.createDataFrame([("1", '{"id": 1, "title": "t"}'), ("2", "not json {")], "key string, value string")
     got = {r.key: (r.is_corrupt, r.id) for r in I.parse_messages(df, S.NEWS_MESSAGE).collect()}
     assert got == {"1": (False, 1), "2": (True, None)}
+
+
+def test_message_round_trip_keeps_nulls_and_microseconds(spark):
+    import datetime as dt
+
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("title", T.StringType()),
+                           T.StructField("published_at", T.TimestampNTZType())])
+    rows = [(1, "a \"q\"\n", dt.datetime(2024, 1, 2, 3, 4, 5, 123456)), (2, None, None)]
+    df = spark.createDataFrame(rows, schema)
+    msgs = I.to_messages(df, "id")
+    assert '"title":null' in {r.key: r.value for r in msgs.collect()}["2"]
+    back = I.parse_messages(msgs, schema).filter(~F.col("is_corrupt")).select("id", "title", "published_at")
+    assert sorted(map(tuple, back.collect())) == rows

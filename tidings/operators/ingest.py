@@ -68,13 +68,23 @@ def parse_messages(df: DataFrame, schema: T.StructType, value_col: str = "value"
     return df.select("*", parsed.alias("_m"), (~ok).alias("is_corrupt")).select(*df.columns, "_m.*", "is_corrupt")
 
 
+# Message text: every field present (NULL as null), timestamps as
+# "yyyy-MM-dd HH:mm:ss.ffffff" in the session zone (UTC); parse_messages
+# reads this and the ISO form alike.
+MESSAGE_JSON = {
+    "ignoreNullFields": "false",
+    "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
+    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
+}
+
+
 def to_messages(df: DataFrame, key_col: str) -> DataFrame:
     """Rows -> keyed JSON messages (key, value) for a message sink."""
-    return df.select(F.col(key_col).cast("string").alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))
+    return df.select(F.col(key_col).cast("string").alias("key"), F.to_json(F.struct(*df.columns), MESSAGE_JSON).alias("value"))
 
 
 def raw_payload(df: DataFrame, name: str = "raw_data") -> DataFrame:
-    return df.withColumn(name, F.to_json(F.struct(*df.columns)))
+    return df.withColumn(name, F.to_json(F.struct(*df.columns), MESSAGE_JSON))
 
 
 def flatten_message(parsed: DataFrame) -> DataFrame:

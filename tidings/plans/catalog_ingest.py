@@ -129,13 +129,21 @@ def q_message_flatten(spark, sf_dir):
     return I.flatten_message(p.filter(~F.col("is_corrupt")))
 
 
-@register("json_message_sink")
+MSG_JSON = """CAST(to_json({'id': id, 'source_id': source_id, 'external_id': external_id, 'title': title, 'url': url,
+                      'published_at': strftime(published_at, '%Y-%m-%d %H:%M:%S.%f')}) AS VARCHAR)"""
+
+
+@register("json_message_sink", f"SELECT CAST(id AS VARCHAR) AS key, {MSG_JSON} AS value FROM raw_news", views=("raw_news",))
 def q_json_message_sink(spark, sf_dir):
     n = Tables(spark, sf_dir).raw_news.select("id", "source_id", "external_id", "title", "url", "published_at")
     return I.to_messages(n, "id")
 
 
-@register("raw_payload_column")
+@register(
+    "raw_payload_column",
+    f"SELECT id, source_id, external_id, title, url, published_at, {MSG_JSON} AS raw_data FROM raw_news",
+    views=("raw_news",),
+)
 def q_raw_payload_column(spark, sf_dir):
     n = Tables(spark, sf_dir).raw_news.select("id", "source_id", "external_id", "title", "url", "published_at")
     return I.raw_payload(n)

@@ -296,13 +296,22 @@ def emotion_json(t):
     return sr.select("news_id", F.to_json(m).alias("emotions"))
 
 
-@register("emotion_breakdown")
+EMOTION_ROWS = """WITH e AS (SELECT news_id, CAST(sentiment_score AS DOUBLE) AS s, CAST(confidence AS DOUBLE) AS c FROM sentiment_results),
+r AS (SELECT news_id, 'joy' AS emotion, greatest(s, 0.0) AS score FROM e
+      UNION ALL SELECT news_id, 'fear', greatest(-s, 0.0) FROM e
+      UNION ALL SELECT news_id, 'surprise', c - 0.5 FROM e)"""
+
+
+@register("emotion_breakdown", EMOTION_ROWS + """
+SELECT emotion, COUNT(*) AS n, AVG(score) AS avg_score FROM r GROUP BY 1""", views=("sentiment_results",))
 def q_emotion_breakdown(spark, sf_dir):
     per_emotion, _ = W.emotion_breakdown(emotion_json(Tables(spark, sf_dir)))
     return per_emotion
 
 
-@register("emotion_strongest")
+@register("emotion_strongest", EMOTION_ROWS + """,
+k AS (SELECT news_id, emotion, score, row_number() OVER (PARTITION BY news_id ORDER BY score DESC, emotion DESC) AS rk FROM r)
+SELECT news_id, emotion AS top_emotion, score AS top_score FROM k WHERE rk = 1""", views=("sentiment_results",))
 def q_emotion_strongest(spark, sf_dir):
     _, strongest = W.emotion_breakdown(emotion_json(Tables(spark, sf_dir)))
     return strongest
