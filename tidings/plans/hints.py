@@ -11,16 +11,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Dimension tables (sources, sectors, word lists, subscriptions) are bounded by
-# this many rows; a bigger one is joined by shuffle instead.
+# this many rows and this many bytes; a bigger one is joined by shuffle instead.
 DIMENSION_MAX_ROWS = 100_000
+DIMENSION_MAX_BYTES = 64 << 20
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df``.
+def bounded_broadcast(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS,
+                      max_bytes: int = DIMENSION_MAX_BYTES) -> DataFrame:
+    """``broadcast(df)`` if ``df`` has at most ``max_rows`` rows and its rows
+    take at most ``max_bytes`` (measured as JSON text), else ``df``.
 
-    The check runs ``limit(max_rows + 1).count()``: it stops reading after
-    ``max_rows + 1`` rows, so it is cheap for a dimension and bounded for a
-    fact that was passed by mistake.
+    One bounded pass: ``limit(max_rows + 1)`` stops reading after
+    ``max_rows + 1`` rows, so the check is cheap for a dimension and bounded
+    for a fact passed by mistake.  Measuring the rows (rather than trusting
+    the plan's size estimate, which knows nothing of computed strings)
+    guards against a short but wide side.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    m = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
+                                   F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("b")).first()
+    return F.broadcast(df) if m.n <= max_rows and (m.b or 0) <= max_bytes else df
