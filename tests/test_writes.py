@@ -64,6 +64,25 @@ def test_exact_quantiles_match_numpy(spark):
         assert abs(getattr(r, name) - np.quantile(a, q)) < 1e-9
 
 
+def test_exact_quantiles_exact_for_any_bin_count(spark):
+    rng = np.random.default_rng(11)
+    vals = rng.integers(-10**9, 10**9, size=3000).tolist() + [5] * 1500 + rng.integers(0, 40, size=500).tolist()
+    df = spark.createDataFrame([(int(v),) for v in vals], "v long")
+    a = np.array(vals, dtype=float)
+    qs = {"p0": 0.0, "p33": 0.33, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    for bins in (1, 2, 7, 64):
+        r = W.exact_quantiles(df, "v", qs, bins=bins).first()
+        assert r.n == len(vals)
+        for name, q in qs.items():
+            assert abs(getattr(r, name) - np.quantile(a, q)) <= 1e-6 * max(1.0, abs(np.quantile(a, q)))
+
+
+def test_exact_quantiles_of_nothing(spark):
+    df = spark.createDataFrame([(None,)], "v long")
+    r = W.exact_quantiles(df, "v", {"p50": 0.5}, mean_name="mean").first()
+    assert r.n == 0 and r.p50 is None and r.mean is None
+
+
 def test_snapshot_expires(spark, tables):
     from tidings.operators import stats as A
 

@@ -125,12 +125,12 @@ def scoring_text(title, content) -> Column:
 
 
 # ---- C-8 share of total ------------------------------------------------------------
-def share(n) -> Column:
-    """n / sum(n) over the whole (already aggregated, small) result."""
-    from pyspark.sql import Window
-
+def share(df, n) -> Column:
+    """n / sum(n) over all rows of ``df``.  The total is a scalar subquery:
+    computed once by a partial + final aggregate and used as a constant, so
+    the rows never meet in one task."""
     c = _c(n)
-    return c / F.sum(c).over(Window.partitionBy())
+    return c / df.select(F.sum(c)).scalar()
 
 
 # ---- C-9 JSON lists ------------------------------------------------------------------

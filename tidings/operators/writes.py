@@ -156,31 +156,61 @@ def job_log_fold(log: DataFrame, bucket: str = "hour") -> DataFrame:
 
 
 # ---- D-18 processing lag: exact quantiles from counts ------------------------------------------
+def _bin_of(v: Column, edges: list) -> Column:
+    """Number of ``edges`` <= v (edges sorted, distinct): a balanced CASE tree,
+    log2(len(edges)) comparisons per value, all inside generated code."""
+
+    def rec(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(v < F.lit(edges[mid]), rec(lo, mid)).otherwise(rec(mid + 1, hi))
+
+    return rec(0, len(edges))
+
+
 def exact_quantiles(values: DataFrame, col: str, qs: dict[str, float], mean_name: str | None = None,
-                    scale: float = 1.0) -> DataFrame:
+                    scale: float = 1.0, bins: int = 256) -> DataFrame:
     """Exact linear-interpolated quantiles (as percentile_cont) of an integer
-    column, divided by ``scale`` on output.
-
-    Rows are first counted per distinct value (partial aggregation on every
-    task); ranks then come from a running sum over the *distinct values*
-    only, so no task ever holds the rows of the group.  One output row."""
+    column, divided by ``scale`` on output.  One output row.
+
+    Distributed selection, so no task ever holds all rows or all distinct
+    values: rows are counted per distinct value (partial aggregation);
+    approximate equal-frequency edges (``bins`` numbers reach the driver)
+    split the distinct values into bins; bin totals give each bin's rank
+    offset (a window over at most ``bins + 1`` rows); only the few bins that
+    hold a wanted rank are ranked inside, each in its own task.  The edges
+    only decide the work split: the result is exact for any edges."""
     counts = values.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
-    w_all = Window.partitionBy()
-    w_cum = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = counts.select(col, "_c", F.sum("_c").over(w_cum).alias("_cum"), F.sum("_c").over(w_all).alias("_n"))
-    cum = cum.withColumn("_lo", F.col("_cum") - F.col("_c"))
-    aggs = [F.first("_n").alias("n")]
-    if mean_name:
-        aggs.append((F.sum(F.col(col) * F.col("_c")) / (F.first("_n") * F.lit(scale))).alias(mean_name))
+    step = 1.0 / bins
+    edges = counts.agg(F.percentile_approx(col, [step * i for i in range(1, bins)]).alias("e")).first().e or []
+    edges = sorted(set(edges))
+    binned = counts.withColumn("_b", _bin_of(F.col(col), edges))
+    per_bin = binned.groupBy("_b").agg(F.sum("_c").alias("_bc"))
+    offsets = per_bin.select("_b", "_bc", (F.sum("_bc").over(Window.orderBy("_b")) - F.col("_bc")).alias("_off"))
+    n = counts.agg(F.sum("_c")).scalar()
+    targets = {}
     for name, q in qs.items():
-        pos = (F.col("_n") - 1).cast("double") * F.lit(q)
-        for tag, r in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+        pos = (n - 1).cast("double") * F.lit(q)
+        targets[name] = (F.floor(pos), F.ceil(pos), pos - F.floor(pos))
+    hit = F.lit(False)
+    for lo, hi, _ in targets.values():
+        for r in (lo, hi):
+            hit = hit | ((F.col("_off") <= r) & (r < F.col("_off") + F.col("_bc")))
+    needed = offsets.filter(hit).select("_b", "_off")  # at most 2 rows per quantile
+    ranked = binned.join(F.broadcast(needed), "_b").select(
+        col, "_c", (F.col("_off") + F.sum("_c").over(Window.partitionBy("_b").orderBy(col))).alias("_cum"))
+    ranked = ranked.withColumn("_lo", F.col("_cum") - F.col("_c"))
+    aggs = []
+    for name, (lo, hi, _) in targets.items():
+        for tag, r in (("lo", lo), ("hi", hi)):
             aggs.append(F.max(F.when((F.col("_lo") <= r) & (r < F.col("_cum")), F.col(col))).alias(f"_{tag}_{name}"))
-        aggs.append(F.first(pos - F.floor(pos)).alias(f"_f_{name}"))
-    a = cum.agg(*aggs)
-    outs = [F.col("n")] + ([F.col(mean_name)] if mean_name else [])
-    for name in qs:
-        lo, hi, f = F.col(f"_lo_{name}").cast("double"), F.col(f"_hi_{name}").cast("double"), F.col(f"_f_{name}")
+    a = ranked.agg(*aggs) if aggs else ranked.agg(F.count(F.lit(1)).alias("_unused"))
+    outs = [F.coalesce(n, F.lit(0)).alias("n")]
+    if mean_name:
+        outs.append((counts.agg(F.sum(F.col(col) * F.col("_c"))).scalar() / (n * F.lit(scale))).alias(mean_name))
+    for name, (_, _, f) in targets.items():
+        lo, hi = F.col(f"_lo_{name}").cast("double"), F.col(f"_hi_{name}").cast("double")
         outs.append(((lo + f * (hi - lo)) / F.lit(scale)).alias(name))
     return a.select(*outs)
 

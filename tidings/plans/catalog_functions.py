@@ -144,7 +144,7 @@ def q_fn_share(spark, sf_dir):
     e = Tables(spark, sf_dir).scored_events
     g = e.groupBy("sentiment_label").agg(F.count(F.lit(1)).alias("n"))
     # the grouped result has one row per label: the empty-partition window is tiny
-    return g.select("sentiment_label", "n", C.share("n").alias("share"))
+    return g.select("sentiment_label", "n", C.share(g, "n").alias("share"))
 
 
 @register(
