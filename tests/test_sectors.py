@@ -37,3 +37,21 @@ def test_tagging_literal_path_has_no_shuffle(spark):
     news, kw = _fixture(spark)
     plan = G.sector_tagging(news, kw)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_seed_sector_lists_on_sample_texts(spark):
+    kw = G.seed_sector_keywords(spark)
+    news = spark.createDataFrame([
+        (1, "芯片公司发布新软件，AI 投资升温"),       # tech 3/5, finance 1/5
+        (2, "新能源与光伏电力项目获得银行贷款"),       # energy: 能源, 新能源, 光伏, 电力 = 4/4; finance 1/5
+        (3, "weather report without any sector word"),
+    ], "id long, content string")
+    got = {(r.news_id, r.sector_id): (round(r.relevance, 6), r.is_primary) for r in G.sector_tagging(news, kw).collect()}
+    assert got == {
+        (1, 1): (0.6, True), (1, 2): (0.2, False),
+        (2, 5): (1.0, True), (2, 2): (0.2, False),
+        (3, -1): (0.0, True),
+    }
+    # the J-6 theta join sees the same matches
+    pairs = {(r.news_id, r.sector_id) for r in G.theta_join_keyword(news, kw, "content").collect()}
+    assert pairs == {k for k in got if k[1] != -1}
