@@ -93,3 +93,19 @@ def test_upsert_epoch_rewrites_only_touched_buckets(spark):
     w(spark.createDataFrame([(7, 0.9, 2, "t2")], schema), 1)  # replayed epoch
     again = {r.news_id: (r.s, r.version, r.created_at) for r in J.latest_version(spark, out).collect()}
     assert again == got
+
+
+def test_scored_stream_keeps_no_state(spark, tables):
+    from tidings import schemas as S
+    from tidings.plans.catalog_streaming import land_news_messages, news_stream
+
+    land = tempfile.mkdtemp() + "/msgs"
+    land_news_messages(tables, land, files=3)
+    out, ck = tempfile.mkdtemp(), tempfile.mkdtemp()
+    s = J.scored_stream(news_stream(spark, land, max_files=1), S.NEWS_MESSAGE, tables.lexicon)
+    q = J.run_available(s.writeStream.foreachBatch(J.epoch_writer(out)), ck)
+    assert all(not p["stateOperators"] for p in q.recentProgress)
+    got = {r.news_id: r.sentiment_score for r in spark.read.parquet(out).collect()}
+    from tidings.operators import scoring as G
+    want = {r.id: r.sentiment_score for r in G.lexicon_score(tables.raw_news, tables.lexicon).filter(F.col("id") % 50 != 0).collect()}
+    assert got == want

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import core as C
+from ..plans.hints import bounded_broadcast
 
 LEXICON_MAX_WORDS = 10_000
 
@@ -42,26 +43,45 @@ def _finish(df: DataFrame, p: str = "pos_hits", n: str = "neg_hits") -> DataFram
     })
 
 
+def _bounded_words(lexicon: DataFrame):
+    """(positive, negative) literal word arrays, or None past the bound."""
+    words = lexicon.select("polarity", "word").filter(F.length("word") > 0).limit(LEXICON_MAX_WORDS + 1).collect()
+    if len(words) > LEXICON_MAX_WORDS:
+        return None
+    pos = F.array(*[F.lit(r.word) for r in words if r.polarity == "positive"]).cast("array<string>")
+    neg = F.array(*[F.lit(r.word) for r in words if r.polarity == "negative"]).cast("array<string>")
+    return pos, neg
+
+
+def with_lexicon_score(df: DataFrame, lexicon: DataFrame, text: Column | None = None) -> DataFrame | None:
+    """``df`` plus pos_hits, neg_hits, sentiment_score, sentiment_label and
+    confidence, computed on the row itself (no join, so it also works on a
+    stream without state).  None when the lexicon is past the literal bound."""
+    arrays = _bounded_words(lexicon)
+    if arrays is None:
+        return None
+    pos, neg = arrays
+    text = text if text is not None else C.scoring_text("title", "content")
+    x = df.withColumn("_t", text)
+    x = x.withColumns({
+        "pos_hits": F.aggregate(pos, F.lit(0).cast("bigint"), lambda acc, w: acc + _occurrences(F.col("_t"), w)),
+        "neg_hits": F.aggregate(neg, F.lit(0).cast("bigint"), lambda acc, w: acc + _occurrences(F.col("_t"), w)),
+    }).drop("_t")
+    return _finish(x)
+
+
 def lexicon_score(news: DataFrame, lexicon: DataFrame, text: Column | None = None, id_col: str = "id") -> DataFrame:
     """(id, pos_hits, neg_hits, sentiment_score, sentiment_label, confidence).
 
     score = (p - n) / (p + n) rounded to 4 digits (0 when no hit);
     confidence = (p + n) / (p + n + 1), 0.5 when no hit."""
     text = text if text is not None else C.scoring_text("title", "content")
-    words = lexicon.select("polarity", "word").filter(F.length("word") > 0).limit(LEXICON_MAX_WORDS + 1).collect()
-    if len(words) <= LEXICON_MAX_WORDS:
-        pos = F.array(*[F.lit(r.word) for r in words if r.polarity == "positive"]).cast("array<string>")
-        neg = F.array(*[F.lit(r.word) for r in words if r.polarity == "negative"]).cast("array<string>")
-        x = news.select(F.col(id_col).alias("id"), text.alias("_t"))
-        x = x.select(
-            "id",
-            F.aggregate(pos, F.lit(0).cast("bigint"), lambda acc, w: acc + _occurrences(F.col("_t"), w)).alias("pos_hits"),
-            F.aggregate(neg, F.lit(0).cast("bigint"), lambda acc, w: acc + _occurrences(F.col("_t"), w)).alias("neg_hits"),
-        )
-        return _finish(x)
-    # large word list: join only on matching (text, word) pairs, then regroup
     x = news.select(F.col(id_col).alias("id"), text.alias("_t"))
-    m = x.join(lexicon.select("polarity", "word"), F.col("_t").contains(F.col("word")))
+    scored = with_lexicon_score(x, lexicon, F.col("_t"))
+    if scored is not None:
+        return scored.drop("_t")
+    # large word list: join only on matching (text, word) pairs, then regroup
+    m = x.join(bounded_broadcast(lexicon.select("polarity", "word")), F.col("_t").contains(F.col("word")))
     hits = m.select("id", "polarity", _occurrences(F.col("_t"), F.col("word")).alias("h"))
     g = hits.groupBy("id").agg(
         F.sum(F.when(F.col("polarity") == "positive", F.col("h")).otherwise(0)).alias("pos_hits"),

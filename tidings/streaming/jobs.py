@@ -119,14 +119,16 @@ def stream_ingest(messages: DataFrame, target: str, checkpoint: str, schema: T.S
 
 # ---- R-2 / R-3 scoring with quarantine ------------------------------------------------------------
 def scored_stream(news_messages: DataFrame, schema: T.StructType, lexicon: DataFrame) -> DataFrame:
-    """Parsed news -> lexicon scores; the input rides along as a nested struct."""
+    """Parsed news -> lexicon scores; the input rides along as a nested struct.
+    Scores are columns of the same row: no stream-stream join, no state."""
     p = I.parse_messages(news_messages, schema)
     ok = p.filter(~F.col("is_corrupt"))
-    s = G.lexicon_score(ok, lexicon)
-    orig = ok.select("id", F.struct(*[c for c in schema.fieldNames()]).alias("original_data"))
-    return s.join(orig, "id").select(
+    s = G.with_lexicon_score(ok, lexicon)
+    if s is None:
+        raise ValueError("lexicon past the literal bound: score each micro-batch with score_and_quarantine_writer")
+    return s.select(
         F.col("id").alias("news_id"), "sentiment_score", "sentiment_label", "confidence",
-        "original_data", F.current_timestamp().alias("analyzed_at"))
+        F.struct(*schema.fieldNames()).alias("original_data"), F.current_timestamp().alias("analyzed_at"))
 
 
 def score_and_quarantine_writer(target: str, quarantine: str, schema: T.StructType, lexicon: DataFrame):
