@@ -35,18 +35,30 @@ def test_validation_reasons(spark):
 
 
 def test_top_n_per_group_exact_under_skew(spark):
-    """One feed holds most rows: the salted two-stage top-n equals a brute force ranking."""
+    """One feed holds most rows: both plans (partial group limit, salted
+    two-stage) equal a brute force ranking."""
     rows = [("hot", i) for i in range(3000)] + [(f"f{k}", k * 7 + j) for k in range(20) for j in range(30)]
-    df = spark.createDataFrame(rows, "feed string, pos long")
-    got = top_n_per_group(df, ["feed"], [F.col("pos").asc()], 20, salt_key=F.col("pos"), buckets=16)
-    by_feed = {}
-    for r in got.collect():
-        by_feed.setdefault(r.feed, []).append((r._rank, r.pos))
+    df = spark.createDataFrame(rows, "feed string, pos long").repartition(6)
     expect = {}
     for f, p in rows:
         expect.setdefault(f, []).append(p)
-    for f, ps in expect.items():
-        assert [p for _, p in sorted(by_feed[f])] == sorted(ps)[:20]
+    for threshold in ("1000", "5"):  # 5 < n forces the salted plan
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", threshold)
+        try:
+            got = top_n_per_group(df, ["feed"], [F.col("pos").asc()], 20, salt_key=F.col("pos"), buckets=16)
+            by_feed = {}
+            for r in got.collect():
+                by_feed.setdefault(r.feed, []).append((r._rank, r.pos))
+        finally:
+            spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+        for f, ps in expect.items():
+            assert [p for _, p in sorted(by_feed[f])] == sorted(ps)[:20]
+
+
+def test_top_n_limits_before_the_shuffle(spark):
+    df = spark.createDataFrame([("hot", i) for i in range(100)], "feed string, pos long").repartition(4)
+    plan = top_n_per_group(df, ["feed"], [F.col("pos").asc()], 5, salt_key=F.col("pos"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2  # partial (map side) and final
 
 
 def test_extract_pages(spark):
