@@ -244,8 +244,10 @@ def array_head_text(arr, n: int = 5, sep: str = ", ") -> Column:
 
 
 def first_tokens(text, n: int = 5) -> Column:
-    """Keywords of a news item: first n blank-separated tokens."""
-    return F.slice(F.split(_c(text), " "), 1, n)
+    """Keywords of a news item: first n blank-separated tokens.  The split
+    stops after n + 1 parts (same first n tokens), so a long text is not
+    cut into an array of all its words."""
+    return F.slice(F.split(_c(text), " ", n + 1), 1, n)
 
 
 def keyword_pattern(keyword: str) -> str:
