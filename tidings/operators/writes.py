@@ -175,20 +175,29 @@ def exact_quantiles(values: DataFrame, col: str, qs: dict[str, float], mean_name
     column, divided by ``scale`` on output.  One output row.
 
     Distributed selection, so no task ever holds all rows or all distinct
-    values: rows are counted per distinct value (partial aggregation);
-    approximate equal-frequency edges (``bins`` numbers reach the driver)
-    split the distinct values into bins; bin totals give each bin's rank
-    offset (a window over at most ``bins + 1`` rows); only the few bins that
-    hold a wanted rank are ranked inside, each in its own task.  The edges
-    only decide the work split: the result is exact for any edges."""
-    counts = values.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
+    values: rows are counted per distinct value (partial aggregation) and
+    that table is written to the shared folder (the input is read once,
+    lineage is cut); approximate equal-frequency edges (``bins`` numbers reach the
+    driver) split the distinct values into bins; bin totals give each bin's
+    rank offset (a window over at most ``bins + 1`` rows); only the few bins
+    that hold a wanted rank are ranked inside, each in its own task.  The
+    edges only decide the work split: the result is exact for any edges."""
+    from ..session import scratch_path
+
+    spark = values.sparkSession
+    path = scratch_path(spark, "quantile-counts")  # inside the shared folder (spark.checkpoint.dir)
+    values.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c")).write.parquet(path)
+    counts = spark.read.parquet(path)
     step = 1.0 / bins
     edges = counts.agg(F.percentile_approx(col, [step * i for i in range(1, bins)]).alias("e")).first().e or []
     edges = sorted(set(edges))
     binned = counts.withColumn("_b", _bin_of(F.col(col), edges))
-    per_bin = binned.groupBy("_b").agg(F.sum("_c").alias("_bc"))
-    offsets = per_bin.select("_b", "_bc", (F.sum("_bc").over(Window.orderBy("_b")) - F.col("_bc")).alias("_off"))
-    n = counts.agg(F.sum("_c")).scalar()
+    per_bin = binned.groupBy("_b").agg(F.sum("_c").alias("_bc"), F.sum(F.col(col) * F.col("_c")).alias("_bs"))
+    everything = Window.partitionBy()  # over the <= bins + 1 bin rows
+    offsets = per_bin.select(
+        "_b", "_bc", (F.sum("_bc").over(Window.orderBy("_b")) - F.col("_bc")).alias("_off"),
+        F.sum("_bc").over(everything).alias("_n"), F.sum("_bs").over(everything).alias("_s"))
+    n = F.col("_n")
     targets = {}
     for name, q in qs.items():
         pos = (n - 1).cast("double") * F.lit(q)
@@ -197,19 +206,21 @@ def exact_quantiles(values: DataFrame, col: str, qs: dict[str, float], mean_name
     for lo, hi, _ in targets.values():
         for r in (lo, hi):
             hit = hit | ((F.col("_off") <= r) & (r < F.col("_off") + F.col("_bc")))
-    needed = offsets.filter(hit).select("_b", "_off")  # at most 2 rows per quantile
+    needed = offsets.filter(hit).select("_b", "_off", "_n", "_s")  # at most 2 rows per quantile
     ranked = binned.join(F.broadcast(needed), "_b").select(
-        col, "_c", (F.col("_off") + F.sum("_c").over(Window.partitionBy("_b").orderBy(col))).alias("_cum"))
+        col, "_c", "_n", "_s", (F.col("_off") + F.sum("_c").over(Window.partitionBy("_b").orderBy(col))).alias("_cum"))
     ranked = ranked.withColumn("_lo", F.col("_cum") - F.col("_c"))
-    aggs = []
+    aggs = [F.max("_n").alias("_n"), F.max("_s").alias("_s")]
     for name, (lo, hi, _) in targets.items():
         for tag, r in (("lo", lo), ("hi", hi)):
             aggs.append(F.max(F.when((F.col("_lo") <= r) & (r < F.col("_cum")), F.col(col))).alias(f"_{tag}_{name}"))
-    a = ranked.agg(*aggs) if aggs else ranked.agg(F.count(F.lit(1)).alias("_unused"))
+    a = ranked.agg(*aggs)
     outs = [F.coalesce(n, F.lit(0)).alias("n")]
     if mean_name:
-        outs.append((counts.agg(F.sum(F.col(col) * F.col("_c"))).scalar() / (n * F.lit(scale))).alias(mean_name))
-    for name, (_, _, f) in targets.items():
+        outs.append((F.col("_s") / (n * F.lit(scale))).alias(mean_name))
+    for name, q in qs.items():
+        pos = (n - 1).cast("double") * F.lit(q)
+        f = pos - F.floor(pos)
         lo, hi = F.col(f"_lo_{name}").cast("double"), F.col(f"_hi_{name}").cast("double")
         outs.append(((lo + f * (hi - lo)) / F.lit(scale)).alias(name))
     return a.select(*outs)
