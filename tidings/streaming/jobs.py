@@ -74,15 +74,39 @@ def key_bucket(keys: list[str], buckets: int = KEY_BUCKETS) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
+def bucket_paths(spark: SparkSession, root: str, hit: list[int]) -> list[str]:
+    """Existing ``root/bucket=B`` folders for B in ``hit``: one listing of the
+    root's children (at most ``KEY_BUCKETS`` names), never of every file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    want = {f"bucket={b}" for b in hit}
+    return [st.getPath().toString() for st in fs.listStatus(path) if st.isDirectory() and st.getPath().getName() in want]
+
+
+def read_buckets(spark: SparkSession, root: str, hit: list[int]) -> DataFrame | None:
+    """Rows of the ``hit`` buckets of a ``root/bucket=B/...`` table (None if none)."""
+    paths = bucket_paths(spark, root, hit)
+    return spark.read.option("basePath", root).parquet(*paths) if paths else None
+
+
+def _write_bucketed(df: DataFrame, root: str, version_col: str, version: int) -> None:
+    """Write ``df`` as ``root/bucket=B/<version_col>=<version>``, replacing only
+    those folders (a replay rewrites its own, nothing else)."""
+    (df.withColumn(version_col, F.lit(version)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("bucket", version_col).parquet(root))
+
+
 def ingest_batch_writer(target: str, keys: list[str], seq_col: str, index: str | None = None,
                         buckets: int = KEY_BUCKETS) -> Callable[[DataFrame, int], None]:
     """Per epoch: first writer per key inside the epoch, minus keys stored by
     earlier epochs (the epoch's own earlier attempt is excluded, so a replay
     rewrites the same rows).
 
-    Stored keys are also kept in a key index ``index/epoch=N/bucket=B``
-    (hash bucket of the key).  An epoch only reads the index folders of the
-    buckets its own keys fall in -- at most ``buckets`` small ints reach the
+    Stored keys are also kept in a key index ``index/bucket=B/epoch=N``
+    (hash bucket of the key).  An epoch lists and reads only the bucket
+    folders its own keys fall in -- at most ``buckets`` small ints reach the
     driver -- so the per-epoch cost follows the epoch size, not the size of
     everything stored so far."""
     index = index or f"{target}_keys"
@@ -93,18 +117,13 @@ def ingest_batch_writer(target: str, keys: list[str], seq_col: str, index: str |
         firsts.persist()
         try:
             hit = [r.bucket for r in firsts.select("bucket").distinct().collect()]
-            new = firsts
-            if hit:
-                try:
-                    stored = spark.read.parquet(index).filter((F.col("epoch") < epoch) & F.col("bucket").isin(hit))
-                    new = I.anti_join_existing(firsts, stored, keys + ["bucket"])
-                except Exception:  # noqa: BLE001 - no key index yet
-                    pass
+            stored = read_buckets(spark, index, hit)
+            new = firsts if stored is None else I.anti_join_existing(
+                firsts, stored.filter(F.col("epoch") < epoch), keys + ["bucket"])
             new.drop("bucket").write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
             # the index is written after the rows: a failure in between replays both
-            (spark.read.parquet(f"{target}/epoch={epoch}").select(*keys).filter(I.key_not_null(keys))
-             .withColumn("bucket", key_bucket(keys, buckets))
-             .write.mode("overwrite").partitionBy("bucket").parquet(f"{index}/epoch={epoch}"))
+            written = spark.read.parquet(f"{target}/epoch={epoch}").select(*keys).filter(I.key_not_null(keys))
+            _write_bucketed(written.withColumn("bucket", key_bucket(keys, buckets)), index, "epoch", epoch)
         finally:
             firsts.unpersist()
 
@@ -171,17 +190,17 @@ def stream_daily_stats(scored: DataFrame, target: str, checkpoint: str) -> Strea
 
 
 # ---- R-6 idempotent upsert of re-delivered results ---------------------------------------------
-# Keyed results are a bucketed, versioned table: ``target/v=N/bucket=B``.  An
+# Keyed results are a bucketed, versioned table: ``target/bucket=B/v=N``.  An
 # epoch rewrites only the buckets its keys fall in, as version ``v=epoch``;
 # the live rows of a bucket are those of its highest version.  Per-epoch
 # cost follows the epoch, not the table.  A replayed epoch reads only
 # versions below its own, so it rewrites the same folder with the same rows.
 def _latest_of_buckets(spark: SparkSession, target: str, hit: list[int], epoch: int) -> DataFrame | None:
     """Live rows of the ``hit`` buckets as of before ``epoch`` (None if none)."""
-    try:
-        prev = spark.read.parquet(target).filter((F.col("v") < epoch) & F.col("bucket").isin(hit))
-    except Exception:  # noqa: BLE001 - nothing written yet
+    rows = read_buckets(spark, target, hit)
+    if rows is None:
         return None
+    prev = rows.filter(F.col("v") < epoch)
     top = prev.groupBy("bucket").agg(F.max("v").alias("v"))  # at most len(hit) rows
     return prev.join(F.broadcast(top), ["bucket", "v"], "left_semi").drop("v")
 
@@ -189,7 +208,7 @@ def _latest_of_buckets(spark: SparkSession, target: str, hit: list[int], epoch:
 def bucketed_merge_writer(target: str, keys: list[str], merge: Callable[[DataFrame, DataFrame], DataFrame],
                           buckets: int = KEY_BUCKETS) -> Callable[[DataFrame, int], None]:
     """foreachBatch body: ``merge(live rows of the touched buckets, epoch rows)``
-    written as version ``v=epoch`` of those buckets."""
+    written as version ``bucket=B/v=epoch`` of those buckets."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         b = batch.withColumn("bucket", key_bucket(keys, buckets))
@@ -200,7 +219,7 @@ def bucketed_merge_writer(target: str, keys: list[str], merge: Callable[[DataFra
                 return
             prev = _latest_of_buckets(b.sparkSession, target, hit, epoch)
             merged = b if prev is None else merge(prev.select(*b.columns), b)
-            merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/v={epoch}")
+            _write_bucketed(merged, target, "v", epoch)
         finally:
             b.unpersist()
 
