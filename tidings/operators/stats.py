@@ -121,12 +121,28 @@ def join_sector_chain(t, period="24h", as_of=S.FIXTURE_AS_OF) -> DataFrame:
     return sectors.join(linked, "sector_id", "left")
 
 
+def _mean_of(sum_col: str, count_col: str):
+    """exact_mean from carried (exact sum, count) columns."""
+    return F.col(sum_col).cast("double") / F.nullif(F.col(count_col), F.lit(0))
+
+
 def sector_stats(t, period="24h", as_of=S.FIXTURE_AS_OF) -> DataFrame:
-    chain = join_sector_chain(t, period, as_of)
-    g = chain.groupBy("sector_id", "sector_name").agg(
-        F.count("rn_id").alias("news_count"),
-        C.mean_or_zero("sentiment_score").alias("avg_sentiment"),
-    )
+    """Per sector (all sectors, also those without news): news in the period,
+    mean score (0 if none) and trend label; order by count desc.
+
+    Equal to aggregating ``join_sector_chain`` per sector, but the bridge x
+    news rows are aggregated per sector first (partial aggregation, so a
+    hot sector costs one row per task) and only then outer-joined to the
+    sector dimension: the big side is never shuffled by sector, where one
+    sector could hold a third of the rows."""
+    news = N.filter_period(t.raw_news.select("id", "published_at"), period, as_of)
+    scored = _scored(news, t.sentiment_results).select(F.col("id").alias("news_id"), "sentiment_score")
+    per = t.news_sectors.select("news_id", "sector_id").join(scored, "news_id").groupBy("sector_id").agg(
+        F.count(F.lit(1)).alias("news_count"), F.sum("sentiment_score").alias("_s"), F.count("sentiment_score").alias("_n"))
+    sectors = t.market_sectors.select(F.col("id").alias("sector_id"), F.col("name").alias("sector_name"))
+    g = sectors.join(per, "sector_id", "left").select(
+        "sector_id", "sector_name", F.coalesce("news_count", F.lit(0)).alias("news_count"),
+        F.coalesce(_mean_of("_s", "_n"), F.lit(0.0)).alias("avg_sentiment"))
     return g.withColumn("sentiment_trend", sector_trend_label(F.col("avg_sentiment"))).orderBy(
         F.col("news_count").desc(), "sector_id")
 
@@ -134,20 +150,33 @@ def sector_stats(t, period="24h", as_of=S.FIXTURE_AS_OF) -> DataFrame:
 # ---- A-7 ---------------------------------------------------------------------------------
 def sector_summary(t) -> DataFrame:
     """Per active sector: distinct processed news, mean score, label counts,
-    mean confidence, latest publish time (processed = has a result)."""
+    mean confidence, latest publish time (processed = has a result).
+
+    Aggregated per sector before the outer join with the sector dimension
+    (see ``sector_stats``); the distinct count runs as Spark's two-phase
+    distinct aggregation, partial on every task."""
     sectors = N.filter_active(t.market_sectors).select(F.col("id").alias("sector_id"), F.col("name").alias("sector_name"))
     sr = t.sentiment_results.select("news_id", "sentiment_score", "sentiment_label", "confidence")
     news = t.raw_news.select(F.col("id").alias("news_id"), "published_at").join(sr, "news_id", "inner")
-    bridge = t.news_sectors.select("news_id", "sector_id")
-    linked = bridge.join(news, "news_id", "inner")
-    j = sectors.join(linked, "sector_id", "left")
-    return j.groupBy("sector_id", "sector_name").agg(
+    linked = t.news_sectors.select("news_id", "sector_id").join(news, "news_id", "inner")
+    per = linked.groupBy("sector_id").agg(
         F.countDistinct("news_id").alias("news_count"),
-        C.exact_mean("sentiment_score").alias("avg_sentiment"),
+        F.sum("sentiment_score").alias("_ss"), F.count("sentiment_score").alias("_sn"),
         *_label_counts(),
-        C.exact_mean("confidence").alias("avg_confidence"),
+        F.sum("confidence").alias("_cs"), F.count("confidence").alias("_cn"),
         F.max("published_at").alias("latest_news_time"),
     )
+    j = sectors.join(per, "sector_id", "left")
+    zero = F.lit(0).cast("bigint")
+    return j.select(
+        "sector_id", "sector_name", F.coalesce("news_count", zero).alias("news_count"),
+        _mean_of("_ss", "_sn").alias("avg_sentiment"),
+        F.coalesce("positive_count", zero).alias("positive_count"),
+        F.coalesce("neutral_count", zero).alias("neutral_count"),
+        F.coalesce("negative_count", zero).alias("negative_count"),
+        _mean_of("_cs", "_cn").alias("avg_confidence"),
+        "latest_news_time",
+    )
 
 
 # ---- A-8 ---------------------------------------------------------------------------------
