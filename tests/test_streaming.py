@@ -109,3 +109,20 @@ def test_scored_stream_keeps_no_state(spark, tables):
     from tidings.operators import scoring as G
     want = {r.id: r.sentiment_score for r in G.lexicon_score(tables.raw_news, tables.lexicon).filter(F.col("id") % 50 != 0).collect()}
     assert got == want
+
+
+def test_vacuum_keeps_live_versions(spark):
+    schema = "news_id long, s double, version int, created_at string"
+    out = tempfile.mkdtemp() + "/r"
+    w = J.upsert_writer(out, "news_id", "version", buckets=4)
+    w(spark.createDataFrame([(i, 0.1, 1, "t1") for i in range(20)], schema), 0)
+    w(spark.createDataFrame([(3, 0.5, 2, "t2"), (4, 0.6, 2, "t2")], schema), 1)
+    w(spark.createDataFrame([(3, 0.7, 3, "t3")], schema), 2)
+    before = sorted(map(tuple, J.latest_version(spark, out).collect()))
+    removed = J.vacuum_versions(spark, out, before=3)
+    assert removed >= 1
+    assert sorted(map(tuple, J.latest_version(spark, out).collect())) == before
+    # the next epoch still merges against the live versions
+    w(spark.createDataFrame([(5, 0.9, 2, "t4")], schema), 3)
+    got = {r.news_id: (r.s, r.version, r.created_at) for r in J.latest_version(spark, out).collect()}
+    assert len(got) == 20 and got[3] == (0.7, 3, "t1") and got[5] == (0.9, 2, "t1") and got[4] == (0.6, 2, "t1")

@@ -267,6 +267,37 @@ def latest_version(spark: SparkSession, target: str) -> DataFrame:
     return all_v.join(top, "v", "left_semi").drop("v")
 
 
+def vacuum_versions(spark: SparkSession, target: str, before: int) -> int:
+    """Delete superseded versions of a versioned table: in each bucket (or
+    in the table, unbucketed) every ``v=N`` folder with N < ``before`` that
+    is not the highest version of its bucket.  Only folder listings and
+    deletes, no data is read.  Run it between epochs (``before`` = the
+    oldest epoch that may still be replayed), never while a reader lists
+    the table.  Returns the number of folders removed."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(target)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return 0
+
+    def children(p, prefix):
+        return [st.getPath() for st in fs.listStatus(p) if st.isDirectory() and st.getPath().getName().startswith(prefix)]
+
+    def version(p):
+        return int(p.getName().split("=", 1)[1])
+
+    groups = children(root, "bucket=") or [root]
+    removed = 0
+    for g in groups:
+        versions = sorted(children(g, "v="), key=version)
+        live = versions[-1:] if versions else []
+        for v in versions:
+            if v not in live and version(v) < before:
+                fs.delete(v, True)
+                removed += 1
+    return removed
+
+
 # ---- R-8 dedupe inside the stream ---------------------------------------------------------------------
 def stream_dedup(news: DataFrame, keys: list[str], event_time: Column, delay: str, id_col: str = "id") -> DataFrame:
     """Bounded-state dedupe of (source_id, external_id) within the watermark.
