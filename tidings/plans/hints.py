@@ -27,6 +27,8 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS,
     the plan's size estimate, which knows nothing of computed strings)
     guards against a short but wide side.
     """
-    m = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
-                                   F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("b")).first()
+    # the width is computed before the limit, so at most max_rows + 1 ints
+    # per task travel to the limit's single partition
+    widths = df.select(F.octet_length(F.to_json(F.struct("*"))).alias("w")).limit(max_rows + 1)
+    m = widths.agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("b")).first()
     return F.broadcast(df) if m.n <= max_rows and (m.b or 0) <= max_bytes else df
