@@ -52,6 +52,39 @@ def test_job_log_fold(spark):
                    4: ("failed", 300000, 0, "boom")}
 
 
+def test_job_log_fold_exact_for_any_bucket_size(spark):
+    import datetime as dt
+    import random
+
+    rnd = random.Random(5)
+    rows, rid = [], 0
+    for job, n in (("hot", 600), ("a", 40), ("b", 25)):
+        for _ in range(n):
+            rid += 1
+            t = dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rnd.randrange(0, 20000))
+            st = rnd.choice(["running", "running", "success", "failed"])
+            rows.append((rid, job, t, st, rid if st == "success" else None, "e" if st == "failed" else None))
+    df = spark.createDataFrame(rows, "run_id long, job_name string, event_time timestamp_ntz, status string, "
+                                     "records_processed int, error_message string")
+    want = {}
+    for rid, job, t, st, rp, em in rows:
+        if st != "running":
+            continue
+        fins = sorted((f[2], f[0]) for f in rows if f[1] == job and f[3] != "running" and f[2] >= t)
+        if not fins:
+            want[rid] = ("running", None, 0)
+            continue
+        # earliest finish at or after the start; among equal times the lowest struct wins
+        ft = fins[0][0]
+        cands = [f for f in rows if f[1] == job and f[3] != "running" and f[2] == ft]
+        f = min(cands, key=lambda r: (r[3], -1 if r[4] is None else r[4], r[5] or ""))
+        want[rid] = (f[3], int((ft - t).total_seconds() * 1000), f[4] or 0)
+    for per_bucket in (3, 50, 10**9):
+        got = {r.run_id: (r.status, r.duration_ms, r.records_processed)
+               for r in W.job_log_fold(df, min_rows_per_bucket=per_bucket).collect()}
+        assert got == want, per_bucket
+
+
 def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(7)
     vals = rng.integers(0, 500, size=2001).tolist() + [499] * 700  # a hot value

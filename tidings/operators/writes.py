@@ -111,7 +111,7 @@ def read_snapshot(snapshots: DataFrame, key: str, as_of: Column) -> DataFrame:
 
 
 # ---- W-1 run history fold ----------------------------------------------------------------------------
-def job_log_fold(log: DataFrame, bucket: str = "hour") -> DataFrame:
+def job_log_fold(log: DataFrame, min_rows_per_bucket: int = 1000) -> DataFrame:
     """Start records (status 'running', one per run) and finish records
     (status 'success' / 'failed', per job) -> one row per run.
 
@@ -124,22 +124,31 @@ def job_log_fold(log: DataFrame, bucket: str = "hour") -> DataFrame:
        reverse time order finds a close in the run's own bucket;
     2. over the per-(job, bucket) summaries (one row per bucket) a running
        min in reverse order finds the first finish of any later bucket.
-    No task ever holds more than one bucket of one job."""
+    Buckets are contiguous time ranges whose width is chosen per job from
+    its row count n and time span: about max(sqrt(n), ``min_rows_per_bucket``)
+    rows each, so both passes hold about sqrt(n) rows per task even for a
+    job with a third of the log.  Any contiguous bucketing gives the same
+    result."""
+    us = F.unix_micros(F.col("event_time").cast("timestamp"))  # monotone in event_time either way
+    n = F.count(F.lit(1))
+    target = F.greatest(F.sqrt(n), F.lit(float(min_rows_per_bucket)))
+    per_job = log.groupBy("job_name").agg(
+        F.greatest(F.lit(1), ((F.max(us) - F.min(us) + 1).cast("double") * target / n).cast("long"))
+        .alias("_width"))  # one row per job
     fin = F.when(F.col("is_finish"), F.struct("event_time", "status", "records_processed", "error_message"))
-    x = (log.withColumn("is_finish", F.col("status") != "running")
-         .withColumn("_b", F.date_trunc(bucket, F.col("event_time")))
+    x = (log.join(per_job, "job_name", "left")  # one row per job: AQE broadcasts it from its measured size
+         .withColumn("is_finish", F.col("status") != "running")
+         .withColumn("_b", F.floor(us / F.col("_width")))
          .withColumn("_fin", fin))
     # reverse time order; at equal times finishes come first, so they count for a start at that time
     w_in = (Window.partitionBy("job_name", "_b").orderBy(F.col("event_time").desc(), F.col("is_finish").desc())
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     runs = x.withColumn("_close_in", F.min("_fin").over(w_in)).filter(~F.col("is_finish"))
-    per_bucket = x.filter("is_finish").groupBy("job_name", "_b").agg(F.min("_fin").alias("_first"))
+    # one summary row per (job, bucket) -- also for buckets holding only starts
+    # (min ignores their NULL _fin) -- then the first finish of any later bucket
     w_next = (Window.partitionBy("job_name").orderBy(F.col("_b").desc())
               .rowsBetween(Window.unboundedPreceding, -1))
-    # buckets of a job that hold only starts also need the first later finish
-    start_buckets = runs.select("job_name", "_b").distinct()
-    bounds = start_buckets.unionByName(per_bucket.select("job_name", "_b")).distinct()
-    later = (bounds.join(per_bucket, ["job_name", "_b"], "left")
+    later = (x.groupBy("job_name", "_b").agg(F.min("_fin").alias("_first"))
              .withColumn("_later", F.min("_first").over(w_next))
              .select("job_name", "_b", "_later"))
     j = runs.join(later, ["job_name", "_b"], "left")
