@@ -126,3 +126,20 @@ def test_vacuum_keeps_live_versions(spark):
     w(spark.createDataFrame([(5, 0.9, 2, "t4")], schema), 3)
     got = {r.news_id: (r.s, r.version, r.created_at) for r in J.latest_version(spark, out).collect()}
     assert len(got) == 20 and got[3] == (0.7, 3, "t1") and got[5] == (0.9, 2, "t1") and got[4] == (0.6, 2, "t1")
+
+
+def test_ingest_after_key_index_compaction(spark):
+    import os
+
+    schema = "id long, source_id int, external_id string"
+    out = tempfile.mkdtemp() + "/t"
+    w = J.ingest_batch_writer(out, ["source_id", "external_id"], "id", buckets=4)
+    w(spark.createDataFrame([(1, 1, "a"), (2, 2, "b"), (3, None, "z")], schema), 0)
+    w(spark.createDataFrame([(4, 1, "a"), (5, 3, "c")], schema), 1)
+    J.compact_key_index(spark, out + "_keys", before=2)
+    assert not [b for b in os.listdir(out + "_keys") if b.startswith("bucket=")]
+    w(spark.createDataFrame([(6, 2, "b"), (7, 3, "c"), (8, 4, "d")], schema), 2)
+    J.compact_key_index(spark, out + "_keys", before=3)  # merges the earlier compaction too
+    w(spark.createDataFrame([(9, 4, "d"), (10, 1, "a"), (11, 5, "e")], schema), 3)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3, 5, 8, 11]
+    assert [d for d in os.listdir(out + "_keys_compacted") if d.startswith("upto=")] == ["upto=2"]

@@ -98,6 +98,78 @@ def _write_bucketed(df: DataFrame, root: str, version_col: str, version: int) ->
      .partitionBy("bucket", version_col).parquet(root))
 
 
+def _fs(spark: SparkSession, root: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _subdirs(fs, path, prefix: str) -> list:
+    return [st.getPath() for st in fs.listStatus(path) if st.isDirectory() and st.getPath().getName().startswith(prefix)]
+
+
+def _value(p) -> int:
+    return int(p.getName().split("=", 1)[1])
+
+
+def _stored_keys(spark: SparkSession, index: str, hit: list[int], epoch: int) -> DataFrame | None:
+    """Keys of the ``hit`` buckets stored before ``epoch``: the per-epoch index
+    folders plus the compacted folders (``compact_key_index``)."""
+    parts = []
+    live = read_buckets(spark, index, hit)
+    if live is not None:
+        parts.append(live.filter(F.col("epoch") < epoch).drop("epoch"))
+    root, fs = _fs(spark, f"{index}_compacted")
+    if fs.exists(root):
+        want = {f"bucket={b}" for b in hit}
+        paths = [b.toString() for u in _subdirs(fs, root, "upto=") for b in _subdirs(fs, u, "bucket=") if b.getName() in want]
+        if paths:
+            parts.append(spark.read.option("basePath", root.toString()).parquet(*paths).drop("upto"))
+    if not parts:
+        return None
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def compact_key_index(spark: SparkSession, index: str, before: int) -> None:
+    """Merge the key index folders of epochs < ``before`` (and earlier
+    compactions) into one folder ``<index>_compacted/upto=<before-1>``
+    (distinct keys, one folder per bucket), then delete what was merged.
+
+    ``before`` must not exceed the oldest epoch that may still be replayed.
+    A crash leaves duplicates (harmless: stored keys are de-duplicated before
+    the anti join) and a rerun redoes the same work."""
+    upto = before - 1
+    comp_root, fs = _fs(spark, f"{index}_compacted")
+    idx_root, ifs = _fs(spark, index)
+    parts = []
+    if ifs.exists(idx_root) and _subdirs(ifs, idx_root, "bucket="):
+        parts.append(spark.read.parquet(index).filter(F.col("epoch") < before).drop("epoch"))
+    older = [u for u in _subdirs(fs, comp_root, "upto=") if _value(u) != upto] if fs.exists(comp_root) else []
+    if older:
+        parts.append(spark.read.option("basePath", comp_root.toString()).parquet(*[u.toString() for u in older]).drop("upto"))
+    if not parts:
+        return
+    merged = parts[0]
+    for p in parts[1:]:
+        merged = merged.unionByName(p)
+    # buckets are hash-balanced and the keys distinct: shuffling by bucket gives
+    # one file per bucket, and the de-duplication reuses that partitioning
+    (merged.repartition("bucket").distinct()
+     .write.mode("overwrite").partitionBy("bucket").parquet(f"{comp_root.toString()}/upto={upto}"))
+    for u in older:
+        fs.delete(u, True)
+    if ifs.exists(idx_root):
+        for b in _subdirs(ifs, idx_root, "bucket="):
+            epochs = _subdirs(ifs, b, "epoch=")
+            for e in epochs:
+                if _value(e) < before:
+                    ifs.delete(e, True)
+            if all(_value(e) < before for e in epochs):
+                ifs.delete(b, True)  # no empty bucket folders: readers list what exists
+
+
 def ingest_batch_writer(target: str, keys: list[str], seq_col: str, index: str | None = None,
                         buckets: int = KEY_BUCKETS) -> Callable[[DataFrame, int], None]:
     """Per epoch: first writer per key inside the epoch, minus keys stored by
@@ -117,9 +189,8 @@ def ingest_batch_writer(target: str, keys: list[str], seq_col: str, index: str |
         firsts.persist()
         try:
             hit = [r.bucket for r in firsts.select("bucket").distinct().collect()]
-            stored = read_buckets(spark, index, hit)
-            new = firsts if stored is None else I.anti_join_existing(
-                firsts, stored.filter(F.col("epoch") < epoch), keys + ["bucket"])
+            stored = _stored_keys(spark, index, hit, epoch)
+            new = firsts if stored is None else I.anti_join_existing(firsts, stored, keys + ["bucket"])
             new.drop("bucket").write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
             # the index is written after the rows: a failure in between replays both
             written = spark.read.parquet(f"{target}/epoch={epoch}").select(*keys).filter(I.key_not_null(keys))
