@@ -279,7 +279,9 @@ def _latest_of_buckets(spark: SparkSession, target: str, hit: list[int], epoch:
 def bucketed_merge_writer(target: str, keys: list[str], merge: Callable[[DataFrame, DataFrame], DataFrame],
                           buckets: int = KEY_BUCKETS) -> Callable[[DataFrame, int], None]:
     """foreachBatch body: ``merge(live rows of the touched buckets, epoch rows)``
-    written as version ``bucket=B/v=epoch`` of those buckets."""
+    written as version ``bucket=B/v=epoch`` of those buckets.  A touched
+    bucket is rewritten whole (copy on write), so ``buckets`` sets the
+    rewrite unit: table size / buckets per touched bucket."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         b = batch.withColumn("bucket", key_bucket(keys, buckets))
