@@ -28,3 +28,17 @@ def test_trend_rejects_out_of_range_days(tables):
 
     with pytest.raises(ValueError):
         A.daily_trend(tables, days=91)
+
+
+def test_sector_stats_equals_aggregated_chain(tables):
+    """The aggregate-first plan equals aggregating the J-4 chain itself."""
+    from pyspark.sql import functions as F
+
+    from tidings.functions import core as C
+
+    for period in ("24h", "7d", "30d"):
+        chain = A.join_sector_chain(tables, period)
+        want = chain.groupBy("sector_id", "sector_name").agg(
+            F.count("rn_id").alias("news_count"), C.mean_or_zero("sentiment_score").alias("avg_sentiment"))
+        got = A.sector_stats(tables, period).select("sector_id", "sector_name", "news_count", "avg_sentiment")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
