@@ -41,3 +41,8 @@ def test_occurrences_in_multibyte_text(spark):
     lex = spark.createDataFrame([("positive", "é"), ("positive", "über"), ("negative", "ü")], "polarity string, word string")
     got = {r.id: (r.pos_hits, r.neg_hits) for r in G.lexicon_score(news, lex, text=F.col("content")).collect()}
     assert got == {1: (5, 3), 2: (0, 0)}
+
+
+def test_lexicon_score_is_map_only(tables):
+    plan = G.lexicon_score(tables.raw_news, tables.lexicon)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
