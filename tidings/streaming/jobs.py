@@ -331,13 +331,15 @@ def replace_by_key_writer(target: str, keys: list[str], buckets: int = KEY_BUCKE
 
 def latest_version(spark: SparkSession, target: str) -> DataFrame:
     """Live rows of a versioned table: per bucket its highest ``v=N`` folder
-    (bucketed layout), else the highest ``v=N`` folder of the table."""
+    (bucketed layout; Spark lists the folders in parallel and the semi join
+    keeps the live ones), else only the highest ``v=N`` folder is read."""
+    root, fs = _fs(spark, target)
+    versions = _subdirs(fs, root, "v=")
+    if versions:
+        return spark.read.parquet(max(versions, key=_value).toString())
     all_v = spark.read.parquet(target)
-    if "bucket" in all_v.columns:
-        top = all_v.groupBy("bucket").agg(F.max("v").alias("v"))  # one row per bucket
-        return all_v.join(F.broadcast(top), ["bucket", "v"], "left_semi").drop("v", "bucket")
-    top = all_v.agg(F.max("v").alias("v"))
-    return all_v.join(top, "v", "left_semi").drop("v")
+    top = all_v.groupBy("bucket").agg(F.max("v").alias("v"))  # one row per bucket
+    return all_v.join(F.broadcast(top), ["bucket", "v"], "left_semi").drop("v", "bucket")
 
 
 def vacuum_versions(spark: SparkSession, target: str, before: int) -> int:
