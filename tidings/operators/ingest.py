@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions import core as C
+from .skew import group_for_join
 from .topn import top_n_per_group
 
 
@@ -125,18 +126,23 @@ def dedupe_first_wins(df: DataFrame, keys: list[str], seq_col: str) -> DataFrame
     return firsts.unionByName(df.filter(~nn))
 
 
-def anti_join_existing(incoming: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+def anti_join_existing(incoming: DataFrame, stored: DataFrame, keys: list[str], skew_safe: bool = True) -> DataFrame:
     """Entries whose key is not stored yet; plain equality, so NULL keys never
     match and always count as new (a SQL unique key treats NULLs as distinct)."""
     # distinct first: a key stored many times (a hot key) becomes one row per
     # task before the shuffle, so the anti join never sees a skewed build side
-    stored_keys = stored.select(*keys).filter(key_not_null(keys)).distinct()
+    live = stored.select(*keys).filter(key_not_null(keys))
+    if not skew_safe:  # callers whose incoming rows are unique per key
+        return incoming.join(live.distinct(), keys, "left_anti")
+    # copies of one entry on the incoming side: the join gets its own shuffle,
+    # so AQE can split their partition (operators.skew)
+    stored_keys = group_for_join(live, keys).agg(F.count(F.lit(1)).alias("_n")).drop("_n", "_g")
     return incoming.join(stored_keys, keys, "left_anti")
 
 
 def insert_or_ignore(stored: DataFrame, incoming: DataFrame, keys: list[str], seq_col: str) -> DataFrame:
     """stored + (first writer of each new key in the batch)."""
-    new = anti_join_existing(dedupe_first_wins(incoming, keys, seq_col), stored, keys)
+    new = anti_join_existing(dedupe_first_wins(incoming, keys, seq_col), stored, keys, skew_safe=False)
     return stored.unionByName(new.select(*stored.columns))
 
 
@@ -145,11 +151,16 @@ def mark_new(entries: DataFrame, stored: DataFrame, keys: list[str] = ("source_i
     """is_new = first in the batch for its key and not stored before."""
     keys = list(keys)
     nn = key_not_null(keys)
-    firsts = entries.filter(nn).groupBy(*keys).agg(F.min(seq_col).alias("_first"))
-    stored_keys = stored.select(*keys).filter(nn).distinct().withColumn("_stored", F.lit(True))
-    j = entries.join(firsts, keys, "left").join(stored_keys, keys, "left")
+    # one right side with one row per key (first id in the batch, stored or
+    # not), grouped so that AQE can split a hot key (copies) of the entries
+    # in the single join (operators.skew)
+    u = entries.select(*keys, F.col(seq_col).alias("_s"), F.lit(False).alias("_st")).unionByName(
+        stored.select(*keys, F.lit(None).cast(entries.schema[seq_col].dataType).alias("_s"), F.lit(True).alias("_st")))
+    per_key = group_for_join(u.filter(nn), keys).agg(
+        F.min("_s").alias("_first"), F.max("_st").alias("_stored")).drop("_g")
+    j = entries.join(per_key, keys, "left")
     first_in_batch = (~nn) | (F.col(seq_col) == F.col("_first"))
-    return j.withColumn("is_new", first_in_batch & F.col("_stored").isNull()).drop("_first", "_stored")
+    return j.withColumn("is_new", first_in_batch & ~F.coalesce(F.col("_stored"), F.lit(False))).drop("_first", "_stored")
 
 
 # ---- F-14 domain checks -----------------------------------------------------------------------------
@@ -177,7 +188,9 @@ def validate_rows(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
 # ---- D-13 quality filter ---------------------------------------------------------------------------
 def quality_filter(news: DataFrame, min_chars: int = 50, key: str = "external_id", seq_col: str = "id") -> DataFrame:
     """is_filtered + first applicable reason: empty, too_short, duplicate."""
-    firsts = news.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(seq_col).alias("_first"))
+    # a group of copies can hold a large share of the rows: the join-back gets
+    # its own shuffle, so AQE can split that partition (operators.skew)
+    firsts = group_for_join(news.filter(F.col(key).isNotNull()), [key]).agg(F.min(seq_col).alias("_first")).drop("_g")
     j = news.select(seq_col, key, "content", "n_chars").join(firsts, key, "left")
     reason = (F.when(F.col("content").isNull() | (F.trim("content") == ""), "empty")
               .when(F.col("n_chars") < min_chars, "too_short")

@@ -190,7 +190,7 @@ def ingest_batch_writer(target: str, keys: list[str], seq_col: str, index: str |
         try:
             hit = [r.bucket for r in firsts.select("bucket").distinct().collect()]
             stored = _stored_keys(spark, index, hit, epoch)
-            new = firsts if stored is None else I.anti_join_existing(firsts, stored, keys + ["bucket"])
+            new = firsts if stored is None else I.anti_join_existing(firsts, stored, keys + ["bucket"], skew_safe=False)
             new.drop("bucket").write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
             # the index is written after the rows: a failure in between replays both
             written = spark.read.parquet(f"{target}/epoch={epoch}").select(*keys).filter(I.key_not_null(keys))
