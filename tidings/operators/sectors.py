@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import core as C
 from ..plans.hints import bounded_broadcast
+from .skew import group_for_join
 
 CATCH_ALL_ID = -1
 
@@ -118,7 +119,7 @@ def sector_tagging(news: DataFrame, keywords: DataFrame, text_col: str = "conten
 def _sector_tagging_join(news: DataFrame, kw: DataFrame, text_col: str) -> DataFrame:
     """Large keyword lists: one left-outer nested-loop join of the text
     against the distinct words, then (news, sector, hit count) regrouping."""
-    sizes = kw.groupBy("sector_id").agg(F.count(F.lit(1)).alias("list_size"))
+    sizes = group_for_join(kw, ["sector_id"]).agg(F.count(F.lit(1)).alias("list_size")).drop("_g")
     words = kw.select("word").distinct()
     hits = news.select(F.col("id").alias("news_id"), F.col(text_col).alias("_t")).join(
         words, F.col("_t").contains(F.col("word")), "left").select("news_id", "word")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import core as C
+from .skew import group_for_join
 
 
 # ---- U-2 last writer wins ------------------------------------------------------------------
@@ -132,9 +133,9 @@ def job_log_fold(log: DataFrame, min_rows_per_bucket: int = 1000) -> DataFrame:
     us = F.unix_micros(F.col("event_time").cast("timestamp"))  # monotone in event_time either way
     n = F.count(F.lit(1))
     target = F.greatest(F.sqrt(n), F.lit(float(min_rows_per_bucket)))
-    per_job = log.groupBy("job_name").agg(
+    per_job = group_for_join(log, ["job_name"]).agg(
         F.greatest(F.lit(1), ((F.max(us) - F.min(us) + 1).cast("double") * target / n).cast("long"))
-        .alias("_width"))  # one row per job
+        .alias("_width")).drop("_g")  # one row per job; a hot job's rows stay splittable (operators.skew)
     fin = F.when(F.col("is_finish"), F.struct("event_time", "status", "records_processed", "error_message"))
     x = (log.join(per_job, "job_name", "left")  # one row per job: AQE broadcasts it from its measured size
          .withColumn("is_finish", F.col("status") != "running")
