@@ -11,6 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ensure_session
 
@@ -30,6 +31,9 @@ def source_id_of(name: Column) -> Column:
     return F.substring(name, 4, 1 << 20).cast("int")
 
 
+_SCHEMAS: dict[tuple[str, int], T.StructType] = {}
+
+
 class Tables:
     """Lazy access to base tables and fixture views of one scale-factor dir."""
 
@@ -38,7 +42,19 @@ class Tables:
         self.sf_dir = sf_dir.rstrip("/")
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A driver table.  Its schema is read from the Parquet footers once per
+        process (keyed by path and modification time) and then given to the
+        reader, which then only lists the files."""
+        path = f"{self.sf_dir}/{name}.parquet"
+        jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = jpath.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        key = (path, fs.getFileStatus(jpath).getModificationTime())
+        schema = _SCHEMAS.get(key)
+        if schema is None:
+            df = self.spark.read.parquet(path)
+            _SCHEMAS[key] = df.schema
+            return df
+        return self.spark.read.schema(schema).parquet(path)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
