@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from tidings.operators import ingest as I
 
 SKEW_CONF = {

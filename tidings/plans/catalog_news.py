@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions import core as C
 from ..operators import news as N
-from ..operators import stats as A
 from ..sources.fixtures import Tables
 from .registry import register
 
