@@ -143,3 +143,17 @@ def test_ingest_after_key_index_compaction(spark):
     w(spark.createDataFrame([(9, 4, "d"), (10, 1, "a"), (11, 5, "e")], schema), 3)
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3, 5, 8, 11]
     assert [d for d in os.listdir(out + "_keys_compacted") if d.startswith("upto=")] == ["upto=2"]
+
+
+def test_unbucketed_versions_read_and_vacuum(spark, tables):
+    import os
+
+    land = _land(tables, 4)
+    out, ck = tempfile.mkdtemp(), tempfile.mkdtemp()
+    J.stream_daily_stats(scored_events_of(J.file_source(spark, land, "parquet", tables.events.schema, max_files=1)), out, ck)
+    before = sorted(map(tuple, J.latest_version(spark, out).collect()))
+    versions = sorted(int(d.split("=")[1]) for d in os.listdir(out) if d.startswith("v="))
+    assert len(versions) >= 2
+    assert J.vacuum_versions(spark, out, before=versions[-1] + 1) == len(versions) - 1
+    assert [d for d in os.listdir(out) if d.startswith("v=")] == [f"v={versions[-1]}"]
+    assert sorted(map(tuple, J.latest_version(spark, out).collect())) == before
