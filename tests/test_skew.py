@@ -38,3 +38,13 @@ def test_hot_copies_are_split_by_aqe(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_join_backs_keep_null_key_semantics(spark):
+    entries = spark.createDataFrame([(1, None, "a"), (2, None, "a"), (3, 1, "a"), (4, 1, "a"), (5, 2, "b")],
+                                    "id long, source_id int, external_id string")
+    stored = spark.createDataFrame([(9, None, "a"), (8, 2, "b")], "id long, source_id int, external_id string")
+    kept = sorted(r.id for r in I.anti_join_existing(entries, stored, ["source_id", "external_id"]).collect())
+    assert kept == [1, 2, 3, 4]  # NULL keys never match a stored key
+    new = {r.id: r.is_new for r in I.mark_new(entries, stored, ["source_id", "external_id"]).collect()}
+    assert new == {1: True, 2: True, 3: True, 4: False, 5: False}
