@@ -46,7 +46,10 @@ class Tables:
         process (keyed by path and modification time) and then given to the
         reader, which then only lists the files."""
         path = f"{self.sf_dir}/{name}.parquet"
-        jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        jvm = getattr(self.spark, "_jvm", None)
+        if jvm is None:  # no JVM handle (e.g. a remote session): plain read
+            return self.spark.read.parquet(path)
+        jpath = jvm.org.apache.hadoop.fs.Path(path)
         fs = jpath.getFileSystem(self.spark._jsc.hadoopConfiguration())
         key = (path, fs.getFileStatus(jpath).getModificationTime())
         schema = _SCHEMAS.get(key)
