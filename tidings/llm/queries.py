@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, quality_rules, sentencepiece_lattice, simhash
+from . import (decontamination, kd_sharding, language_id, pseudo_likelihood, quality_rules, sentencepiece_lattice, simhash,
+               token_counts, url_filter, warc_store)
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
+WORD_BPE = "word_bpe_49k.json"
+URL_RULES = [
+    url_filter.Rule("allow", "com", "/"),
+    url_filter.Rule("block", "example.com", "/en/"),
+    url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"),
+    url_filter.Rule("block", "net", "/fr/"),
+]
 
 
 def tokenizer_path(name: str) -> str:
@@ -26,6 +35,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
 
@@ -41,11 +54,30 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                         F.sha2(F.encode(names, "UTF-8"), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    frequent, weights, _ = pseudo_likelihood.fit(docs)
+    return pseudo_likelihood.score(docs, frequent, weights)
+
+
+def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_store.read(spark, warc_store.write(table(spark, sf_dir, "pages")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op3_sentencepiece, op4_simhash_near_dedup,
-                            op5_benchmark_decontamination, op9_quality_rules)}
+    f.__name__: f for f in (op1_language_id, op2_url_filters, op3_sentencepiece, op4_simhash_near_dedup,
+                            op5_benchmark_decontamination, op6_lm_scoring, op7_kd_sharding, op8_warc,
+                            op9_quality_rules, op10_token_counts)}
 SQL: dict[str, str] = {}
