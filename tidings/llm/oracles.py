@@ -36,7 +36,7 @@ spans AS (
   FROM (SELECT rid, size, w, unnest(range(1, len(w) - size + 2)) AS i
         FROM docs CROSS JOIN (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)),
 found AS (SELECT s.rid, s.i, s.size, x.item FROM spans s JOIN windows x ON s.key = x.key AND s.size = x.size),
-hits AS (SELECT rid, count(DISTINCT at) AS n FROM (SELECT rid, unnest(range(i, i + size)) AS at FROM found) GROUP BY rid),
+hits AS (SELECT rid, count(DISTINCT place) AS n FROM (SELECT rid, unnest(range(i, i + size)) AS place FROM found) GROUP BY rid),
 names AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM found) GROUP BY rid)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(m.n, 0) AS n_items, sha256(coalesce(m.items, '')) AS items_sha256,
        coalesce(h.n, 0) > 0 AND {min_share} * coalesce(h.n, 0) >= len(d.w) AS contaminated
@@ -48,10 +48,10 @@ def warc() -> str:
     return """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 s AS (SELECT page_id, body, sha1(body) AS hex, max(page_id) OVER (PARTITION BY body) AS keeper FROM p),
-n AS (SELECT *, list_transform(range(0, 8), i -> CAST('0x' || substr(hex, 5 * i + 1, 5) AS BIGINT)) AS v FROM s)
+n AS (SELECT *, [CAST('0x' || substr(hex, 5 * i + 1, 5) AS BIGINT) FOR i IN range(0, 8)] AS v FROM s)
 SELECT page_id, octet_length(encode(body)) AS payload_bytes,
-       array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-         CAST(((v[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31) + 1 AS INTEGER), 1)), '') AS payload_digest,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST(((v[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31) + 1 AS INTEGER), 1) FOR i IN range(0, 32)], '') AS payload_digest,
        CASE WHEN keeper IS NULL OR page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN keeper IS NULL OR page_id = keeper THEN NULL ELSE keeper END AS refers_to
 FROM n"""

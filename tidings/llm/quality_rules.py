@@ -1,8 +1,12 @@
 """Quality rules: hashed n-gram log-likelihood ratio plus repetition and length rules.
 
-Method.  Two multinomials over hashed byte n-grams are fitted: the *raw corpus*
-from every n-gram of every document, the *trusted target* from the documents
-labelled good.  A document's score is the mean over its n-grams of
+Method.  Two multinomials over hashed n-grams are fitted: the *raw corpus* from
+every n-gram of every document, the *trusted target* from the documents labelled
+good.  The n-grams are of characters by kind (lower-case, upper-case, digit,
+blank; punctuation as it is), so a language that is rare among the trusted
+documents is not taken for bad text.  The target is smoothed towards the raw
+corpus (``PRIOR`` of its own mass), so what the target merely has not seen costs a
+bounded amount.  A document's score is the mean over its n-grams of
 ``log p_target - log p_raw`` (length-normalised, so long texts do not win by
 length), and a document is kept when the score reaches a fixed threshold: no
 random resampling, the same document always gets the same verdict.
@@ -34,9 +38,10 @@ from pyspark.sql import functions as F
 
 from .common import utf8
 
-NGRAM = 5
-BITS = 18
-MIN_SCORE = -0.05  # mean log-ratio per n-gram below which a document is rejected
+NGRAM = 6
+BITS = 14
+PRIOR = 0.1
+MIN_SCORE = -0.1  # mean log-ratio per n-gram below which a document is rejected
 MAX_TRUSTED = 20_000
 BLOCK = 1 << 20  # bytes of one text hashed at a time
 
@@ -49,8 +54,19 @@ SPACES = b" \t\n\x0b\x0c\r"
 _SYMBOL = re.compile(b"[" + re.escape(SYMBOLS) + b"]")
 
 
+def _kind(b: int) -> int:
+    c = chr(b)
+    if b >= 0x80 or c.islower():
+        return ord("a")
+    return ord("A") if c.isupper() else ord("0") if c.isdigit() else ord(" ") if c in "\t\v\f\r" else b
+
+
+_KINDS = bytes(map(_kind, range(256)))
+
+
 def cells(text: bytes, n: int = NGRAM, bits: int = BITS) -> Iterator[np.ndarray]:
-    """Cell numbers of all byte n-grams of a text, in blocks of bounded size."""
+    """Cell numbers of all n-grams of a text, in blocks of bounded size."""
+    text = text.translate(_KINDS)
     for at in range(0, max(0, len(text) - n + 1), BLOCK):
         a = np.frombuffer(text, np.uint8, min(BLOCK + n - 1, len(text) - at), at).astype(np.uint64)
         m = len(a) - n + 1
@@ -125,8 +141,8 @@ def _counts(n: int, bits: int):
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED, n: int = NGRAM, bits: int = BITS) -> np.ndarray:
-    """Log-ratio of each cell, add-one smoothed.  ``docs``: doc_id, text;
-    ``labels``: doc_id, quality (1: trusted)."""
+    """Log-ratio of each cell.  ``docs``: doc_id, text; ``labels``: doc_id, quality
+    (1: trusted)."""
     trusted = (labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
                .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
                .withColumn("trusted", F.lit(True)))
@@ -139,7 +155,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED, n: i
     good[sums["cell"].to_numpy(np.int64)] = sums["trusted"].to_numpy()
     if good.sum() == 0:
         return np.zeros(1 << bits)
-    return np.log((good + 1) / (good.sum() + len(good))) - np.log((raw + 1) / (raw.sum() + len(raw)))
+    share = raw / raw.sum()
+    seen = raw > 0  # a cell that no text has is never asked for
+    ratio = np.zeros(1 << bits)
+    ratio[seen] = np.log((good[seen] / good.sum() + PRIOR * share[seen]) / ((1 + PRIOR) * share[seen]))
+    return ratio
 
 
 def llr(text: bytes | None, ratio: np.ndarray, n: int = NGRAM) -> float:

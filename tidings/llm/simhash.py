@@ -115,40 +115,44 @@ def choices(bits: list[int], max_bits: int = MAX_BITS) -> list[list[int]]:
     return [a + b for a, b in combinations(_blocks(bits, max_bits + 2), 2)]
 
 
+def masks(levels: int, max_bits: int = MAX_BITS) -> list[list[int]]:
+    """Bits that the key of each choice fixes, level by level: choice c of a level
+    is split into the choices c * k, c * k + 1, ... of the next."""
+    out = [choices(list(range(64)), max_bits)]
+    for _ in range(levels - 1):
+        out.append([fixed + agree for fixed in out[-1] for agree in choices([b for b in range(64) if b not in set(fixed)], max_bits)])
+    return out
+
+
 def links(nodes: DataFrame, max_bits: int = MAX_BITS, max_group: int = MAX_GROUP, levels: int = 3) -> DataFrame:
     """Pairs (a, b) of the nodes' ids whose fingerprints differ by 1 to
     ``max_bits`` bits.  ``nodes``: fp (distinct), id."""
-    top = choices(list(range(64)), max_bits)
+    fixed = masks(levels, max_bits)
+    ways = len(fixed[0])
     found: list[DataFrame] = []
-    # parts still to be keyed: the bits that their keys fix already, and the rows
-    parts = [([], nodes.select("fp", "id", F.lit(None).cast("int").alias("top")))]
+    rows = nodes.select("fp", "id", F.lit(0).alias("choice"))
     for depth in range(levels):
-        fixed_of: list[list[int]] = []
-        keyed: list[DataFrame] = []
-        for fixed, rows in parts:
-            taken = set(fixed)
-            for i, agree in enumerate(choices([b for b in range(64) if b not in taken], max_bits)):
-                keyed.append(rows.select("fp", "id", F.coalesce("top", F.lit(i)).alias("top"), F.lit(len(fixed_of)).alias("choice"),
-                                         F.col("fp").bitwiseAND(F.lit(_mask(fixed + agree))).alias("key")))
-                fixed_of.append(fixed + agree)
-        rows = reduce(DataFrame.unionByName, keyed)
-        hot_choices: list[int] = []
+        of_choice = F.array(*[F.lit(_mask(bits)) for bits in fixed[depth]])
+        rows = (rows.select("fp", "id", (F.col("choice") * ways).alias("base"), F.explode(F.sequence(F.lit(0), F.lit(ways - 1))).alias("way"))
+                .select("fp", "id", (F.col("base") + F.col("way")).alias("choice"))
+                .withColumn("key", F.col("fp").bitwiseAND(F.get(of_choice, F.col("choice")))))
+        some_hot = False
         if depth < levels - 1:
             hot = written(rows.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_group)
                           .select("choice", "key"), f"simhash-hot-{depth}")
-            hot_choices = sorted(r["choice"] for r in hot.select("choice").distinct().collect())
-        found.append(_pairs(rows.join(hot, ["choice", "key"], "left_anti") if hot_choices else rows, top, max_bits))
-        if not hot_choices:
+            some_hot = bool(hot.take(1))
+        per_top = ways ** depth
+        found.append(_pairs(rows.join(hot, ["choice", "key"], "left_anti") if some_hot else rows, fixed[0], per_top, max_bits))
+        if not some_hot:
             break
-        split = rows.join(hot, ["choice", "key"], "left_semi")
-        parts = [(fixed_of[c], split.where(F.col("choice") == c).select("fp", "id", "top")) for c in hot_choices]
+        rows = written(rows.join(hot, ["choice", "key"], "left_semi").select("fp", "id", "choice"), f"simhash-split-{depth}")
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def _pairs(rows: DataFrame, top: list[list[int]], max_bits: int) -> DataFrame:
+def _pairs(rows: DataFrame, top: list[list[int]], per_top: int, max_bits: int) -> DataFrame:
     """Linked pairs within the groups; a pair only under the first top-level
     choice that it agrees on."""
-    rows = rows.withColumn("table", distance_table(F.col("fp")))
+    rows = rows.withColumn("table", distance_table(F.col("fp"))).withColumn("top", F.floor(F.col("choice") / per_top).cast("int"))
     a = rows.select("choice", "key", "top", F.col("fp").alias("fa"), F.col("id").alias("a"), F.col("table").alias("ta"))
     b = rows.select(F.col("choice").alias("c"), F.col("key").alias("k"), F.col("fp").alias("fb"), F.col("id").alias("b"), F.col("table").alias("tb"))
     differ = F.col("fa").bitwiseXOR(F.col("fb"))
