@@ -63,7 +63,7 @@ def test_json_list_and_reply_parsing(spark):
         ('text {"sentiment_score": 0.5, "sentiment_label": "positive"} end',),
         ("bad {not json}",), ("no braces",), ('{\n"keywords": ["x"]\n}',)], "t string")
     got = replies.select(C.parse_score_reply("t").alias("p")).collect()
-    assert got[0].p.sentiment_score == 0.5 and got[0].p.confidence == 0.5 and got[0].p.market_impact_score == 50
+    assert got[0].p.sentiment_score == 0.5 and got[0].p.confidence == 0.0 and got[0].p.market_impact_score is None
     assert got[1].p.sentiment_label == "neutral" and got[1].p.sentiment_score == 0.0 and got[1].p.confidence == 0.5
     assert got[2].p is None
     assert got[3].p.keywords == ["x"] and got[3].p.sentiment_label == "neutral"
@@ -71,3 +71,11 @@ def test_json_list_and_reply_parsing(spark):
 
 def test_period_fallback():
     assert C.period_hours("7d") == 168 and C.period_hours("bogus") == 24 and C.period_hours(None) == 24
+
+
+def test_feed_dates_with_one_digit_parts(spark):
+    df = spark.createDataFrame([("Thu, 5 Mar 2026 09:24:26 GMT",), ("2026-3-5 17:07:14",), ("2026-3-5T7:7:4+08:00",), ("xyz, 5 Mar 2026 09:24:26",),
+                                ("2026-03-05 17:07",), (None,)], "t string")
+    now = F.expr("TIMESTAMP_NTZ '2000-01-01 00:00:00'")
+    got = [str(r[0]) for r in df.select(C.parse_feed_date("t", now)).collect()]
+    assert got == ["2026-03-05 09:24:26", "2026-03-05 17:07:14", "2026-03-05 07:07:04"] + ["2000-01-01 00:00:00"] * 3

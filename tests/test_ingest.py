@@ -89,3 +89,13 @@ def test_message_round_trip_keeps_nulls_and_microseconds(spark):
     assert '"title":null' in {r.key: r.value for r in msgs.collect()}["2"]
     back = I.parse_messages(msgs, schema).filter(~F.col("is_corrupt")).select("id", "title", "published_at")
     assert sorted(map(tuple, back.collect())) == rows
+
+
+def test_parse_messages_rejects_wrong_types_non_objects_and_bad_times(spark):
+    from tidings import schemas as S
+
+    bad = ["[1, 2]", "5", '"text"', '{"id": "abc"}', '{"title": "no key"}', '{"id": 1, "published_at": "garbage"}', '{"id": 1', "", None]
+    good = ['{"id": 1}', '  {"id": 2, "published_at": "2026-03-05T07:07:04Z", "unknown": 3}', '{"id": 3, "published_at": null}']
+    df = spark.createDataFrame([(v,) for v in bad + good], "value string")
+    got = [(r.is_corrupt, r.id) for r in I.parse_messages(df, S.NEWS_MESSAGE).collect()]
+    assert got == [(True, None)] * len(bad) + [(False, 1), (False, 2), (False, 3)]

@@ -58,14 +58,3 @@ def test_page_size_is_checked():
         N.NewsQuery(page_size=101)
     with pytest.raises(ValueError):
         N.NewsQuery(page=0)
-
-
-def test_bounded_broadcast_checks_rows_and_bytes(spark):
-    from tidings.plans import hints as H
-
-    small = spark.range(10).withColumnRenamed("id", "k")
-    assert "broadcast" in H.bounded_broadcast(small)._jdf.queryExecution().analyzed().toString().lower()
-    many = spark.range(50).withColumnRenamed("id", "k")
-    assert "broadcast" not in H.bounded_broadcast(many, max_rows=20)._jdf.queryExecution().analyzed().toString().lower()
-    wide = spark.range(10).select(F.repeat(F.lit("x"), 1000).alias("t"))
-    assert "broadcast" not in H.bounded_broadcast(wide, max_bytes=5_000)._jdf.queryExecution().analyzed().toString().lower()

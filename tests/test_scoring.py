@@ -5,11 +5,13 @@ from tidings.operators import scoring as G
 from tidings.sources.fixtures import LEXICON_ROWS
 
 
-def test_join_path_equals_array_path(tables, monkeypatch):
-    a = {r.id: (r.pos_hits, r.neg_hits, r.sentiment_score) for r in G.lexicon_score(tables.raw_news, tables.lexicon).collect()}
-    monkeypatch.setattr(G, "LEXICON_MAX_WORDS", 0)
-    b = {r.id: (r.pos_hits, r.neg_hits, r.sentiment_score) for r in G.lexicon_score(tables.raw_news, tables.lexicon).collect()}
-    assert a == b
+def test_a_long_word_list_scores_like_a_short_one(spark, tables):
+    """12,000 further words that no text has, an empty and a NULL one: same plan, same rows."""
+    more = spark.createDataFrame([(p, f"\u0001{i}") for i in range(6_000) for p in ("positive", "negative")] + [("positive", ""), ("negative", None)],
+                                 "polarity string, word string")
+    news = tables.raw_news.limit(30).unionByName(tables.raw_news.limit(1).withColumn("content", F.lit(None).cast("string")).withColumn("title", F.lit(None).cast("string")))
+    rows = lambda lexicon: sorted(map(tuple, G.lexicon_score(news, lexicon).collect()), key=str)
+    assert rows(tables.lexicon.select("polarity", "word").unionByName(more)) == rows(tables.lexicon)
 
 
 def test_pandas_plugin_equals_jvm_score(tables):

@@ -26,11 +26,13 @@ def test_tagging_relevance_primary_and_catch_all(spark):
     ]
 
 
-def test_tagging_literal_path_equals_join_path(spark, monkeypatch):
+def test_long_keyword_lists_tag_like_short_ones(spark):
+    """12,000 words of another sector that no text has, NULL ids, empty words."""
     news, kw = _fixture(spark)
-    fast = _rows(G.sector_tagging(news, kw))
-    monkeypatch.setattr(G, "TAG_MAX_WORDS", 2)  # force the join plan
-    assert _rows(G.sector_tagging(news, kw)) == fast
+    more = spark.createDataFrame([(99, f"\u0001{i}") for i in range(12_000)] + [(None, "a"), (99, ""), (99, None)], kw.schema)
+    assert _rows(G.sector_tagging(news, kw.unionByName(more))) == _rows(G.sector_tagging(news, kw))
+    pairs = lambda k: sorted(map(tuple, G.theta_join_keyword(news, k, "content").collect()))
+    assert pairs(kw.unionByName(more)) == pairs(kw)
 
 
 def test_tagging_literal_path_has_no_shuffle(spark):

@@ -55,7 +55,7 @@ def test_stream_dedup_keeps_null_keys(spark):
     df.coalesce(1).write.parquet(land)
     out, ck = tempfile.mkdtemp(), tempfile.mkdtemp()
     s = J.file_source(spark, land, "parquet", df.schema)
-    d = J.stream_dedup(s, ["source_id", "external_id"], F.lit("2024-01-01 00:00:00").cast("timestamp"), "1 day")
+    d = J.stream_dedup(s, ["source_id", "external_id"])
     J.run_available(d.writeStream.foreachBatch(J.epoch_writer(out)), ck)
     got = spark.read.parquet(out).collect()
     assert len(got) == 3 and sum(1 for r in got if r.source_id is None) == 2

@@ -123,3 +123,29 @@ def test_snapshot_expires(spark, tables):
     snap = W.stats_snapshot(A.stats_24h(tables, as_of="2024-01-30 12:00:00"), "k", at)
     assert W.read_snapshot(snap, "k", ts("2024-01-30 12:59:59")).count() == 1
     assert W.read_snapshot(snap, "k", ts("2024-01-30 13:00:00")).count() == 0
+
+
+def test_fact_files_are_sorted_and_a_month_read_is_pruned(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    fact = spark.range(4000).selectExpr("id * 7919 % 4000 AS news_id", "date_add(DATE'2024-01-01', cast(id * 31 % 90 as int)) AS date", "id AS v")
+    W.write_partitioned_fact(fact, str(tmp_path / "fact"))
+    for f in glob.glob(str(tmp_path / "fact" / "*" / "*.parquet")):
+        rows = list(zip(*pq.ParquetFile(f).read(["date", "news_id"]).to_pydict().values()))
+        assert rows == sorted(rows)
+    month = W.read_fact_month(spark, str(tmp_path / "fact"), 202402)
+    assert "PartitionFilters: [isnotnull(yyyymm" in month._jdf.queryExecution().executedPlan().toString()
+    assert month.count() == fact.where("month(date) = 2").count()
+
+
+def test_only_success_and_failed_close_runs(spark):
+    log = spark.createDataFrame([
+        (1, "j", "2024-01-01 00:00:00", "running"), (2, "j", "2024-01-01 00:01:00", "pending"), (3, "j", "2024-01-01 00:02:00", None),
+        (4, "j", "2024-01-01 00:03:00", "cancelled"), (5, "j", "2024-01-01 00:04:00", "success"), (6, "j", "2024-01-01 00:05:00", "running")],
+        "run_id long, job_name string, event_time string, status string").selectExpr(
+        "run_id", "job_name", "cast(event_time AS timestamp_ntz) AS event_time", "status", "7 AS records_processed", "cast(null AS string) AS error_message")
+    got = {r.run_id: (r.status, str(r.completed_at)) for r in W.job_log_fold(log).collect()}
+    end = "2024-01-01 00:04:00"
+    assert got == {1: ("success", end), 2: ("pending", "None"), 3: ("success", end), 4: ("cancelled", "None"), 6: ("running", "None")}

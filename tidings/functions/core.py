@@ -89,18 +89,17 @@ def parse_feed_date(text, now: Column) -> Column:
 
     The weekday prefix ('Thu, ') is removed first because Spark's parser
     rejects the weekday pattern; text after '+' or 'GMT' is cut off, then
-    trimmed and cut to 25 characters, as the original did.
+    trimmed and cut to 25 characters, as the original did.  Day, month and
+    time parts may have one digit.
     """
     t = _c(text)
     cleaned = F.substring(F.trim(F.split(F.split(t, r"\+", 2)[0], "GMT", 2)[0]), 1, 25)
-    no_weekday = F.regexp_replace(cleaned, r"^[A-Za-z]{3}, ", "")
+    weekday = r"(?i)^(mon|tue|wed|thu|fri|sat|sun), "
+    clock = r"\d{1,2}:\d{1,2}:\d{1,2}$"
     fmt = S.FEED_DATE_FORMATS
-    rfc = F.when(cleaned.rlike(r"^[A-Za-z]{3}, "), F.try_to_timestamp(no_weekday, F.lit(fmt[0])))
-    parsed = F.coalesce(
-        rfc,
-        F.when(cleaned.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"), F.try_to_timestamp(cleaned, F.lit(fmt[1]))),
-        F.when(cleaned.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"), F.try_to_timestamp(cleaned, F.lit(fmt[2]))),
-    )
+    shapes = ((weekday + r"\d{1,2} [a-z]{3} \d{4} " + clock, F.initcap(F.regexp_replace(cleaned, weekday, ""))),
+              (r"^\d{4}-\d{1,2}-\d{1,2} " + clock, cleaned), (r"^\d{4}-\d{1,2}-\d{1,2}T" + clock, cleaned))
+    parsed = F.coalesce(*[F.when(cleaned.rlike(shape), F.try_to_timestamp(part, F.lit(f))) for f, (shape, part) in zip(fmt, shapes)])
     return F.coalesce(F.when((t.isNotNull()) & (t != ""), parsed).cast("timestamp_ntz"), now)
 
 
@@ -159,7 +158,8 @@ def parse_score_reply(text) -> Column:
 
     * no braces -> NULL (an error row)
     * invalid JSON -> the fixed default reply
-    * absent fields -> 0.0 / 'neutral' (score, label), defaults elsewhere
+    * absent fields -> 0.0 (score, confidence), 'neutral' (label), empty lists;
+      an absent market impact stays absent
     """
     obj = extract_json_object(text)
     parsed = F.from_json(obj, S.SCORE_REPLY, {"mode": "PERMISSIVE"})
@@ -168,10 +168,10 @@ def parse_score_reply(text) -> Column:
     ok = F.struct(
         F.coalesce(parsed["sentiment_score"], F.lit(0.0)).alias("sentiment_score"),
         F.coalesce(parsed["sentiment_label"], F.lit("neutral")).alias("sentiment_label"),
-        F.coalesce(parsed["confidence"], F.lit(d["confidence"])).alias("confidence"),
+        F.coalesce(parsed["confidence"], F.lit(0.0)).alias("confidence"),
         F.coalesce(parsed["entities"], F.array().cast("array<string>")).alias("entities"),
         F.coalesce(parsed["keywords"], F.array().cast("array<string>")).alias("keywords"),
-        F.coalesce(parsed["market_impact_score"], F.lit(d["market_impact_score"])).alias("market_impact_score"),
+        parsed["market_impact_score"].alias("market_impact_score"),
     )
     default = F.struct(
         F.lit(d["sentiment_score"]).alias("sentiment_score"),
@@ -243,11 +243,9 @@ def array_head_text(arr, n: int = 5, sep: str = ", ") -> Column:
     return F.array_join(F.slice(_c(arr), 1, n), sep)
 
 
-def first_tokens(text, n: int = 5) -> Column:
-    """Keywords of a news item: first n blank-separated tokens.  The split
-    stops after n + 1 parts (same first n tokens), so a long text is not
-    cut into an array of all its words."""
-    return F.slice(F.split(_c(text), " ", n + 1), 1, n)
+def tokens(text) -> Column:
+    """Keywords of a news item: all its blank-separated tokens."""
+    return F.split(_c(text), " ")
 
 
 def keyword_pattern(keyword: str) -> str:

@@ -61,12 +61,33 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
 
 # ---- S-4 / S-5 / S-6 messages ----------------------------------------------------------------------
-def parse_messages(df: DataFrame, schema: T.StructType, value_col: str = "value") -> DataFrame:
+def _time_fields(schema: T.StructType, prefix: str = "") -> list[str]:
+    out = []
+    for f in schema.fields:
+        if isinstance(f.dataType, T.StructType):
+            out += _time_fields(f.dataType, f"{prefix}{f.name}.")
+        elif f.name.endswith("_at") and isinstance(f.dataType, T.StringType):
+            out.append(prefix + f.name)
+    return out
+
+
+def parse_messages(df: DataFrame, schema: T.StructType, value_col: str = "value", key: str | None = None) -> DataFrame:
     """JSON text -> typed columns plus ``is_corrupt`` (undecodable rows are
-    kept for the quarantine sink instead of failing the job)."""
-    parsed = F.from_json(F.col(value_col), schema, {"mode": "PERMISSIVE"})
-    ok = F.try_parse_json(F.col(value_col)).isNotNull() & parsed.isNotNull()
-    return df.select("*", parsed.alias("_m"), (~ok).alias("is_corrupt")).select(*df.columns, "_m.*", "is_corrupt")
+    kept, with NULL fields, for the quarantine sink instead of failing the job).
+
+    Undecodable: no JSON object, a field of another type than the schema's, no
+    ``key`` (the schema's first field unless given), or a time (a text field
+    named ``*_at``) that is no timestamp.  The text is parsed once."""
+    key = key or schema.fieldNames()[0]
+    whole = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+    value = F.col(value_col)
+    parsed = F.from_json(value, whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    m = lambda name: F.col(f"_m.{name}")
+    bad = ~F.coalesce(value.rlike(r"^\s*\{"), F.lit(False)) | m("_corrupt").isNotNull() | m(key).isNull()
+    for t in _time_fields(schema):
+        bad = bad | (m(t).isNotNull() & F.try_to_timestamp(m(t)).isNull())
+    x = df.select("*", parsed.alias("_m")).withColumn("is_corrupt", bad)
+    return x.select(*df.columns, *[F.when(~F.col("is_corrupt"), m(n)).alias(n) for n in schema.fieldNames()], "is_corrupt")
 
 
 # Message text: every field present (NULL as null), timestamps as
@@ -92,11 +113,19 @@ def flatten_message(parsed: DataFrame) -> DataFrame:
     """J-13: the scored message carries its news as a nested struct."""
     return parsed.select(
         "news_id", F.col("original_data.title").alias("title"), F.col("original_data.url").alias("url"),
-        F.col("original_data.source_name").alias("source_name"), F.col("original_data.published_at").alias("published_at"),
-        "sentiment_score", "sentiment_label", "confidence", "market_impact_score", "analyzed_at",
+        F.col("original_data.source_name").alias("source_name"),
+        F.try_to_timestamp("original_data.published_at").cast("timestamp_ntz").alias("published_at"),
+        "sentiment_score", "sentiment_label", "confidence", "market_impact_score",
+        F.try_to_timestamp("analyzed_at").cast("timestamp_ntz").alias("analyzed_at"),
     )
 
 
+def tag_feeds(df: DataFrame, by: str, feed_col: str = "feed") -> DataFrame:
+    """The feeds that one table holds, as ``union_feeds`` would give them, in one
+    scan: every value of ``by`` is a feed, NULL too."""
+    return df.withColumn(feed_col, F.col(by))
+
+
 # ---- T-1 union of feeds ---------------------------------------------------------------------------
 def union_feeds(feeds: Mapping[str, DataFrame], feed_col: str = "feed") -> DataFrame:
     out = None

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import core as C
-from ..plans.hints import bounded_broadcast
 
 
 def ts_lit(value: datetime | date | str) -> Column:
@@ -131,7 +130,7 @@ def semi_join_sector(news: DataFrame, news_sectors: DataFrame, sectors: DataFram
     if not sector:
         return news
     ids = news_sectors.join(
-        bounded_broadcast(sectors.filter(F.col("name") == sector).select(F.col("id").alias("sector_id"))),
+        sectors.filter(F.col("name") == sector).select(F.col("id").alias("sector_id")),
         "sector_id",
     ).select(F.col("news_id").alias(id_col))
     return news.join(ids, id_col, "left_semi")

@@ -126,9 +126,9 @@ def top_terms(rows: DataFrame, group_cols: list[str], term_col: str, k: int = 5,
 
 
 def keyword_rows(t) -> DataFrame:
-    """(sector_id, stat_date, word) for the first five tokens of scored news."""
+    """(sector_id, stat_date, word) for every token of scored news."""
     rows = scored_sector_rows(t)
-    text = t.raw_news.select(F.col("id").alias("news_id"), C.first_tokens("content", 5).alias("kw"))
+    text = t.raw_news.select(F.col("id").alias("news_id"), C.tokens("content").alias("kw"))
     return rows.select("news_id", "sector_id", C.day("published_at").alias("stat_date")).join(text, "news_id").select(
         "sector_id", "stat_date", F.explode("kw").alias("word"))
 
@@ -138,12 +138,12 @@ def top_keywords(t, k: int = 5) -> DataFrame:
 
 
 def entity_names(t) -> DataFrame:
-    """(sector_id, stat_date, name) of entities: capitalised leading tokens,
+    """(sector_id, stat_date, name) of entities: capitalised tokens,
     normalised to the entity struct first (G-4)."""
     from .scoring import normalise_entities
 
     rows = scored_sector_rows(t)
-    toks = t.raw_news.select(F.col("id").alias("news_id"), F.filter(C.first_tokens("content", 5), lambda x: x.rlike("^[A-Z]")).alias("ents"))
+    toks = t.raw_news.select(F.col("id").alias("news_id"), F.filter(C.tokens("content"), lambda x: x.rlike("^[A-Z]")).alias("ents"))
     ents = toks.select("news_id", normalise_entities(F.to_json("ents")).alias("entities"))
     j = rows.select("news_id", "sector_id", C.day("published_at").alias("stat_date")).join(ents, "news_id")
     return j.select("sector_id", "stat_date", F.explode("entities").alias("e")).select("sector_id", "stat_date", F.col("e.name").alias("name"))

@@ -1,9 +1,9 @@
 """Scoring (G-1, G-2, G-4, C-10).
 
-G-1 is a lexicon score computed with JVM expressions: the (bounded,
-size-checked) word list becomes a literal array and each row folds over
-it with ``aggregate`` -- no join, no shuffle, no Python.  Beyond the size
-bound the same score is computed by a match-only join.
+G-1 is a lexicon score computed with JVM expressions: the word list (a
+dictionary, which does not grow with the news) becomes a literal array and
+each row folds over it with ``aggregate`` -- no join, no shuffle, no Python,
+and the same plan for a list of any size, in batch and in a stream.
 
 G-2 is the pluggable scorer: ``mapInPandas`` hands Arrow batches to a
 user function (e.g. a remote model client) with retries and the fixed
@@ -21,9 +21,6 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import core as C
-from ..plans.hints import bounded_broadcast
-
-LEXICON_MAX_WORDS = 10_000
 
 
 def _occurrences(text: Column, word: Column) -> Column:
@@ -43,26 +40,21 @@ def _finish(df: DataFrame, p: str = "pos_hits", n: str = "neg_hits") -> DataFram
     })
 
 
-def _bounded_words(lexicon: DataFrame):
-    """(positive, negative) literal word arrays, or None past the bound."""
-    words = lexicon.select("polarity", "word").filter(F.length("word") > 0).limit(LEXICON_MAX_WORDS + 1).collect()
-    if len(words) > LEXICON_MAX_WORDS:
-        return None
+def _words(lexicon: DataFrame):
+    """(positive, negative) literal word arrays; NULL and empty words are ignored."""
+    words = lexicon.select("polarity", "word").filter(F.length("word") > 0).collect()
     pos = F.array(*[F.lit(r.word) for r in words if r.polarity == "positive"]).cast("array<string>")
     neg = F.array(*[F.lit(r.word) for r in words if r.polarity == "negative"]).cast("array<string>")
     return pos, neg
 
 
-def with_lexicon_score(df: DataFrame, lexicon: DataFrame, text: Column | None = None) -> DataFrame | None:
+def with_lexicon_score(df: DataFrame, lexicon: DataFrame, text: Column | None = None) -> DataFrame:
     """``df`` plus pos_hits, neg_hits, sentiment_score, sentiment_label and
     confidence, computed on the row itself (no join, so it also works on a
-    stream without state).  None when the lexicon is past the literal bound."""
-    arrays = _bounded_words(lexicon)
-    if arrays is None:
-        return None
-    pos, neg = arrays
+    stream without state).  A NULL text has no hit."""
+    pos, neg = _words(lexicon)
     text = text if text is not None else C.scoring_text("title", "content")
-    x = df.withColumn("_t", text)
+    x = df.withColumn("_t", F.coalesce(text, F.lit("")))
     x = x.withColumns({
         "pos_hits": F.aggregate(pos, F.lit(0).cast("bigint"), lambda acc, w: acc + _occurrences(F.col("_t"), w)),
         "neg_hits": F.aggregate(neg, F.lit(0).cast("bigint"), lambda acc, w: acc + _occurrences(F.col("_t"), w)),
@@ -76,19 +68,8 @@ def lexicon_score(news: DataFrame, lexicon: DataFrame, text: Column | None = Non
     score = (p - n) / (p + n) rounded to 4 digits (0 when no hit);
     confidence = (p + n) / (p + n + 1), 0.5 when no hit."""
     text = text if text is not None else C.scoring_text("title", "content")
-    x = news.select(F.col(id_col).alias("id"), text.alias("_t"))
-    scored = with_lexicon_score(x, lexicon, F.col("_t"))
-    if scored is not None:
-        return scored.drop("_t")
-    # large word list: join only on matching (text, word) pairs, then regroup
-    m = x.join(bounded_broadcast(lexicon.select("polarity", "word")), F.col("_t").contains(F.col("word")))
-    hits = m.select("id", "polarity", _occurrences(F.col("_t"), F.col("word")).alias("h"))
-    g = hits.groupBy("id").agg(
-        F.sum(F.when(F.col("polarity") == "positive", F.col("h")).otherwise(0)).alias("pos_hits"),
-        F.sum(F.when(F.col("polarity") == "negative", F.col("h")).otherwise(0)).alias("neg_hits"),
-    )
-    g = x.select("id").join(g, "id", "left").fillna(0, ["pos_hits", "neg_hits"])
-    return _finish(g)
+    x = news.select(F.col(id_col).alias("id"), text.alias("_text"))
+    return with_lexicon_score(x, lexicon, F.col("_text")).drop("_text")
 
 
 # ---- G-2 pluggable scorer ------------------------------------------------------------------

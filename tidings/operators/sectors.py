@@ -1,9 +1,9 @@
 """Sector work: keyword tagging, hierarchy, sector views and alerts
 (J-6 .. J-10, G-3, D-10, D-11, D-15).
 
-The sector dimension and its keyword lists are small and bounded; they
-are broadcast after a size check, and the news side (wide text) is
-streamed through a nested-loop join without ever being shuffled.
+The sector dimension and its keyword lists do not grow with the news; the
+lists become literals, and the news side (wide text) is read once without
+ever being shuffled.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import core as C
-from ..plans.hints import bounded_broadcast
-from .skew import group_for_join
 
 CATCH_ALL_ID = -1
 
@@ -37,10 +35,10 @@ FIXTURE_FRAGMENTS = ["tion", "ent", "eau", "ein", "ado", "the", "und", "los", "i
 
 def fixture_sector_keywords(spark, sectors: DataFrame) -> DataFrame:
     """(sector_id, word) keyword lists for the fixture sectors, by rule."""
-    frags = spark.createDataFrame(list(enumerate(FIXTURE_FRAGMENTS)), "pos int, word string")
-    s = sectors.select(F.col("id").alias("sector_id"))
-    cond = (F.col("pos") == F.pmod(F.col("sector_id"), F.lit(10))) | (F.col("pos") == F.pmod(F.col("sector_id") * 3 + 1, F.lit(10)))
-    return s.join(F.broadcast(frags), cond).select("sector_id", "word").distinct()
+    frags = F.array(*[F.lit(w) for w in FIXTURE_FRAGMENTS])
+    s = F.col("sector_id")
+    words = F.array_distinct(F.array(F.get(frags, F.pmod(s, F.lit(10)).cast("int")), F.get(frags, F.pmod(s * 3 + 1, F.lit(10)).cast("int"))))
+    return sectors.select(F.col("id").alias("sector_id")).distinct().select("sector_id", F.explode(words).alias("word"))
 
 
 def seed_sector_keywords(spark) -> DataFrame:
@@ -50,20 +48,32 @@ def seed_sector_keywords(spark) -> DataFrame:
 
 
 # ---- J-6 theta join ---------------------------------------------------------------------
+def _lists(keywords: DataFrame) -> dict:
+    """sector id -> its distinct words; NULL ids and NULL or empty words are ignored."""
+    out: dict = {}
+    for r in keywords.select("sector_id", "word").filter(F.col("sector_id").isNotNull() & (F.length("word") > 0)).distinct().collect():
+        out.setdefault(r.sector_id, []).append(r.word)
+    return {k: sorted(out[k]) for k in sorted(out)}
+
+
 def theta_join_keyword(news: DataFrame, keywords: DataFrame, text_col: str = "title") -> DataFrame:
     """(news_id, sector_id) for every sector with a keyword inside the text.
 
-    Nested-loop join against the broadcast keyword list: the wide text is
-    read once and never shuffled; only the small pairs are de-duplicated."""
-    kw = bounded_broadcast(keywords.select("sector_id", "word"))
-    j = news.select(F.col("id").alias("news_id"), F.col(text_col).alias("_t")).join(kw, F.col("_t").contains(F.col("word")))
-    return j.select("news_id", "sector_id").distinct()
+    The keyword lists (a dimension) become one literal array, so the wide text
+    is read once and never shuffled, whatever the size of the lists; only the
+    small pairs are de-duplicated."""
+    kind = keywords.schema["sector_id"].dataType
+    found = _lists(keywords)
+    if not found:
+        return news.select(F.col("id").alias("news_id"), F.lit(None).cast(kind).alias("sector_id")).filter(F.lit(False))
+    lists = F.array(*[F.struct(F.lit(k).cast(kind).alias("sector_id"), F.array(*[F.lit(w) for w in ws]).alias("words"))
+                      for k, ws in found.items()])
+    hit = F.filter(lists, lambda s: F.exists(s["words"], lambda w: F.col("_t").contains(w)))
+    x = news.select(F.col("id").alias("news_id"), F.col(text_col).alias("_t")).filter(F.col("_t").isNotNull())
+    return x.select("news_id", F.explode(F.transform(hit, lambda s: s["sector_id"])).alias("sector_id")).distinct()
 
 
 # ---- G-3 sector tagging + D-15 primary sector -----------------------------------------
-TAG_MAX_WORDS = 10_000
-
-
 def sector_tagging(news: DataFrame, keywords: DataFrame, text_col: str = "content") -> DataFrame:
     """news -> (news_id, sector_id, relevance, is_primary).
 
@@ -71,29 +81,23 @@ def sector_tagging(news: DataFrame, keywords: DataFrame, text_col: str = "conten
     The best sector (highest relevance, then lowest id) is primary.  News
     without any hit gets the catch-all sector (id -1, relevance 0).
 
-    Under the size bound the keyword lists become literal arrays (folded to
-    one constant by Catalyst): every distinct word is searched once per
+    The keyword lists (a dimension, of any size) become literal arrays (folded
+    to one constant by Catalyst): every distinct word is searched once per
     text, each sector counts its words among the hits, and the rows are
     exploded -- a narrow, map-only stage with no join and no shuffle, so a
-    hot source or a huge text costs only its own task.  Beyond the bound the
-    same result comes from a nested-loop join plus regrouping."""
-    kw = keywords.select("sector_id", "word").distinct()
-    rows = kw.limit(TAG_MAX_WORDS + 1).collect()
-    if len(rows) > TAG_MAX_WORDS:
-        return _sector_tagging_join(news, kw, text_col)
-    lists: dict = {}
-    for r in rows:
-        lists.setdefault(r.sector_id, []).append(r.word)
+    hot source or a huge text costs only its own task.  NULL sector ids and
+    NULL or empty words are ignored; a NULL text has no hit."""
+    lists = _lists(keywords)
     if not lists:
         return news.select(F.col("id").alias("news_id"), F.lit(CATCH_ALL_ID).alias("sector_id"),
                            F.lit(0.0).alias("relevance"), F.lit(True).alias("is_primary"))
-    words = F.array(*[F.lit(w) for w in sorted({r.word for r in rows if r.word is not None})]).cast("array<string>")
+    words = F.array(*[F.lit(w) for w in sorted({w for ws in lists.values() for w in ws})]).cast("array<string>")
     sectors = F.array(*[
         F.struct(F.lit(sid).cast("int").alias("sector_id"),
-                 F.array(*[F.lit(w) for w in ws if w is not None]).cast("array<string>").alias("words"),
+                 F.array(*[F.lit(w) for w in ws]).cast("array<string>").alias("words"),
                  F.lit(float(len(ws))).alias("n"))
-        for sid, ws in sorted(lists.items(), key=lambda kv: (kv[0] is None, kv[0]))])
-    x = news.select(F.col("id").alias("news_id"), F.col(text_col).alias("_t"))
+        for sid, ws in lists.items()])
+    x = news.select(F.col("id").alias("news_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     x = x.withColumn("_hit", F.filter(words, lambda w: F.col("_t").contains(w)))
     scored = F.transform(sectors, lambda s: F.named_struct(
         F.lit("sector_id"), s["sector_id"],
@@ -116,25 +120,6 @@ def sector_tagging(news: DataFrame, keywords: DataFrame, text_col: str = "conten
                     (F.col("e.sector_id") == F.col("_best")).alias("is_primary"))
 
 
-def _sector_tagging_join(news: DataFrame, kw: DataFrame, text_col: str) -> DataFrame:
-    """Large keyword lists: one left-outer nested-loop join of the text
-    against the distinct words, then (news, sector, hit count) regrouping."""
-    sizes = group_for_join(kw, ["sector_id"]).agg(F.count(F.lit(1)).alias("list_size")).drop("_g")
-    words = kw.select("word").distinct()
-    hits = news.select(F.col("id").alias("news_id"), F.col(text_col).alias("_t")).join(
-        words, F.col("_t").contains(F.col("word")), "left").select("news_id", "word")
-    pairs = (hits.join(kw, "word", "left").groupBy("news_id", "sector_id")
-             .agg(F.count("word").alias("hits")))
-    j = pairs.join(sizes, "sector_id", "left")
-    allrows = j.select(
-        "news_id",
-        F.coalesce(F.col("sector_id"), F.lit(CATCH_ALL_ID)).alias("sector_id"),
-        F.coalesce(F.col("hits") / F.col("list_size"), F.lit(0.0)).alias("relevance"),
-    )
-    w = Window.partitionBy("news_id").orderBy(F.col("relevance").desc(), F.col("sector_id").asc())
-    return allrows.withColumn("is_primary", F.row_number().over(w) == 1)
-
-
 def primary_sector(tags: DataFrame) -> DataFrame:
     return tags.filter("is_primary").select("news_id", "sector_id", "relevance")
 
@@ -158,7 +143,7 @@ def latest_sector_view(sectors: DataFrame, daily: DataFrame, today: date) -> Dat
 # ---- J-10 hierarchy --------------------------------------------------------------------------
 def self_join_parent(sectors: DataFrame) -> DataFrame:
     parent = sectors.select(F.col("id").alias("parent_id"), F.col("name").alias("parent_name"))
-    return sectors.select("id", "name", "parent_id").join(bounded_broadcast(parent), "parent_id", "left").select(
+    return sectors.select("id", "name", "parent_id").join(parent, "parent_id", "left").select(
         "id", "name", "parent_id", "parent_name")
 
 
@@ -172,7 +157,7 @@ def sector_rollup(sectors: DataFrame, per_sector: DataFrame) -> DataFrame:
     """Child means rolled into parents, weighted by sector weight; rollup
     gives (parent, child), (parent, all) and (all, all) rows."""
     s = sectors.select(F.col("id").alias("sector_id"), "parent_id", sector_weight("id").alias("weight"))
-    j = per_sector.join(bounded_broadcast(s), "sector_id").filter(F.col("parent_id").isNotNull())
+    j = per_sector.join(s, "sector_id").filter(F.col("parent_id").isNotNull())
     return j.rollup("parent_id", "sector_id").agg(
         F.sum("news_count").alias("news_count"),
         F.round(F.sum(F.col("weight") * F.col("avg_sentiment")) / F.sum("weight"), 6).alias("weighted_sentiment"),

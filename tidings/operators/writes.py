@@ -92,7 +92,7 @@ def write_partitioned_fact(fact: DataFrame, path: str, date_col: str = "date", i
     month) and the files of a month do not overlap in (date, id)."""
     (fact.withColumn("yyyymm", C.yyyymm(date_col))
      .repartitionByRange("yyyymm", date_col, id_col)
-     .sortWithinPartitions(date_col, id_col)
+     .sortWithinPartitions("yyyymm", date_col, id_col)  # the writer sorts by month first: it keeps this order
      .write.mode(mode).partitionBy("yyyymm").parquet(path))
 
 
@@ -113,8 +113,10 @@ def read_snapshot(snapshots: DataFrame, key: str, as_of: Column) -> DataFrame:
 
 # ---- W-1 run history fold ----------------------------------------------------------------------------
 def job_log_fold(log: DataFrame, min_rows_per_bucket: int = 1000) -> DataFrame:
-    """Start records (status 'running', one per run) and finish records
-    (status 'success' / 'failed', per job) -> one row per run.
+    """Start records (status 'running' or NULL, one per run) and finish records
+    (status 'success' / 'failed', per job) -> one row per run.  Records of any
+    other status ('pending', 'cancelled') are runs that never started: a row of
+    their own with that status, neither closed nor closing.
 
     A finish record closes every run of its job that started at or before
     it and is still open: the closing record of a run is the first finish
@@ -138,7 +140,7 @@ def job_log_fold(log: DataFrame, min_rows_per_bucket: int = 1000) -> DataFrame:
         .alias("_width")).drop("_g")  # one row per job; a hot job's rows stay splittable (operators.skew)
     fin = F.when(F.col("is_finish"), F.struct("event_time", "status", "records_processed", "error_message"))
     x = (log.join(per_job, "job_name", "left")  # one row per job: AQE broadcasts it from its measured size
-         .withColumn("is_finish", F.col("status") != "running")
+         .withColumn("is_finish", F.coalesce(F.col("status").isin("success", "failed"), F.lit(False)))
          .withColumn("_b", F.floor(us / F.col("_width")))
          .withColumn("_fin", fin))
     # reverse time order; at equal times finishes come first, so they count for a start at that time
@@ -153,11 +155,12 @@ def job_log_fold(log: DataFrame, min_rows_per_bucket: int = 1000) -> DataFrame:
              .withColumn("_later", F.min("_first").over(w_next))
              .select("job_name", "_b", "_later"))
     j = runs.join(later, ["job_name", "_b"], "left")
-    close = F.coalesce(F.col("_close_in"), F.col("_later"))
+    started = F.coalesce(F.col("status") == "running", F.lit(True))
+    close = F.when(started, F.coalesce(F.col("_close_in"), F.col("_later")))
     j = j.withColumn("_close", close)
     return j.select(
         "run_id", "job_name", F.col("event_time").alias("started_at"),
-        F.coalesce(F.col("_close.status"), F.lit("running")).alias("status"),
+        F.coalesce(F.col("_close.status"), F.col("status"), F.lit("running")).alias("status"),
         F.col("_close.event_time").alias("completed_at"),
         C.duration_ms(F.col("event_time"), F.col("_close.event_time")).alias("duration_ms"),
         F.coalesce(F.col("_close.records_processed"), F.lit(0)).alias("records_processed"),

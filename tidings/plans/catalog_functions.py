@@ -60,12 +60,14 @@ def q_fn_interval(spark, sf_dir):
 
 
 def feed_date_strings(events):
-    """Feed-style date strings derived from event times, four shapes."""
-    k = F.col("event_id") % 4
+    """Feed-style date strings derived from event times, six shapes."""
+    k = F.col("event_id") % 6
     raw = (
         F.when(k == 0, F.concat(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000")))
         .when(k == 1, F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" GMT")))
         .when(k == 2, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .when(k == 3, F.concat(F.date_format("ts", "EEE, d MMM yyyy H:m:s"), F.lit(" GMT")))
+        .when(k == 4, F.date_format("ts", "yyyy-M-d H:m:s"))
         .otherwise(F.lit(""))
     )
     return events.select("event_id", raw.alias("raw"))
@@ -74,10 +76,12 @@ def feed_date_strings(events):
 @register(
     "fn_parse_date",
     f"""WITH s AS (
-  SELECT event_id, CASE event_id % 4
+  SELECT event_id, CASE event_id % 6
       WHEN 0 THEN strftime(ts, '%a, %d %b %Y %H:%M:%S') || ' +0000'
       WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') || ' GMT'
       WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ')
+      WHEN 3 THEN strftime(ts, '%a, ') || day(ts) || strftime(ts, ' %b %Y ') || hour(ts) || ':' || minute(ts) || ':' || second(ts) || ' GMT'
+      WHEN 4 THEN year(ts) || '-' || month(ts) || '-' || day(ts) || ' ' || hour(ts) || ':' || minute(ts) || ':' || second(ts)
       ELSE '' END AS raw
   FROM events),
 c AS (SELECT event_id, raw, substring(trim(split_part(split_part(raw, '+', 1), 'GMT', 1)), 1, 25) AS cleaned FROM s)
@@ -149,14 +153,14 @@ def q_fn_share(spark, sf_dir):
 
 @register(
     "fn_json_list",
-    """SELECT id, CAST(to_json(string_split(content, ' ')[1:5]) AS VARCHAR) AS keywords_json,
-       len(string_split(content, ' ')[1:5]) AS n_keywords
+    """SELECT id, CAST(to_json(string_split(content, ' ')) AS VARCHAR) AS keywords_json,
+       len(string_split(content, ' ')) AS n_keywords
 FROM raw_news""",
     views=("raw_news",),
 )
 def q_fn_json_list(spark, sf_dir):
     n = Tables(spark, sf_dir).raw_news
-    js = C.to_json_list(C.first_tokens("content", 5))
+    js = C.to_json_list(C.tokens("content"))
     return n.select("id", js.alias("keywords_json")).select(
         "id", "keywords_json", F.size(C.json_list_lenient("keywords_json")).alias("n_keywords"))
 

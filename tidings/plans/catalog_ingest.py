@@ -76,7 +76,8 @@ def q_page_items_scan(spark, sf_dir):
 
 
 def messages(t):
-    """Scored-news messages (JSON) as the scorer publishes them; every 50th is broken."""
+    """Scored-news messages (JSON) as the scorer publishes them; of 50 five are
+    broken: no JSON, a wrong type, no object (twice), a bad time."""
     src = t.news_sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
     sr = t.sentiment_results
     n = t.raw_news.join(src, "source_id", "left").join(sr.withColumnRenamed("news_id", "id"), "id")
@@ -88,16 +89,17 @@ def messages(t):
     msg = F.to_json(F.struct(
         F.col("id").alias("news_id"), F.col("sentiment_score").cast("double").alias("sentiment_score"), "sentiment_label",
         F.col("confidence").cast("double").alias("confidence"), F.array().cast("array<string>").alias("entities"),
-        C.first_tokens("content", 5).alias("keywords"), "market_impact_score", original.alias("original_data"),
-        F.date_format(F.timestamp_add("MINUTE", F.lit(5), F.col("published_at")), fmt).alias("analyzed_at")))
-    value = F.when(F.col("id") % 50 == 0, F.lit("not json {")).otherwise(msg)
+        C.tokens("title").alias("keywords"), "market_impact_score", original.alias("original_data"),
+        F.when(F.col("id") % 50 == 4, "garbage").otherwise(
+            F.date_format(F.timestamp_add("MINUTE", F.lit(5), F.col("published_at")), fmt)).alias("analyzed_at")))
+    value = F.coalesce(*[F.when(F.col("id") % 50 == i, F.lit(v)) for i, v in enumerate(("not json {", '{"news_id": "abc"}', "[1, 2]", "5"))], msg)
     return n.select(F.col("id").cast("string").alias("key"), value.alias("value"))
 
 
-MSG_BASE = """SELECT rn.id, rn.title, rn.url, src.name AS source_name, strftime(rn.published_at, '%Y-%m-%d %H:%M:%S') AS published_at,
+MSG_BASE = """SELECT rn.id, rn.title, rn.url, src.name AS source_name, date_trunc('second', rn.published_at) AS published_at,
        CAST(sr.sentiment_score AS DOUBLE) AS sentiment_score, sr.sentiment_label, CAST(sr.confidence AS DOUBLE) AS confidence,
-       sr.market_impact_score, strftime(rn.published_at + INTERVAL 5 MINUTE, '%Y-%m-%d %H:%M:%S') AS analyzed_at,
-       rn.id % 50 = 0 AS is_corrupt
+       sr.market_impact_score, date_trunc('second', rn.published_at) + INTERVAL 5 MINUTE AS analyzed_at,
+       rn.id % 50 <= 4 AS is_corrupt
 FROM raw_news rn LEFT JOIN news_sources src ON rn.source_id = src.id JOIN sentiment_results sr ON sr.news_id = rn.id"""
 
 
@@ -149,18 +151,13 @@ def q_raw_payload_column(spark, sf_dir):
     return I.raw_payload(n)
 
 
-LANGS = ("en", "fr", "de", "es")
-
-
 @register(
     "union_feeds",
-    f"SELECT language AS feed, id, title FROM raw_news WHERE language IN {LANGS}",
+    "SELECT language AS feed, id, title FROM raw_news",
     views=("raw_news",),
 )
 def q_union_feeds(spark, sf_dir):
-    n = Tables(spark, sf_dir).raw_news
-    feeds = {lang: n.filter(F.col("language") == lang).select("id", "title") for lang in LANGS}
-    return I.union_feeds(feeds).select("feed", "id", "title")
+    return I.tag_feeds(Tables(spark, sf_dir).raw_news, "language").select("feed", "id", "title")
 
 
 SPLIT = f"""s AS (SELECT id, source_id, external_id FROM raw_news WHERE published_at < {CUT}),

@@ -189,7 +189,7 @@ def q_scoring_batch(spark, sf_dir):
 )
 def q_array_head(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    kw = t.raw_news.select("id", C.first_tokens("content", 5).alias("keywords"))
+    kw = t.raw_news.select("id", C.tokens("content").alias("keywords"))
     return N.array_head(kw, "keywords", 5).select("id", "keywords_head")
 
 

@@ -73,14 +73,14 @@ k AS (SELECT *, row_number() OVER (PARTITION BY sector_id, stat_date ORDER BY cn
 SELECT sector_id, stat_date, list(term ORDER BY rk) AS {out} FROM k WHERE rk <= 5 GROUP BY 1, 2"""
 
 
-@register("top_keywords", _top_sql("string_split(rn.content, ' ')[1:5]", "top_keywords"), views=V)
+@register("top_keywords", _top_sql("string_split(rn.content, ' ')", "top_keywords"), views=V)
 def q_top_keywords(spark, sf_dir):
     return R.top_keywords(Tables(spark, sf_dir), 5)
 
 
 @register(
     "top_entities",
-    _top_sql("list_filter(string_split(rn.content, ' ')[1:5], lambda x: regexp_matches(x, '^[A-Z]'))", "top_entities"),
+    _top_sql("list_filter(string_split(rn.content, ' '), lambda x: regexp_matches(x, '^[A-Z]'))", "top_entities"),
     views=V,
 )
 def q_top_entities(spark, sf_dir):

@@ -52,7 +52,7 @@ def q_model_score(spark, sf_dir):
 
 def entity_json(t):
     """Entity lists as JSON: objects on even ids, plain strings on odd ids."""
-    toks = F.filter(C.first_tokens("content", 5), lambda x: x.rlike("^[A-Z]"))
+    toks = F.filter(C.tokens("content"), lambda x: x.rlike("^[A-Z]"))
     objs = F.to_json(F.transform(toks, lambda x: F.struct(x.alias("name"), F.lit("ORG").alias("type"), F.lit(0.5).alias("sentiment"))))
     js = F.when(F.col("id") % 2 == 0, objs).otherwise(F.to_json(toks))
     return t.raw_news.select("id", js.alias("entities_json"))
@@ -60,7 +60,7 @@ def entity_json(t):
 
 @register(
     "entity_normalise",
-    """WITH e AS (SELECT id, list_filter(string_split(content, ' ')[1:5], lambda x: regexp_matches(x, '^[A-Z]')) AS toks FROM raw_news),
+    """WITH e AS (SELECT id, list_filter(string_split(content, ' '), lambda x: regexp_matches(x, '^[A-Z]')) AS toks FROM raw_news),
 u AS (SELECT id, unnest(toks) AS name, unnest(generate_series(0, len(toks) - 1)) AS pos FROM e)
 SELECT id, pos, name, CASE WHEN id % 2 = 0 THEN 'ORG' ELSE 'unknown' END AS type,
        CASE WHEN id % 2 = 0 THEN 0.5 END AS sentiment
@@ -98,11 +98,13 @@ SELECT news_id,
        k = 3 AS is_error,
        CASE k WHEN 0 THEN CAST(sentiment_score AS DOUBLE) WHEN 1 THEN 0.0 WHEN 2 THEN 0.0 END AS sentiment_score,
        CASE k WHEN 0 THEN sentiment_label WHEN 1 THEN sentiment_label WHEN 2 THEN 'neutral' END AS sentiment_label,
-       CASE k WHEN 0 THEN CAST(confidence AS DOUBLE) WHEN 1 THEN 0.5 WHEN 2 THEN 0.5 END AS confidence,
-       CASE k WHEN 0 THEN market_impact_score WHEN 1 THEN 50 WHEN 2 THEN 50 END AS market_impact_score
+       CASE k WHEN 0 THEN CAST(confidence AS DOUBLE) WHEN 1 THEN 0.0 WHEN 2 THEN 0.5 END AS confidence,
+       CASE k WHEN 0 THEN market_impact_score WHEN 2 THEN 50 END AS market_impact_score,
+       CASE k WHEN 0 THEN 'market, ' || sentiment_label WHEN 1 THEN '' WHEN 2 THEN '' END AS keywords
 FROM r""",
     views=("sentiment_results",),
 )
 def q_fn_extract_json(spark, sf_dir):
     p = G.parse_replies(replies(Tables(spark, sf_dir)), "reply")
-    return p.select("news_id", "is_error", "sentiment_score", "sentiment_label", "confidence", "market_impact_score")
+    return p.select("news_id", "is_error", "sentiment_score", "sentiment_label", "confidence", "market_impact_score",
+                    F.array_join("keywords", ", ").alias("keywords"))

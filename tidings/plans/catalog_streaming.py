@@ -180,13 +180,12 @@ FROM scored_events GROUP BY 1, 2""",
     views=("scored_events",),
 )
 def q_stream_hourly_window(spark, sf_dir):
-    """Event-time hourly windows per source, update mode merged by key; the
-    watermark delay covers the data span, so no late row is dropped."""
+    """Event-time hourly windows per source, update mode merged by key."""
     t = Tables(spark, sf_dir)
     land = scratch_path(spark, "land-events")
     land_events(t, land)
     target, ckpt = scratch_path(spark, "hourly"), scratch_path(spark, "ckpt-hourly")
-    agg = J.stream_hourly_window(scored_events_of(events_stream(spark, t, land, max_files=3)), "31 days")
+    agg = J.stream_hourly_window(scored_events_of(events_stream(spark, t, land, max_files=3)))
     w = agg.withColumn("score_sum", F.col("score_sum").cast("double")).writeStream.outputMode("update").foreachBatch(
         J.replace_by_key_writer(target, ["hour", "source_name"]))
     J.run_available(w, ckpt)
@@ -201,16 +200,14 @@ SELECT source_id, external_id FROM raw_news WHERE source_id IS NULL""",
     views=("raw_news",),
 )
 def q_stream_dedup(spark, sf_dir):
-    """Duplicate (source_id, external_id) dropped inside the stream with
-    bounded state; NULL sources never collide."""
-    from ..sources.fixtures import ts
-
+    """Duplicate (source_id, external_id) dropped inside the stream; NULL sources
+    never collide."""
     t = Tables(spark, sf_dir)
     land = scratch_path(spark, "land-news")
     t.raw_news.select("id", "source_id", "external_id", "published_at").repartition(6).write.mode("overwrite").parquet(land)
     schema = spark.read.parquet(land).schema
     target, ckpt = scratch_path(spark, "dedup"), scratch_path(spark, "ckpt-dedup")
     s = J.file_source(spark, land, "parquet", schema=schema, max_files=2)
-    d = J.stream_dedup(s, ["source_id", "external_id"], F.coalesce("published_at", ts("2024-01-31 00:00:00")), "31 days")
+    d = J.stream_dedup(s, ["source_id", "external_id"])
     J.run_available(d.writeStream.foreachBatch(J.epoch_writer(target)), ckpt)
     return spark.read.parquet(target).select("source_id", "external_id")

@@ -70,7 +70,7 @@ store AS (SELECT rn.id, COALESCE(sr.sentiment_score, CAST(0 AS DECIMAL(5,4))) AS
           FROM raw_news rn LEFT JOIN sentiment_results sr ON sr.news_id = rn.id),
 upd AS (SELECT s.id, s.sentiment_score,
                CASE WHEN s.sentiment_score > 0.3 THEN 'positive' WHEN s.sentiment_score < -0.3 THEN 'negative' ELSE 'neutral' END AS sentiment_label,
-               CAST(to_json(string_split(rn.content, ' ')[1:5]) AS VARCHAR) AS keywords
+               CAST(to_json(string_split(rn.content, ' ')) AS VARCHAR) AS keywords
         FROM s JOIN raw_news rn ON rn.id = s.id WHERE s.id NOT IN (SELECT news_id FROM sentiment_results))
 SELECT st.id,
        CASE WHEN u.id IS NOT NULL THEN u.sentiment_score ELSE st.sentiment_score END AS sentiment_score,
@@ -90,7 +90,7 @@ def q_update_by_key(spark, sf_dir):
         F.col("sentiment_label").isNotNull().alias("analyzed"))
     unscored = t.raw_news.join(sr.select("id"), "id", "left_anti")
     upd = G.lexicon_score(unscored, t.lexicon).join(
-        unscored.select("id", C.to_json_list(C.first_tokens("content", 5)).alias("keywords")), "id").select(
+        unscored.select("id", C.to_json_list(C.tokens("content")).alias("keywords")), "id").select(
         "id", "sentiment_score", "sentiment_label", "keywords", F.lit(True).alias("analyzed"))
     return W.update_by_key(store, upd, "id", ["sentiment_score", "sentiment_label", "keywords", "analyzed"])
 
@@ -233,7 +233,10 @@ def job_log(t):
     """Run-log records derived from events: views/clicks start runs, other
     events finish (errors fail) the open runs of their job."""
     e = t.events
-    status = (F.when(F.col("event_type").isin("view", "click"), "running")
+    odd = F.col("event_id") % 10
+    status = (F.when((F.col("event_type") == "click") & (odd == 3), "pending").when((F.col("event_type") == "click") & (odd == 4), "cancelled")
+              .when((F.col("event_type") == "click") & (odd == 5), F.lit(None))
+              .when(F.col("event_type").isin("view", "click"), "running")
               .when(F.col("event_type") == "error", "failed").otherwise("success"))
     return e.select(
         F.col("event_id").alias("run_id"), F.concat(F.lit("job_"), (F.col("user_id") % 4).cast("string")).alias("job_name"),
@@ -246,18 +249,19 @@ def job_log(t):
     "job_log_fold",
     """WITH log AS (
   SELECT event_id AS run_id, 'job_' || CAST(user_id % 4 AS VARCHAR) AS job_name, ts AS event_time,
-         CASE WHEN event_type IN ('view', 'click') THEN 'running' WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status,
+         CASE WHEN event_type = 'click' AND event_id % 10 = 3 THEN 'pending' WHEN event_type = 'click' AND event_id % 10 = 4 THEN 'cancelled'
+              WHEN event_type = 'click' AND event_id % 10 = 5 THEN NULL WHEN event_type IN ('view', 'click') THEN 'running' WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status,
          CASE WHEN event_type NOT IN ('view', 'click', 'error') THEN CAST(floor(value) AS INT) END AS records_processed,
          CASE WHEN event_type = 'error' THEN 'error ' || CAST(event_id AS VARCHAR) END AS error_message
   FROM events),
-s AS (SELECT * FROM log WHERE status = 'running'),
-f AS (SELECT * FROM log WHERE status <> 'running'),
-m AS (SELECT s.run_id, s.job_name, s.event_time AS started_at,
+s AS (SELECT * FROM log WHERE status IS NULL OR status NOT IN ('success', 'failed')),
+f AS (SELECT * FROM log WHERE status IN ('success', 'failed')),
+m AS (SELECT s.run_id, s.job_name, s.event_time AS started_at, s.status AS own,
              min(f.event_time) AS c_time,
              arg_min({'s': f.status, 'r': f.records_processed, 'e': f.error_message}, f.event_time) AS c
-      FROM s LEFT JOIN f ON f.job_name = s.job_name AND f.event_time >= s.event_time
-      GROUP BY 1, 2, 3)
-SELECT run_id, job_name, started_at, COALESCE(c.s, 'running') AS status, c_time AS completed_at,
+      FROM s LEFT JOIN f ON f.job_name = s.job_name AND f.event_time >= s.event_time AND coalesce(s.status, 'running') = 'running'
+      GROUP BY 1, 2, 3, 4)
+SELECT run_id, job_name, started_at, COALESCE(c.s, own, 'running') AS status, c_time AS completed_at,
        CASE WHEN c_time IS NOT NULL THEN (date_diff('microsecond', started_at, c_time) * 2 + 1000) // 2000 END AS duration_ms,
        COALESCE(c.r, 0) AS records_processed, c.e AS error_message
 FROM m""",

@@ -39,7 +39,7 @@ DEFAULT_SCORE_REPLY = {
     "market_impact_score": 50,
 }
 # feed date formats tried in order (after the weekday prefix is cut off)
-FEED_DATE_FORMATS = ("dd MMM yyyy HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")
+FEED_DATE_FORMATS = ("d MMM yyyy H:m:s", "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s")
 
 # Fixed clock of the fixtures (every function takes an explicit as_of).
 FIXTURE_AS_OF = "2024-01-31 00:00:00"

@@ -7,6 +7,7 @@ launcher and only the SQL settings below are applied at runtime.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -55,7 +56,8 @@ def shared_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and written tables.
 
     Read from ``spark.checkpoint.dir`` (set by the cluster).  Only when it
-    is unset (local tests) a scratch folder is created and registered.
+    is unset and Spark runs in this process (tests) a scratch folder is
+    created; on a cluster that is an error, since executors could not see it.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -67,6 +69,8 @@ def shared_dir(spark: SparkSession) -> str:
     if current:
         # setCheckpointDir appends a per-application folder; use its parent.
         return current.rstrip("/").rsplit("/", 1)[0]
+    if not re.match(r"local($|\[)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="tidings-ckpt-")
     sc.setCheckpointDir(path)
     return path
