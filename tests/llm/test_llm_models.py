@@ -50,6 +50,7 @@ def test_relational_fold_equals_the_loop(spark, piece_path, library):
     units = sorted(u for u in units if u)
     got = {r["unit"]: list(r["ids"]) for r in sentencepiece_lattice.encode_units(spark.createDataFrame([(u,) for u in units], "unit string"), pieces).collect()}
     assert got == {u: sentencepiece_lattice.fold_unit(u, pieces) for u in units}
+    assert all(sentencepiece_lattice._merged_long(u, pieces.ranks) == sentencepiece_lattice._merged(u, pieces.ranks) for u in units)
 
 
 def test_decoding(spark, piece_path, library):

@@ -88,12 +88,26 @@ def units(text: str | None) -> list[str]:
     return _UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
-def fold_unit(unit: str, pieces: Pieces) -> list[int]:
-    """Ids of one unit: best-scored adjacent pair first, leftmost first."""
+def _merged(unit: str, ranks: dict[str, float]) -> list[str]:
+    """Pieces of a unit of few characters."""
+    parts, get = list(unit), ranks.get
+    pairs = [get(a + b, math.inf) for a, b in zip(parts, parts[1:])]
+    while pairs and (best := min(pairs)) < math.inf:
+        i = pairs.index(best)
+        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + parts[i], math.inf)
+        if i < len(pairs):
+            pairs[i] = get(parts[i] + parts[i + 1], math.inf)
+    return parts
+
+
+def _merged_long(unit: str, ranks: dict[str, float]) -> list[str]:
+    """The same for a unit of any length, with a queue of the pairs."""
     parts: list[str | None] = list(unit)
     after = list(range(1, len(parts) + 1))
     before = list(range(-1, len(parts) - 1))
-    ranks = pieces.ranks
     queue: list[tuple[float, int, str]] = []
 
     def offer(i: int) -> None:
@@ -113,11 +127,15 @@ def fold_unit(unit: str, pieces: Pieces) -> list[int]:
         offer(i)
         if before[i] >= 0:
             offer(before[i])
+    return [p for p in parts if p is not None]
+
+
+def fold_unit(unit: str, pieces: Pieces) -> list[int]:
+    """Ids of one unit: best-scored adjacent pair first, leftmost first."""
     out: list[int] = []
-    for p in parts:
-        if p is not None:
-            known = pieces.ids.get(p)
-            out += [known] if known is not None else [pieces.first_byte + b for b in p.encode()]
+    for p in (_merged if len(unit) <= LONGEST else _merged_long)(unit, pieces.ranks):
+        known = pieces.ids.get(p)
+        out += [known] if known is not None else [pieces.first_byte + b for b in p.encode()]
     return out
 
 
@@ -240,7 +258,7 @@ def encode(docs: DataFrame, path: str, max_units: int = MAX_UNITS) -> DataFrame:
                 found, same = [], []
                 for text in batch.column("text").to_pylist():
                     found.append(encoder.encode(text))
-                    back = decode_ids(np.frombuffer(found[-1], np.int32).tolist(), table.texts)
+                    back = decode_ids(memoryview(found[-1]).cast("i"), table.texts)
                     same.append(None if text is None else back == text.replace(SPACE, " "))
                 sizes = np.array([len(f) // 4 for f in found], np.int64)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
