@@ -220,10 +220,10 @@ def quality_filter(news: DataFrame, min_chars: int = 50, key: str = "external_id
     # a group of copies can hold a large share of the rows: the join-back gets
     # its own shuffle, so AQE can split that partition (operators.skew)
     firsts = group_for_join(news.filter(F.col(key).isNotNull()), [key]).agg(F.min(seq_col).alias("_first")).drop("_g")
-    j = news.select(seq_col, key, "content", "n_chars").join(firsts, key, "left")
-    reason = (F.when(F.col("content").isNull() | (F.trim("content") == ""), "empty")
-              .when(F.col("n_chars") < min_chars, "too_short")
-              .when(F.col("_first").isNotNull() & (F.col(seq_col) != F.col("_first")), "duplicate"))
+    # what the row alone tells is worked out before the join: no text is shuffled
+    own = F.when(F.col("content").isNull() | (F.trim("content") == ""), "empty").when(F.col("n_chars") < min_chars, "too_short")
+    j = news.select(seq_col, key, own.alias("_own")).join(firsts, key, "left")
+    reason = F.coalesce("_own", F.when(F.col("_first").isNotNull() & (F.col(seq_col) != F.col("_first")), "duplicate"))
     return j.select(seq_col, reason.isNotNull().alias("is_filtered"), reason.alias("filter_reason"))
 
 

@@ -219,9 +219,10 @@ def latest_news(df: DataFrame, n: int = S.DASHBOARD_LATEST) -> DataFrame:
 
 
 def scoring_batch(news: DataFrame, sentiment: DataFrame, n: int = 10) -> DataFrame:
-    """Newest n rows not scored yet: the next batch for the scorer."""
-    cand = filter_unscored(news.select("id", "title", "content", "published_at"), sentiment)
-    return latest_news(cand, n)
+    """Newest n rows not scored yet: the next batch for the scorer.  The n ids
+    are found on (id, time) only, then their texts are fetched."""
+    ids = latest_news(filter_unscored(news.select("id", "published_at"), sentiment), n).select("id")
+    return latest_news(news.select("id", "title", "content", "published_at").join(ids, "id", "left_semi"), n)
 
 
 def array_head(df: DataFrame, arr_col: str = "keywords", n: int = 5) -> DataFrame:

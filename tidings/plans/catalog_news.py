@@ -165,8 +165,9 @@ SELECT * FROM store ORDER BY published_at DESC NULLS LAST, id LIMIT 20""",
 )
 def q_latest_news(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    store = t.raw_news.select("id", "title", "url", "source_id", "published_at").join(
-        t.news_sources.select(F.col("id").alias("source_id"), F.col("name").alias("source")), "source_id", "left")
+    # the left join keeps every row: the 20 rows are taken first
+    top = N.latest_news(t.raw_news.select("id", "title", "url", "source_id", "published_at"), 20)
+    store = top.join(t.news_sources.select(F.col("id").alias("source_id"), F.col("name").alias("source")), "source_id", "left")
     return N.latest_news(store.select("id", "title", "url", "source", "published_at"), 20)
 
 
