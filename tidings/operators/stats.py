@@ -112,13 +112,19 @@ def join_sector_chain(t, period="24h", as_of=S.FIXTURE_AS_OF) -> DataFrame:
     """sectors LEFT JOIN bridge LEFT JOIN (news in period) LEFT JOIN sentiment.
 
     The time predicate belongs to the ON clause: the news side is filtered
-    *before* the outer join so sectors without news stay in the result."""
+    *before* the outer join so sectors without news stay in the result.
+
+    The linked rows are inner-joined to the sectors and the sectors without a
+    link are added: AQE can split a hot sector's rows of an inner join, which
+    it cannot do on the null-supplying side of an outer one."""
     news = N.filter_period(t.raw_news.select("id", "published_at"), period, as_of)
     scored = _scored(news, t.sentiment_results).select(F.col("id").alias("news_id"), F.col("id").alias("rn_id"), "sentiment_score")
     bridge = t.news_sectors.select("news_id", "sector_id")
     sectors = t.market_sectors.select(F.col("id").alias("sector_id"), F.col("name").alias("sector_name"))
     linked = bridge.join(scored, "news_id", "left")
-    return sectors.join(linked, "sector_id", "left")
+    alone = sectors.join(bridge.select("sector_id").distinct(), "sector_id", "left_anti")
+    return linked.join(sectors, "sector_id").select("sector_id", "sector_name", "news_id", "rn_id", "sentiment_score").unionByName(
+        alone, allowMissingColumns=True)
 
 
 def _mean_of(sum_col: str, count_col: str):
