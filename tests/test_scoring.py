@@ -48,3 +48,18 @@ def test_occurrences_in_multibyte_text(spark):
 def test_lexicon_score_is_map_only(tables):
     plan = G.lexicon_score(tables.raw_news, tables.lexicon)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_one_failing_text_defaults_only_itself(spark):
+    news = spark.range(50).selectExpr("id", "concat('text ', id) AS title", "'' AS content").repartition(1)
+
+    def scorer(texts: pd.Series) -> pd.DataFrame:
+        if texts.str.contains("text 7 ").any():
+            raise RuntimeError("this text")
+        return pd.DataFrame({"sentiment_score": [0.5] * len(texts), "sentiment_label": ["positive"] * len(texts),
+                             "confidence": [None] * len(texts), "market_impact_score": [None] * len(texts)})
+
+    got = {r.id: r for r in G.model_score(news, scorer, attempts=2, backoff=0.0).collect()}
+    assert len(got) == 50 and [i for i, r in got.items() if not r.scored_ok] == [7]
+    assert got[7].confidence == 0.5 and got[7].market_impact_score == 50
+    assert got[8].confidence == 0.0 and got[8].market_impact_score is None and got[8].sentiment_score == 0.5

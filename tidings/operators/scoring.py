@@ -82,41 +82,48 @@ def model_score(news: DataFrame, scorer: Callable[[pd.Series], pd.DataFrame], te
     sentiment_score, sentiment_label, confidence, market_impact_score).
 
     A batch is retried ``attempts`` times with growing waits; if it still
-    fails every row gets the fixed default reply and ``scored_ok = false``.
-    Output schema is fixed, so the plan is stable.  The function must be
-    deterministic (a retried task re-scores the same rows)."""
+    fails its rows are scored one by one, and only a row that fails alone gets
+    the fixed default reply and ``scored_ok = false``.  A reply of another
+    length, or without one of the fields, is a failure; an absent value follows
+    C-10 (0.0, 'neutral', market impact stays NULL).  Output schema is fixed, so
+    the plan is stable.  The function must be deterministic (a retried task
+    re-scores the same rows)."""
     text = text if text is not None else C.scoring_text("title", "content")
     x = news.select(F.col(id_col).alias("id"), text.alias("text"))
     d = S.DEFAULT_SCORE_REPLY
 
+    def attempt(texts: pd.Series, tries: int) -> pd.DataFrame | None:
+        for i in range(tries):
+            try:
+                out = scorer(texts)
+                if len(out) != len(texts):
+                    raise ValueError(f"{len(out)} replies for {len(texts)} texts")
+                return pd.DataFrame({
+                    "sentiment_score": pd.to_numeric(out["sentiment_score"]).astype("float64").fillna(0.0).values,
+                    "sentiment_label": out["sentiment_label"].astype(object).where(out["sentiment_label"].notna(), "neutral").values,
+                    "confidence": pd.to_numeric(out["confidence"]).astype("float64").fillna(0.0).values,
+                    "market_impact_score": pd.to_numeric(out["market_impact_score"]).astype("Int32").values,
+                    "scored_ok": True,
+                })
+            except Exception:  # noqa: BLE001 - any scorer failure falls back
+                if i + 1 < tries:
+                    time.sleep(min(10.0, backoff * (i + 1)))
+        return None
+
+    def default() -> pd.DataFrame:
+        names = ("sentiment_score", "sentiment_label", "confidence", "market_impact_score")
+        return pd.DataFrame({**{n: [d[n]] for n in names}, "scored_ok": [False]}).astype({"market_impact_score": "Int32"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = None
-            for i in range(attempts):
-                try:
-                    out = scorer(pdf["text"])
-                    break
-                except Exception:  # noqa: BLE001 - any scorer failure falls back
-                    if i + 1 < attempts:
-                        time.sleep(min(10.0, backoff * (i + 1)))
+            if pdf.empty:
+                continue
+            out = attempt(pdf["text"], attempts)
             if out is None:
-                out = pd.DataFrame({
-                    "sentiment_score": [d["sentiment_score"]] * len(pdf),
-                    "sentiment_label": [d["sentiment_label"]] * len(pdf),
-                    "confidence": [d["confidence"]] * len(pdf),
-                    "market_impact_score": [d["market_impact_score"]] * len(pdf),
-                })
-                ok = False
-            else:
-                ok = True
-            yield pd.DataFrame({
-                "id": pdf["id"].astype("int64"),
-                "sentiment_score": out["sentiment_score"].astype("float64").values,
-                "sentiment_label": out["sentiment_label"].astype(object).values,
-                "confidence": out["confidence"].astype("float64").values,
-                "market_impact_score": out["market_impact_score"].astype("int32").values,
-                "scored_ok": ok,
-            })
+                rows = [attempt(pdf["text"].iloc[i:i + 1], 1) for i in range(len(pdf))]
+                out = pd.concat([default() if r is None else r for r in rows], ignore_index=True)
+            out.insert(0, "id", pdf["id"].astype("int64").values)
+            yield out
 
     return x.mapInPandas(run, REPLY_SCHEMA)
 
