@@ -19,7 +19,7 @@ def test_stream_daily_stats_equals_batch_across_micro_batches(spark, tables):
     out, ck = tempfile.mkdtemp(), tempfile.mkdtemp()
     q = J.stream_daily_stats(scored_events_of(J.file_source(spark, land, "parquet", tables.events.schema, max_files=1)), out, ck)
     assert len(q.recentProgress) >= 2  # several micro-batches
-    got = {r.stat_date: r for r in J.latest_version(spark, out).select("stat_date", *R.STATE_COLS).collect()}
+    got = {r.stat_date: r for r in J.newest_by_key(J.appended(spark, out), ["stat_date"]).select("stat_date", *R.STATE_COLS).collect()}
     e = tables.scored_events
     want = {r.stat_date: r for r in R.finish_state(R.partial_state(e, [C.day("analyzed_at").alias("stat_date")])).select(
         "stat_date", *R.STATE_COLS).collect()}
@@ -36,17 +36,50 @@ def test_replay_with_same_checkpoint_adds_nothing(spark, tables):
     assert spark.read.parquet(out).count() == n1 == tables.events.count()
 
 
+RESULT = "news_id long, s double, version int, created_at string"
+
+
+def _latest(spark, out):
+    rows = J.latest_results(J.appended(spark, out), "news_id", "version")
+    return {r.news_id: (r.s, r.version, r.created_at) for r in rows.collect()}
+
+
 def test_upsert_stream_is_idempotent_under_redelivery(spark):
     land = tempfile.mkdtemp() + "/in"
-    a = spark.createDataFrame([(1, 0.1, 1, "t1"), (2, 0.2, 1, "t1")], "news_id long, s double, version int, created_at string")
-    b = spark.createDataFrame([(1, 0.9, 2, "t2"), (1, 0.9, 2, "t2"), (2, 0.2, 1, "t1")], "news_id long, s double, version int, created_at string")
-    a.coalesce(1).write.parquet(land + "/p=1")
-    b.coalesce(1).write.parquet(land + "/p=2")
-    out, ck = tempfile.mkdtemp(), tempfile.mkdtemp()
-    s = J.file_source(spark, land, "parquet", a.schema, max_files=1)
-    J.run_available(s.writeStream.foreachBatch(J.upsert_writer(out, "news_id", "version")), ck)
-    got = {r.news_id: (r.s, r.version, r.created_at) for r in J.latest_version(spark, out).collect()}
-    assert got == {1: (0.9, 2, "t1"), 2: (0.2, 1, "t1")}
+    out, ck = tempfile.mkdtemp() + "/t", tempfile.mkdtemp()
+    deliveries = [
+        [(1, 0.1, 1, "t1"), (2, 0.2, 1, "t1"), (3, None, 1, None)],
+        [(1, 0.9, 2, "t2"), (1, 0.9, 2, "t2"), (2, 0.2, 1, "t1")],
+        [(1, 0.1, 1, "t3"), (2, 0.7, 1, "t3")],  # an old version again, and an equal one: the later delivery wins
+    ]
+    for i, rows in enumerate(deliveries):
+        spark.createDataFrame(rows, RESULT).coalesce(1).write.parquet(f"{land}/p={i}")
+        s = J.file_source(spark, land, "parquet", spark.createDataFrame([], RESULT).schema, max_files=1).drop("p")
+        J.stream_upsert_result(s, out, ck)
+    assert _latest(spark, out) == {1: (0.9, 2, "t1"), 2: (0.7, 1, "t1"), 3: (None, 1, None)}
+
+
+def test_epoch_writes_only_its_own_rows(spark):
+    import os
+
+    out = tempfile.mkdtemp() + "/r"
+    w = J.epoch_writer(out)
+    w(spark.createDataFrame([(i, 0.1, 1, "t1") for i in range(40)], RESULT), 0)
+    w(spark.createDataFrame([(7, 0.9, 2, "t2")], RESULT).coalesce(1), 1)
+    assert spark.read.parquet(out + "/epoch=1").count() == 1
+    assert len([f for f in os.listdir(out + "/epoch=1") if f.endswith(".parquet")]) == 1
+    got = _latest(spark, out)
+    assert len(got) == 40 and got[7] == (0.9, 2, "t1") and got[8] == (0.1, 1, "t1")
+    w(spark.createDataFrame([(7, 0.9, 2, "t2")], RESULT).coalesce(1), 1)  # replayed epoch
+    assert _latest(spark, out) == got
+    # a base table made by a batch job stands for the epochs up to 1
+    base = tempfile.mkdtemp() + "/base"
+    J.latest_results(J.appended(spark, out), "news_id", "version").write.parquet(base)
+    w(spark.createDataFrame([(8, 0.5, 3, "t3")], RESULT), 2)
+    rows = J.appended(spark, out, spark.read.parquet(base), after=1)
+    assert rows.count() == 41
+    again = {r.news_id: (r.s, r.version, r.created_at) for r in J.latest_results(rows, "news_id", "version").collect()}
+    assert again == _latest(spark, out) and again[8] == (0.5, 3, "t1")
 
 
 def test_stream_dedup_keeps_null_keys(spark):
@@ -61,38 +94,76 @@ def test_stream_dedup_keeps_null_keys(spark):
     assert len(got) == 3 and sum(1 for r in got if r.source_id is None) == 2
 
 
-def test_ingest_dedupes_across_epochs_through_key_index(spark):
+def test_ingest_dedupes_across_epochs(spark):
     land = tempfile.mkdtemp() + "/in"
     schema = "id long, source_id int, external_id string"
-    spark.createDataFrame([(1, 1, "a"), (2, 1, "a"), (3, 2, "b"), (4, None, "a")], schema).coalesce(1).write.parquet(land + "/p=1")
-    spark.createDataFrame([(5, 1, "a"), (6, 2, "c"), (7, None, "a"), (8, 2, "b")], schema).coalesce(1).write.parquet(land + "/p=2")
-    spark.createDataFrame([(9, 2, "c"), (10, 3, "d")], schema).coalesce(1).write.parquet(land + "/p=3")
+    polls = [
+        [(1, 1, "a"), (2, 1, "a"), (3, 2, "b"), (4, None, "a")],
+        [(5, 1, "a"), (6, 2, "c"), (7, None, "a"), (0, 2, "b")],
+        [(9, 2, "c"), (10, 3, "d")],
+    ]
     out, ck = tempfile.mkdtemp() + "/t", tempfile.mkdtemp()
-    s = J.file_source(spark, land, "parquet", schema, max_files=1).drop("p")
-    J.run_available(s.writeStream.foreachBatch(J.ingest_batch_writer(out, ["source_id", "external_id"], "id", buckets=4)), ck)
-    got = sorted(r.id for r in spark.read.parquet(out).collect())
-    assert got == [1, 3, 4, 6, 7, 10]
-    # replaying the last epoch rewrites the same rows and index entries
-    w = J.ingest_batch_writer(out, ["source_id", "external_id"], "id", buckets=4)
-    w(spark.createDataFrame([(9, 2, "c"), (10, 3, "d")], schema), 2)
-    assert sorted(r.id for r in spark.read.parquet(out).collect()) == got
-    assert spark.read.parquet(out + "_keys").count() == 4  # NULL keys are never indexed
-
-
-def test_upsert_epoch_rewrites_only_touched_buckets(spark):
-    import os
+    for i, rows in enumerate(polls):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{land}/p={i}")
+        s = J.file_source(spark, land, "parquet", spark.createDataFrame([], schema).schema).drop("p")
+        J.run_available(s.writeStream.foreachBatch(J.ingest_batch_writer(out)), ck)
+    stored = lambda: sorted(r.id for r in J.stored_news(J.appended(spark, out)).collect())
+    assert stored() == [1, 3, 4, 6, 7, 10]
+    J.ingest_batch_writer(out)(spark.createDataFrame(polls[2], schema), 2)  # replayed epoch
+    assert stored() == [1, 3, 4, 6, 7, 10]
+    base = tempfile.mkdtemp() + "/base"
+    J.stored_news(J.appended(spark, out).filter("epoch <= 1")).write.parquet(base)
+    rows = J.appended(spark, out, spark.read.parquet(base), after=1)
+    assert sorted(r.id for r in J.stored_news(rows).collect()) == [1, 3, 4, 6, 7, 10]
+
+
+def test_stream_ingest_reads_entries_like_the_collector(spark):
+    import json
 
-    schema = "news_id long, s double, version int, created_at string"
-    out = tempfile.mkdtemp() + "/r"
-    w = J.upsert_writer(out, "news_id", "version", buckets=8)
-    w(spark.createDataFrame([(i, 0.1, 1, "t1") for i in range(40)], schema), 0)
-    w(spark.createDataFrame([(7, 0.9, 2, "t2")], schema), 1)
-    assert len([d for d in os.listdir(out) if os.path.isdir(f"{out}/{d}/v=1")]) == 1
-    got = {r.news_id: (r.s, r.version, r.created_at) for r in J.latest_version(spark, out).collect()}
-    assert len(got) == 40 and got[7] == (0.9, 2, "t1") and got[8] == (0.1, 1, "t1")
-    w(spark.createDataFrame([(7, 0.9, 2, "t2")], schema), 1)  # replayed epoch
-    again = {r.news_id: (r.s, r.version, r.created_at) for r in J.latest_version(spark, out).collect()}
-    assert again == got
+    land = tempfile.mkdtemp() + "/in"
+    entry = {"id": 1, "source_id": 1, "guid": "g", "title": "t", "link": "l", "description": "d", "content": "c", "author": "a"}
+    lines = [entry, {**entry, "id": 2}, {**entry, "id": 3, "guid": "", "content": None, "author": None}, {**entry, "id": 4, "guid": None},
+             {**entry, "id": "x"}, {**entry, "id": 6, "published_at": "garbage"}]
+    spark.createDataFrame([(f"k\t{json.dumps(x)}",) for x in lines], "value string").write.text(land)
+    from tidings.plans.catalog_streaming import news_stream
+
+    out, ck = tempfile.mkdtemp() + "/t", tempfile.mkdtemp()
+    J.stream_ingest(news_stream(spark, land), out, ck)
+    got = {r.id: (r.external_id, r.content, r.summary, r.author) for r in J.stored_news(J.appended(spark, out)).collect()}
+    assert got == {1: ("g", "c", "d", "a"), 3: ("l", "d", "d", "")}
+
+
+def test_hourly_window_keeps_late_rows(spark):
+    out = tempfile.mkdtemp() + "/t"
+    schema = "analyzed_at timestamp_ntz, source_name string, sentiment_score decimal(5,4), sentiment_label string"
+    from datetime import datetime
+    from decimal import Decimal
+
+    w = J.epoch_writer(out)
+    row = lambda t, s: (datetime.fromisoformat(t), "a", Decimal(s), "neutral")
+    for n, rows in enumerate([[row("2024-01-01 05:10:00", "0.1")], [row("2024-03-01 05:10:00", "0.2")],
+                              [row("2024-01-01 05:50:00", "0.2")]]):  # 60 days late
+        w(J.hourly_state(spark.createDataFrame(rows, schema)), n)
+    got = {str(r.hour): (r.news_count, r.score_sum) for r in J.hourly_stats(J.appended(spark, out)).collect()}
+    assert got == {"2024-01-01 05:00:00": (2, 0.3), "2024-03-01 05:00:00": (1, 0.2)}
+
+
+def test_polling_trigger(spark):
+    import time
+
+    land = tempfile.mkdtemp() + "/in"
+    out, ck = tempfile.mkdtemp() + "/t", tempfile.mkdtemp()
+    spark.createDataFrame([(1, 0.1, 1, "t1")], RESULT).coalesce(1).write.parquet(land)
+    s = J.file_source(spark, land, "parquet", spark.createDataFrame([], RESULT).schema)
+    q = J.stream_upsert_result(s, out, ck, every="300 seconds")
+    try:
+        assert q.isActive
+        end = time.time() + 60
+        while not q.recentProgress and time.time() < end:
+            time.sleep(0.2)
+    finally:
+        q.stop()
+    assert _latest(spark, out) == {1: (0.1, 1, "t1")}
 
 
 def test_scored_stream_keeps_no_state(spark, tables):
@@ -109,51 +180,3 @@ def test_scored_stream_keeps_no_state(spark, tables):
     from tidings.operators import scoring as G
     want = {r.id: r.sentiment_score for r in G.lexicon_score(tables.raw_news, tables.lexicon).filter(F.col("id") % 50 != 0).collect()}
     assert got == want
-
-
-def test_vacuum_keeps_live_versions(spark):
-    schema = "news_id long, s double, version int, created_at string"
-    out = tempfile.mkdtemp() + "/r"
-    w = J.upsert_writer(out, "news_id", "version", buckets=4)
-    w(spark.createDataFrame([(i, 0.1, 1, "t1") for i in range(20)], schema), 0)
-    w(spark.createDataFrame([(3, 0.5, 2, "t2"), (4, 0.6, 2, "t2")], schema), 1)
-    w(spark.createDataFrame([(3, 0.7, 3, "t3")], schema), 2)
-    before = sorted(map(tuple, J.latest_version(spark, out).collect()))
-    removed = J.vacuum_versions(spark, out, before=3)
-    assert removed >= 1
-    assert sorted(map(tuple, J.latest_version(spark, out).collect())) == before
-    # the next epoch still merges against the live versions
-    w(spark.createDataFrame([(5, 0.9, 2, "t4")], schema), 3)
-    got = {r.news_id: (r.s, r.version, r.created_at) for r in J.latest_version(spark, out).collect()}
-    assert len(got) == 20 and got[3] == (0.7, 3, "t1") and got[5] == (0.9, 2, "t1") and got[4] == (0.6, 2, "t1")
-
-
-def test_ingest_after_key_index_compaction(spark):
-    import os
-
-    schema = "id long, source_id int, external_id string"
-    out = tempfile.mkdtemp() + "/t"
-    w = J.ingest_batch_writer(out, ["source_id", "external_id"], "id", buckets=4)
-    w(spark.createDataFrame([(1, 1, "a"), (2, 2, "b"), (3, None, "z")], schema), 0)
-    w(spark.createDataFrame([(4, 1, "a"), (5, 3, "c")], schema), 1)
-    J.compact_key_index(spark, out + "_keys", before=2)
-    assert not [b for b in os.listdir(out + "_keys") if b.startswith("bucket=")]
-    w(spark.createDataFrame([(6, 2, "b"), (7, 3, "c"), (8, 4, "d")], schema), 2)
-    J.compact_key_index(spark, out + "_keys", before=3)  # merges the earlier compaction too
-    w(spark.createDataFrame([(9, 4, "d"), (10, 1, "a"), (11, 5, "e")], schema), 3)
-    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3, 5, 8, 11]
-    assert [d for d in os.listdir(out + "_keys_compacted") if d.startswith("upto=")] == ["upto=2"]
-
-
-def test_unbucketed_versions_read_and_vacuum(spark, tables):
-    import os
-
-    land = _land(tables, 4)
-    out, ck = tempfile.mkdtemp(), tempfile.mkdtemp()
-    J.stream_daily_stats(scored_events_of(J.file_source(spark, land, "parquet", tables.events.schema, max_files=1)), out, ck)
-    before = sorted(map(tuple, J.latest_version(spark, out).collect()))
-    versions = sorted(int(d.split("=")[1]) for d in os.listdir(out) if d.startswith("v="))
-    assert len(versions) >= 2
-    assert J.vacuum_versions(spark, out, before=versions[-1] + 1) == len(versions) - 1
-    assert [d for d in os.listdir(out) if d.startswith("v=")] == [f"v={versions[-1]}"]
-    assert sorted(map(tuple, J.latest_version(spark, out).collect())) == before

@@ -46,31 +46,42 @@ def events_stream(spark, t, path: str, max_files: int | None = None):
     return J.file_source(spark, path, "parquet", schema=t.events.schema, max_files=max_files)
 
 
+def land_entries(news, path: str) -> None:
+    """Feed entries of ``news`` as messages (JSON lines, every 50th broken);
+    every third entry has no guid, every fourth no content."""
+    msg = F.to_json(F.struct(
+        "id", F.col("source_id").cast("long").alias("source_id"),
+        F.when(F.col("id") % 3 == 0, "").otherwise(F.col("external_id")).alias("guid"), "title", F.col("url").alias("link"),
+        F.col("title").alias("description"), F.when(F.col("id") % 4 != 0, F.col("content")).alias("content"),
+        F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at")))
+    value = F.when(F.col("id") % 50 == 0, "not json {").otherwise(msg)
+    news.select(F.concat(F.col("id").cast("string"), F.lit("\t"), value).alias("line")).repartition(8).write.text(path)
+
+
 @register(
     "stream_ingest",
-    """SELECT id, source_id, external_id FROM raw_news
-WHERE id % 50 <> 0
-  AND (source_id IS NULL OR id = (SELECT min(r2.id) FROM raw_news r2
-                                  WHERE r2.id % 50 <> 0 AND r2.source_id = raw_news.source_id
-                                    AND md5(r2.content) = raw_news.external_id))""",
+    """WITH e AS (SELECT id, source_id, title, url, CASE WHEN id % 3 = 0 THEN url ELSE external_id END AS external_id,
+                 md5(CASE WHEN id % 4 <> 0 AND content <> '' THEN content ELSE title END) AS content_md5, id % 2 = 0 AS late
+          FROM raw_news WHERE id % 50 <> 0)
+SELECT id, source_id, external_id, title, url, content_md5 FROM e
+WHERE source_id IS NULL OR external_id IS NULL
+   OR NOT EXISTS (SELECT 1 FROM e o WHERE o.source_id = e.source_id AND o.external_id = e.external_id
+                  AND (o.late < e.late OR (o.late = e.late AND o.id < e.id)))""",
     views=("raw_news",),
 )
 def q_stream_ingest(spark, sf_dir):
-    """raw-news messages -> parsed (broken ones skipped) -> first writer per
-    (source_id, external_id) -> appended."""
+    """Entry messages -> parsed (broken ones skipped) -> appended -> first
+    writer per (source_id, guid or link).  The odd ids arrive first; then all
+    entries with a source are polled again, and the even ids arrive."""
     t = Tables(spark, sf_dir)
-    land = scratch_path(spark, "land-raw-news")
-    land_news_messages(t, land)
-    target, ckpt = scratch_path(spark, "raw_news"), scratch_path(spark, "ckpt-ingest")
-    msgs = news_stream(spark, land)
-    parsed = msgs.select("key", "value")
-    # the message carries no external id: derive it like the collector does (hash of the text)
-    from ..operators import ingest as I
-
-    p = I.parse_messages(parsed, S.NEWS_MESSAGE).filter(~F.col("is_corrupt")).withColumn("external_id", F.md5("content"))
-    rows = p.select("id", "source_id", "external_id")
-    J.run_available(rows.writeStream.foreachBatch(J.ingest_batch_writer(target, ["source_id", "external_id"], "id")), ckpt)
-    return spark.read.parquet(target).select("id", F.col("source_id").cast("int").alias("source_id"), "external_id")
+    land, target, ckpt = (scratch_path(spark, n) for n in ("land-entries", "raw_news", "ckpt-ingest"))
+    odd = F.col("id") % 2 == 1
+    for part, rows in enumerate((t.raw_news.filter(odd), t.raw_news.filter(~odd | F.col("source_id").isNotNull()))):
+        land_entries(rows, f"{land}/poll={part}")
+        J.stream_ingest(news_stream(spark, land), target, ckpt)
+    got = J.stored_news(J.appended(spark, target))
+    return got.select("id", F.col("source_id").cast("int").alias("source_id"), "external_id", "title", "url",
+                      F.md5("content").alias("content_md5"))
 
 
 @register(
@@ -134,22 +145,27 @@ def q_stream_daily_stats(spark, sf_dir):
     land_events(t, land)
     target, ckpt = scratch_path(spark, "daily"), scratch_path(spark, "ckpt-daily")
     J.stream_daily_stats(scored_events_of(events_stream(spark, t, land, max_files=3)), target, ckpt)
-    return J.latest_version(spark, target).select("stat_date", "news_count", "score_sum", "positive_count",
-                                                  "neutral_count", "negative_count", "avg_sentiment")
+    return J.newest_by_key(J.appended(spark, target), ["stat_date"]).select("stat_date", "news_count", "score_sum", "positive_count",
+                                                                            "neutral_count", "negative_count", "avg_sentiment")
 
 
 @register(
     "stream_upsert_result",
     LEX_SQL + """
-SELECT sr.news_id, CAST(s.sentiment_score AS DOUBLE) AS sentiment_score,
-       CASE WHEN s.sentiment_score > 0.3 THEN 'positive' WHEN s.sentiment_score < -0.3 THEN 'negative' ELSE 'neutral' END AS sentiment_label,
-       2 AS version, TIMESTAMP '2024-01-20 00:00:00' AS created_at
+SELECT sr.news_id,
+       CASE sr.news_id % 3 WHEN 0 THEN CAST(sr.sentiment_score AS DOUBLE) WHEN 1 THEN -CAST(s.sentiment_score AS DOUBLE)
+                           ELSE CAST(s.sentiment_score AS DOUBLE) END + 0.0 AS sentiment_score,
+       CASE WHEN sr.news_id % 3 = 0 THEN sr.sentiment_label WHEN s.sentiment_score > 0.3 THEN 'positive'
+            WHEN s.sentiment_score < -0.3 THEN 'negative' ELSE 'neutral' END AS sentiment_label,
+       CASE WHEN sr.news_id % 3 = 0 THEN 1 ELSE 2 END AS version, TIMESTAMP '2024-01-20 00:00:00' AS created_at
 FROM sentiment_results sr JOIN s ON s.id = sr.news_id""",
     views=("raw_news", "lexicon", "sentiment_results"),
 )
 def q_stream_upsert_result(spark, sf_dir):
-    """Results delivered twice (first score, then a re-score): the highest
-    version per news wins, the first creation time stays."""
+    """First scores (version 1) and re-scores (version 2, two news of three);
+    then the first scores come again, late, and one re-score of two again with
+    an equal version and the sign turned.  The highest version wins, of equal
+    versions the later delivery, and the first creation time stays."""
     from ..operators import scoring as G
     from ..sources.fixtures import ts
 
@@ -157,16 +173,17 @@ def q_stream_upsert_result(spark, sf_dir):
     v1 = t.sentiment_results.select("news_id", F.col("sentiment_score").cast("double").alias("sentiment_score"),
                                     "sentiment_label", F.lit(1).alias("version"), ts("2024-01-20 00:00:00").alias("created_at"))
     lx = G.lexicon_score(t.raw_news, t.lexicon).select(F.col("id").alias("news_id"), "sentiment_score", "sentiment_label")
-    v2 = lx.join(v1.select("news_id"), "news_id", "left_semi").select(
+    v2 = lx.join(v1.select("news_id"), "news_id", "left_semi").filter(F.col("news_id") % 3 != 0).select(
         "news_id", F.col("sentiment_score").cast("double").alias("sentiment_score"), "sentiment_label",
         F.lit(2).alias("version"), ts("2024-01-25 00:00:00").alias("created_at"))
-    land = scratch_path(spark, "land-results")
-    v1.repartition(4).write.mode("overwrite").parquet(f"{land}/part=1")
-    v2.repartition(4).write.mode("overwrite").parquet(f"{land}/part=2")
-    target, ckpt = scratch_path(spark, "results"), scratch_path(spark, "ckpt-upsert")
-    stream = J.file_source(spark, land, "parquet", schema=v1.schema, max_files=2)
-    J.run_available(stream.writeStream.foreachBatch(J.upsert_writer(target, "news_id", "version", "created_at")), ckpt)
-    return J.latest_version(spark, target).select("news_id", "sentiment_score", "sentiment_label", "version", "created_at")
+    again = v2.filter(F.col("news_id") % 3 == 1).withColumn("sentiment_score", -F.col("sentiment_score") + 0.0)
+    land, target, ckpt = (scratch_path(spark, n) for n in ("land-results", "results", "ckpt-upsert"))
+    for part, rows in enumerate((v1.unionByName(v2), v1.withColumn("created_at", ts("2024-01-30 00:00:00")).unionByName(again))):
+        rows.write.parquet(f"{land}/delivery={part}")
+        stream = J.file_source(spark, land, "parquet", schema=v1.schema).select(*v1.columns)
+        J.stream_upsert_result(stream, target, ckpt)
+    return J.latest_results(J.appended(spark, target), "news_id", "version").select(
+        "news_id", "sentiment_score", "sentiment_label", "version", "created_at")
 
 
 @register(
@@ -180,16 +197,13 @@ FROM scored_events GROUP BY 1, 2""",
     views=("scored_events",),
 )
 def q_stream_hourly_window(spark, sf_dir):
-    """Event-time hourly windows per source, update mode merged by key."""
+    """Event-time hourly windows per source: partial states appended, summed on read."""
     t = Tables(spark, sf_dir)
     land = scratch_path(spark, "land-events")
     land_events(t, land)
     target, ckpt = scratch_path(spark, "hourly"), scratch_path(spark, "ckpt-hourly")
-    agg = J.stream_hourly_window(scored_events_of(events_stream(spark, t, land, max_files=3)))
-    w = agg.withColumn("score_sum", F.col("score_sum").cast("double")).writeStream.outputMode("update").foreachBatch(
-        J.replace_by_key_writer(target, ["hour", "source_name"]))
-    J.run_available(w, ckpt)
-    return J.latest_version(spark, target)
+    J.stream_hourly_window(scored_events_of(events_stream(spark, t, land, max_files=3)), target, ckpt)
+    return J.hourly_stats(J.appended(spark, target))
 
 
 @register(

@@ -70,6 +70,21 @@ NEWS_MESSAGE = T.StructType(
     ]
 )
 
+# a feed entry as a message, before it is news
+ENTRY_MESSAGE = T.StructType(
+    [
+        T.StructField("id", T.LongType()),
+        T.StructField("source_id", T.LongType()),
+        T.StructField("guid", T.StringType()),
+        T.StructField("title", T.StringType()),
+        T.StructField("link", T.StringType()),
+        T.StructField("description", T.StringType()),
+        T.StructField("content", T.StringType()),
+        T.StructField("author", T.StringType()),
+        T.StructField("published_at", T.StringType()),
+    ]
+)
+
 SENTIMENT_MESSAGE = T.StructType(
     [
         T.StructField("news_id", T.LongType()),

@@ -4,25 +4,24 @@ Every job takes any streaming DataFrame (file source in tests, Kafka in
 production), writes through a checkpointed sink, and is exactly-once into
 files: ``foreachBatch`` writers overwrite a per-epoch output folder, so a
 re-run epoch (after an executor or driver failure) replaces its own output
-instead of appending twice.  Late rows are never dropped by the variants
-that mirror the original system; watermarks only bound state where the
-delay is a parameter.
+instead of appending twice.  Late rows are never dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from .. import schemas as S
 from ..functions import core as C
 from ..operators import ingest as I
 from ..operators import rollups as R
 from ..operators import scoring as G
-from ..operators import writes as W
+from ..operators.skew import group_for_join
 
 
 # ---- sources ------------------------------------------------------------------------------
@@ -46,10 +45,14 @@ def kafka_source(spark: SparkSession, servers: str, topic: str, max_offsets: int
     return r.load().select(F.col("key").cast("string"), F.col("value").cast("string"))
 
 
-def run_available(writer, checkpoint: str) -> StreamingQuery:
-    """Process everything available now, then stop (same code path as a
-    processing-time trigger; ``trigger(processingTime='300 seconds')`` in production)."""
-    q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(writer, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Process everything available now, then stop.  With ``every`` (such as
+    "300 seconds", the poll of the original system) the query keeps running on
+    that trigger and is returned at once."""
+    w = writer.option("checkpointLocation", checkpoint)
+    if every:
+        return w.trigger(processingTime=every).start()
+    q = w.trigger(availableNow=True).start()
     q.awaitTermination()
     return q
 
@@ -66,145 +69,63 @@ def epoch_writer(target: str, fmt: str = "parquet", partition_cols: list[str] |
     return write
 
 
-# ---- R-1 ingest with dedupe against the stored table ---------------------------------------------
-KEY_BUCKETS = 1024
-
-
-def key_bucket(keys: list[str], buckets: int = KEY_BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-
-
-def bucket_paths(spark: SparkSession, root: str, hit: list[int]) -> list[str]:
-    """Existing ``root/bucket=B`` folders for B in ``hit``: one listing of the
-    root's children (at most ``KEY_BUCKETS`` names), never of every file."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    want = {f"bucket={b}" for b in hit}
-    return [st.getPath().toString() for st in fs.listStatus(path) if st.isDirectory() and st.getPath().getName() in want]
-
-
-def read_buckets(spark: SparkSession, root: str, hit: list[int]) -> DataFrame | None:
-    """Rows of the ``hit`` buckets of a ``root/bucket=B/...`` table (None if none)."""
-    paths = bucket_paths(spark, root, hit)
-    return spark.read.option("basePath", root).parquet(*paths) if paths else None
-
-
-def _write_bucketed(df: DataFrame, root: str, version_col: str, version: int) -> None:
-    """Write ``df`` as ``root/bucket=B/<version_col>=<version>``, replacing only
-    those folders (a replay rewrites its own, nothing else)."""
-    (df.withColumn(version_col, F.lit(version)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket", version_col).parquet(root))
-
-
-def _fs(spark: SparkSession, root: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _subdirs(fs, path, prefix: str) -> list:
-    return [st.getPath() for st in fs.listStatus(path) if st.isDirectory() and st.getPath().getName().startswith(prefix)]
-
-
-def _value(p) -> int:
-    return int(p.getName().split("=", 1)[1])
-
-
-def _stored_keys(spark: SparkSession, index: str, hit: list[int], epoch: int) -> DataFrame | None:
-    """Keys of the ``hit`` buckets stored before ``epoch``: the per-epoch index
-    folders plus the compacted folders (``compact_key_index``)."""
-    parts = []
-    live = read_buckets(spark, index, hit)
-    if live is not None:
-        parts.append(live.filter(F.col("epoch") < epoch).drop("epoch"))
-    root, fs = _fs(spark, f"{index}_compacted")
-    if fs.exists(root):
-        want = {f"bucket={b}" for b in hit}
-        paths = [b.toString() for u in _subdirs(fs, root, "upto=") for b in _subdirs(fs, u, "bucket=") if b.getName() in want]
-        if paths:
-            parts.append(spark.read.option("basePath", root.toString()).parquet(*paths).drop("upto"))
-    if not parts:
-        return None
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def compact_key_index(spark: SparkSession, index: str, before: int) -> None:
-    """Merge the key index folders of epochs < ``before`` (and earlier
-    compactions) into one folder ``<index>_compacted/upto=<before-1>``
-    (distinct keys, one folder per bucket), then delete what was merged.
-
-    ``before`` must not exceed the oldest epoch that may still be replayed.
-    A crash leaves duplicates (harmless: stored keys are de-duplicated before
-    the anti join) and a rerun redoes the same work."""
-    upto = before - 1
-    comp_root, fs = _fs(spark, f"{index}_compacted")
-    idx_root, ifs = _fs(spark, index)
-    parts = []
-    if ifs.exists(idx_root) and _subdirs(ifs, idx_root, "bucket="):
-        parts.append(spark.read.parquet(index).filter(F.col("epoch") < before).drop("epoch"))
-    older = [u for u in _subdirs(fs, comp_root, "upto=") if _value(u) != upto] if fs.exists(comp_root) else []
-    if older:
-        parts.append(spark.read.option("basePath", comp_root.toString()).parquet(*[u.toString() for u in older]).drop("upto"))
-    if not parts:
-        return
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p)
-    # buckets are hash-balanced and the keys distinct: shuffling by bucket gives
-    # one file per bucket, and the de-duplication reuses that partitioning
-    (merged.repartition("bucket").distinct()
-     .write.mode("overwrite").partitionBy("bucket").parquet(f"{comp_root.toString()}/upto={upto}"))
-    for u in older:
-        fs.delete(u, True)
-    if ifs.exists(idx_root):
-        for b in _subdirs(ifs, idx_root, "bucket="):
-            epochs = _subdirs(ifs, b, "epoch=")
-            for e in epochs:
-                if _value(e) < before:
-                    ifs.delete(e, True)
-            if all(_value(e) < before for e in epochs):
-                ifs.delete(b, True)  # no empty bucket folders: readers list what exists
-
-
-def ingest_batch_writer(target: str, keys: list[str], seq_col: str, index: str | None = None,
-                        buckets: int = KEY_BUCKETS) -> Callable[[DataFrame, int], None]:
-    """Per epoch: first writer per key inside the epoch, minus keys stored by
-    earlier epochs (the epoch's own earlier attempt is excluded, so a replay
-    rewrites the same rows).
-
-    Stored keys are also kept in a key index ``index/bucket=B/epoch=N``
-    (hash bucket of the key).  An epoch lists and reads only the bucket
-    folders its own keys fall in -- at most ``buckets`` small ints reach the
-    driver -- so the per-epoch cost follows the epoch size, not the size of
-    everything stored so far."""
-    index = index or f"{target}_keys"
+# ---- the store behind R-1, R-5, R-6 and R-7 ---------------------------------------------------
+# A sink table is a folder of appended epochs, ``target/epoch=N``.  An epoch
+# writes only its own rows (as many files as tasks) and reads nothing that is
+# stored; keys are resolved when the table is read, in one aggregate per key.
+def appended(spark: SparkSession, target: str, base: DataFrame | None = None, after: int = -1) -> DataFrame:
+    """Rows of all epochs, with their ``epoch``.  ``base`` is a table resolved
+    earlier (``resolved.write.parquet(...)``, a plain batch job) that holds the
+    epochs up to ``after``; only later epochs are then read (partition pruning)."""
+    rows = spark.read.parquet(target)
+    if base is None:
+        return rows
+    return base.withColumn("epoch", F.lit(after)).unionByName(rows.filter(F.col("epoch") > after))
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        firsts = I.dedupe_first_wins(batch, keys, seq_col).withColumn("bucket", key_bucket(keys, buckets))
-        firsts.persist()
-        try:
-            hit = [r.bucket for r in firsts.select("bucket").distinct().collect()]
-            stored = _stored_keys(spark, index, hit, epoch)
-            new = firsts if stored is None else I.anti_join_existing(firsts, stored, keys + ["bucket"], skew_safe=False)
-            new.drop("bucket").write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
-            # the index is written after the rows: a failure in between replays both
-            written = spark.read.parquet(f"{target}/epoch={epoch}").select(*keys).filter(I.key_not_null(keys))
-            _write_bucketed(written.withColumn("bucket", key_bucket(keys, buckets)), index, "epoch", epoch)
-        finally:
-            firsts.unpersist()
 
-    return write
+def newest_by_key(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each key the row of the highest epoch (update-mode sinks: one row per
+    key and epoch).  NULL is a key value like any other."""
+    cols = [c for c in rows.columns if c not in (*keys, "epoch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), "epoch").alias("_r")).select(*keys, "_r.*")
+
+
+# ---- R-1 ingest, first writer wins ------------------------------------------------------------
+ENTRY_KEYS = ("source_id", "external_id")
+
 
+def entries_to_news(entries: DataFrame) -> DataFrame:
+    """Feed entries -> news rows: the key is the guid, else the link; the text
+    is the content, else the description."""
+    return entries.select(
+        "id", "source_id", C.first_nonempty("guid", "link").alias("external_id"), "title",
+        C.first_nonempty("content", "description").alias("content"), F.col("description").alias("summary"),
+        F.col("link").alias("url"), F.coalesce("author", F.lit("")).alias("author"), "published_at")
 
-def stream_ingest(messages: DataFrame, target: str, checkpoint: str, schema: T.StructType,
-                  keys: list[str] = ("source_id", "external_id"), seq_col: str = "id") -> StreamingQuery:
+
+def ingest_batch_writer(target: str, keys: list[str] = ENTRY_KEYS, seq_col: str = "id") -> Callable[[DataFrame, int], None]:
+    """Per epoch: the first writer per key inside the epoch, appended."""
+    write = epoch_writer(target)
+    return lambda batch, epoch: write(I.dedupe_first_wins(batch, list(keys), seq_col), epoch)
+
+
+def stored_news(rows: DataFrame, keys: list[str] = ENTRY_KEYS) -> DataFrame:
+    """First writer wins over all epochs: of a key stored by several epochs the
+    earliest epoch's row stays (an epoch holds a key once).  Rows with a NULL key
+    part never collide.  The aggregate carries keys and a number, no text."""
+    keys = list(keys)
+    first = group_for_join(rows.select(*keys, "epoch").filter(I.key_not_null(keys)), keys).agg(
+        F.min("epoch").alias("epoch")).drop("_g")
+    kept = rows.join(first, [*keys, "epoch"], "left_semi")
+    return kept.select(*rows.columns).unionByName(rows.filter(~I.key_not_null(keys))).drop("epoch")
+
+
+def stream_ingest(messages: DataFrame, target: str, checkpoint: str, schema: T.StructType = S.ENTRY_MESSAGE,
+                  every: str | None = None) -> StreamingQuery:
+    """Entry messages -> parsed (undecodable ones skipped) -> appended news;
+    read with ``stored_news(appended(...))``."""
     parsed = I.parse_messages(messages, schema).filter(~F.col("is_corrupt")).drop("is_corrupt", "key", "value")
-    return run_available(parsed.writeStream.foreachBatch(ingest_batch_writer(target, list(keys), seq_col)), checkpoint)
+    return run_available(entries_to_news(parsed).writeStream.foreachBatch(ingest_batch_writer(target)), checkpoint, every)
 
 
 # ---- R-2 / R-3 scoring with quarantine ------------------------------------------------------------
@@ -246,128 +167,55 @@ def stream_append_fact(scored: DataFrame, target: str, checkpoint: str) -> Strea
 
 
 # ---- R-5 running daily stats (state store) ---------------------------------------------------------
-def stream_daily_stats(scored: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+def stream_daily_stats(scored: DataFrame, target: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Stateful per-day (count, exact sum, label counts) kept by the state
-    store; each epoch writes the complete table (idempotent overwrite)."""
-    st = R.partial_state(scored, [C.day("analyzed_at").alias("stat_date")])
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        # a new version per epoch: a failed write never damages the last good table
-        R.finish_state(batch).write.mode("overwrite").parquet(f"{target}/v={epoch}")
-
-    return run_available(st.writeStream.outputMode("complete").foreachBatch(write), checkpoint)
+    store; an epoch appends the new state of the days it touched.  Read with
+    ``newest_by_key(appended(...), ["stat_date"])``."""
+    st = R.finish_state(R.partial_state(scored, [C.day("analyzed_at").alias("stat_date")]))
+    return run_available(st.writeStream.outputMode("update").foreachBatch(epoch_writer(target)), checkpoint, every)
 
 
 # ---- R-6 idempotent upsert of re-delivered results ---------------------------------------------
-# Keyed results are a bucketed, versioned table: ``target/bucket=B/v=N``.  An
-# epoch rewrites only the buckets its keys fall in, as version ``v=epoch``;
-# the live rows of a bucket are those of its highest version.  Per-epoch
-# cost follows the epoch, not the table.  A replayed epoch reads only
-# versions below its own, so it rewrites the same folder with the same rows.
-def _latest_of_buckets(spark: SparkSession, target: str, hit: list[int], epoch: int) -> DataFrame | None:
-    """Live rows of the ``hit`` buckets as of before ``epoch`` (None if none)."""
-    rows = read_buckets(spark, target, hit)
-    if rows is None:
-        return None
-    prev = rows.filter(F.col("v") < epoch)
-    top = prev.groupBy("bucket").agg(F.max("v").alias("v"))  # at most len(hit) rows
-    return prev.join(F.broadcast(top), ["bucket", "v"], "left_semi").drop("v")
-
-
-def bucketed_merge_writer(target: str, keys: list[str], merge: Callable[[DataFrame, DataFrame], DataFrame],
-                          buckets: int = KEY_BUCKETS) -> Callable[[DataFrame, int], None]:
-    """foreachBatch body: ``merge(live rows of the touched buckets, epoch rows)``
-    written as version ``bucket=B/v=epoch`` of those buckets.  A touched
-    bucket is rewritten whole (copy on write), so ``buckets`` sets the
-    rewrite unit: table size / buckets per touched bucket."""
+def stream_upsert_result(results: DataFrame, target: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Every delivery is appended; ``latest_results`` resolves them."""
+    return run_available(results.writeStream.foreachBatch(epoch_writer(target)), checkpoint, every)
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        b = batch.withColumn("bucket", key_bucket(keys, buckets))
-        b.persist()
-        try:
-            hit = [r.bucket for r in b.select("bucket").distinct().collect()]  # <= buckets small ints
-            if not hit:
-                return
-            prev = _latest_of_buckets(b.sparkSession, target, hit, epoch)
-            merged = b if prev is None else merge(prev.select(*b.columns), b)
-            _write_bucketed(merged, target, "v", epoch)
-        finally:
-            b.unpersist()
 
-    return write
+def latest_results(rows: DataFrame, key: str, version_col: str, created_col: str = "created_at") -> DataFrame:
+    """Highest version per key wins, of equal versions the later epoch, of equal
+    epochs the row with the larger hash; the earliest ``created_col`` stays."""
+    cols = [c for c in rows.columns if c not in (key, created_col, "epoch")]
+    order = F.struct(F.col(version_col), F.col("epoch"), F.xxhash64(*cols))
+    g = rows.groupBy(key).agg(F.max_by(F.struct(*cols), order).alias("_r"), F.min(created_col).alias(created_col))
+    return g.select(key, "_r.*", created_col)
 
 
-def upsert_writer(target: str, key: str, version_col: str, created_col: str = "created_at",
-                  buckets: int = KEY_BUCKETS) -> Callable[[DataFrame, int], None]:
-    """Merge the epoch into the live rows (highest version per key wins,
-    earliest created_at kept); re-delivery is harmless."""
-    return bucketed_merge_writer(
-        target, [key], lambda prev, b: W.upsert_last_wins(prev, b, key, version_col, created_col), buckets)
+# ---- R-7 hourly windows per source ----------------------------------------------------------------------
+HOUR_KEYS = ["hour", "source_name"]
 
 
-# ---- R-7 hourly windows per source ----------------------------------------------------------------------
-def stream_hourly_window(scored: DataFrame) -> DataFrame:
-    """Event-time hourly stats per source.  No watermark: a row counts in its
-    hour however late it is; the state has one row per (hour, source)."""
-    ev = scored.withColumn("event_time", F.col("analyzed_at").cast("timestamp"))
-    g = ev.groupBy(F.window("event_time", "1 hour").alias("w"), "source_name").agg(
+def hourly_state(scored: DataFrame) -> DataFrame:
+    """Mergeable state per (hour, source): counts and an exact sum."""
+    return scored.groupBy(F.date_trunc("hour", "analyzed_at").cast("timestamp_ntz").alias("hour"), "source_name").agg(
         F.count(F.lit(1)).alias("news_count"), F.sum("sentiment_score").alias("score_sum"),
         C.count_label("sentiment_label", "positive").alias("positive_count"),
         C.count_label("sentiment_label", "neutral").alias("neutral_count"),
         C.count_label("sentiment_label", "negative").alias("negative_count"))
-    return g.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "source_name", "news_count",
-                    "score_sum", "positive_count", "neutral_count", "negative_count")
-
-
-def replace_by_key_writer(target: str, keys: list[str], buckets: int = KEY_BUCKETS) -> Callable[[DataFrame, int], None]:
-    """Update-mode rows carry the full new aggregate of their key: replace by key."""
-    return bucketed_merge_writer(
-        target, keys, lambda prev, b: prev.join(b.select(*keys, "bucket"), keys + ["bucket"], "left_anti").unionByName(b),
-        buckets)
-
-
-def latest_version(spark: SparkSession, target: str) -> DataFrame:
-    """Live rows of a versioned table: per bucket its highest ``v=N`` folder
-    (bucketed layout; Spark lists the folders in parallel and the semi join
-    keeps the live ones), else only the highest ``v=N`` folder is read."""
-    root, fs = _fs(spark, target)
-    versions = _subdirs(fs, root, "v=")
-    if versions:
-        return spark.read.parquet(max(versions, key=_value).toString())
-    all_v = spark.read.parquet(target)
-    top = all_v.groupBy("bucket").agg(F.max("v").alias("v"))  # one row per bucket
-    return all_v.join(F.broadcast(top), ["bucket", "v"], "left_semi").drop("v", "bucket")
-
-
-def vacuum_versions(spark: SparkSession, target: str, before: int) -> int:
-    """Delete superseded versions of a versioned table: in each bucket (or
-    in the table, unbucketed) every ``v=N`` folder with N < ``before`` that
-    is not the highest version of its bucket.  Only folder listings and
-    deletes, no data is read.  Run it between epochs (``before`` = the
-    oldest epoch that may still be replayed), never while a reader lists
-    the table.  Returns the number of folders removed."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(target)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return 0
-
-    def children(p, prefix):
-        return [st.getPath() for st in fs.listStatus(p) if st.isDirectory() and st.getPath().getName().startswith(prefix)]
-
-    def version(p):
-        return int(p.getName().split("=", 1)[1])
-
-    groups = children(root, "bucket=") or [root]
-    removed = 0
-    for g in groups:
-        versions = sorted(children(g, "v="), key=version)
-        live = versions[-1:] if versions else []
-        for v in versions:
-            if v not in live and version(v) < before:
-                fs.delete(v, True)
-                removed += 1
-    return removed
+
+
+def stream_hourly_window(scored: DataFrame, target: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Event-time hourly stats per source.  An epoch appends the partial state
+    of its own rows: no watermark and no state store, so a row counts in its
+    hour however late it is.  Read with ``hourly_stats(appended(...))``."""
+    write = epoch_writer(target)
+    return run_available(scored.writeStream.foreachBatch(lambda b, n: write(hourly_state(b), n)), checkpoint, every)
+
+
+def hourly_stats(rows: DataFrame) -> DataFrame:
+    """Partial states summed per (hour, source)."""
+    counts = ["news_count", "positive_count", "neutral_count", "negative_count"]
+    return rows.groupBy(*HOUR_KEYS).agg(F.sum("score_sum").cast("double").alias("score_sum"),
+                                        *[F.sum(c).alias(c) for c in counts])
 
 
 # ---- R-8 dedupe inside the stream ---------------------------------------------------------------------
