@@ -52,7 +52,7 @@ def test_job_log_fold(spark):
                    4: ("failed", 300000, 0, "boom")}
 
 
-def test_job_log_fold_exact_for_any_bucket_size(spark):
+def test_job_log_fold_exact_for_any_slot_width(spark):
     import datetime as dt
     import random
 
@@ -79,10 +79,10 @@ def test_job_log_fold_exact_for_any_bucket_size(spark):
         cands = [f for f in rows if f[1] == job and f[3] != "running" and f[2] == ft]
         f = min(cands, key=lambda r: (r[3], -1 if r[4] is None else r[4], r[5] or ""))
         want[rid] = (f[3], int((ft - t).total_seconds() * 1000), f[4] or 0)
-    for per_bucket in (3, 50, 10**9):
+    for slot_us, slots in ((1, 10**9), (10**6, 86_400), (10**8, 7), (10**15, 1)):
         got = {r.run_id: (r.status, r.duration_ms, r.records_processed)
-               for r in W.job_log_fold(df, min_rows_per_bucket=per_bucket).collect()}
-        assert got == want, per_bucket
+               for r in W.job_log_fold(df, slot_us, slots).collect()}
+        assert got == want, slot_us
 
 
 def test_exact_quantiles_match_numpy(spark):
@@ -97,14 +97,13 @@ def test_exact_quantiles_match_numpy(spark):
         assert abs(getattr(r, name) - np.quantile(a, q)) < 1e-9
 
 
-def test_exact_quantiles_exact_for_any_bin_count(spark):
+def test_exact_quantiles_of_wide_and_narrow_spans(spark):
     rng = np.random.default_rng(11)
-    vals = rng.integers(-10**9, 10**9, size=3000).tolist() + [5] * 1500 + rng.integers(0, 40, size=500).tolist()
-    df = spark.createDataFrame([(int(v),) for v in vals], "v long")
-    a = np.array(vals, dtype=float)
+    wide = rng.integers(-10**9, 10**9, size=3000).tolist() + [5] * 1500 + rng.integers(0, 40, size=500).tolist()
     qs = {"p0": 0.0, "p33": 0.33, "p50": 0.5, "p99": 0.99, "p100": 1.0}
-    for bins in (1, 2, 7, 64):
-        r = W.exact_quantiles(df, "v", qs, bins=bins).first()
+    for vals in (wide, [7], [3, 4], [-5] * 10 + [10**15]):
+        r = W.exact_quantiles(spark.createDataFrame([(int(v),) for v in vals], "v long"), "v", qs).first()
+        a = np.array(vals, dtype=float)
         assert r.n == len(vals)
         for name, q in qs.items():
             assert abs(getattr(r, name) - np.quantile(a, q)) <= 1e-6 * max(1.0, abs(np.quantile(a, q)))
@@ -120,7 +119,7 @@ def test_snapshot_expires(spark, tables):
     from tidings.operators import stats as A
 
     at = ts("2024-01-30 12:00:00")
-    snap = W.stats_snapshot(A.stats_24h(tables, as_of="2024-01-30 12:00:00"), "k", at)
+    snap = W.stats_snapshot(A.stats_24h(tables, as_of="2024-01-30 12:00:00"), at, "k")
     assert W.read_snapshot(snap, "k", ts("2024-01-30 12:59:59")).count() == 1
     assert W.read_snapshot(snap, "k", ts("2024-01-30 13:00:00")).count() == 0
 
@@ -149,3 +148,28 @@ def test_only_success_and_failed_close_runs(spark):
     got = {r.run_id: (r.status, str(r.completed_at)) for r in W.job_log_fold(log).collect()}
     end = "2024-01-01 00:04:00"
     assert got == {1: ("success", end), 2: ("pending", "None"), 3: ("success", end), 4: ("cancelled", "None"), 6: ("running", "None")}
+
+
+def test_one_old_record_or_a_burst_fills_no_window(spark):
+    """100 000 records within ten minutes and one 30 years older: no window is
+    over a job's records, and the result is that of a single slot."""
+    log = spark.range(100_000).selectExpr(
+        "id AS run_id", "'j' AS job_name", "timestampadd(MILLISECOND, cast(id * 6 AS int), TIMESTAMP_NTZ'2024-01-01 00:00:00') AS event_time",
+        "CASE WHEN id % 100 = 99 THEN 'success' ELSE 'running' END AS status", "1 AS records_processed", "cast(null AS string) AS error_message")
+    old = spark.range(1).selectExpr("-1L AS run_id", "'j' AS job_name", "TIMESTAMP_NTZ'1994-01-01 00:00:00' AS event_time", "'running' AS status",
+                                    "0 AS records_processed", "cast(null AS string) AS error_message")
+    log = log.unionByName(old)
+    got = W.job_log_fold(log)
+    assert got.filter("completed_at IS NULL").count() == 0 and got.count() == 99_001
+    assert got.filter("run_id = -1").first().completed_at == got.filter("run_id = 0").first().completed_at
+    assert got.exceptAll(W.job_log_fold(log, 10**16, 1)).count() == 0
+    per_second = log.groupBy(F.date_trunc("second", "event_time")).count().agg(F.max("count")).first()[0]
+    assert per_second < 200  # what the record window of a task group holds
+
+
+def test_purge_by_config_reads_days_per_table(spark):
+    config = spark.createDataFrame([("a_days", "20"), ("b_days", "x")], "config_key string, config_value string")
+    rows = spark.createDataFrame([(1, "2024-01-30"), (2, "2024-01-01"), (3, "2023-01-01"), (4, None)], "id int, d string").select(
+        "id", F.col("d").cast("timestamp_ntz").alias("t"))
+    kept = W.purge_by_config({"a": (rows, "t", "a_days"), "b": (rows, "t", "b_days"), "c": (rows, "t", "none")}, config, ts("2024-01-31 00:00:00"))
+    assert {k: sorted(r.id for r in v.collect()) for k, v in kept.items()} == {"a": [1, 4], "b": [1, 2, 4], "c": [1, 2, 4]}

@@ -65,6 +65,20 @@ def retention_purge(news: DataFrame, days: int, as_of: Column, ts_col: str = "pu
     return news.filter(keep), news.filter(~keep)
 
 
+def retention_days(config: DataFrame, key: str, default: int = S.DEFAULT_RETENTION_DAYS) -> Column:
+    """Days that the configuration table gives for ``key`` (a scalar subquery,
+    nothing is collected); ``default`` if the key is absent or no integer."""
+    days = config.filter(F.col("config_key") == key).agg(F.max(F.col("config_value").try_cast("int")))
+    return F.coalesce(days.scalar(), F.lit(default))
+
+
+def purge_by_config(tables: dict[str, tuple[DataFrame, str, str]], config: DataFrame, as_of: Column) -> dict[str, DataFrame]:
+    """D-16: of each ``name -> (rows, time column, config key)`` the rows that
+    are younger than the configured days (rows without a time stay)."""
+    return {name: df.filter(F.col(col).isNull() | (F.col(col) >= F.timestamp_add("DAY", -retention_days(config, key), as_of)))
+            for name, (df, col, key) in tables.items()}
+
+
 def cascade_purge(children: DataFrame, kept_parents: DataFrame, fk: str, pk: str = "id") -> DataFrame:
     """Children survive only with a surviving parent (ON DELETE CASCADE)."""
     return children.join(kept_parents.select(F.col(pk).alias(fk)), fk, "left_semi")
@@ -101,10 +115,17 @@ def read_fact_month(spark: SparkSession, path: str, yyyymm: int) -> DataFrame:
 
 
 # ---- S-9 stats snapshot with a time to live ------------------------------------------------------
-def stats_snapshot(stats: DataFrame, key: str, as_of: Column, ttl_hours: int = S.STATS_CACHE_TTL_HOURS) -> DataFrame:
-    return stats.select(
-        F.lit(key).alias("cache_key"), F.to_json(F.struct(*stats.columns)).alias("value"),
-        as_of.alias("updated_at"), F.timestamp_add("HOUR", F.lit(ttl_hours), as_of).alias("expires_at"))
+def stats_snapshot(stats: DataFrame, as_of: Column, key: str = S.STATS_CACHE_KEY,
+                   ttl_hours: int = S.STATS_CACHE_TTL_HOURS) -> DataFrame:
+    """(cache_key, value, updated_at, expires_at); the value is the JSON that
+    cache readers expect: total, avg_sentiment (six decimals), positive,
+    neutral, negative, updated_at."""
+    value = F.struct(
+        F.col("news_count").alias("total"), F.col("avg_sentiment").cast("decimal(12,6)").alias("avg_sentiment"),
+        F.col("positive_count").alias("positive"), F.col("neutral_count").alias("neutral"),
+        F.col("negative_count").alias("negative"), F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated_at"))
+    return stats.select(F.lit(key).alias("cache_key"), F.to_json(value).alias("value"), as_of.alias("updated_at"),
+                        F.timestamp_add("HOUR", F.lit(ttl_hours), as_of).alias("expires_at"))
 
 
 def read_snapshot(snapshots: DataFrame, key: str, as_of: Column) -> DataFrame:
@@ -112,7 +133,7 @@ def read_snapshot(snapshots: DataFrame, key: str, as_of: Column) -> DataFrame:
 
 
 # ---- W-1 run history fold ----------------------------------------------------------------------------
-def job_log_fold(log: DataFrame, min_rows_per_bucket: int = 1000) -> DataFrame:
+def job_log_fold(log: DataFrame, slot_us: int = 1_000_000, slots: int = 86_400) -> DataFrame:
     """Start records (status 'running' or NULL, one per run) and finish records
     (status 'success' / 'failed', per job) -> one row per run.  Records of any
     other status ('pending', 'cancelled') are runs that never started: a row of
@@ -122,39 +143,38 @@ def job_log_fold(log: DataFrame, min_rows_per_bucket: int = 1000) -> DataFrame:
     it and is still open: the closing record of a run is the first finish
     record of the same job at or after its start (an as-of lookup).
 
-    Done in two running (O(n)) passes instead of a per-job window:
-    1. inside each (job, time bucket), a running min over the rows in
-       reverse time order finds a close in the run's own bucket;
-    2. over the per-(job, bucket) summaries (one row per bucket) a running
-       min in reverse order finds the first finish of any later bucket.
-    Buckets are contiguous time ranges whose width is chosen per job from
-    its row count n and time span: about max(sqrt(n), ``min_rows_per_bucket``)
-    rows each, so both passes hold about sqrt(n) rows per task even for a
-    job with a third of the log.  Any contiguous bucketing gives the same
-    result."""
+    Done in running passes over three levels of time instead of a per-job
+    window: the records of a job's slot (``slot_us`` microseconds: a second),
+    the slots of a job's span (``slots`` slots: a day; one row per slot) and
+    the spans of a job (one row per span).  At each level a running min in
+    reverse time order finds the first finish: in the run's own slot, in a
+    later slot of the span, in a later span.  So no task holds more than the
+    records of one job's second, 86 400 seconds, or the days of a job,
+    whatever the job's share of the log, and neither a burst nor one very old
+    record changes that.  Any widths give the same result."""
     us = F.unix_micros(F.col("event_time").cast("timestamp"))  # monotone in event_time either way
-    n = F.count(F.lit(1))
-    target = F.greatest(F.sqrt(n), F.lit(float(min_rows_per_bucket)))
-    per_job = group_for_join(log, ["job_name"]).agg(
-        F.greatest(F.lit(1), ((F.max(us) - F.min(us) + 1).cast("double") * target / n).cast("long"))
-        .alias("_width")).drop("_g")  # one row per job; a hot job's rows stay splittable (operators.skew)
     fin = F.when(F.col("is_finish"), F.struct("event_time", "status", "records_processed", "error_message"))
-    x = (log.join(per_job, "job_name", "left")  # one row per job: AQE broadcasts it from its measured size
-         .withColumn("is_finish", F.coalesce(F.col("status").isin("success", "failed"), F.lit(False)))
-         .withColumn("_b", F.floor(us / F.col("_width")))
-         .withColumn("_fin", fin))
+    x = (log.withColumn("is_finish", F.coalesce(F.col("status").isin("success", "failed"), F.lit(False)))
+         .withColumn("_slot", F.floor(us / F.lit(slot_us))).withColumn("_fin", fin)
+         .repartition("job_name", "_slot"))  # shared by the pass over records and the rows per slot
     # reverse time order; at equal times finishes come first, so they count for a start at that time
-    w_in = (Window.partitionBy("job_name", "_b").orderBy(F.col("event_time").desc(), F.col("is_finish").desc())
+    w_in = (Window.partitionBy("job_name", "_slot").orderBy(F.col("event_time").desc(), F.col("is_finish").desc())
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    runs = x.withColumn("_close_in", F.min("_fin").over(w_in)).filter(~F.col("is_finish"))
-    # one summary row per (job, bucket) -- also for buckets holding only starts
-    # (min ignores their NULL _fin) -- then the first finish of any later bucket
-    w_next = (Window.partitionBy("job_name").orderBy(F.col("_b").desc())
-              .rowsBetween(Window.unboundedPreceding, -1))
-    later = (x.groupBy("job_name", "_b").agg(F.min("_fin").alias("_first"))
-             .withColumn("_later", F.min("_first").over(w_next))
-             .select("job_name", "_b", "_later"))
-    j = runs.join(later, ["job_name", "_b"], "left")
+    runs = x.withColumn("_close_in", F.min("_fin").over(w_in)).filter(~F.col("is_finish")).drop("_fin")
+
+    def later(rows: DataFrame, within: list[str], at: str) -> Column:
+        w = Window.partitionBy(*within).orderBy(F.col(at).desc()).rowsBetween(Window.unboundedPreceding, -1)
+        return F.min("_first").over(w)
+
+    # also for slots and spans holding only starts (min ignores their NULL _fin)
+    per_slot = x.groupBy("job_name", "_slot").agg(F.min("_fin").alias("_first")).withColumn(
+        "_span", F.floor(F.col("_slot") / F.lit(slots))).repartition("job_name", "_span")
+    per_span = per_slot.groupBy("job_name", "_span").agg(F.min("_first").alias("_first"))
+    later_span = per_span.select("job_name", "_span", later(per_span, ["job_name"], "_span").alias("_later_span"))
+    later_slot = per_slot.withColumn("_later_slot", later(per_slot, ["job_name", "_span"], "_slot")).join(
+        later_span, ["job_name", "_span"]).select(
+        "job_name", "_slot", F.coalesce("_later_slot", "_later_span").alias("_later"))
+    j = runs.join(later_slot, ["job_name", "_slot"], "left")
     started = F.coalesce(F.col("status") == "running", F.lit(True))
     close = F.when(started, F.coalesce(F.col("_close_in"), F.col("_later")))
     j = j.withColumn("_close", close)
@@ -169,44 +189,24 @@ def job_log_fold(log: DataFrame, min_rows_per_bucket: int = 1000) -> DataFrame:
 
 
 # ---- D-18 processing lag: exact quantiles from counts ------------------------------------------
-def _bin_of(v: Column, edges: list) -> Column:
-    """Number of ``edges`` <= v (edges sorted, distinct): a balanced CASE tree,
-    log2(len(edges)) comparisons per value, all inside generated code."""
-
-    def rec(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(v < F.lit(edges[mid]), rec(lo, mid)).otherwise(rec(mid + 1, hi))
-
-    return rec(0, len(edges))
-
-
 def exact_quantiles(values: DataFrame, col: str, qs: dict[str, float], mean_name: str | None = None,
-                    scale: float = 1.0, bins: int = 256) -> DataFrame:
+                    scale: float = 1.0) -> DataFrame:
     """Exact linear-interpolated quantiles (as percentile_cont) of an integer
-    column, divided by ``scale`` on output.  One output row.
+    column, divided by ``scale`` on output.  One output row, one lazy plan.
 
     Distributed selection, so no task ever holds all rows or all distinct
-    values: rows are counted per distinct value (partial aggregation) and
-    that table is written to the shared folder (the input is read once,
-    lineage is cut); approximate equal-frequency edges (``bins`` numbers reach the
-    driver) split the distinct values into bins; bin totals give each bin's
-    rank offset (a window over at most ``bins + 1`` rows); only the few bins
-    that hold a wanted rank are ranked inside, each in its own task.  The
-    edges only decide the work split: the result is exact for any edges."""
-    from ..session import scratch_path
-
-    spark = values.sparkSession
-    path = scratch_path(spark, "quantile-counts")  # inside the shared folder (spark.checkpoint.dir)
-    values.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c")).write.parquet(path)
-    counts = spark.read.parquet(path)
-    step = 1.0 / bins
-    edges = counts.agg(F.percentile_approx(col, [step * i for i in range(1, bins)]).alias("e")).first().e or []
-    edges = sorted(set(edges))
-    binned = counts.withColumn("_b", _bin_of(F.col(col), edges))
+    values: rows are counted per distinct value (partial aggregation); equal
+    bins of width sqrt(span), span = max - min + 1, give at most sqrt(span)
+    bins of at most sqrt(span) distinct values; bin totals give each bin's
+    rank offset; only the few bins that hold a wanted rank are ranked inside,
+    each in its own task."""
+    counts = values.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
+    lo, hi = F.min(col).cast("decimal(20,0)"), F.max(col).cast("decimal(20,0)")
+    limits = counts.agg(F.struct(lo.alias("lo"), F.ceil(F.sqrt(hi - lo + 1)).alias("width")).alias("l")).scalar()
+    bin_no = F.floor((F.col(col) - limits["lo"]) / limits["width"]).cast("long")
+    binned = counts.withColumn("_b", bin_no)
     per_bin = binned.groupBy("_b").agg(F.sum("_c").alias("_bc"), F.sum(F.col(col) * F.col("_c")).alias("_bs"))
-    everything = Window.partitionBy()  # over the <= bins + 1 bin rows
+    everything = Window.partitionBy()  # over one row per bin
     offsets = per_bin.select(
         "_b", "_bc", (F.sum("_bc").over(Window.orderBy("_b")) - F.col("_bc")).alias("_off"),
         F.sum("_bc").over(everything).alias("_n"), F.sum("_bs").over(everything).alias("_s"))

@@ -11,6 +11,7 @@ from ..operators import stats as A
 from ..operators import writes as W
 from ..operators import rollups as R
 from ..session import scratch_path
+from ..sources import seeds as S
 from ..sources.fixtures import Tables, ts
 from .catalog_scoring import LEX_SQL
 from .catalog_sectors import period_stats_sql
@@ -149,68 +150,63 @@ def q_set_null_purge(spark, sf_dir):
     return W.set_null_purge(t.raw_news.select("id", "source_id", "title"), kept_sources)
 
 
-def _retention_config(spark):
-    """Retention per table as typed configuration rows (days as integer text)."""
-    rows = [("retention.raw_news", "20", "integer"), ("retention.daily_sector_stats", "25", "integer"),
-            ("retention.hourly_sector_stats", "10", "integer"), ("retention.unknown", "", "integer")]
-    return spark.createDataFrame(rows, "config_key string, config_value string, value_type string").select(
-        F.regexp_replace("config_key", r"^retention\.", "").alias("table_name"), C.config_int("config_value", 90).alias("days"))
-
-
 @register(
     "rollup_retention",
     f"""WITH d AS ({period_stats_sql("CAST(published_at AS DATE)", "stat_date")}),
-h AS ({period_stats_sql("date_trunc('hour', published_at)", "stat_time")})
-SELECT 'raw_news' AS table_name, COUNT(CASE WHEN {KEEP} THEN 1 END) AS kept, COUNT(CASE WHEN NOT {KEEP} THEN 1 END) AS removed FROM raw_news
-UNION ALL
-SELECT 'daily_sector_stats', COUNT(CASE WHEN stat_date IS NULL OR stat_date >= CAST({AS_OF} - INTERVAL 25 DAY AS DATE) THEN 1 END),
-       COUNT(CASE WHEN NOT (stat_date IS NULL OR stat_date >= CAST({AS_OF} - INTERVAL 25 DAY AS DATE)) THEN 1 END) FROM d
-UNION ALL
-SELECT 'hourly_sector_stats', COUNT(CASE WHEN stat_time IS NULL OR stat_time >= {AS_OF} - INTERVAL 10 DAY THEN 1 END),
-       COUNT(CASE WHEN NOT (stat_time IS NULL OR stat_time >= {AS_OF} - INTERVAL 10 DAY) THEN 1 END) FROM h""",
+h AS ({period_stats_sql("date_trunc('hour', published_at)", "stat_time")}),
+r AS (SELECT 'raw_news' AS table_name, CAST(id AS VARCHAR) AS row_key, published_at AS ts, 20 AS days FROM raw_news
+      UNION ALL SELECT 'daily_sector_stats', CAST(sector_id AS VARCHAR), CAST(stat_date AS TIMESTAMP), 25 FROM d
+      UNION ALL SELECT 'hourly_sector_stats', CAST(sector_id AS VARCHAR), stat_time, 25 FROM h
+      UNION ALL SELECT 'job_logs', CAST(event_id AS VARCHAR), ts, 30 FROM events)
+SELECT table_name, row_key, ts FROM r WHERE ts IS NULL OR ts >= {AS_OF} - to_days(days)""",
     views=("raw_news", "sentiment_results", "news_sectors", "market_sectors"),
 )
 def q_rollup_retention(spark, sf_dir):
-    """Per-table retention driven by the configuration table (default 90 days)."""
+    """What is left of each table after a purge by the configured days: the
+    seed configuration with shorter times (the fixture spans 30 days), run
+    logs at the seed's 30."""
     t = Tables(spark, sf_dir)
-    days = {r.table_name: r.days for r in _retention_config(spark).collect()}  # a handful of config rows
-    as_of = ts("2024-01-31 00:00:00")
-    tables = {
-        "raw_news": (t.raw_news.select("published_at"), "published_at"),
-        "daily_sector_stats": (R.daily_sector_stats(t).select(F.col("stat_date").cast("timestamp_ntz").alias("ts")), "ts"),
-        "hourly_sector_stats": (R.hourly_sector_stats(t).select(F.col("stat_time").alias("ts")), "ts"),
-    }
+    days = {"data_retention_days": "20", "aggregated_data_retention_days": "25"}
+    config = S.seed_configs(spark).withColumn("config_value", F.coalesce(
+        *[F.when(F.col("config_key") == k, v) for k, v in days.items()], "config_value"))
+    kept = W.purge_by_config({
+        "raw_news": (t.raw_news.select(F.col("id").alias("k"), F.col("published_at").alias("ts")), "ts", "data_retention_days"),
+        "daily_sector_stats": (R.daily_sector_stats(t).select(F.col("sector_id").alias("k"), F.col("stat_date").cast("timestamp_ntz").alias("ts")),
+                               "ts", "aggregated_data_retention_days"),
+        "hourly_sector_stats": (R.hourly_sector_stats(t).select(F.col("sector_id").alias("k"), F.col("stat_time").alias("ts")),
+                                "ts", "aggregated_data_retention_days"),
+        "job_logs": (t.events.select(F.col("event_id").alias("k"), "ts"), "ts", "log_retention_days"),
+    }, config, ts("2024-01-31 00:00:00"))
     out = None
-    for name, (df, col) in tables.items():
-        keep = W.retention_keep(df, col, days.get(name, 90), as_of)
-        g = df.agg(F.count(F.when(keep, 1)).alias("kept"), F.count(F.when(~keep, 1)).alias("removed")).select(
-            F.lit(name).alias("table_name"), "kept", "removed")
-        out = g if out is None else out.unionByName(g)
+    for name, df in kept.items():
+        x = df.select(F.lit(name).alias("table_name"), F.col("k").cast("string").alias("row_key"), "ts")
+        out = x if out is None else out.unionByName(x)
     return out
 
 
 @register(
     "partitioned_fact_sink",
-    """SELECT news_id, source_name, sentiment_score, sentiment_label, CAST(analyzed_at AS DATE) AS date, 202401 AS yyyymm
-FROM scored_events WHERE CAST(analyzed_at AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-12'""",
+    """SELECT news_id, source_name, sentiment_score, sentiment_label, date, CAST(strftime(date, '%Y%m') AS INT) AS yyyymm
+FROM (SELECT *, CAST(analyzed_at AS DATE) - CAST(news_id % 3 * 25 AS INT) AS date FROM scored_events) e""",
     views=("scored_events",),
 )
 def q_partitioned_fact_sink(spark, sf_dir):
-    """Append the wide fact by month, then read one month, three days of it."""
+    """Append the wide fact by month (the events, spread over three months) and
+    read the whole sink back."""
     e = Tables(spark, sf_dir).scored_events
-    fact = e.select("news_id", "source_name", "sentiment_score", "sentiment_label", C.day("analyzed_at").alias("date"))
+    date = F.date_sub(C.day("analyzed_at"), (F.col("news_id") % 3 * 25).cast("int"))
+    fact = e.select("news_id", "source_name", "sentiment_score", "sentiment_label", date.alias("date"))
     path = scratch_path(spark, "news_sentiment")
     W.write_partitioned_fact(fact, path)
-    m = W.read_fact_month(spark, path, 202401)
-    return m.filter(F.col("date").between(F.lit("2024-01-10").cast("date"), F.lit("2024-01-12").cast("date"))).select(
-        "news_id", "source_name", "sentiment_score", "sentiment_label", "date", "yyyymm")
+    return spark.read.parquet(path).select("news_id", "source_name", "sentiment_score", "sentiment_label", "date", "yyyymm")
 
 
 @register(
     "stats_snapshot_sink",
-    f"""SELECT 'sentiment:stats:24h' AS cache_key, COUNT(*) AS news_count,
-       COALESCE({sql_mean('sr.sentiment_score')}, 0) AS avg_sentiment,
-       COUNT(CASE WHEN sr.sentiment_label = 'positive' THEN 1 END) AS positive_count,
+    f"""SELECT 'stats:24h' AS cache_key, COUNT(*) AS total,
+       CAST(round(COALESCE({sql_mean('sr.sentiment_score')}, 0), 6) AS DECIMAL(12,6)) AS avg_sentiment,
+       COUNT(*) FILTER (sr.sentiment_label = 'positive') AS positive, COUNT(*) FILTER (sr.sentiment_label = 'neutral') AS neutral,
+       COUNT(*) FILTER (sr.sentiment_label = 'negative') AS negative, '2024-01-30T12:00:00Z' AS value_updated_at,
        TIMESTAMP '2024-01-30 12:00:00' AS updated_at, TIMESTAMP '2024-01-30 13:00:00' AS expires_at
 FROM raw_news rn LEFT JOIN sentiment_results sr ON rn.id = sr.news_id
 WHERE rn.published_at >= TIMESTAMP '2024-01-29 12:00:00'""",
@@ -219,14 +215,14 @@ WHERE rn.published_at >= TIMESTAMP '2024-01-29 12:00:00'""",
 def q_stats_snapshot_sink(spark, sf_dir):
     """Write the 24h stats snapshot (1h time to live), read it back 30 minutes later."""
     t = Tables(spark, sf_dir)
-    at = ts("2024-01-30 12:00:00")
-    snap = W.stats_snapshot(A.stats_24h(t, as_of="2024-01-30 12:00:00"), "sentiment:stats:24h", at)
+    snap = W.stats_snapshot(A.stats_24h(t, as_of="2024-01-30 12:00:00"), ts("2024-01-30 12:00:00"))
     path = scratch_path(spark, "stats_snapshot")
     snap.write.mode("overwrite").parquet(path)
-    got = W.read_snapshot(spark.read.parquet(path), "sentiment:stats:24h", ts("2024-01-30 12:30:00"))
-    v = F.from_json("value", "news_count long, avg_sentiment double, positive_count long")
+    got = W.read_snapshot(spark.read.parquet(path), "stats:24h", ts("2024-01-30 12:30:00"))
+    v = F.from_json("value", "total long, avg_sentiment decimal(12,6), positive long, neutral long, negative long, updated_at string")
     return got.select("cache_key", v.alias("v"), "updated_at", "expires_at").select(
-        "cache_key", "v.news_count", "v.avg_sentiment", "v.positive_count", "updated_at", "expires_at")
+        "cache_key", "v.total", "v.avg_sentiment", "v.positive", "v.neutral", "v.negative",
+        F.col("v.updated_at").alias("value_updated_at"), "updated_at", "expires_at")
 
 
 def job_log(t):

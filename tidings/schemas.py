@@ -16,7 +16,7 @@ PAGE_SIZE_MAX = 100
 TREND_DAYS_MAX = 90
 DEFAULT_RETENTION_DAYS = 90
 STATS_CACHE_TTL_HOURS = 1
-STATS_CACHE_KEY = "sentiment:stats:24h"
+STATS_CACHE_KEY = "stats:24h"
 FEED_ENTRY_LIMIT = 20
 DASHBOARD_LATEST = 20
 REPORT_LATEST = 5
@@ -117,7 +117,22 @@ FEED_ITEM = T.StructType(
         T.StructField("link", T.StringType()),
         T.StructField("description", T.StringType()),
         T.StructField("content", T.StringType()),
+        T.StructField("content:encoded", T.StringType()),
         T.StructField("author", T.StringType()),
+        T.StructField("dc:creator", T.StringType()),
         T.StructField("pubDate", T.StringType()),
     ]
 )
+
+ATOM_ENTRY = T.StructType(
+    [
+        T.StructField("id", T.StringType()),
+        T.StructField("title", T.StringType()),
+        T.StructField("link", T.ArrayType(T.StructType([T.StructField("_href", T.StringType()), T.StructField("_rel", T.StringType())]))),
+        T.StructField("summary", T.StringType()),
+        T.StructField("content", T.StringType()),
+        T.StructField("author", T.ArrayType(T.StructType([T.StructField("name", T.StringType())]))),
+        T.StructField("published", T.StringType()),
+        T.StructField("updated", T.StringType()),
+    ]
+)
