@@ -31,18 +31,20 @@ def test_validation_reasons(spark):
     got = [r.reasons for r in I.validate_rows(df, I.sentiment_checks()).collect()]
     assert got[0] == []
     assert got[1] == ["news_id_null", "score_range", "impact_range", "label_enum"]
-    assert got[2] == ["score_range", "confidence_range", "impact_range", "label_enum"]
+    assert got[2] == ["score_range", "confidence_range", "label_enum"]  # an impact may be NULL
+    valid, rejects = I.split_valid(df, I.sentiment_checks())
+    assert valid.columns == df.columns and valid.count() == 1 and [len(r.reasons) for r in rejects.collect()] == [4, 3]
 
 
 def test_top_n_per_group_exact_under_skew(spark):
-    """One feed holds most rows: both plans (partial group limit, salted
-    two-stage) equal a brute force ranking."""
+    """One feed holds most rows: the salted ranking equals brute force, with
+    and without the partial group limit."""
     rows = [("hot", i) for i in range(3000)] + [(f"f{k}", k * 7 + j) for k in range(20) for j in range(30)]
     df = spark.createDataFrame(rows, "feed string, pos long").repartition(6)
     expect = {}
     for f, p in rows:
         expect.setdefault(f, []).append(p)
-    for threshold in ("1000", "5"):  # 5 < n forces the salted plan
+    for threshold in ("1000", "5"):  # 5 < n: no partial limit
         spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", threshold)
         try:
             got = top_n_per_group(df, ["feed"], [F.col("pos").asc()], 20, salt_key=F.col("pos"), buckets=16)
@@ -99,3 +101,21 @@ def test_parse_messages_rejects_wrong_types_non_objects_and_bad_times(spark):
     df = spark.createDataFrame([(v,) for v in bad + good], "value string")
     got = [(r.is_corrupt, r.id) for r in I.parse_messages(df, S.NEWS_MESSAGE).collect()]
     assert got == [(True, None)] * len(bad) + [(False, 1), (False, 2), (False, 3)]
+
+
+def test_feeds_in_rss_and_atom(spark, tmp_path):
+    (tmp_path / "feed=a").mkdir()
+    (tmp_path / "feed=b").mkdir()
+    (tmp_path / "feed=a" / "a.xml").write_text("""<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom"><title>Feed</title>
+<entry><id>1</id><title type="html">T &amp; t</title><link rel="self" href="http://a/self"/><link rel="alternate" href="http://a/1"/>
+<author><name>Ann</name></author><author><name>Bob</name></author><summary>s</summary><content type="html">c</content>
+<published>2024-01-05T10:00:00Z</published></entry>
+<entry><title>no id</title><link href="http://a/2"/><summary>s2</summary><updated>2024-01-06T01:00:00+01:00</updated></entry></feed>""")
+    (tmp_path / "feed=b" / "b.xml").write_text("""<?xml version="1.0"?><rss xmlns:dc="d" xmlns:content="c"><channel><title>Feed</title>
+<item><title>R</title><link>http://b/1</link><description>d</description><content:encoded>full</content:encoded><dc:creator>Cy</dc:creator>
+<pubDate>Fri, 5 Jan 2024 09:00:00 GMT</pubDate></item></channel></rss>""")
+    got = I.read_feed_items(spark, str(tmp_path), F.lit("2024-02-01").cast("timestamp_ntz"))
+    assert sorted((r.feed, r.guid, r.title, r.link, r.content, r.author, str(r.published)) for r in got.collect()) == [
+        ("a", "1", "T & t", "http://a/1", "c", "Ann", "2024-01-05 10:00:00"),
+        ("a", "http://a/2", "no id", "http://a/2", "s2", "", "2024-01-06 00:00:00"),
+        ("b", "http://b/1", "R", "http://b/1", "full", "Cy", "2024-01-05 09:00:00")]

@@ -108,6 +108,11 @@ def first_nonempty(*cols) -> Column:
     return F.coalesce(*[F.nullif(_c(c), F.lit("")) for c in cols])
 
 
+def entry_author(author, authors) -> Column:
+    """The author, else the first of the authors if it has a name, else ''."""
+    return F.coalesce(first_nonempty(author, F.get(_c(authors), F.lit(0))), F.lit(""))
+
+
 # ---- C-6 truncation ----------------------------------------------------------------
 def truncate(text, n: int, suffix: str = "...") -> Column:
     t = _c(text)

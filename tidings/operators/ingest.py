@@ -28,19 +28,43 @@ def write_feed_files(items: DataFrame, path: str, feed_col: str = "feed") -> Non
      .option("rootTag", "channel").option("rowTag", "item").save(path))
 
 
-def read_feed_items(spark: SparkSession, path: str, now: Column, schema: T.StructType = S.FEED_ITEM) -> DataFrame:
-    """RSS/Atom payload files -> entry rows (feed, guid, title, link,
-    description, content, author, published).  The feed is the folder name."""
-    raw = (spark.read.format("xml").option("rowTag", "item").option("ignoreSurroundingSpaces", "false")
-           .schema(T.StructType(schema.fields + [T.StructField("feed", T.StringType())])).load(path))
-    return raw.select(
-        "feed",
-        C.first_nonempty("guid", "link").alias("guid"),
-        "title", "link", "description",
-        C.first_nonempty("content", "description").alias("content"),
-        F.coalesce("author", F.lit("")).alias("author"),
-        C.parse_feed_date("pubDate", now).alias("published"),
-    )
+def write_atom_files(items: DataFrame, path: str, feed_col: str = "feed") -> None:
+    """Land entries as Atom payloads, one folder per feed."""
+    entry = items.select(
+        feed_col, F.col("guid").alias("id"), "title", F.struct(F.col("link").alias("_href"), F.lit("alternate").alias("_rel")).alias("link"),
+        F.col("description").alias("summary"), "content", F.when(F.col("author").isNotNull(), F.struct(F.col("author").alias("name"))).alias("author"),
+        F.col("pubDate").alias("published"))
+    (entry.write.mode("append").partitionBy(feed_col).format("xml")
+     .option("rootTag", "feed").option("rowTag", "entry").save(path))
+
+
+def _read_xml(spark: SparkSession, path: str, tag: str, schema: T.StructType) -> DataFrame:
+    return (spark.read.format("xml").option("rowTag", tag).option("ignoreSurroundingSpaces", "false")
+            .schema(T.StructType([*schema.fields, T.StructField("feed", T.StringType())])).load(path))
+
+
+def _links(links: Column) -> Column:
+    """The page an Atom entry is about: its first link without ``rel`` or with
+    ``rel="alternate"``, else its first link."""
+    page = F.filter(links, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    return F.coalesce(F.get(page, F.lit(0))["_href"], F.get(links, F.lit(0))["_href"])
+
+
+def read_feed_items(spark: SparkSession, path: str, now: Column) -> DataFrame:
+    """RSS (``item``) and Atom (``entry``) payload files -> entry rows (feed,
+    guid, title, link, description, content, author, published).  The feed is
+    the folder name.  Author: the entry's, of several the first, else ''.  Content: else the description."""
+    rss = _read_xml(spark, path, "item", S.FEED_ITEM).select(
+        "feed", "guid", "title", "link", "description", C.first_nonempty("content", "`content:encoded`").alias("content"),
+        C.first_nonempty("author", "`dc:creator`").alias("author"), C.parse_feed_date("pubDate", now).alias("published"))
+    when = C.first_nonempty("published", "updated")
+    atom = _read_xml(spark, path, "entry", S.ATOM_ENTRY).select(
+        "feed", F.col("id").alias("guid"), "title", _links(F.col("link")).alias("link"), F.col("summary").alias("description"), "content",
+        F.get(F.col("author"), F.lit(0))["name"].alias("author"),
+        F.coalesce(F.try_to_timestamp(when).cast("timestamp_ntz"), C.parse_feed_date(when, now)).alias("published"))
+    return rss.unionByName(atom).select(
+        "feed", C.first_nonempty("guid", "link").alias("guid"), "title", "link", "description",
+        C.first_nonempty("content", "description").alias("content"), F.coalesce("author", F.lit("")).alias("author"), "published")
 
 
 # ---- S-2 first n entries per feed ------------------------------------------------------------
@@ -198,17 +222,53 @@ def validation_reasons(checks: Mapping[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in checks.items()]))
 
 
+def _in(col: str, values) -> Column:
+    return F.col(col).isin(*values)
+
+
+def _or_null(col: str, check: Column) -> Column:
+    """A domain check of a column that may be NULL."""
+    return F.col(col).isNull() | check
+
+
 def sentiment_checks() -> dict[str, Column]:
-    s, conf, imp, lab = F.col("sentiment_score"), F.col("confidence"), F.col("market_impact_score"), F.col("sentiment_label")
     return {
         "news_id_null": F.col("news_id").isNotNull(),
-        "score_range": s.between(-1, 1),
-        "confidence_range": conf.between(0, 1),
-        "impact_range": imp.between(0, 100),
-        "label_enum": lab.isin(*S.LABELS),
+        "score_range": F.col("sentiment_score").between(-1, 1),
+        "confidence_range": F.col("confidence").between(0, 1),
+        "impact_range": _or_null("market_impact_score", F.col("market_impact_score").between(0, 100)),
+        "label_enum": _in("sentiment_label", S.LABELS),
     }
 
 
+def source_checks() -> dict[str, Column]:
+    return {"name_null": F.col("name").isNotNull(), "url_null": F.col("url").isNotNull(), "type_enum": _in("type", S.SOURCE_TYPES),
+            "status_enum": _or_null("status", _in("status", S.SOURCE_STATUSES))}
+
+
+def bridge_checks() -> dict[str, Column]:
+    return {"relevance_range": F.col("relevance_score").between(0, 1)}
+
+
+def trend_checks() -> dict[str, Column]:
+    return {"stat_date_null": F.col("stat_date").isNotNull(), "trend_enum": _or_null("sentiment_trend", _in("sentiment_trend", S.TREND_LABELS))}
+
+
+def config_checks() -> dict[str, Column]:
+    return {"key_null": F.col("config_key").isNotNull(), "value_null": F.col("config_value").isNotNull(),
+            "type_enum": _or_null("value_type", _in("value_type", S.CONFIG_TYPES))}
+
+
+def job_checks() -> dict[str, Column]:
+    return {"job_name_null": F.col("job_name").isNotNull(), "status_enum": _in("status", S.JOB_STATUSES)}
+
+
+def split_valid(df: DataFrame, checks: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(valid rows, rejects with their ``reasons``)."""
+    v = validate_rows(df, checks)
+    return v.filter("is_valid").select(*df.columns), v.filter(~F.col("is_valid")).drop("is_valid")
+
+
 def validate_rows(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
     """Rows with ``reasons`` and ``is_valid``; split by ``is_valid``."""
     return df.withColumn("reasons", validation_reasons(checks)).withColumn("is_valid", F.size("reasons") == 0)
@@ -248,29 +308,45 @@ def sources_due(sources: DataFrame, as_of: Column) -> DataFrame:
 
 
 # ---- S-10 generated series --------------------------------------------------------------------------
-# The three sample titles and scores of the seed data, chosen by n % 3.
+# The three sample rows of the seed data, chosen by n % 3.
 SAMPLE_TITLES = ["科技巨头发布新款AI芯片，性能提升50%", "新能源汽车销量创新高，市场前景广阔", "金融市场波动加剧，投资者需谨慎"]
+SAMPLE_CONTENTS = [
+    "某科技公司今日发布了最新一代AI处理器，相比上一代产品性能提升了50%，能效比也有显著改善。业内专家普遍认为，这一突破将推动人工智能应用的进一步普及。",
+    "最新数据显示，新能源汽车市场持续高速增长，上月销量同比增长超过80%。多家车企宣布扩产计划，产业链上下游企业纷纷受益。",
+    "受国际局势影响，全球金融市场出现较大波动。分析师建议投资者保持谨慎，关注政策动向，合理配置资产。",
+]
+SAMPLE_SUMMARIES = ["新一代AI处理器发布，性能大幅提升", "新能源汽车销量创新高", "金融市场波动加剧"]
 SAMPLE_SCORES = ["0.65", "0.45", "-0.25"]
 SAMPLE_LABELS = ["positive", "neutral", "negative"]
 SAMPLE_IMPACT = [75, 60, 45]
+SAMPLE_CONFIDENCE = "0.85"
+SAMPLE_ENTITIES = [
+    '[{"name": "AI芯片", "type": "product", "sentiment": "positive"}, {"name": "科技公司", "type": "company", "sentiment": "positive"}]',
+    '[{"name": "新能源汽车", "type": "industry", "sentiment": "positive"}]',
+    '[{"name": "金融市场", "type": "market", "sentiment": "negative"}]',
+]
+SAMPLE_KEYWORDS = ['["AI", "芯片", "性能", "提升"]', '["新能源", "汽车", "销量", "增长"]', '["金融", "市场", "波动", "投资"]']
 
 
 def sample_series(sources: DataFrame, per_source: int, as_of: Column) -> DataFrame:
-    """``per_source`` sample rows for every source, one per hour back from
-    ``as_of``, text and score by n % 3 (generated, no cross join)."""
+    """``per_source`` sample news with their scores for every source, one per
+    hour back from ``as_of``, analysed five minutes later; texts, scores,
+    entities and keywords by n % 3 (generated, no cross join)."""
     x = sources.select(F.col("id").alias("source_id"), F.explode(F.sequence(F.lit(1), F.lit(per_source))).alias("n"))
     k = F.col("n") % 3
+    n = F.col("n").cast("string")
+    at = F.timestamp_add("HOUR", -F.col("n"), as_of)
 
-    def pick(vals, cast=None):
-        e = F.when(k == 0, F.lit(vals[0])).when(k == 1, F.lit(vals[1])).otherwise(F.lit(vals[2]))
-        return e.cast(cast) if cast else e
+    def pick(vals, kind: str = "string"):
+        return F.when(k == 0, F.lit(vals[0])).when(k == 1, F.lit(vals[1])).otherwise(F.lit(vals[2])).cast(kind)
 
     return x.select(
         "source_id", "n",
-        F.concat(F.lit("sample-"), F.col("source_id").cast("string"), F.lit("-"), F.col("n").cast("string")).alias("external_id"),
-        pick(SAMPLE_TITLES).alias("title"),
-        F.timestamp_add("HOUR", -F.col("n"), as_of).alias("published_at"),
-        pick(SAMPLE_SCORES, "decimal(5,4)").alias("sentiment_score"),
-        pick(SAMPLE_LABELS).alias("sentiment_label"),
-        pick(SAMPLE_IMPACT, "int").alias("market_impact_score"),
+        F.concat(F.lit("sample-"), F.col("source_id").cast("string"), F.lit("-"), n).alias("external_id"),
+        pick(SAMPLE_TITLES).alias("title"), pick(SAMPLE_CONTENTS).alias("content"), pick(SAMPLE_SUMMARIES).alias("summary"),
+        F.concat(F.lit("https://example.com/news/"), n).alias("url"), F.concat(F.lit("记者"), n).alias("author"),
+        at.alias("published_at"), pick(SAMPLE_SCORES, "decimal(5,4)").alias("sentiment_score"), pick(SAMPLE_LABELS).alias("sentiment_label"),
+        F.lit(SAMPLE_CONFIDENCE).cast("decimal(5,4)").alias("confidence"), pick(SAMPLE_ENTITIES).alias("entities"),
+        pick(SAMPLE_KEYWORDS).alias("keywords"), pick(SAMPLE_IMPACT, "int").alias("market_impact_score"),
+        F.timestamp_add("MINUTE", F.lit(5), at).alias("analyzed_at"),
     )

@@ -136,19 +136,26 @@ def semi_join_sector(news: DataFrame, news_sectors: DataFrame, sectors: DataFram
     return news.join(ids, id_col, "left_semi")
 
 
-# ---- J-3 view -------------------------------------------------------------------------
-def news_sentiment_view(news: DataFrame, sources: DataFrame, sentiment: DataFrame, processed_only: bool = True) -> DataFrame:
-    """processed news LEFT JOIN source LEFT JOIN sentiment.  'Processed' is
-    derived as "a sentiment row exists" (the stored flag was never set)."""
+# ---- J-3 views ------------------------------------------------------------------------
+def news_sentiment_view(news: DataFrame, sources: DataFrame, sentiment: DataFrame) -> DataFrame:
+    """Processed news LEFT JOIN source LEFT JOIN sentiment, 12 columns.
+    'Processed' is derived as "a sentiment row exists" (the stored flag was
+    never set)."""
     src = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
-    sr = sentiment.select(F.col("news_id").alias("id"), "sentiment_score", "sentiment_label", "confidence",
-                          "market_impact_score")
-    how = "inner" if processed_only else "left"
+    details = ["sentiment_score", "sentiment_label", "confidence", "market_impact_score", "entities", "keywords", "analyzed_at"]
+    sr = sentiment.select(F.col("news_id").alias("id"), *details)
     n = news.select("id", "source_id", "title", "url", "published_at")
-    return n.join(sr, "id", how).join(src, "source_id", "left").select(
-        "id", "title", "url", "published_at", "source_name", "sentiment_score", "sentiment_label",
-        "confidence", "market_impact_score",
-    )
+    return n.join(sr, "id").join(src, "source_id", "left").select("id", "title", "url", "published_at", "source_name", *details)
+
+
+def news_sentiment_view_all(news: DataFrame, sources: DataFrame, sentiment: DataFrame) -> DataFrame:
+    """The simple variant: all news, 13 columns, newest first."""
+    src = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
+    details = ["sentiment_score", "sentiment_label", "confidence", "keywords", "industry_tags", "analyzed_at"]
+    sr = sentiment.select(F.col("news_id").alias("id"), *details)
+    n = news.select("id", "source_id", "title", "content", "url", _opt(news, "author").alias("author"), "published_at")
+    return newest_first(n.join(sr, "id", "left").join(src, "source_id", "left").select(
+        "id", "title", "content", "url", "author", "published_at", "source_name", *details))
 
 
 # ---- F-12 point lookup ---------------------------------------------------------------

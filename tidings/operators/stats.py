@@ -63,24 +63,24 @@ def stats_24h(t, as_of=S.FIXTURE_AS_OF) -> DataFrame:
 
 
 # ---- minimal store adapter ------------------------------------------------------------------
-def minimal_news(t) -> DataFrame:
+def minimal_news(t, source: bool = True, scores: bool = True, sector: bool = True) -> DataFrame:
     """The single-table store of the minimal variant: score defaults to 0,
-    label to '' and ``analyzed`` is 1 once a result exists."""
-    news = t.raw_news.select("id", "title", "url", "published_at", "source_id")
-    src = t.news_sources.select(F.col("id").alias("source_id"), F.col("name").alias("source"))
-    sr = t.sentiment_results.select(F.col("news_id").alias("id"), "sentiment_score", "sentiment_label")
-    prim = t.news_sectors.filter("is_primary").select(F.col("news_id").alias("id"), "sector_id")
-    sec = t.market_sectors.select(F.col("id").alias("sector_id"), F.col("name").alias("sector"))
-    j = (news.join(src, "source_id", "left").join(sr, "id", "left")
-         .join(prim, "id", "left").join(sec, "sector_id", "left"))
-    return j.select(
-        "id", "title", "url", "source", "published_at",
-        F.coalesce("sentiment_score", F.lit(0).cast("decimal(5,4)")).alias("sentiment_score"),
-        F.coalesce("sentiment_label", F.lit("")).alias("sentiment_label"),
-        F.col("sentiment_label").isNotNull().alias("analyzed"),
-        "sector",
-        F.col("published_at").alias("created_at"),
-    )
+    label to '' and ``analyzed`` is 1 once a result exists.  The store is a
+    view over joins: a query that needs no source, score or sector leaves
+    that join (and its columns) out."""
+    j = t.raw_news.select("id", "title", "url", "published_at", "source_id", F.col("published_at").alias("created_at"))
+    if source:
+        j = j.join(t.news_sources.select(F.col("id").alias("source_id"), F.col("name").alias("source")), "source_id", "left")
+    if scores:
+        sr = t.sentiment_results.select(F.col("news_id").alias("id"), F.col("sentiment_score").alias("_s"), F.col("sentiment_label").alias("_l"))
+        j = j.join(sr, "id", "left").withColumns({
+            "sentiment_score": F.coalesce("_s", F.lit(0).cast("decimal(5,4)")), "sentiment_label": F.coalesce("_l", F.lit("")),
+            "analyzed": F.col("_l").isNotNull()}).drop("_s", "_l")
+    if sector:
+        prim = t.news_sectors.filter("is_primary").select(F.col("news_id").alias("id"), "sector_id")
+        sec = t.market_sectors.select(F.col("id").alias("sector_id"), F.col("name").alias("sector"))
+        j = j.join(prim.join(sec, "sector_id").drop("sector_id"), "id", "left")
+    return j.drop("source_id")
 
 
 def _minimal_agg(df: DataFrame) -> DataFrame:

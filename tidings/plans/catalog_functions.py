@@ -101,15 +101,23 @@ def q_fn_parse_date(spark, sf_dir):
     "fn_first_nonempty",
     """SELECT id,
        COALESCE(nullif(CASE WHEN id % 3 = 0 THEN '' ELSE external_id END, ''), url) AS guid,
-       md5(COALESCE(nullif(CASE WHEN id % 4 = 0 THEN '' ELSE content END, ''), title)) AS body_md5
+       md5(COALESCE(nullif(CASE WHEN id % 4 = 0 THEN '' ELSE content END, ''), title)) AS body_md5,
+       CASE id % 5 WHEN 0 THEN 'a' || id WHEN 1 THEN 'b' || id WHEN 2 THEN 'b' || id ELSE '' END AS author,
+       COALESCE(CASE WHEN id % 7 > 1 THEN title END, url) AS summary
 FROM raw_news""",
     views=("raw_news",),
 )
 def q_fn_first_nonempty(spark, sf_dir):
     n = Tables(spark, sf_dir).raw_news
-    guid = F.when(F.col("id") % 3 == 0, F.lit("")).otherwise(F.col("external_id"))
-    body = F.when(F.col("id") % 4 == 0, F.lit("")).otherwise(F.col("content"))
-    return n.select("id", C.first_nonempty(guid, "url").alias("guid"), F.md5(C.first_nonempty(body, "title")).alias("body_md5"))
+    i, text = F.col("id"), F.col("id").cast("string")
+    guid = F.when(i % 3 == 0, F.lit("")).otherwise(F.col("external_id"))
+    body = F.when(i % 4 == 0, F.lit("")).otherwise(F.col("content"))
+    # kinds: an author; '' or none with two authors; authors whose first is ''; no author at all
+    author = F.when(i % 5 == 0, F.concat(F.lit("a"), text)).when(i % 5 == 1, F.lit(""))
+    authors = F.when(i % 5 < 3, F.array(F.concat(F.lit("b"), text), F.lit("c"))).when(i % 5 == 3, F.array(F.lit(""), F.lit("c")))
+    summary = F.when(i % 7 > 1, F.col("title")).when(i % 7 == 1, F.lit(""))
+    return n.select("id", C.first_nonempty(guid, "url").alias("guid"), F.md5(C.first_nonempty(body, "title")).alias("body_md5"),
+                    C.entry_author(author, authors).alias("author"), C.first_nonempty(summary, "url").alias("summary"))
 
 
 @register(

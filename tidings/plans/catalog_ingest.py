@@ -10,6 +10,7 @@ from ..functions import core as C
 from ..operators import ingest as I
 from ..operators import sectors as G
 from ..session import scratch_path
+from ..sources import seeds as D
 from ..sources.fixtures import Tables, ts
 from .registry import register
 
@@ -25,8 +26,9 @@ def feed_entries(t):
         F.when(F.col("id") % 3 == 0, F.lit("")).otherwise(F.col("external_id")).alias("guid"),
         "title", F.col("url").alias("link"), F.col("title").alias("description"),
         F.when(F.col("id") % 4 == 0, F.lit(None).cast("string")).otherwise(F.col("content")).alias("content"),
-        F.lit(None).cast("string").alias("author"),
+        F.when(F.col("id") % 6 < 2, F.concat(F.lit("author "), F.col("id").cast("string"))).alias("author"),
         F.concat(F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000")).alias("pubDate"),
+        (F.col("id") % 5 == 0).alias("is_atom"),
     )
 
 
@@ -36,15 +38,18 @@ def feed_entries(t):
        COALESCE(nullif(CASE WHEN rn.id % 3 = 0 THEN '' ELSE rn.external_id END, ''), rn.url) AS guid,
        rn.title, rn.url AS link, rn.title AS description,
        md5(COALESCE(nullif(CASE WHEN rn.id % 4 = 0 THEN NULL ELSE rn.content END, ''), rn.title)) AS content_md5,
-       '' AS author,
+       CASE WHEN rn.id % 6 < 2 THEN 'author ' || CAST(rn.id AS VARCHAR) ELSE '' END AS author,
        COALESCE(date_trunc('second', rn.published_at), {AS_OF}) AS published
 FROM raw_news rn LEFT JOIN news_sources src ON rn.source_id = src.id""",
     views=("raw_news", "news_sources"),
 )
 def q_feed_items_scan(spark, sf_dir):
+    """RSS payloads, and Atom payloads for every fifth entry."""
     t = Tables(spark, sf_dir)
     path = scratch_path(spark, "feeds")
-    I.write_feed_files(feed_entries(t), path)
+    entries = feed_entries(t)
+    I.write_feed_files(entries.filter(~F.col("is_atom")).drop("is_atom"), path)
+    I.write_atom_files(entries.filter("is_atom"), path)
     items = I.read_feed_items(spark, path, ts("2024-01-31 00:00:00"))
     return items.select("feed", "guid", "title", "link", "description", F.md5("content").alias("content_md5"), "author", "published")
 
@@ -226,6 +231,27 @@ def candidate_results(t):
     )
 
 
+def dimension_candidates(t):
+    """Source, bridge, trend, config and run-log rows, some outside their domains."""
+    e, kind = t.events, F.col("event_id") % 7
+    pick = lambda vals: F.get(F.array(*[F.lit(v).cast("string") for v in vals]), kind.cast("int"))
+    return {
+        "news_sources": (t.raw_news.select(
+            F.col("id").alias("row_id"), F.lit("s").alias("name"), F.when(F.col("id") % 11 != 0, F.col("url")).alias("url"),
+            F.get(F.array(*[F.lit(v) for v in (*S.SOURCE_TYPES, "ftp")]), (F.col("id") % 5).cast("int")).alias("type"),
+            F.when(F.col("id") % 2 == 0, "active").when(F.col("id") % 3 == 0, "asleep").alias("status")), I.source_checks()),
+        "news_sectors": (t.news_sectors.filter("is_primary").select(
+            F.col("news_id").alias("row_id"), (F.col("sector_id") / 16).alias("relevance_score")), I.bridge_checks()),
+        "daily_stats": (e.select(F.col("event_id").alias("row_id"), F.when(F.col("event_id") % 13 != 0, C.day("ts")).alias("stat_date"),
+                                 pick((*S.TREND_LABELS, "up", None, "")).alias("sentiment_trend")), I.trend_checks()),
+        "system_configs": (e.select(F.col("event_id").alias("row_id"), F.col("event_type").alias("config_key"),
+                                    F.when(F.col("event_id") % 13 != 0, F.col("props")).alias("config_value"),
+                                    pick((*S.CONFIG_TYPES, "date", None)).alias("value_type")), I.config_checks()),
+        "job_logs": (e.select(F.col("event_id").alias("row_id"), F.when(F.col("event_id") % 13 != 0, F.col("event_type")).alias("job_name"),
+                              pick((*S.JOB_STATUSES, "done", None)).alias("status")), I.job_checks()),
+    }
+
+
 @register(
     "validate_rows",
     """WITH c AS (
@@ -234,18 +260,39 @@ def candidate_results(t):
          CAST(replace(replace(props, '{"k": ', ''), '}', '') AS INT) AS imp, event_type
   FROM events),
 l AS (SELECT *, CASE WHEN event_type = 'error' THEN 'unknown'
-                     WHEN s > 0.3 THEN 'positive' WHEN s < -0.3 THEN 'negative' WHEN s IS NOT NULL THEN 'neutral' END AS lab FROM c)
-SELECT event_id, list_filter([CASE WHEN news_id IS NULL THEN 'news_id_null' END,
-                              CASE WHEN NOT COALESCE(s BETWEEN -1 AND 1, false) THEN 'score_range' END,
-                              CASE WHEN NOT COALESCE(conf BETWEEN 0 AND 1, false) THEN 'confidence_range' END,
-                              CASE WHEN NOT COALESCE(imp BETWEEN 0 AND 100, false) THEN 'impact_range' END,
-                              CASE WHEN NOT COALESCE(lab IN ('positive', 'neutral', 'negative'), false) THEN 'label_enum' END],
-                             lambda x: x IS NOT NULL) AS reasons
-FROM l""",
+                     WHEN s > 0.3 THEN 'positive' WHEN s < -0.3 THEN 'negative' WHEN s IS NOT NULL THEN 'neutral' END AS lab FROM c),
+r AS (
+SELECT 'sentiment_results' AS table_name, event_id AS row_id,
+       [CASE WHEN news_id IS NULL THEN 'news_id_null' END, CASE WHEN NOT COALESCE(s BETWEEN -1 AND 1, false) THEN 'score_range' END,
+        CASE WHEN NOT COALESCE(conf BETWEEN 0 AND 1, false) THEN 'confidence_range' END,
+        CASE WHEN imp NOT BETWEEN 0 AND 100 THEN 'impact_range' END,
+        CASE WHEN NOT COALESCE(lab IN ('positive', 'neutral', 'negative'), false) THEN 'label_enum' END] AS failed FROM l
+UNION ALL
+SELECT 'news_sources', id, [CASE WHEN id % 11 = 0 THEN 'url_null' END, CASE WHEN id % 5 = 4 THEN 'type_enum' END,
+                            CASE WHEN id % 2 <> 0 AND id % 3 = 0 THEN 'status_enum' END] FROM raw_news
+UNION ALL
+SELECT 'news_sectors', news_id, [CASE WHEN sector_id > 16 THEN 'relevance_range' END] FROM news_sectors WHERE is_primary
+UNION ALL
+SELECT 'daily_stats', event_id, [CASE WHEN event_id % 13 = 0 THEN 'stat_date_null' END, CASE WHEN event_id % 7 IN (4, 6) THEN 'trend_enum' END] FROM events
+UNION ALL
+SELECT 'system_configs', event_id, [CASE WHEN event_id % 13 = 0 OR props IS NULL THEN 'value_null' END, CASE WHEN event_id % 7 = 5 THEN 'type_enum' END] FROM events
+UNION ALL
+SELECT 'job_logs', event_id, [CASE WHEN event_id % 13 = 0 THEN 'job_name_null' END, CASE WHEN event_id % 7 IN (5, 6) THEN 'status_enum' END] FROM events)
+SELECT table_name, row_id, list_filter(failed, lambda x: x IS NOT NULL) AS reasons,
+       len(list_filter(failed, lambda x: x IS NOT NULL)) = 0 AS is_valid FROM r""",
+    views=("raw_news", "news_sectors"),
 )
 def q_validate_rows(spark, sf_dir):
-    v = I.validate_rows(candidate_results(Tables(spark, sf_dir)), I.sentiment_checks())
-    return v.select("event_id", "reasons")
+    """Valid rows and rejects of six tables."""
+    t = Tables(spark, sf_dir)
+    tables = {"sentiment_results": (candidate_results(t).withColumnRenamed("event_id", "row_id"), I.sentiment_checks()), **dimension_candidates(t)}
+    out = None
+    for name, (rows, checks) in tables.items():
+        valid, rejects = I.split_valid(rows, checks)
+        x = valid.select("row_id", F.array().cast("array<string>").alias("reasons"), F.lit(True).alias("is_valid")).unionByName(
+            rejects.select("row_id", "reasons", F.lit(False).alias("is_valid"))).withColumn("table_name", F.lit(name))
+        out = x if out is None else out.unionByName(x)
+    return out.select("table_name", "row_id", "reasons", "is_valid")
 
 
 @register(
@@ -295,15 +342,21 @@ def q_sources_due(spark, sf_dir):
     return I.sources_due(source_table(Tables(spark, sf_dir)), ts("2024-01-30 22:00:00"))
 
 
+def _by_n(vals, kind: str = "VARCHAR") -> str:
+    """SQL text: the sample value of n % 3."""
+    return "CAST(list_extract([" + ", ".join(f"'{v}'" for v in vals) + f"], CAST(n % 3 + 1 AS BIGINT)) AS {kind})"
+
+
 @register(
     "series_source",
-    f"""SELECT ns.id AS source_id, g.n, 'sample-' || CAST(ns.id AS VARCHAR) || '-' || CAST(g.n AS VARCHAR) AS external_id,
-       CASE g.n % 3 WHEN 0 THEN '{I.SAMPLE_TITLES[0]}' WHEN 1 THEN '{I.SAMPLE_TITLES[1]}' ELSE '{I.SAMPLE_TITLES[2]}' END AS title,
-       {AS_OF} - INTERVAL 1 HOUR * g.n AS published_at,
-       CAST(CASE g.n % 3 WHEN 0 THEN 0.65 WHEN 1 THEN 0.45 ELSE -0.25 END AS DECIMAL(5,4)) AS sentiment_score,
-       CASE g.n % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'neutral' ELSE 'negative' END AS sentiment_label,
-       CAST(CASE g.n % 3 WHEN 0 THEN 75 WHEN 1 THEN 60 ELSE 45 END AS INT) AS market_impact_score
-FROM news_sources ns, (SELECT unnest(generate_series(1, 5)) AS n) g""",
+    f"""WITH g AS (SELECT ns.id AS source_id, s.n FROM news_sources ns, (SELECT unnest(generate_series(1, 5)) AS n) s)
+SELECT source_id, n, concat('sample-', source_id, '-', n) AS external_id, {_by_n(I.SAMPLE_TITLES)} AS title,
+       {_by_n(I.SAMPLE_CONTENTS)} AS content, {_by_n(I.SAMPLE_SUMMARIES)} AS summary, concat('https://example.com/news/', n) AS url,
+       concat('记者', n) AS author, {AS_OF} - to_hours(n) AS published_at, {_by_n(I.SAMPLE_SCORES, 'DECIMAL(5,4)')} AS sentiment_score,
+       {_by_n(I.SAMPLE_LABELS)} AS sentiment_label, CAST({I.SAMPLE_CONFIDENCE} AS DECIMAL(5,4)) AS confidence,
+       {_by_n(I.SAMPLE_ENTITIES)} AS entities, {_by_n(I.SAMPLE_KEYWORDS)} AS keywords, {_by_n(I.SAMPLE_IMPACT, 'INT')} AS market_impact_score,
+       {AS_OF} - to_hours(n) + INTERVAL 5 MINUTE AS analyzed_at
+FROM g""",
     views=("news_sources",),
 )
 def q_series_source(spark, sf_dir):
@@ -311,29 +364,42 @@ def q_series_source(spark, sf_dir):
     return I.sample_series(t.news_sources, 5, ts("2024-01-31 00:00:00"))
 
 
-def _seed_values() -> str:
-    rows = []
-    for i, (code, name, kws) in enumerate(G.SEED_SECTORS):
-        js = "[" + ", ".join(f'"{k}"' for k in kws) + "]"
-        rows.append(f"({200 + i}, '{code}', '{name}', '{js}')")
-    return ", ".join(rows)
+def _seed_rows() -> str:
+    """SQL VALUES of all seed rows: dimension, variant, code, name, detail, items."""
+    quote = lambda v: "NULL" if v is None else "'" + str(v) + "'"
+    rows = [("sector", "full", c, n, w, "|".join(k), p) for c, n, k, w, p in D.SECTORS]
+    rows += [("sector", v, c, n, None, "|".join(k), None) for v, lst in (("simple", D.SIMPLE_SECTORS), ("minimal", G.SEED_SECTORS)) for c, n, k in lst]
+    rows += [("source", "full", n, u, i, "", None) for n, u, i in D.SOURCES]
+    rows += [("source", v, n, u, 300, "", None) for v, lst in (("simple", D.SIMPLE_SOURCES), ("minimal", D.MINIMAL_SOURCES)) for n, u in lst]
+    rows += [("config", "full", k, v, t, "", None) for k, v, t in D.CONFIGS]
+    rows += [("config", "simple", k, v, "string", "", None) for k, v in D.SIMPLE_CONFIGS]
+    return ",\n".join("(" + ", ".join(quote(v) for v in r) + ")" for r in rows)
 
 
 @register(
     "seed_dimension",
-    f"""SELECT id, CAST(id AS VARCHAR) AS code, name, CAST([] AS VARCHAR[]) AS keywords, parent_id FROM market_sectors
+    f"""SELECT 'sector' AS dimension, 'fixture' AS variant, CAST(id AS VARCHAR) AS code, name, CAST(NULL AS VARCHAR) AS detail,
+       CAST([] AS VARCHAR[]) AS keywords, CAST(parent_id AS VARCHAR) AS parent FROM market_sectors
 UNION ALL
-SELECT id, code, name, CAST(kw AS VARCHAR[]) AS keywords, CAST(NULL AS INTEGER) AS parent_id
-FROM (VALUES {_seed_values()}) AS v(id, code, name, kw)""",
+SELECT d, v, code, name, detail, CASE WHEN kw = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(kw, '|') END, parent
+FROM (VALUES {_seed_rows()}) AS x(d, v, code, name, detail, kw, parent)""",
     views=("market_sectors",),
 )
 def q_seed_dimension(spark, sf_dir):
-    """The fixture sector dimension completed with the seed sectors (keyword
-    lists given as JSON text, parsed into arrays)."""
+    """The fixture sectors completed with the seed sectors (keyword lists given
+    as JSON text, parsed into arrays), sources and configurations."""
     t = Tables(spark, sf_dir)
-    base = t.market_sectors.select("id", F.col("id").cast("string").alias("code"), "name",
-                                   F.array().cast("array<string>").alias("keywords"), "parent_id")
-    rows = [(200 + i, code, name, "[" + ", ".join(f'"{k}"' for k in kws) + "]") for i, (code, name, kws) in enumerate(G.SEED_SECTORS)]
-    seed = spark.createDataFrame(rows, "id int, code string, name string, kw string").select(
-        "id", "code", "name", C.json_list_lenient("kw").alias("keywords"), F.lit(None).cast("int").alias("parent_id"))
-    return base.unionByName(seed)
+    none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
+
+    def rows(df, dimension, variant, code, name, detail=none, keywords=empty, parent=none):
+        return df.select(F.lit(dimension).alias("dimension"), F.col(variant).alias("variant") if isinstance(variant, str) else variant.alias("variant"),
+                         F.col(code).cast("string").alias("code"), F.col(name).alias("name"), detail.cast("string").alias("detail"),
+                         keywords.alias("keywords"), parent.cast("string").alias("parent"))
+
+    out = rows(t.market_sectors, "sector", F.lit("fixture"), "id", "name", parent=F.col("parent_id"))
+    out = out.unionByName(rows(D.seed_sectors(spark), "sector", "variant", "code", "name", F.col("weight"),
+                               C.json_list_lenient("keywords"), F.col("parent_code")))
+    out = out.unionByName(rows(D.seed_sources(spark), "source", "variant", "name", "url", F.col("fetch_interval")))
+    for v in ("full", "simple"):
+        out = out.unionByName(rows(D.seed_configs(spark, v), "config", F.lit(v), "config_key", "config_value", F.col("value_type")))
+    return out
