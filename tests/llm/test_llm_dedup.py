@@ -7,7 +7,7 @@ import zlib
 
 import pytest
 import xxhash
-from llm_cases import frame, rows
+from llm_cases import frame, prose, rows, word
 from pyspark.sql import functions as F
 
 from tidings.llm import kd_sharding, queries, simhash, warc_store
@@ -93,6 +93,29 @@ def test_components_of_a_long_chain(spark):
     assert {r["root"] for r in simhash.components(edges).collect()} == {0}
 
 
+def test_components_of_ids_near_two_to_the_61(spark):
+    ids = [(1 << 61) + i for i in range(12)]
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
+    assert {r["node"]: r["root"] for r in simhash.components(edges).collect()} == dict.fromkeys(ids[1:], ids[0])
+
+
+def test_linked_near_copies_without_ids(spark):
+    rng = random.Random(9)
+    base = prose(rng, 300)
+    texts = {simhash.fingerprint(base.encode()): base}
+    while len(texts) < 5:
+        text = f"{base} {word(rng)}"
+        fp = simhash.fingerprint(text.encode())
+        if any(0 < (fp ^ other).bit_count() <= 2 for other in texts):
+            texts[fp] = text
+    docs = [(None, t, None, None, None) for t in texts.values()]
+    got = simhash.near_duplicates(frame(spark, docs)).collect()
+    assert {int(r["fingerprint"], 16) for r in got} == set(texts) and {r["component_id"] for r in got} == {None}
+    assert simhash.keep_one(frame(spark, docs)).count() == 5
+    got = simhash.near_duplicates(frame(spark, [(7, base, None, None, None), *docs])).collect()
+    assert {r["component_id"] for r in got} == {7}
+
+
 # ---- K-d sharding ------------------------------------------------------------------
 
 def check_shards(spark, docs, source):

@@ -183,7 +183,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
         now = written(directed(small), "simhash-small")
-        seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum("u"), F.sum("v"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        # the pairs are distinct, so no two hashes cancel; sums of ids could leave the range of a long
+        seen = now.agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64(F.lit(seed), "u", "v")) for seed in (1, 2)]).first()
         if seen == state or not seen["n"]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = seen
