@@ -120,6 +120,39 @@ def test_prefix_scan():
     assert token_counts.scan(maps, count) == one_by_one
 
 
+def test_chunks_without_white_space(word_bpe, monkeypatch):
+    path, count = word_bpe
+    rng = random.Random(10)
+    monkeypatch.setattr(token_counts, "EDGE", 0)
+    monkeypatch.setattr(token_counts, "BYTES", 2)
+    monkeypatch.setattr(token_counts, "MAX_STATES", 30)
+    texts = ["".join(rng.choice("abst'lre!/+12éÀ日1２<|\u0301Σ\x1c ") for _ in range(rng.randint(0, 70))) for _ in range(200)]
+    texts += ["日本語のテキスト" * 30, "'s's're!'s'" * 20, "ab1+/" * 40, "thequickbrownfox" * 30]
+    counter = token_counts.Counter(path)
+    for chunk in (1, 3, 16, 64):
+        monkeypatch.setattr(token_counts, "CHUNK", chunk)
+        for t in texts:
+            counter.clear()
+            assert counter.count(t) == count(t), (chunk, t)
+
+
+def test_long_text_without_white_space(word_bpe):
+    import tracemalloc
+
+    path, count = word_bpe
+    counter = token_counts.Counter(path)
+    for period in ("ab1+/Xyz9Q==", "日本語のテキスト、"):  # each ends where a pre-token does
+        once, times = count(period), 20_000_000 // len(period)
+        assert count(period * 3) == 3 * once
+        assert counter.count(period * times) == times * once
+        text = period * (4_000_000 // len(period))
+        tracemalloc.start()
+        counter.count(text)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 8 * 4_000_000 * (4 if "日" in period else 1)  # all prefixes: 16 KB x 122^2 = 240 MB
+
+
 # ---- LM scoring -------------------------------------------------------------------------
 
 def naive_windows(text, symbols):

@@ -10,15 +10,21 @@ the relative count at each place inside them; a transition is annotated with the
 change of the token count, the transition at the word's end with the final
 change.  States are made when first reached and kept.
 
-A whole text is cut into chunks.  White space takes the transducer back to its
-start state, so the state map of a chunk is its head (still to be read from the
-incoming state), the tokens emitted between its first and last white space, and
-its tail (the outgoing state).  Such maps compose associatively; a text's maps
-are composed by a parallel prefix scan (log2(n) rounds over all chunks).
+A whole text is cut into chunks.  The end of a pre-token takes the transducer
+back to its start state: at white space, beside a digit, and where a letter is
+followed by no letter, whatever comes before and after.  So the state map of a
+chunk is its head (still to be read from the incoming state), the tokens the
+transducer emits between the first and the last such place, and its tail (the
+outgoing state).  Head and tail are the unfinished pre-tokens at the edges; a
+chunk inside one pre-token is all head and is read when the pre-token is whole.
+Such maps compose associatively; a text's maps are folded pairwise (log2(n)
+rounds), no prefix is kept.
 
 Scale.  Map-only; the compiled transducer is a cache per worker, bounded by
 ``MAX_STATES`` and ``MAX_WORDS`` (then it starts anew), never part of a result.
-Time is linear in the text for any text, also one without white space.
+Memory is linear in the text for any text, also one without white space; time is
+linear but for the log2(n) times a pre-token longer than a chunk is copied.  States
+are made anew inside a word, too, when there are more than ``MAX_STATES``.
 
 Edge cases.  Null texts count as empty: 0 bytes, 0 tokens.  Strings of special
 tokens inside a text are one token each, as the library does by default.
@@ -42,11 +48,18 @@ CHUNK = 1 << 15  # characters
 LIMIT = 2048
 MAX_STATES = 300_000
 MAX_WORDS = 300_000
+EDGE = 200  # characters up to which a chunk's edge is kept as it is
+BYTES = 1 << 15  # of a word between two looks at the number of states
 
 # white space for the tokenizer's \s; Python's str.split() also splits at \x1c-\x1f
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
+# the pre-token pattern that the places of _ENDS are certain for; other patterns end at white space only
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ENDS = r"(?<=\p{N})|(?=\p{N})|(?<=\p{L})(?=[^\s\p{L}])"
+_FIRST_END, _LAST_END = regex.compile(_ENDS), regex.compile("(?r)" + _ENDS)
+
 
 def byte_symbols() -> list[str]:
     """Character that stands for each byte in a byte-level vocabulary: printable
@@ -126,14 +139,18 @@ class Transducer:
                                   if read[len(read) - 1 - back:] in self.prefixes]
         longest = kept[-1][0]
         key = (read[len(read) - longest:], tuple(kept))
+        number = self.number(key)
+        self.steps[state][byte] = (number, change)
+        return number, change
+
+    def number(self, key: tuple[bytes, tuple]) -> int:
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.keys)
             self.keys.append(key)
             self.steps.append({})
             self.ends.append({})
-        self.steps[state][byte] = (number, change)
-        return number, change
+        return number
 
     def end(self, state: int, byte: int) -> int:
         change = self.ends[state][byte] = self._next(state, byte, True)[1]
@@ -141,20 +158,24 @@ class Transducer:
 
     def count(self, word: bytes) -> int:
         """Tokens of one word (at least one byte)."""
-        if len(self.keys) > MAX_STATES:
-            self.reset()
-        state, total, steps = 0, 0, self.steps
-        for byte in word[:-1]:
-            known = steps[state].get(byte)
-            state, change = known if known is not None else self.step(state, byte)
-            total += change
+        state, total, last = 0, 0, len(word) - 1
+        for at in range(0, last + 1, BYTES):
+            if len(self.keys) > MAX_STATES:
+                key = self.keys[state]
+                self.reset()
+                state = self.number(key)
+            steps = self.steps
+            for byte in word[at:min(at + BYTES, last)]:
+                known = steps[state].get(byte)
+                state, change = known if known is not None else self.step(state, byte)
+                total += change
         change = self.ends[state].get(word[-1])
         return total + (change if change is not None else self.end(state, word[-1]))
 
 
 class StateMap(NamedTuple):
-    """State map of a chunk; ``emitted`` is None where it has no white space (then
-    all of it is head)."""
+    """State map of a chunk; ``emitted`` is None where no pre-token surely ends in
+    it (then all of it is head)."""
 
     head: str
     emitted: int | None
@@ -181,6 +202,14 @@ def scan(maps: list[StateMap], count: Callable[[str], int]) -> list[StateMap]:
     return out
 
 
+def fold(maps: list[StateMap], count: Callable[[str], int]) -> StateMap:
+    """The map of all chunks (at least one); what is composed is let go."""
+    while len(maps) > 1:
+        odd = maps[-1:] if len(maps) % 2 else []
+        maps = [compose(a, b, count) for a, b in zip(maps[::2], maps[1::2])] + odd
+    return maps[0]
+
+
 class Counter(dict):
     """Counts tokens of texts; a dict of the counts of words between white space."""
 
@@ -196,6 +225,7 @@ class Counter(dict):
             raise ValueError(f"{path} is not a lower-casing byte-level BPE with word ends")
         self.transducer = Transducer(model["vocab"], model["merges"], model["end_of_word_suffix"])
         self.words = regex.compile(split["pattern"]["Regex"])
+        self.cuts = split["pattern"]["Regex"] == _PATTERN
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.marker = special[0][:2] if special else ""
@@ -215,9 +245,19 @@ class Counter(dict):
             return StateMap("", 0, "")
         head = "" if opens else pieces.pop(0)
         if not pieces and not opens and not closes:
+            if len(head) > EDGE and self.cuts and (end := _FIRST_END.search(head)):
+                first, last = end.start(), _LAST_END.search(head).start()
+                return StateMap(head[:first], self[head[first:last]], head[last:])
             return StateMap(head, None, "")
         tail = "" if closes or not pieces else pieces.pop()
-        return StateMap(head, sum(map(self.__getitem__, pieces)), tail)
+        emitted = sum(map(self.__getitem__, pieces))
+        if len(head) > EDGE and self.cuts and (end := _FIRST_END.search(head)):
+            emitted += self[head[end.start():]]
+            head = head[:end.start()]
+        if len(tail) > EDGE and self.cuts and (end := _LAST_END.search(tail)):
+            emitted += self[tail[:end.start()]]
+            tail = tail[end.start():]
+        return StateMap(head, emitted, tail)
 
     def of_segment(self, text: str) -> int:
         if not text.isascii():
@@ -227,7 +267,7 @@ class Counter(dict):
         maps = [self.chunk_map(text[at:at + CHUNK]) for at in range(0, len(text), CHUNK)]
         if not maps:
             return 0
-        whole = scan(maps, self.__getitem__)[-1]
+        whole = fold(maps, self.__getitem__)
         return self[whole.head] + (whole.emitted or 0) + (self[whole.tail] if whole.emitted is not None else 0)
 
     def count(self, text: str | None) -> int:
