@@ -76,6 +76,28 @@ def test_quality_of_labelled_documents(spark):
     assert share[1] > 0.995 and share[0] < 0.1
 
 
+def test_lower_case_random_letters_go_and_a_language_without_labels_stays(spark):
+    rng = random.Random(11)
+    docs, labels = table(spark, MEDIUM, "documents").select("doc_id", "text", "lang"), table(spark, MEDIUM, "labels")
+    noise = [(-1 - i, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(150)), "xx")
+             for i in range(20)]
+    docs = docs.unionByName(spark.createDataFrame(noise, docs.schema))
+    some = labels.where("doc_id % 2 = 1").join(docs.where("lang = 'fr'").select("doc_id"), "doc_id", "left_anti")
+    got = quality_rules.judge(docs, some).join(docs.select("doc_id", "lang"), "doc_id")
+    assert {r["kept"] for r in got.where("doc_id < 0").collect()} == {False}
+    good = got.join(labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi").where("not base_failed")
+    shares = {r["lang"]: (r["k"], r["n"]) for r in good.groupBy("lang").agg(
+        F.avg((F.col("letter_score") >= quality_rules.MIN_LETTERS).cast("int")).alias("k"), F.count(F.lit(1)).alias("n")).collect()}
+    assert shares["fr"][1] > 20 and {k for k, _ in shares.values()} == {1.0}
+
+
+def test_texts_in_a_script_without_trusted_text_are_not_judged_by_letters(spark):
+    docs = table(spark, MEDIUM, "documents").select("doc_id", "text").unionByName(
+        spark.createDataFrame([(-1, "日本語の文章をここに書きます " * 3 + "別の話もあります")], "doc_id long, text string"))
+    got = quality_rules.judge(docs, table(spark, MEDIUM, "labels")).where("doc_id = -1").first()
+    assert got["letter_score"] >= quality_rules.MIN_LETTERS
+
+
 def test_no_labels_and_no_documents(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["score"] for r in quality_rules.judge(frame(spark), labels).collect()} == {0.0}

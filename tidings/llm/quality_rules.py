@@ -11,11 +11,19 @@ bounded amount.  A document's score is the mean over its n-grams of
 length), and a document is kept when the score reaches a fixed threshold: no
 random resampling, the same document always gets the same verdict.
 
+Beside it a second ratio of the same form is taken over n-grams of the bytes
+themselves (``LETTERS`` long; letters in lower case, digits and blanks by kind),
+which tells words from letters put together at random.  What speaks against a
+text is backed off to the raw share (ratio 0) in cells that hold at least an even
+share of the raw corpus, as those of a language that is rare among the trusted
+documents do, and in cells of other bytes than ASCII that no trusted document
+has.  A document below ``MIN_LETTERS`` goes.
+
 Scale.  Both passes are map-only over the text; each task adds its counts into
 one dense vector of ``2**bits`` cells and sends only non-zero cells, which Spark
-sums per cell (at most ``2**bits`` rows, so one cell is never hot beyond the
-number of tasks).  The model broadcast has ``2**bits`` doubles at any corpus
-size.  The trusted target is fitted on at most ``max_trusted`` labelled rows (a
+sums per cell (at most ``2**bits`` rows and as many as the byte n-grams have
+cells, so one cell is never hot beyond the number of tasks).  The model broadcast
+has as many doubles at any corpus size.  The trusted target is fitted on at most ``max_trusted`` labelled rows (a
 documented bound, picked by hash); the raw counts cover all documents.
 
 Edge cases.  A null or empty text has no words and no n-grams: score 0, base
@@ -43,6 +51,9 @@ BITS = 14
 PRIOR = 0.1
 MIN_SCORE = -0.1  # mean log-ratio per n-gram below which a document is rejected
 MAX_TRUSTED = 20_000
+LETTERS = 4
+LETTER_BITS = 18  # cells of ASCII n-grams, as many again for the others
+MIN_LETTERS = -1.0  # mean log-ratio per byte n-gram below which a document is rejected
 BLOCK = 1 << 20  # bytes of one text hashed at a time
 
 MIN_WORDS = 20
@@ -62,6 +73,7 @@ def _kind(b: int) -> int:
 
 
 _KINDS = bytes(map(_kind, range(256)))
+_PLAIN = bytes(_KINDS[b] if chr(b) in "\t\v\f\r0123456789" else b for b in range(256))
 
 
 def cells(text: bytes, n: int = NGRAM, bits: int = BITS) -> Iterator[np.ndarray]:
@@ -78,6 +90,22 @@ def cells(text: bytes, n: int = NGRAM, bits: int = BITS) -> Iterator[np.ndarray]
         yield (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def letter_cells(text: bytes) -> Iterator[np.ndarray]:
+    """Cell numbers of all byte n-grams of a text; those with other bytes than
+    ASCII in the upper half."""
+    text = text.lower().translate(_PLAIN)
+    for at in range(0, max(0, len(text) - LETTERS + 1), BLOCK):
+        a = np.frombuffer(text, np.uint8, min(BLOCK + LETTERS - 1, len(text) - at), at)
+        m = len(a) - LETTERS + 1
+        h, other = a[:m].astype(np.uint64), a[:m].copy()
+        for i in range(1, LETTERS):
+            h *= np.uint64(257)
+            h += a[i:i + m]
+            other |= a[i:i + m]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        yield (h >> np.uint64(64 - LETTER_BITS)).astype(np.int64) + ((other >> 7).astype(np.int64) << LETTER_BITS)
+
+
 def _windows_equal(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
     return all(np.array_equal(ids[a + k], ids[b + k]) for k in range(WINDOW))
 
@@ -124,16 +152,19 @@ def _counts(n: int, bits: int):
     schema = pa.schema([("cell", pa.int32()), ("raw", pa.int64()), ("trusted", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, good = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        size = (1 << bits) + (2 << LETTER_BITS)
+        raw, good = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for batch in batches:
             for text, trusted in zip(utf8(batch, "text"), batch.column("trusted").to_pylist()):
-                for c in cells(text or b"", n, bits):
-                    k = np.bincount(c, minlength=1 << bits) if len(c) > 1 << (bits - 4) else None
-                    for vector in (raw, good) if trusted else (raw,):
-                        if k is None:
-                            np.add.at(vector, c, 1)
-                        else:
-                            vector += k
+                for found, part in ((cells(text or b"", n, bits), slice(0, 1 << bits)), (letter_cells(text or b""), slice(1 << bits, size))):
+                    for c in found:
+                        length = part.stop - part.start
+                        k = np.bincount(c, minlength=length) if len(c) > length >> 4 else None
+                        for vector in (raw[part], good[part]) if trusted else (raw[part],):
+                            if k is None:
+                                np.add.at(vector, c, 1)
+                            else:
+                                vector += k
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(raw[used]), pa.array(good[used])], schema=schema)
 
@@ -141,8 +172,13 @@ def _counts(n: int, bits: int):
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED, n: int = NGRAM, bits: int = BITS) -> np.ndarray:
-    """Log-ratio of each cell.  ``docs``: doc_id, text; ``labels``: doc_id, quality
-    (1: trusted)."""
+    """Log-ratio of each cell of the kind n-grams (see ``fit_both``)."""
+    return fit_both(docs, labels, max_trusted, n, bits)[0]
+
+
+def fit_both(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED, n: int = NGRAM, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Log-ratio of each cell of the kind n-grams, and of the byte n-grams.
+    ``docs``: doc_id, text; ``labels``: doc_id, quality (1: trusted)."""
     trusted = (labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
                .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
                .withColumn("trusted", F.lit(True)))
@@ -150,16 +186,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED, n: i
     marked = docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left").select("text", "trusted")
     sums = (marked.mapInArrow(_counts(n, bits), "cell int, raw long, trusted long")
             .groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toPandas())
-    raw, good = np.zeros(1 << bits), np.zeros(1 << bits)
+    size = (1 << bits) + (2 << LETTER_BITS)
+    raw, good = np.zeros(size), np.zeros(size)
     raw[sums["cell"].to_numpy(np.int64)] = sums["raw"].to_numpy()
     good[sums["cell"].to_numpy(np.int64)] = sums["trusted"].to_numpy()
-    if good.sum() == 0:
-        return np.zeros(1 << bits)
-    share = raw / raw.sum()
-    seen = raw > 0  # a cell that no text has is never asked for
-    ratio = np.zeros(1 << bits)
-    ratio[seen] = np.log((good[seen] / good.sum() + PRIOR * share[seen]) / ((1 + PRIOR) * share[seen]))
-    return ratio
+    kinds, share = _ratio(raw[:1 << bits], good[:1 << bits])
+    letters, share = _ratio(raw[1 << bits:], good[1 << bits:])
+    known = good[1 << bits:] > 0
+    known[:1 << LETTER_BITS] = True
+    letters[(letters < 0) & ((share >= 1 / (1 << LETTER_BITS)) | ~known)] = 0
+    return kinds, letters
+
+
+def _ratio(raw: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-ratio and raw share of each cell."""
+    ratio, share = np.zeros(len(raw)), raw / max(raw.sum(), 1)
+    if good.sum():
+        seen = raw > 0  # a cell that no text has is never asked for
+        ratio[seen] = np.log((good[seen] / good.sum() + PRIOR * share[seen]) / ((1 + PRIOR) * share[seen]))
+    return ratio, share
 
 
 def llr(text: bytes | None, ratio: np.ndarray, n: int = NGRAM) -> float:
@@ -170,32 +215,39 @@ def llr(text: bytes | None, ratio: np.ndarray, n: int = NGRAM) -> float:
     return total / count if count else 0.0
 
 
-def verdicts(texts: list[bytes | None], ratio: np.ndarray, min_score: float, n: int) -> list[tuple]:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, base_failed, kept) per text."""
+def letters_llr(text: bytes | None, ratio: np.ndarray) -> float:
+    total, count = 0.0, 0
+    for c in letter_cells(text or b""):
+        total, count = total + float(ratio[c].sum()), count + len(c)
+    return total / count if count else 0.0
+
+
+def verdicts(texts: list[bytes | None], ratios: tuple[np.ndarray, np.ndarray], min_score: float, n: int) -> list[tuple]:
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, letter_score, base_failed, kept) per text."""
     out = []
     for text in texts:
         m = measures(text)
-        score = llr(text, ratio, n)
+        score, letters = llr(text, ratios[0], n), letters_llr(text, ratios[1])
         failed = m[0] < MIN_WORDS or 100 * m[4] > MAX_REPEAT_PCT * m[0]
-        out.append((*m, score, failed, not failed and score >= min_score))
+        out.append((*m, score, letters, failed, not failed and score >= min_score and letters >= MIN_LETTERS))
     return out
 
 
-JUDGED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double, base_failed boolean, kept boolean"
+JUDGED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double, letter_score double, base_failed boolean, kept boolean"
 
 
 def judge(docs: DataFrame, labels: DataFrame, min_score: float = MIN_SCORE, max_trusted: int = MAX_TRUSTED,
           n: int = NGRAM, bits: int = BITS) -> DataFrame:
-    """One row per document: measures, score, base_failed, kept."""
+    """One row per document: measures, score, letter_score, base_failed, kept."""
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(docs, labels, max_trusted, n, bits))
+    model = spark.sparkContext.broadcast(fit_both(docs, labels, max_trusted, n, bits))
     names = [x.split()[0] for x in JUDGED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = model.value
+        ratios = model.value
         for batch in batches:
-            rows = list(zip(*verdicts(utf8(batch, "text"), ratio, min_score, n))) or [()] * 8
-            kinds = [pa.int64()] * 5 + [pa.float64(), pa.bool_(), pa.bool_()]
+            rows = list(zip(*verdicts(utf8(batch, "text"), ratios, min_score, n))) or [()] * 9
+            kinds = [pa.int64()] * 5 + [pa.float64(), pa.float64(), pa.bool_(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(v, k) for v, k in zip(rows, kinds))], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(run, JUDGED)
@@ -204,12 +256,12 @@ def judge(docs: DataFrame, labels: DataFrame, min_score: float = MIN_SCORE, max_
 def keep_good(docs: DataFrame, labels: DataFrame, min_score: float = MIN_SCORE, max_trusted: int = MAX_TRUSTED,
               n: int = NGRAM, bits: int = BITS) -> DataFrame:
     """The rows of ``docs`` that pass, all columns as they are."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_trusted, n, bits))
+    model = docs.sparkSession.sparkContext.broadcast(fit_both(docs, labels, max_trusted, n, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = model.value
+        ratios = model.value
         for batch in batches:
-            kept = [v[-1] for v in verdicts(utf8(batch, "text"), ratio, min_score, n)]
+            kept = [v[-1] for v in verdicts(utf8(batch, "text"), ratios, min_score, n)]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
