@@ -55,3 +55,23 @@ SELECT page_id, octet_length(encode(body)) AS payload_bytes,
        CASE WHEN keeper IS NULL OR page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN keeper IS NULL OR page_id = keeper THEN NULL ELSE keeper END AS refers_to
 FROM n"""
+
+
+def ranked_search(top: int) -> str:
+    terms = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH items AS (SELECT DISTINCT item, item_id, unnest(w) AS term
+               FROM (SELECT row_number() OVER () AS item, item_id, {terms} AS w FROM benchmark)),
+docs AS (SELECT * FROM (SELECT row_number() OVER () AS rid, doc_id, {terms} AS w FROM documents) WHERE len(w) > 0),
+corpus AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS terms FROM docs),
+tf AS (SELECT rid, doc_id, n, term, count(*) AS tf FROM (SELECT rid, doc_id, len(w) AS n, unnest(w) AS term FROM docs)
+       WHERE term IN (SELECT term FROM items) GROUP BY rid, doc_id, n, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(c.n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM tf CROSS JOIN corpus c GROUP BY term),
+scores AS (
+  SELECT i.item, any_value(i.item_id) AS item_id, t.rid, any_value(t.doc_id) AS doc_id,
+         CAST(sum(w.w * ((1000000000 * t.tf) // (1000 * t.tf + 8 * (100 - 90 + (90 * t.n * c.n) // c.terms)))) AS BIGINT) AS score
+  FROM items i JOIN tf t USING (term) JOIN weights w USING (term) CROSS JOIN corpus c GROUP BY i.item, t.rid)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM scores WHERE score > 0)
+WHERE rank <= {top}"""
