@@ -159,7 +159,7 @@ def awkward_items():
 def test_search_equals_brute_force(spark):
     docs, items = frame(spark), items_frame(spark, awkward_items())
     expect = naive_search([(r[0], r[1]) for r in rows()], awkward_items())
-    for size in (shared_search.BLOCK_BYTES, 2000):  # one block of items, and many
+    for size in (shared_search.BLOCK_BYTES, 20_000):  # one block of items, and many
         got = [tuple(r) for r in shared_search.search(docs, items, block_bytes=size).collect()]
         assert sorted(got, key=repr) == expect
     assert [f.simpleString() for f in shared_search.search(docs, items).schema] == \
@@ -215,6 +215,7 @@ def naive_groups(text):
     if not text:
         return []
     a, b = naive_groups.a.encode(" " + text, add_special_tokens=False), naive_groups.b.encode(text)
+    a_ids = a.ids
     spelled_a = [bytes(naive_groups.byte[c] for c in t) for t in a.tokens]
     pieces = [naive_groups.b.id_to_piece(i) for i in b]
     spelled_b = [bytes([int(p[1:-1], 16)]) if naive_groups.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(b, pieces)]
@@ -224,7 +225,7 @@ def naive_groups(text):
     out, i, j = [], 0, 0
     for end in sorted(set(ends_a) & set(ends_b)):
         p, q = ends_a.index(end, i) + 1, ends_b.index(end, j) + 1
-        out.append((a.ids[i:p], b[j:q]))
+        out.append((a_ids[i:p], b[j:q]))
         i, j = p, q
     return out
 
