@@ -24,6 +24,8 @@ have equally many rows and none is hot; copies share their block's pairs.  A lon
 text is cut, at single spaces between word characters where neither tokenizer
 joins anything, into segments of about ``SEGMENT`` characters; memory then follows
 the segment and the distinct pairs.  A text without such places is encoded whole.
+The units between such spaces are encoded by the libraries, and the ids of short
+ones are kept in the worker (``MAX_UNITS``, then anew).
 
 Edge cases.  Null and empty texts, and texts that A or B do not spell byte for
 byte, have no tokens.  A group of many tokens (long white space) is counted by its
@@ -39,6 +41,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -54,6 +57,8 @@ from .token_counts import byte_symbols
 
 BLOCK_BYTES = 4 << 20
 SEGMENT = 1 << 16
+UNIT = 40  # characters up to which a unit's ids are kept
+MAX_UNITS = 300_000
 LISTED = 4096  # links of a group up to which they are listed one by one
 
 _CUT = re.compile(r"(?<=\w) (?=\w)")
@@ -82,9 +87,12 @@ def cuts(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
             size //= 2
             if i + size <= n and flat_a[4 * i:4 * (i + size)] == flat_b[4 * i + by:4 * (i + size) + by]:
                 i += size
-        if i > start:
+        if i > start + 1:
             at_a.extend(range(start + 1, i + 1))
             at_b.extend(range(start + shift + 1, i + shift + 1))
+        elif i > start:
+            at_a.append(i)
+            at_b.append(i + shift)
         if i < n:
             j = i + shift
             end_a, end_b = ends_a[i], ends_b[j]
@@ -144,8 +152,10 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int32) for x in (self.a_bytes, self.b_bytes))
-        self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
         self.cuttable = not any("▁" in p.lstrip("▁") for p in pieces)
+        self.base = max(len(self.a_bytes), len(self.b_bytes))
+        self.names = [f"{i}{mark}" for mark in ",|;" for i in range(self.base)]
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
 
     def segments(self, text: str) -> Iterator[str]:
         """``text`` in parts; the space between two of them is left out."""
@@ -155,30 +165,52 @@ class Aligner:
             start = m.end()
         yield text[start:] if start else text
 
-    def segment(self, text: str, a_ids: list[int]) -> Aligned | None:
-        """Groups of one segment, None if A or B do not spell it."""
-        b_ids = self.b.encode(text)
-        spelled = b" " + text.encode()
-        if b"".join(map(self.a_bytes.__getitem__, a_ids)) != spelled or b"".join(map(self.b_bytes.__getitem__, b_ids)) != spelled:
-            return None
-        a, b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
-        at = cuts(np.cumsum(self.a_sizes[a], dtype=np.int32), np.cumsum(self.b_sizes[b], dtype=np.int32))
-        return Aligned(a, b, *(np.array(x, np.int64) for x in at))
+    def encode(self, units: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids (int32) of A and of B for each unit, None where one does not spell it."""
+        out: list[tuple[bytes, bytes] | None] = []
+        both = zip(units, self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False), self.b.encode(units, num_threads=1))
+        for unit, a, b_ids in both:
+            a_ids, spelled = a.ids, b" " + unit.encode()
+            right = b"".join(map(self.a_bytes.__getitem__, a_ids)) == spelled == b"".join(map(self.b_bytes.__getitem__, b_ids))
+            out.append((array("i", a_ids).tobytes(), array("i", b_ids).tobytes()) if right else None)
+        return out
+
+    def ids(self, text: str) -> list[tuple[bytes, bytes] | None]:
+        """Ids of the units of a segment; those of short units are kept in the worker."""
+        if not self.cuttable:
+            return self.encode([text])
+        units, known = _CUT.split(text), self.known
+        new = [u for u in dict.fromkeys(units) if u not in known]
+        if len(known) + len(new) > MAX_UNITS:
+            known.clear()
+            new = list(dict.fromkeys(units))
+        known.update(zip(new, self.encode(new)))
+        found = [known[u] for u in units]
+        for u in new:
+            if len(u) > UNIT:
+                del known[u]
+        return found
 
     def align(self, text: str | None) -> Iterator[Aligned | None]:
         """Groups of each segment of ``text``; ends with None if it is not spelled."""
         for part in self.segments(text) if text else ():
-            found = self.segment(part, self.a.encode(" " + part, add_special_tokens=False).ids)
-            yield found
-            if found is None:
+            found = self.ids(part)
+            if None in found:
+                yield None
                 return
+            a, b = (np.frombuffer(b"".join(x), np.int32) for x in zip(*found))
+            at = cuts(np.cumsum(self.a_sizes[a], dtype=np.int32), np.cumsum(self.b_sizes[b], dtype=np.int32))
+            yield Aligned(a.astype(np.int64), b.astype(np.int64), *(np.array(x, np.int64) for x in at))
 
     def text_of(self, x: Aligned) -> str:
         """Groups as `a1,a2|b1;a3|b2,b3`."""
-        a, b = [list(map(self.names.__getitem__, ids.tolist())) for ids in (x.a, x.b)]
-        i, j = x.a_cuts.tolist(), x.b_cuts.tolist()
-        return ";".join([f"{a[s]}|{b[t]}" if e - s == 1 == f - t else f"{','.join(a[s:e])}|{','.join(b[t:f])}"
-                         for s, e, t, f in zip(i, i[1:], j, j[1:])])
+        out = np.zeros(len(x.a) + len(x.b), np.int64)
+        a, b = x.a.copy(), x.b.copy()
+        a[x.a_cuts[1:] - 1] += self.base  # the mark that follows each id: a comma, or at a group's last
+        b[x.b_cuts[1:] - 1] += 2 * self.base
+        out[np.arange(len(a)) + np.repeat(x.b_cuts[:-1], np.diff(x.a_cuts))] = a
+        out[np.arange(len(b)) + np.repeat(x.a_cuts[1:], np.diff(x.b_cuts))] = b
+        return "".join(map(self.names.__getitem__, out.tolist()))[:-1]
 
 
 class Document:
