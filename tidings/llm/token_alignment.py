@@ -41,7 +41,6 @@ import hashlib
 import json
 import os
 import re
-from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -58,7 +57,7 @@ from .token_counts import byte_symbols
 BLOCK_BYTES = 4 << 20
 SEGMENT = 1 << 16
 UNIT = 40  # characters up to which a unit's ids are kept
-MAX_UNITS = 300_000
+MAX_UNITS = 60_000
 LISTED = 4096  # links of a group up to which they are listed one by one
 
 _CUT = re.compile(r"(?<=\w) (?=\w)")
@@ -73,41 +72,44 @@ class Aligned(NamedTuple):
     b_cuts: np.ndarray
 
 
-def cuts(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+def cuts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices where groups of tokens with the ends ``a`` and ``b`` (both int32,
     rising, the last equal) begin, and the ends of both."""
     n, flat_a, flat_b, ends_a, ends_b = len(a), a.tobytes(), b.tobytes(), a.tolist(), b.tolist()
-    i, shift, at_a, at_b = 0, 0, [0], [0]
-    while i < n:
-        start, size, by = i, 1, 4 * shift
-        while i + size <= n and flat_a[4 * i:4 * (i + size)] == flat_b[4 * i + by:4 * (i + size) + by]:
-            i += size
-            size *= 2
-        while size > 1:
-            size //= 2
-            if i + size <= n and flat_a[4 * i:4 * (i + size)] == flat_b[4 * i + by:4 * (i + size) + by]:
+    starts, stops, shifts = [], [], []  # of the one-to-one stretches; empty ones keep their start
+    i = shift = 0
+    while True:
+        starts.append(i)
+        shifts.append(shift)
+        if i < n and ends_a[i] == ends_b[i + shift]:
+            i, size, by = i + 1, 2, 4 * shift
+            while i + size <= n and flat_a[4 * i:4 * (i + size)] == flat_b[4 * i + by:4 * (i + size) + by]:
                 i += size
-        if i > start + 1:
-            at_a.extend(range(start + 1, i + 1))
-            at_b.extend(range(start + shift + 1, i + shift + 1))
-        elif i > start:
-            at_a.append(i)
-            at_b.append(i + shift)
-        if i < n:
-            j = i + shift
-            end_a, end_b = ends_a[i], ends_b[j]
-            while end_a != end_b:
-                if end_a < end_b:
-                    i += 1
-                    end_a = ends_a[i]
-                else:
-                    j += 1
-                    end_b = ends_b[j]
-            i += 1
-            shift = j + 1 - i
-            at_a.append(i)
-            at_b.append(j + 1)
-    return at_a, at_b
+                size *= 2
+            while size > 2:
+                size //= 2
+                if i + size <= n and flat_a[4 * i:4 * (i + size)] == flat_b[4 * i + by:4 * (i + size) + by]:
+                    i += size
+            if i < n and ends_a[i] == ends_b[i + shift]:
+                i += 1
+        stops.append(i)
+        if i == n:
+            break
+        j = i + shift
+        end_a, end_b = ends_a[i], ends_b[j]
+        while end_a != end_b:
+            if end_a < end_b:
+                i += 1
+                end_a = ends_a[i]
+            else:
+                j += 1
+                end_b = ends_b[j]
+        i += 1
+        shift = j + 1 - i
+    first = np.array(starts, np.int64)
+    sizes = np.array(stops, np.int64) - first + 1
+    at = np.arange(sizes.sum()) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+    return at, at + np.repeat(np.array(shifts, np.int64), sizes)
 
 
 def links(x: Aligned) -> tuple[np.ndarray, np.ndarray]:
@@ -166,14 +168,21 @@ class Aligner:
         yield text[start:] if start else text
 
     def encode(self, units: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Ids (int32) of A and of B for each unit, None where one does not spell it."""
-        out: list[tuple[bytes, bytes] | None] = []
-        both = zip(units, self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False), self.b.encode(units, num_threads=1))
-        for unit, a, b_ids in both:
-            a_ids, spelled = a.ids, b" " + unit.encode()
-            right = b"".join(map(self.a_bytes.__getitem__, a_ids)) == spelled == b"".join(map(self.b_bytes.__getitem__, b_ids))
-            out.append((array("i", a_ids).tobytes(), array("i", b_ids).tobytes()) if right else None)
-        return out
+        """Ids (int32) of A and of B for each unit, None where one does not spell it.
+        The units are encoded as one text, with a space between two."""
+        text = " ".join(units)
+        spelled = (" " + text).encode()
+        a_ids, b_ids = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text)
+        if b"".join(map(self.a_bytes.__getitem__, a_ids)) != spelled or b"".join(map(self.b_bytes.__getitem__, b_ids)) != spelled:
+            half = len(units) // 2
+            return [None] if not half else self.encode(units[:half]) + self.encode(units[half:])
+        ends = np.cumsum([len(u.encode()) + 1 for u in units])
+        out = []
+        for ids, sizes in ((a_ids, self.a_sizes), (b_ids, self.b_sizes)):
+            ids = np.array(ids, np.int32)
+            flat, at = ids.tobytes(), (4 * np.searchsorted(np.cumsum(sizes[ids]), ends, "right")).tolist()
+            out.append([flat[s:e] for s, e in zip([0, *at], at)])
+        return list(zip(*out))
 
     def ids(self, text: str) -> list[tuple[bytes, bytes] | None]:
         """Ids of the units of a segment; those of short units are kept in the worker."""
@@ -184,7 +193,8 @@ class Aligner:
         if len(known) + len(new) > MAX_UNITS:
             known.clear()
             new = list(dict.fromkeys(units))
-        known.update(zip(new, self.encode(new)))
+        if new:
+            known.update(zip(new, self.encode(new)))
         found = [known[u] for u in units]
         for u in new:
             if len(u) > UNIT:
@@ -200,7 +210,7 @@ class Aligner:
                 return
             a, b = (np.frombuffer(b"".join(x), np.int32) for x in zip(*found))
             at = cuts(np.cumsum(self.a_sizes[a], dtype=np.int32), np.cumsum(self.b_sizes[b], dtype=np.int32))
-            yield Aligned(a.astype(np.int64), b.astype(np.int64), *(np.array(x, np.int64) for x in at))
+            yield Aligned(a.astype(np.int64), b.astype(np.int64), *at)
 
     def text_of(self, x: Aligned) -> str:
         """Groups as `a1,a2|b1;a3|b2,b3`."""
