@@ -275,6 +275,16 @@ def test_segments_align_like_the_whole_text(aligner, monkeypatch):
             assert joined == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in naive_groups(text)), text[:80]
 
 
+def test_both_libraries_of_the_first_tokenizer_agree(aligner):
+    assert aligner.by_rank is not None
+    rng = random.Random(12)
+    letters = [chr(c) for c in range(0x250) if token_alignment._PLAIN.fullmatch(chr(c))]
+    texts = ["".join(rng.choices(letters, k=rng.randint(1, 60))) for _ in range(4000)]
+    texts += ["".join(rng.choices("aab'st  \n.,19éß", k=rng.randint(1, 80))) for _ in range(4000)] + ["<|endoftext|> a", "a" * 999, " " * 999, "ab" * 500]
+    expect = aligner.a.encode_batch(texts, add_special_tokens=False)
+    assert [aligner.a_ids(t) for t in texts] == [e.ids for e in expect]
+
+
 def test_statistics_equal_brute_force(spark):
     docs = frame(spark)
     expect = sorted(zip((r[0] for r in rows()), naive_statistics(texts_of(rows()))), key=repr)

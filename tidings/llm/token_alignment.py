@@ -61,6 +61,9 @@ MAX_UNITS = 60_000
 LISTED = 4096  # links of a group up to which they are listed one by one
 
 _CUT = re.compile(r"(?<=\w) (?=\w)")
+# characters whose pre-tokens are alike in every library: ASCII and Latin letters
+_PLAIN = re.compile("[\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u024f]*")
+_PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Aligned(NamedTuple):
@@ -153,6 +156,15 @@ class Aligner:
             self.a_bytes[i] = token.encode() if token in added else bytes(byte[c] for c in token)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        # ids in the order of the merges: a merge's rank is its token's id, and the same BPE can run by ranks
+        model = json.loads(a_json)["model"]
+        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        self.by_rank = None
+        if merged == list(range(256, 256 + len(merged))):
+            import tiktoken
+
+            self.by_rank = tiktoken.Encoding("a", pat_str=_PRE_TOKENS, special_tokens={},
+                                             mergeable_ranks={self.a_bytes[i]: i for i in range(256 + len(merged))})
         self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int32) for x in (self.a_bytes, self.b_bytes))
         self.cuttable = not any("▁" in p.lstrip("▁") for p in pieces)
         self.base = max(len(self.a_bytes), len(self.b_bytes))
@@ -167,12 +179,18 @@ class Aligner:
             start = m.end()
         yield text[start:] if start else text
 
+    def a_ids(self, text: str) -> list[int]:
+        """A's ids; plain text by the quicker of two libraries for its vocabulary."""
+        if self.by_rank is not None and _PLAIN.fullmatch(text):
+            return self.by_rank.encode_ordinary(text)
+        return self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def encode(self, units: list[str]) -> list[tuple[bytes, bytes] | None]:
         """Ids (int32) of A and of B for each unit, None where one does not spell it.
         The units are encoded as one text, with a space between two."""
         text = " ".join(units)
         spelled = (" " + text).encode()
-        a_ids, b_ids = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text)
+        a_ids, b_ids = self.a_ids(" " + text), self.b.encode(text)
         if b"".join(map(self.a_bytes.__getitem__, a_ids)) != spelled or b"".join(map(self.b_bytes.__getitem__, b_ids)) != spelled:
             half = len(units) // 2
             return [None] if not half else self.encode(units[:half]) + self.encode(units[half:])
@@ -306,10 +324,11 @@ def _blocks(docs: DataFrame, files: tuple[str, bytes], block_bytes: int) -> Data
         aligner, first = _aligner(files), TaskContext.get().partitionId() << 32
         number, size, ids, done = 0, 0, [], []
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
-                ids.append(doc_id.as_py())
-                done.append(Document(aligner, text.as_py()))
-                size += len(text.as_py() or "") + 100
+            for doc_id, value in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                text = value.as_py()
+                ids.append(doc_id)
+                done.append(Document(aligner, text))
+                size += len(text or "") + 100
                 if size >= block_bytes:
                     yield packed(first + number, ids, done)
                     number, size, ids, done = number + 1, 0, [], []
