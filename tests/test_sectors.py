@@ -35,10 +35,15 @@ def test_long_keyword_lists_tag_like_short_ones(spark):
     assert pairs(kw.unionByName(more)) == pairs(kw)
 
 
-def test_tagging_literal_path_has_no_shuffle(spark):
+def test_no_text_is_shuffled(spark):
     news, kw = _fixture(spark)
-    plan = G.sector_tagging(news, kw)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
+    more = spark.range(5000).selectExpr("99 AS sector_id", "concat('w', id) AS word")
+    for words in (kw, kw.unionByName(more)):
+        plan = G.sector_tagging(news, words)._jdf.queryExecution().executedPlan().toString()
+        lines = plan.splitlines()
+        below = [lines[i + 1] for i, line in enumerate(lines) if " Exchange " in line]
+        # every exchange sends partial aggregates of narrow keys
+        assert below and all("HashAggregate(keys=" in x and "content" not in x and "_t#" not in x for x in below)
 
 
 def test_seed_sector_lists_on_sample_texts(spark):

@@ -1,9 +1,8 @@
 """Scoring (G-1, G-2, G-4, C-10).
 
-G-1 is a lexicon score computed with JVM expressions: the word list (a
-dictionary, which does not grow with the news) becomes a literal array and
-each row folds over it with ``aggregate`` -- no join, no shuffle, no Python,
-and the same plan for a list of any size, in batch and in a stream.
+G-1 is a lexicon score computed with JVM expressions: a q-gram inverted join
+(``operators.words``) finds the words of a list of any size; no text is shuffled
+and no word is collected.
 
 G-2 is the pluggable scorer: ``mapInPandas`` hands Arrow batches to a
 user function (e.g. a remote model client) with retries and the fixed
@@ -21,13 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import core as C
-
-
-def _occurrences(text: Column, word: Column) -> Column:
-    """Non-overlapping occurrences of ``word`` in ``text``: every removed
-    occurrence shortens the text by the word's bytes.  Byte lengths are
-    stored with a UTF-8 string, character lengths need a scan of it."""
-    return ((F.octet_length(text) - F.octet_length(F.replace(text, word, F.lit("")))) / F.octet_length(word)).cast("bigint")
+from .words import find_words
 
 
 def _finish(df: DataFrame, p: str = "pos_hits", n: str = "neg_hits") -> DataFrame:
@@ -40,36 +33,23 @@ def _finish(df: DataFrame, p: str = "pos_hits", n: str = "neg_hits") -> DataFram
     })
 
 
-def _words(lexicon: DataFrame):
-    """(positive, negative) literal word arrays; NULL and empty words are ignored."""
-    words = lexicon.select("polarity", "word").filter(F.length("word") > 0).collect()
-    pos = F.array(*[F.lit(r.word) for r in words if r.polarity == "positive"]).cast("array<string>")
-    neg = F.array(*[F.lit(r.word) for r in words if r.polarity == "negative"]).cast("array<string>")
-    return pos, neg
-
-
-def with_lexicon_score(df: DataFrame, lexicon: DataFrame, text: Column | None = None) -> DataFrame:
-    """``df`` plus pos_hits, neg_hits, sentiment_score, sentiment_label and
-    confidence, computed on the row itself (no join, so it also works on a
-    stream without state).  A NULL text has no hit."""
-    pos, neg = _words(lexicon)
-    text = text if text is not None else C.scoring_text("title", "content")
-    x = df.withColumn("_t", F.coalesce(text, F.lit("")))
-    x = x.withColumns({
-        "pos_hits": F.aggregate(pos, F.lit(0).cast("bigint"), lambda acc, w: acc + _occurrences(F.col("_t"), w)),
-        "neg_hits": F.aggregate(neg, F.lit(0).cast("bigint"), lambda acc, w: acc + _occurrences(F.col("_t"), w)),
-    }).drop("_t")
-    return _finish(x)
-
-
-def lexicon_score(news: DataFrame, lexicon: DataFrame, text: Column | None = None, id_col: str = "id") -> DataFrame:
-    """(id, pos_hits, neg_hits, sentiment_score, sentiment_label, confidence).
+def lexicon_score(news: DataFrame, lexicon: DataFrame, text: Column | None = None, id_col: str = "id",
+                  keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, pos_hits, neg_hits, sentiment_score, sentiment_label, confidence),
+    one row per row of ``news``, plus its narrow columns ``keep``.
 
-    score = (p - n) / (p + n) rounded to 4 digits (0 when no hit);
-    confidence = (p + n) / (p + n + 1), 0.5 when no hit."""
+    Hits are occurrences that do not overlap, of each word by itself; a word
+    listed twice counts twice.  score = (p - n) / (p + n) rounded to 4 digits
+    (0 when no hit); confidence = (p + n) / (p + n + 1), 0.5 when no hit.  The
+    list may be of any size (``operators.words``)."""
     text = text if text is not None else C.scoring_text("title", "content")
-    x = news.select(F.col(id_col).alias("id"), text.alias("_text"))
-    return with_lexicon_score(x, lexicon, F.col("_text")).drop("_text")
+    words = lexicon.filter(F.col("polarity").isin("positive", "negative")).groupBy("word").agg(
+        *[F.count_if(F.col("polarity") == p).alias(f"_{p}") for p in ("positive", "negative")])
+    rows = news.select(F.col(id_col).alias("id"), *keep, text.alias("_text"))
+    found = find_words(rows, words, "_text", every_row=True, counts=True)
+    per_row = found.groupBy("_row", "id", *keep).agg(
+        *[F.sum(F.coalesce(F.col("hits") * F.col(f"_{p}"), F.lit(0))).alias(f"{p[:3]}_hits") for p in ("positive", "negative")])
+    return _finish(per_row.drop("_row")).select("id", *keep, "pos_hits", "neg_hits", "sentiment_score", "sentiment_label", "confidence")
 
 
 # ---- G-2 pluggable scorer ------------------------------------------------------------------

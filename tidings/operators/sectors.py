@@ -1,9 +1,8 @@
 """Sector work: keyword tagging, hierarchy, sector views and alerts
 (J-6 .. J-10, G-3, D-10, D-11, D-15).
 
-The sector dimension and its keyword lists do not grow with the news; the
-lists become literals, and the news side (wide text) is read once without
-ever being shuffled.
+Keyword lists may be of any size: words are found by the q-gram join of
+``operators.words``, and the wide text is read once without being shuffled.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import core as C
+from .words import find_words
 
 CATCH_ALL_ID = -1
 
@@ -48,29 +48,18 @@ def seed_sector_keywords(spark) -> DataFrame:
 
 
 # ---- J-6 theta join ---------------------------------------------------------------------
-def _lists(keywords: DataFrame) -> dict:
-    """sector id -> its distinct words; NULL ids and NULL or empty words are ignored."""
-    out: dict = {}
-    for r in keywords.select("sector_id", "word").filter(F.col("sector_id").isNotNull() & (F.length("word") > 0)).distinct().collect():
-        out.setdefault(r.sector_id, []).append(r.word)
-    return {k: sorted(out[k]) for k in sorted(out)}
+def _listed(keywords: DataFrame) -> DataFrame:
+    """Distinct (sector_id, word) of the lists; NULL ids and NULL or empty words are ignored."""
+    return keywords.select("sector_id", "word").filter(F.col("sector_id").isNotNull() & (F.length("word") > 0)).distinct()
 
 
 def theta_join_keyword(news: DataFrame, keywords: DataFrame, text_col: str = "title") -> DataFrame:
-    """(news_id, sector_id) for every sector with a keyword inside the text.
-
-    The keyword lists (a dimension) become one literal array, so the wide text
-    is read once and never shuffled, whatever the size of the lists; only the
-    small pairs are de-duplicated."""
-    kind = keywords.schema["sector_id"].dataType
-    found = _lists(keywords)
-    if not found:
-        return news.select(F.col("id").alias("news_id"), F.lit(None).cast(kind).alias("sector_id")).filter(F.lit(False))
-    lists = F.array(*[F.struct(F.lit(k).cast(kind).alias("sector_id"), F.array(*[F.lit(w) for w in ws]).alias("words"))
-                      for k, ws in found.items()])
-    hit = F.filter(lists, lambda s: F.exists(s["words"], lambda w: F.col("_t").contains(w)))
-    x = news.select(F.col("id").alias("news_id"), F.col(text_col).alias("_t")).filter(F.col("_t").isNotNull())
-    return x.select("news_id", F.explode(F.transform(hit, lambda s: s["sector_id"])).alias("sector_id")).distinct()
+    """(news_id, sector_id) for every sector with a keyword inside the text, by
+    the q-gram join of ``operators.words``: the lists may be of any size."""
+    words = _listed(keywords).groupBy("word").agg(F.collect_list("sector_id").alias("_sectors"))
+    rows = news.select(F.col("id").alias("news_id"), F.col(text_col).alias("_t"))
+    found = find_words(rows, words, "_t")
+    return found.select("news_id", F.explode("_sectors").alias("sector_id")).distinct()
 
 
 # ---- G-3 sector tagging + D-15 primary sector -----------------------------------------
@@ -81,42 +70,25 @@ def sector_tagging(news: DataFrame, keywords: DataFrame, text_col: str = "conten
     The best sector (highest relevance, then lowest id) is primary.  News
     without any hit gets the catch-all sector (id -1, relevance 0).
 
-    The keyword lists (a dimension, of any size) become literal arrays (folded
-    to one constant by Catalyst): every distinct word is searched once per
-    text, each sector counts its words among the hits, and the rows are
-    exploded -- a narrow, map-only stage with no join and no shuffle, so a
-    hot source or a huge text costs only its own task.  NULL sector ids and
-    NULL or empty words are ignored; a NULL text has no hit."""
-    lists = _lists(keywords)
-    if not lists:
-        return news.select(F.col("id").alias("news_id"), F.lit(CATCH_ALL_ID).alias("sector_id"),
-                           F.lit(0.0).alias("relevance"), F.lit(True).alias("is_primary"))
-    words = F.array(*[F.lit(w) for w in sorted({w for ws in lists.values() for w in ws})]).cast("array<string>")
-    sectors = F.array(*[
-        F.struct(F.lit(sid).cast("int").alias("sector_id"),
-                 F.array(*[F.lit(w) for w in ws]).cast("array<string>").alias("words"),
-                 F.lit(float(len(ws))).alias("n"))
-        for sid, ws in lists.items()])
-    x = news.select(F.col("id").alias("news_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    x = x.withColumn("_hit", F.filter(words, lambda w: F.col("_t").contains(w)))
-    scored = F.transform(sectors, lambda s: F.named_struct(
-        F.lit("sector_id"), s["sector_id"],
-        F.lit("relevance"), F.size(F.array_intersect(s["words"], F.col("_hit"))) / s["n"]))
-    # _hit is referenced twice here, so Catalyst keeps it a column of its own
-    # instead of inlining the text search into the per-sector lambda
-    none = F.array().cast("array<struct<sector_id:int,relevance:double>>")
-    x = x.select("news_id", F.when(F.size("_hit") == 0, none)
-                 .otherwise(F.filter(scored, lambda e: e["relevance"] > 0)).alias("_f"))
-    catch_all = F.array(F.struct(F.lit(CATCH_ALL_ID).cast("int").alias("sector_id"), F.lit(0.0).alias("relevance")))
-    x = x.select("news_id", F.when(F.size("_f") > 0, F.col("_f")).otherwise(catch_all).alias("_s"))
-    # best = highest relevance, then lowest sector id
-    best = F.array_max(F.transform(F.col("_s"), lambda e: F.named_struct(F.lit("r"), e["relevance"], F.lit("k"), -e["sector_id"])))
-    x = x.select("news_id", "_s", (-best["k"]).alias("_best"))
-    # _s is never empty: explode_outer keeps Catalyst from inferring a
-    # size(_s) > 0 filter, which predicate pushdown would inline (and so
-    # repeat) the whole text search into
-    x = x.select("news_id", F.explode_outer("_s").alias("e"), "_best")
-    return x.select("news_id", F.col("e.sector_id").alias("sector_id"), F.col("e.relevance").alias("relevance"),
+    The words of all lists (of any size) are found by the q-gram join of
+    ``operators.words``; what is shuffled is one narrow row per news and word,
+    then per news and sector.  NULL sector ids and NULL or empty words are
+    ignored; a NULL text has no hit."""
+    listed = _listed(keywords).withColumn("sector_id", F.col("sector_id").cast("int"))
+    sizes = listed.groupBy("sector_id").agg(F.count(F.lit(1)).alias("size"))
+    words = listed.join(sizes, "sector_id").groupBy("word").agg(F.collect_list(F.struct("sector_id", "size")).alias("_sectors"))
+    rows = news.select(F.col("id").alias("news_id"), F.col(text_col).alias("_t"))
+    found = find_words(rows, words, "_t", every_row=True)
+    per_sector = found.select("_row", "news_id", F.explode_outer("_sectors").alias("s")).groupBy(
+        "_row", "news_id", F.col("s.sector_id").alias("sector_id"), F.col("s.size").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    tag = F.struct((F.col("n") / F.col("size")).alias("relevance"), "sector_id")
+    # a news has at most a tag per sector
+    tags = per_sector.groupBy("_row", "news_id").agg(F.collect_list(F.when(F.col("sector_id").isNotNull(), tag)).alias("_f"))
+    none = F.struct(F.lit(0.0).alias("relevance"), F.lit(CATCH_ALL_ID).alias("sector_id"))
+    tags = tags.select("news_id", F.when(F.size("_f") > 0, F.col("_f")).otherwise(F.array(none)).alias("_f"))
+    best = F.array_max(F.transform("_f", lambda e: F.struct(e["relevance"], -e["sector_id"])))["col2"]
+    e = tags.select("news_id", F.explode("_f").alias("e"), (-best).alias("_best"))
+    return e.select("news_id", F.col("e.sector_id").alias("sector_id"), F.col("e.relevance").alias("relevance"),
                     (F.col("e.sector_id") == F.col("_best")).alias("is_primary"))
 
 
