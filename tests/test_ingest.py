@@ -119,3 +119,37 @@ def test_feeds_in_rss_and_atom(spark, tmp_path):
         ("a", "1", "T & t", "http://a/1", "c", "Ann", "2024-01-05 10:00:00"),
         ("a", "http://a/2", "no id", "http://a/2", "s2", "", "2024-01-06 00:00:00"),
         ("b", "http://b/1", "R", "http://b/1", "full", "Cy", "2024-01-05 09:00:00")]
+
+
+def test_strict_messages(spark):
+    """Whatever is not one object with the schema's kinds of values is corrupt."""
+    from tidings import schemas as S
+
+    bad = ['{"id":1,"title":"a"} trailing', '{"id":2}{"id":3}', '{"id":1},{"id":2}', '{"id":1},null', '{"id":1}] x', '{"id":4,"title":5}',
+           '{"id":5,"title":{"x":1}}', "{'id':13}", '{"id":1.0}', '{"id":1e2}', '{"id":"7"}', '{"id":99999999999999999999}', '{"id":null}',
+           '{"title":"no key"}', "[1]", "5", '"x"', "", None, '{"id":01}', '{"id":1,}', '{"id":1 /* c */}', '{"id":NaN}', '{"id":1,"title":"a\tb"}',
+           '{"id":1,"source_id":"3"}', '{"id":1,"source_id":true}', '{"id":1,"published_at":"garbage"}', '{"id":1,"published_at":5}', '{"id":1']
+    good = {' {"id":1} ': (1, None, None), '{"id":2,"title":"t","x":[1]}': (2, "t", None), '{"id":3,"id":4,"title":null}': (4, None, None),
+            '\n{"source_id":9,"id":5,"published_at":"2024-01-01T00:00:00Z"}': (5, None, 9), '{"id":-6,"title":"\\u00e9 {}],"}': (-6, "é {}],", None)}
+    df = spark.createDataFrame([(v,) for v in [*bad, *good]], "value string")
+    got = {r["value"]: r for r in I.parse_messages(df, S.NEWS_MESSAGE).collect()}
+    assert {v for v, r in got.items() if r["is_corrupt"]} == set(bad)
+    assert all(r["id"] is None and r["title"] is None for v, r in got.items() if v in bad)
+    assert {v: (got[v]["id"], got[v]["title"], got[v]["source_id"]) for v in good} == good
+
+
+def test_strict_nested_messages(spark):
+    from tidings import schemas as S
+
+    texts = {
+        '{"news_id":1,"sentiment_score":1,"confidence":0.5,"keywords":["a",null],"market_impact_score":7,"original_data":{"id":1,"title":"t"}}': False,
+        '{"news_id":1,"sentiment_score":1e-1,"original_data":null,"keywords":[]}': False,
+        '{"news_id":1,"sentiment_score":"0.5"}': True, '{"news_id":1,"keywords":["a",1]}': True, '{"news_id":1,"keywords":"a"}': True,
+        '{"news_id":1,"market_impact_score":2147483648}': True, '{"news_id":1,"original_data":{"id":"x"}}': True,
+        '{"news_id":1,"original_data":[]}': True, '{"news_id":1,"original_data":{"id":1,"published_at":"x"}}': True,
+    }
+    df = spark.createDataFrame([(v,) for v in texts], "value string")
+    got = {r["value"]: r for r in I.parse_messages(df, S.SENTIMENT_MESSAGE).collect()}
+    assert {v: r["is_corrupt"] for v, r in got.items()} == texts
+    first = got[next(iter(texts))]
+    assert (first["sentiment_score"], first["keywords"], first["market_impact_score"], first["original_data"]["title"]) == (1.0, ["a", None], 7, "t")

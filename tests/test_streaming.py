@@ -82,16 +82,52 @@ def test_epoch_writes_only_its_own_rows(spark):
     assert again == _latest(spark, out) and again[8] == (0.5, 3, "t1")
 
 
-def test_stream_dedup_keeps_null_keys(spark):
-    land = tempfile.mkdtemp() + "/in"
-    df = spark.createDataFrame([(1, 1, "a"), (2, 1, "a"), (3, None, "a"), (4, None, "a")], "id long, source_id int, external_id string")
-    df.coalesce(1).write.parquet(land)
-    out, ck = tempfile.mkdtemp(), tempfile.mkdtemp()
-    s = J.file_source(spark, land, "parquet", df.schema)
-    d = J.stream_dedup(s, ["source_id", "external_id"])
-    J.run_available(d.writeStream.foreachBatch(J.epoch_writer(out)), ck)
-    got = spark.read.parquet(out).collect()
-    assert len(got) == 3 and sum(1 for r in got if r.source_id is None) == 2
+DEDUP = "id long, source_id string, external_id string, published_at timestamp"
+DEDUP_KEYS = ["source_id", "external_id"]
+
+
+def _dedup(spark, land, polls, out, ck, start=0, **options):
+    from datetime import datetime
+
+    queries = []
+    for i, rows in enumerate(polls, start):
+        spark.createDataFrame([(*r[:3], datetime(*r[3]) if len(r) > 3 else None) for r in rows], DEDUP).repartition(2).write.parquet(f"{land}/p={i}")
+        s = J.file_source(spark, land, "parquet", spark.createDataFrame([], DEDUP).schema).drop("p")
+        queries.append(J.stream_dedup(s, DEDUP_KEYS, out, ck, **options))
+    return queries
+
+
+def test_stream_dedup_keeps_the_first_row_of_every_key(spark):
+    land, out, ck = tempfile.mkdtemp() + "/in", tempfile.mkdtemp() + "/t", tempfile.mkdtemp()
+    polls = [
+        [(9, "1", "a", (2024, 3, 1)), (2, "1", "a", (2024, 1, 1)), (3, None, "a"), (4, None, "a"), (5, "2", None), (6, "2", None)],
+        # far older rows of new keys stay, copies go, whatever their own time
+        [(7, "3", "late", (2001, 1, 1)), (8, "1", "a", (2030, 1, 1)), (1, "1", "a", (2001, 1, 1)), (10, None, "a")],
+        # keys that would be one if their parts were joined by a separator
+        [(11, "a\u0001b", "c"), (12, "a", "b\u0001c"), (13, "a", "b\u0001c"), (14, "3", "late")],
+    ]
+    _dedup(spark, land, polls, out, ck)
+    ids = lambda: sorted(r["id"] for r in J.appended(spark, out).collect())
+    assert ids() == [2, 3, 4, 5, 6, 7, 10, 11, 12]
+    _dedup(spark, land, [], out, ck)
+    assert ids() == [2, 3, 4, 5, 6, 7, 10, 11, 12]
+
+
+def test_stream_dedup_state_is_bounded_and_old_copies_still_go(spark):
+    import time
+
+    land, out, ck = tempfile.mkdtemp() + "/in", tempfile.mkdtemp() + "/t", tempfile.mkdtemp()
+    state = []
+    for poll in range(4):
+        rows = [(poll * 100 + k, "s", f"k{poll}-{k}") for k in range(50)] + [(9000 + poll * 100 + k, "s", f"k{p}-{k}") for p in range(poll) for k in range(50)]
+        q = _dedup(spark, land, [rows], out, ck, start=poll, span="1 second")[0]
+        assert not any("window" in str(p.get("error", "")) for p in q.recentProgress)
+        state.append(max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress[-1:] if p["stateOperators"]))
+        time.sleep(2.5)
+    got = [r["id"] for r in J.appended(spark, out).collect()]
+    assert sorted(got) == sorted(poll * 100 + k for poll in range(4) for k in range(50))
+    # an epoch's rows and the span before it at most: not the 50 + 100 + 150 + 200 keys that came in
+    assert state[-1] <= 200 + 150
 
 
 def test_ingest_dedupes_across_epochs(spark):
@@ -172,11 +208,70 @@ def test_scored_stream_keeps_no_state(spark, tables):
 
     land = tempfile.mkdtemp() + "/msgs"
     land_news_messages(tables, land, files=3)
-    out, ck = tempfile.mkdtemp(), tempfile.mkdtemp()
-    s = J.scored_stream(news_stream(spark, land, max_files=1), S.NEWS_MESSAGE, tables.lexicon)
-    q = J.run_available(s.writeStream.foreachBatch(J.epoch_writer(out)), ck)
+    out, bad, ck = tempfile.mkdtemp(), tempfile.mkdtemp(), tempfile.mkdtemp()
+    q = J.stream_score(news_stream(spark, land, max_files=1), S.NEWS_MESSAGE, tables.lexicon, out, ck, bad)
     assert all(not p["stateOperators"] for p in q.recentProgress)
     got = {r.news_id: r.sentiment_score for r in spark.read.parquet(out).collect()}
     from tidings.operators import scoring as G
     want = {r.id: r.sentiment_score for r in G.lexicon_score(tables.raw_news, tables.lexicon).filter(F.col("id") % 50 != 0).collect()}
     assert got == want
+    assert spark.read.parquet(bad).count() == tables.raw_news.filter(F.col("id") % 50 == 0).count()
+
+
+def test_messages_with_one_id_are_scored_apart(spark, tables):
+    from tidings import schemas as S
+
+    lines = [("a", '{"id": 1, "title": "the", "content": ""}'), ("b", '{"id": 1, "title": "her her", "content": null}'), ("c", "{")]
+    out, bad = tempfile.mkdtemp(), tempfile.mkdtemp()
+    J.score_writer(out, S.NEWS_MESSAGE, tables.lexicon, bad)(spark.createDataFrame(lines, "key string, value string"), 0)
+    got = {r.original_data.title: float(r.sentiment_score) for r in spark.read.parquet(out).collect()}
+    assert got == {"the": 1.0, "her her": -1.0}
+    assert [r.key for r in spark.read.parquet(bad).collect()] == ["c"]
+
+
+def test_streams_without_input_read_as_empty(spark, tables):
+    from tidings import schemas as S
+    from tidings.plans.catalog_streaming import news_stream
+
+    land = tempfile.mkdtemp()
+    t = lambda: tempfile.mkdtemp() + "/t"
+    ingest, daily, upsert, hourly, dedup, scored, bad, stats = (t() for _ in range(8))
+    events = scored_events_of(J.file_source(spark, land, "parquet", tables.events.schema))
+    results = J.file_source(spark, land, "parquet", "news_id long, sentiment_score decimal(5,4), sentiment_label string, version int, analyzed_at timestamp, created_at string")
+    J.stream_ingest(news_stream(spark, land), ingest, t())
+    J.stream_daily_stats(events, daily, t())
+    J.stream_upsert_result(results, upsert, t())
+    J.stream_hourly_window(events, hourly, t())
+    J.stream_dedup(J.file_source(spark, land, "parquet", DEDUP), DEDUP_KEYS, dedup, t())
+    J.stream_score(news_stream(spark, land), S.NEWS_MESSAGE, tables.lexicon, scored, t(), bad)
+    J.stream_result_stats(results, "news_id", "version", stats, t())
+    for empty in (J.stored_news(J.appended(spark, ingest)), J.newest_by_key(J.appended(spark, daily), ["stat_date"]),
+                  J.latest_results(J.appended(spark, upsert), "news_id", "version"), J.hourly_stats(J.appended(spark, hourly)),
+                  J.appended(spark, dedup), J.appended(spark, scored), J.appended(spark, bad), J.result_stats(spark, stats)):
+        assert empty.count() == 0 and len(empty.columns) > 2
+
+
+def test_redelivered_and_rescored_results_count_once(spark):
+    from datetime import datetime
+    from decimal import Decimal
+
+    schema = "news_id long, sentiment_score decimal(5,4), sentiment_label string, version int, analyzed_at timestamp, created_at string"
+    row = lambda i, s, label, v, d: (i, None if s is None else Decimal(s), label, v, datetime(2024, 1, d), "t")
+    deliveries = [
+        [row(1, "0.5", "positive", 1, 1), row(2, "-0.5", "negative", 1, 1), row(3, None, "neutral", 1, 2), row(None, "0.1", "neutral", 1, 5)],
+        [row(1, "0.5", "positive", 1, 1), row(2, "0.4", "positive", 2, 3)],  # replay, and a re-score on another day
+        [row(2, "-0.5", "negative", 1, 1), row(1, "0.2", "neutral", 1, 1), row(1, "0.3", "neutral", 1, 1), row(4, "0.1", "neutral", 1, 1), row(4, "0.1", "neutral", 1, 1)],
+        [row(3, "0.9", "positive", 2, 2), row(None, "0.1", "neutral", 1, 5)],
+    ]
+    land, out, ck = tempfile.mkdtemp() + "/in", tempfile.mkdtemp() + "/t", tempfile.mkdtemp()
+    for i, rows in enumerate(deliveries):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{land}/p={i}")
+        J.stream_result_stats(J.file_source(spark, land, "parquet", schema).drop("p"), "news_id", "version", out, ck)
+        stored = J.appended(spark, f"{out}/results")
+        kept = J.latest_results(stored.filter("news_id IS NOT NULL"), "news_id", "version").select("analyzed_at", "sentiment_score", "sentiment_label") \
+            .unionByName(stored.filter("news_id IS NULL").select("analyzed_at", "sentiment_score", "sentiment_label"))
+        want = R.finish_state(R.partial_state(kept, [C.day("analyzed_at").alias("stat_date")]))
+        cols = ["stat_date", *R.STATE_COLS]
+        assert sorted(map(tuple, J.result_stats(spark, out).select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+    days = {r.stat_date.day: r.news_count for r in J.result_stats(spark, out).collect()}
+    assert days == {1: 2, 2: 1, 3: 1, 5: 2}

@@ -173,3 +173,16 @@ def test_purge_by_config_reads_days_per_table(spark):
         "id", F.col("d").cast("timestamp_ntz").alias("t"))
     kept = W.purge_by_config({"a": (rows, "t", "a_days"), "b": (rows, "t", "b_days"), "c": (rows, "t", "none")}, config, ts("2024-01-31 00:00:00"))
     assert {k: sorted(r.id for r in v.collect()) for k, v in kept.items()} == {"a": [1, 4], "b": [1, 2, 4], "c": [1, 2, 4]}
+
+
+def test_equal_updates_and_null_keys(spark):
+    """Of equal versions one and the same row stays however the rows are dealt; NULL keys never meet."""
+    from tidings.operators import writes as W
+
+    old = spark.createDataFrame([(1, "old", 1, "t0"), (None, "n0", 1, "t0")], "k long, v string, version int, created_at string")
+    new = spark.createDataFrame([(1, f"u{i}", 1, f"t{i}") for i in range(20)] + [(None, "n1", 1, "t1"), (None, "n1", 1, "t1")], old.schema)
+    found = {tuple(sorted(map(str, W.upsert_last_wins(old, new.orderBy(order).repartition(n), "k", "version").collect())))
+             for n in (1, 3, 8) for order in ("v", "created_at")}
+    assert len(found) == 1
+    rows = found.pop()
+    assert len(rows) == 4 and sum("k=None" in r for r in rows) == 3 and any("k=1" in r and "v='u" in r and "created_at='t0'" in r for r in rows)

@@ -85,33 +85,64 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
 
 # ---- S-4 / S-5 / S-6 messages ----------------------------------------------------------------------
-def _time_fields(schema: T.StructType, prefix: str = "") -> list[str]:
-    out = []
-    for f in schema.fields:
-        if isinstance(f.dataType, T.StructType):
-            out += _time_fields(f.dataType, f"{prefix}{f.name}.")
-        elif f.name.endswith("_at") and isinstance(f.dataType, T.StringType):
-            out.append(prefix + f.name)
-    return out
+def _field(path: str, name: str, kind: T.DataType) -> tuple[Column, Column]:
+    """(value, wrong) of the field at ``path`` of the variant ``_v``.  An absent
+    field and a JSON null are NULL; any other kind of value than the schema's is
+    wrong, as is text that is no timestamp in a field named ``*_at``."""
+    item = F.try_variant_get("_v", path, "variant")
+    found = F.schema_of_variant(item)
+    absent = item.isNull() | (found == "VOID")
+    if isinstance(kind, T.StructType):
+        parts = [(f.name, *_field(f"{path}['{f.name}']", f.name, f.dataType)) for f in kind.fields]
+        wrong = ~F.startswith(found, F.lit("OBJECT"))
+        for _, _, w in parts:
+            wrong = wrong | w
+        value = F.when(~absent, F.struct(*[v.alias(n) for n, v, _ in parts]))
+    elif isinstance(kind, T.ArrayType):
+        items = F.try_variant_get("_v", path, "array<variant>")
+        wrong = items.isNull() | F.exists(items, lambda e: ~F.schema_of_variant(e).isin("STRING", "VOID"))
+        value = F.try_variant_get("_v", path, "array<string>")
+    elif isinstance(kind, (T.StringType, T.TimestampType, T.TimestampNTZType, T.DateType)):
+        text = F.try_variant_get("_v", path, "string")
+        value = text if isinstance(kind, T.StringType) else F.try_to_timestamp(text).cast(kind)
+        wrong = found != "STRING"
+        if name.endswith("_at") or not isinstance(kind, T.StringType):
+            wrong = wrong | F.try_to_timestamp(text).isNull()
+    else:
+        value = F.try_variant_get("_v", path, kind.simpleString())
+        kinds = {T.BooleanType: "^BOOLEAN", T.DoubleType: "^(BIGINT|DOUBLE|FLOAT|DECIMAL)", T.FloatType: "^(BIGINT|DOUBLE|FLOAT|DECIMAL)",
+                 T.DecimalType: "^(BIGINT|DECIMAL)"}
+        wrong = ~found.rlike(kinds.get(type(kind), "^BIGINT")) | value.isNull()
+    return value, ~absent & wrong
 
 
 def parse_messages(df: DataFrame, schema: T.StructType, value_col: str = "value", key: str | None = None) -> DataFrame:
     """JSON text -> typed columns plus ``is_corrupt`` (undecodable rows are
     kept, with NULL fields, for the quarantine sink instead of failing the job).
 
-    Undecodable: no JSON object, a field of another type than the schema's, no
-    ``key`` (the schema's first field unless given), or a time (a text field
-    named ``*_at``) that is no timestamp.  The text is parsed once."""
+    Strict, by VARIANT: the text is one JSON object and nothing else, read once;
+    a field holds the schema's kind of value (text, whole number in range, number,
+    list of texts, object) or null or is absent, and nothing is converted; the
+    ``key`` (the schema's first field unless given) is there; a text field named
+    ``*_at`` holds a timestamp.  Of repeated names the last counts; names outside
+    the schema are ignored."""
     key = key or schema.fieldNames()[0]
-    whole = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     value = F.col(value_col)
-    parsed = F.from_json(value, whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    m = lambda name: F.col(f"_m.{name}")
-    bad = ~F.coalesce(value.rlike(r"^\s*\{"), F.lit(False)) | m("_corrupt").isNotNull() | m(key).isNull()
-    for t in _time_fields(schema):
-        bad = bad | (m(t).isNotNull() & F.try_to_timestamp(m(t)).isNull())
-    x = df.select("*", parsed.alias("_m")).withColumn("is_corrupt", bad)
-    return x.select(*df.columns, *[F.when(~F.col("is_corrupt"), m(n)).alias(n) for n in schema.fieldNames()], "is_corrupt")
+    # the parser ignores what follows a complete text: the seal behind the value is
+    # only found where the value was exactly one element
+    seal = F.xxhash64(value)
+    sealed = F.concat(F.lit("["), value, F.lit(","), seal.cast("string"), F.lit("]"))
+    x = df.select("*", F.try_parse_json(sealed).alias("_v"))
+    whole = (F.try_variant_get("_v", "$[1]", "bigint") == seal) & F.try_variant_get("_v", "$[2]", "variant").isNull() \
+        & F.startswith(F.schema_of_variant(F.try_variant_get("_v", "$[0]", "variant")), F.lit("OBJECT"))
+    fields = {f.name: _field(f"$[0]['{f.name}']", f.name, f.dataType) for f in schema.fields}
+    bad = ~F.coalesce(whole, F.lit(False)) | fields[key][0].isNull()
+    for _, wrong in fields.values():
+        bad = bad | wrong
+    read = F.struct(bad.alias("is_corrupt"), *[v.alias(n) for n, (v, _) in fields.items()])
+    # a filter on the result stops at the generator; below it Catalyst would parse the text once per use
+    x = x.select(*df.columns, read.alias("_m")).select(*df.columns, F.explode(F.array("_m")).alias("_m"))
+    return x.select(*df.columns, *[F.when(~F.col("_m.is_corrupt"), F.col(f"_m.{n}")).alias(n) for n in fields], "_m.is_corrupt")
 
 
 # Message text: every field present (NULL as null), timestamps as

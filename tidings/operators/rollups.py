@@ -30,6 +30,16 @@ def partial_state(df: DataFrame, keys: list[Column | str], score="sentiment_scor
     )
 
 
+def signed_state(df: DataFrame, keys: list[Column | str], sign: str, score="sentiment_score", label="sentiment_label") -> DataFrame:
+    """As ``partial_state``, each row weighted by ``sign`` (1 adds, -1 takes
+    back); keys whose rows cancel out are left out."""
+    n = F.col(sign)
+    st = df.groupBy(*keys).agg(
+        F.sum(n).cast("bigint").alias("news_count"), F.sum(F.col(score) * n.cast("decimal(1,0)")).alias("score_sum"),
+        *[F.sum(F.when(F.col(label) == x, n).otherwise(0)).cast("bigint").alias(f"{x}_count") for x in S.LABELS])
+    return st.filter(F.greatest(*[F.abs(F.coalesce(F.col(c), F.lit(0))) for c in STATE_COLS]) > 0)
+
+
 def merge_state(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """Stored state + batch state -> merged state (null-safe on keys: a NULL
     key is one group, unlike a NULL in a SQL unique key)."""

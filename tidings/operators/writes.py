@@ -22,14 +22,17 @@ from .skew import group_for_join
 def upsert_last_wins(existing: DataFrame, updates: DataFrame, key: str, version_col: str,
                      created_col: str = "created_at") -> DataFrame:
     """Rows of the highest version win per key; ``created_at`` stays the
-    earliest one seen.  Equal versions: the update side wins."""
+    earliest one seen.  Equal versions: the update side wins, of several equal
+    updates the row with the larger hash (the same one however the rows are
+    dealt).  A NULL key is no key: such rows never meet and all stay."""
     cols = [c for c in existing.columns if c not in (key,)]
     u = existing.withColumn("_side", F.lit(0)).unionByName(updates.withColumn("_side", F.lit(1)))
-    g = u.groupBy(key).agg(
-        F.max_by(F.struct(*cols), F.struct(F.col(version_col), F.col("_side"))).alias("_r"),
+    g = u.filter(F.col(key).isNotNull()).groupBy(key).agg(
+        F.max_by(F.struct(*cols), F.struct(F.col(version_col), F.col("_side"), F.xxhash64(*cols))).alias("_r"),
         F.min(created_col).alias("_created"),
     )
-    return g.select(key, "_r.*", "_created").withColumn(created_col, F.col("_created")).drop("_created")
+    merged = g.select(key, "_r.*", "_created").withColumn(created_col, F.col("_created")).drop("_created")
+    return merged.unionByName(u.filter(F.col(key).isNull()).drop("_side"))
 
 
 # ---- U-4 touch updated_at -------------------------------------------------------------------

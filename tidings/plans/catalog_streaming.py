@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..operators import rollups as R
+from ..operators import ingest as I
+from ..operators import scoring as G
 from ..session import scratch_path
-from ..sources.fixtures import Tables, scored_events_of
+from ..sources.fixtures import Tables, scored_events_of, ts
 from ..streaming import jobs as J
 from .catalog_rollups import ONE_PASS_DAILY
 from .catalog_scoring import LEX_SQL
@@ -99,27 +100,33 @@ def q_stream_score(spark, sf_dir):
     land = scratch_path(spark, "land-raw-news")
     land_news_messages(t, land)
     target, ckpt = scratch_path(spark, "scored"), scratch_path(spark, "ckpt-score")
-    scored = J.scored_stream(news_stream(spark, land, max_files=2), S.NEWS_MESSAGE, t.lexicon)
-    J.run_available(scored.writeStream.foreachBatch(J.epoch_writer(target)), ckpt)
+    J.stream_score(news_stream(spark, land, max_files=2), S.NEWS_MESSAGE, t.lexicon, target, ckpt)
     out = spark.read.parquet(target)
     return out.select("news_id", "sentiment_score", "sentiment_label", "confidence", F.col("original_data.title").alias("title"))
 
 
 @register(
     "stream_quarantine",
-    "SELECT CAST(id AS VARCHAR) AS key, 'not json {' AS value, 'undecodable' AS reason FROM raw_news WHERE id % 50 = 0",
-    views=("raw_news",),
+    LEX_SQL + """
+SELECT 'quarantine' AS sink, CAST(id AS VARCHAR) AS key, 'not json {' AS value, 'undecodable' AS reason, NULL::BIGINT AS news_id,
+       NULL::DECIMAL(5,4) AS sentiment_score, NULL::VARCHAR AS sentiment_label, NULL::DECIMAL(5,4) AS confidence
+FROM raw_news WHERE id % 50 = 0
+UNION ALL
+SELECT 'scored', NULL, NULL, NULL, id, sentiment_score,
+       CASE WHEN sentiment_score > 0.3 THEN 'positive' WHEN sentiment_score < -0.3 THEN 'negative' ELSE 'neutral' END, confidence
+FROM s WHERE id % 50 <> 0""",
+    views=("raw_news", "lexicon"),
 )
 def q_stream_quarantine(spark, sf_dir):
-    """Two sinks from one micro-batch: scored rows and the quarantine."""
+    """Two sinks from one micro-batch, both read back: scored rows and the quarantine."""
     t = Tables(spark, sf_dir)
     land = scratch_path(spark, "land-raw-news")
     land_news_messages(t, land)
     target, quarantine, ckpt = scratch_path(spark, "scored"), scratch_path(spark, "quarantine"), scratch_path(spark, "ckpt-q")
-    w = news_stream(spark, land, max_files=4).writeStream.foreachBatch(
-        J.score_and_quarantine_writer(target, quarantine, S.NEWS_MESSAGE, t.lexicon))
-    J.run_available(w, ckpt)
-    return spark.read.parquet(quarantine).select("key", "value", "reason")
+    J.stream_score(news_stream(spark, land, max_files=4), S.NEWS_MESSAGE, t.lexicon, target, ckpt, quarantine)
+    bad = J.appended(spark, quarantine).select(F.lit("quarantine").alias("sink"), "key", "value", "reason")
+    good = J.appended(spark, target).select(F.lit("scored").alias("sink"), "news_id", "sentiment_score", "sentiment_label", "confidence")
+    return bad.unionByName(good, allowMissingColumns=True)
 
 
 @register(
@@ -149,6 +156,16 @@ def q_stream_daily_stats(spark, sf_dir):
                                                                             "neutral_count", "negative_count", "avg_sentiment")
 
 
+def first_and_second_scores(t):
+    """First scores (version 1) and re-scores (version 2, two news of three)."""
+    v1 = t.sentiment_results.select("news_id", "sentiment_score", "sentiment_label", F.lit(1).alias("version"),
+                                    ts("2024-01-20 00:00:00").alias("created_at"))
+    lx = G.lexicon_score(t.raw_news, t.lexicon).select(F.col("id").alias("news_id"), "sentiment_score", "sentiment_label")
+    v2 = lx.join(v1.select("news_id"), "news_id", "left_semi").filter(F.col("news_id") % 3 != 0).select(
+        "news_id", "sentiment_score", "sentiment_label", F.lit(2).alias("version"), ts("2024-01-25 00:00:00").alias("created_at"))
+    return v1, v2
+
+
 @register(
     "stream_upsert_result",
     LEX_SQL + """
@@ -166,16 +183,9 @@ def q_stream_upsert_result(spark, sf_dir):
     then the first scores come again, late, and one re-score of two again with
     an equal version and the sign turned.  The highest version wins, of equal
     versions the later delivery, and the first creation time stays."""
-    from ..operators import scoring as G
-    from ..sources.fixtures import ts
-
     t = Tables(spark, sf_dir)
-    v1 = t.sentiment_results.select("news_id", F.col("sentiment_score").cast("double").alias("sentiment_score"),
-                                    "sentiment_label", F.lit(1).alias("version"), ts("2024-01-20 00:00:00").alias("created_at"))
-    lx = G.lexicon_score(t.raw_news, t.lexicon).select(F.col("id").alias("news_id"), "sentiment_score", "sentiment_label")
-    v2 = lx.join(v1.select("news_id"), "news_id", "left_semi").filter(F.col("news_id") % 3 != 0).select(
-        "news_id", F.col("sentiment_score").cast("double").alias("sentiment_score"), "sentiment_label",
-        F.lit(2).alias("version"), ts("2024-01-25 00:00:00").alias("created_at"))
+    v1, v2 = first_and_second_scores(t)
+    v1, v2 = (x.withColumn("sentiment_score", F.col("sentiment_score").cast("double")) for x in (v1, v2))
     again = v2.filter(F.col("news_id") % 3 == 1).withColumn("sentiment_score", -F.col("sentiment_score") + 0.0)
     land, target, ckpt = (scratch_path(spark, n) for n in ("land-results", "results", "ckpt-upsert"))
     for part, rows in enumerate((v1.unionByName(v2), v1.withColumn("created_at", ts("2024-01-30 00:00:00")).unionByName(again))):
@@ -208,20 +218,61 @@ def q_stream_hourly_window(spark, sf_dir):
 
 @register(
     "stream_dedup",
-    """SELECT DISTINCT source_id, external_id FROM raw_news WHERE source_id IS NOT NULL
+    """SELECT min(id) AS id, source_id, external_id FROM raw_news WHERE source_id IS NOT NULL GROUP BY source_id, external_id
 UNION ALL
-SELECT source_id, external_id FROM raw_news WHERE source_id IS NULL""",
+SELECT id, source_id, external_id FROM raw_news WHERE source_id IS NULL""",
     views=("raw_news",),
 )
 def q_stream_dedup(spark, sf_dir):
     """Duplicate (source_id, external_id) dropped inside the stream; NULL sources
-    never collide."""
+    never collide.  Each key's first ids arrive with the odd days, all rows of
+    keys already stored come again with the even ones."""
     t = Tables(spark, sf_dir)
-    land = scratch_path(spark, "land-news")
-    t.raw_news.select("id", "source_id", "external_id", "published_at").repartition(6).write.mode("overwrite").parquet(land)
-    schema = spark.read.parquet(land).schema
-    target, ckpt = scratch_path(spark, "dedup"), scratch_path(spark, "ckpt-dedup")
-    s = J.file_source(spark, land, "parquet", schema=schema, max_files=2)
-    d = J.stream_dedup(s, ["source_id", "external_id"])
-    J.run_available(d.writeStream.foreachBatch(J.epoch_writer(target)), ckpt)
-    return spark.read.parquet(target).select("source_id", "external_id")
+    land, target, ckpt = (scratch_path(spark, n) for n in ("land-news", "dedup", "ckpt-dedup"))
+    news = t.raw_news.select("id", "source_id", "external_id", "published_at")
+    keys = ["source_id", "external_id"]
+    marked = I.mark_new(news, news.limit(0), keys)
+    early = F.col("is_new") & (F.col("id") % 2 == 1)
+    for part, rows in enumerate((marked.filter(early), marked.filter(~early))):
+        rows.drop("is_new").select(*news.columns).write.parquet(f"{land}/poll={part}")
+        s = J.file_source(spark, land, "parquet", schema=news.schema).select(*news.columns)
+        J.stream_dedup(s, keys, target, ckpt)
+    return J.appended(spark, target).select("id", "source_id", "external_id")
+
+
+@register(
+    "stream_result_stats",
+    LEX_SQL + """,
+r AS (SELECT sr.news_id, CAST(CASE sr.news_id % 3 WHEN 0 THEN sr.sentiment_score WHEN 1 THEN -s.sentiment_score ELSE s.sentiment_score END AS DECIMAL(5,4)) AS score,
+             TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 DAY * CAST(CASE WHEN sr.news_id % 3 = 0 THEN sr.news_id % 20 ELSE sr.news_id % 25 END AS INT) AS analyzed_at,
+             CASE WHEN sr.news_id % 3 = 0 THEN sr.sentiment_label WHEN s.sentiment_score > 0.3 THEN 'positive'
+                  WHEN s.sentiment_score < -0.3 THEN 'negative' ELSE 'neutral' END AS label
+      FROM sentiment_results sr JOIN s ON s.id = sr.news_id)
+SELECT CAST(analyzed_at AS DATE) AS stat_date, COUNT(*) AS news_count, CAST(SUM(score) AS DOUBLE) AS score_sum,
+       COUNT(CASE WHEN label = 'positive' THEN 1 END) AS positive_count, COUNT(CASE WHEN label = 'neutral' THEN 1 END) AS neutral_count,
+       COUNT(CASE WHEN label = 'negative' THEN 1 END) AS negative_count, CAST(SUM(score) AS DOUBLE) / COUNT(*) AS avg_sentiment
+FROM r GROUP BY 1""",
+    views=("raw_news", "lexicon", "sentiment_results"),
+)
+def q_stream_result_stats(spark, sf_dir):
+    """Daily statistics under re-delivery: first scores and re-scores (version 2,
+    another day, two news of three); then the first scores come again, and one
+    re-score of two again with the sign turned.  Each result counts once, on the
+    day of the row that stays."""
+    t = Tables(spark, sf_dir)
+    v1, v2 = first_and_second_scores(t)
+
+    def day(n: int):
+        return F.timestamp_add("DAY", F.col("news_id") % n, ts("2024-01-01 00:00:00")).alias("analyzed_at")
+
+    def row(rows, n: int):
+        return rows.select("news_id", F.col("sentiment_score").cast("decimal(5,4)").alias("sentiment_score"), "sentiment_label", "version", "created_at", day(n))
+
+    again = v2.filter(F.col("news_id") % 3 == 1).withColumn("sentiment_score", -F.col("sentiment_score"))
+    land, target, ckpt = (scratch_path(spark, n) for n in ("land-results", "result-stats", "ckpt-result-stats"))
+    for part, rows in enumerate((row(v1, 20).unionByName(row(v2, 25)), row(v1, 20).unionByName(row(again, 25)))):
+        rows.write.parquet(f"{land}/delivery={part}")
+        stream = J.file_source(spark, land, "parquet", schema=rows.schema).select(*rows.columns)
+        J.stream_result_stats(stream, "news_id", "version", target, ckpt)
+    return J.result_stats(spark, target).select("stat_date", "news_count", "score_sum", "positive_count", "neutral_count", "negative_count",
+                                                "avg_sentiment")

@@ -24,6 +24,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Partition-level merges overwrite only the partitions they touch.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # A repeated name in a JSON object is legal; the last one counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

@@ -69,6 +69,18 @@ def epoch_writer(target: str, fmt: str = "parquet", partition_cols: list[str] |
     return write
 
 
+def start_table(target: str, empty: DataFrame) -> None:
+    """An epoch -1 without rows: a table that no epoch has written yet reads as empty."""
+    epoch_writer(target)(empty, -1)
+
+
+def run_epochs(stream: DataFrame, body: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Each epoch's ``body(batch)`` appended to the table ``target``."""
+    start_table(target, body(stream.sparkSession.createDataFrame([], stream.schema)))
+    write = epoch_writer(target)
+    return run_available(stream.writeStream.foreachBatch(lambda batch, epoch: write(body(batch), epoch)), checkpoint, every)
+
+
 # ---- the store behind R-1, R-5, R-6 and R-7 ---------------------------------------------------
 # A sink table is a folder of appended epochs, ``target/epoch=N``.  An epoch
 # writes only its own rows (as many files as tasks) and reads nothing that is
@@ -125,39 +137,43 @@ def stream_ingest(messages: DataFrame, target: str, checkpoint: str, schema: T.S
     """Entry messages -> parsed (undecodable ones skipped) -> appended news;
     read with ``stored_news(appended(...))``."""
     parsed = I.parse_messages(messages, schema).filter(~F.col("is_corrupt")).drop("is_corrupt", "key", "value")
-    return run_available(entries_to_news(parsed).writeStream.foreachBatch(ingest_batch_writer(target)), checkpoint, every)
+    return run_epochs(entries_to_news(parsed), lambda batch: I.dedupe_first_wins(batch, list(ENTRY_KEYS), "id"), target, checkpoint, every)
 
 
 # ---- R-2 / R-3 scoring with quarantine ------------------------------------------------------------
-def scored_stream(news_messages: DataFrame, schema: T.StructType, lexicon: DataFrame) -> DataFrame:
-    """Parsed news -> lexicon scores; the input rides along as a nested struct.
-    Scores are columns of the same row: no stream-stream join, no state."""
-    p = I.parse_messages(news_messages, schema)
-    ok = p.filter(~F.col("is_corrupt"))
-    s = G.with_lexicon_score(ok, lexicon)
-    return s.select(
-        F.col("id").alias("news_id"), "sentiment_score", "sentiment_label", "confidence",
-        F.struct(*schema.fieldNames()).alias("original_data"), F.current_timestamp().alias("analyzed_at"))
-
-
-def score_and_quarantine_writer(target: str, quarantine: str, schema: T.StructType, lexicon: DataFrame):
-    """Two sinks from one epoch: scored rows and undecodable messages."""
+def score_writer(target: str, schema: T.StructType, lexicon: DataFrame, quarantine: str | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch body: the batch's messages parsed once, the decodable ones
+    scored and written to ``target`` with the message as a nested struct, the
+    others to ``quarantine`` if given."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        p = I.parse_messages(batch, schema)
-        p.persist()
+        # messages may share an id, so scores return by a number of the row's own
+        p = I.parse_messages(batch, schema).withColumn("_no", F.monotonically_increasing_id()).persist()
         try:
-            bad = p.filter("is_corrupt").select("key", "value", F.lit("undecodable").alias("reason"))
-            bad.write.mode("overwrite").parquet(f"{quarantine}/epoch={epoch}")
             ok = p.filter(~F.col("is_corrupt"))
-            s = G.lexicon_score(ok, lexicon).select(F.col("id").alias("news_id"), "sentiment_score", "sentiment_label", "confidence")
-            s.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+            scores = G.lexicon_score(ok, lexicon, keep=("_no",)).select("_no", "sentiment_score", "sentiment_label", "confidence")
+            rows = ok.join(scores, "_no").select(
+                F.col("id").alias("news_id"), "sentiment_score", "sentiment_label", "confidence",
+                F.struct(*schema.fieldNames()).alias("original_data"), F.current_timestamp().alias("analyzed_at"))
+            epoch_writer(target)(rows, epoch)
+            if quarantine:
+                bad = p.filter("is_corrupt").select("key", "value", F.lit("undecodable").alias("reason"))
+                epoch_writer(quarantine)(bad, epoch)
         finally:
             p.unpersist()
 
     return write
 
 
+def stream_score(messages: DataFrame, schema: T.StructType, lexicon: DataFrame, target: str, checkpoint: str,
+                 quarantine: str | None = None, every: str | None = None) -> StreamingQuery:
+    """News messages -> scored rows, and undecodable ones to the quarantine.  No
+    state: an epoch depends on its own messages only."""
+    write = score_writer(target, schema, lexicon, quarantine)
+    write(messages.sparkSession.createDataFrame([], messages.schema), -1)
+    return run_available(messages.writeStream.foreachBatch(write), checkpoint, every)
+
+
 # ---- R-4 append to the partitioned fact ------------------------------------------------------------
 def stream_append_fact(scored: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     fact = scored.select("news_id", "source_name", "sentiment_score", "sentiment_label",
@@ -172,13 +188,14 @@ def stream_daily_stats(scored: DataFrame, target: str, checkpoint: str, every: s
     store; an epoch appends the new state of the days it touched.  Read with
     ``newest_by_key(appended(...), ["stat_date"])``."""
     st = R.finish_state(R.partial_state(scored, [C.day("analyzed_at").alias("stat_date")]))
+    start_table(target, scored.sparkSession.createDataFrame([], st.schema))
     return run_available(st.writeStream.outputMode("update").foreachBatch(epoch_writer(target)), checkpoint, every)
 
 
 # ---- R-6 idempotent upsert of re-delivered results ---------------------------------------------
 def stream_upsert_result(results: DataFrame, target: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Every delivery is appended; ``latest_results`` resolves them."""
-    return run_available(results.writeStream.foreachBatch(epoch_writer(target)), checkpoint, every)
+    return run_epochs(results, lambda batch: batch, target, checkpoint, every)
 
 
 def latest_results(rows: DataFrame, key: str, version_col: str, created_col: str = "created_at") -> DataFrame:
@@ -190,6 +207,46 @@ def latest_results(rows: DataFrame, key: str, version_col: str, created_col: str
     return g.select(key, "_r.*", created_col)
 
 
+# ---- A-12 / U-3 under re-delivery: R-6 and R-5 as one job -------------------------------------------
+def stream_result_stats(results: DataFrame, key: str, version_col: str, target: str, checkpoint: str, ts_col: str = "analyzed_at",
+                        every: str | None = None) -> StreamingQuery:
+    """Daily statistics of the results that ``latest_results`` keeps, each counted
+    once however often it is delivered.
+
+    An epoch appends its deliveries to ``target/results`` and, to
+    ``target/daily``, signed states: every key it touches takes its old row back
+    from the old row's day and adds its new one to the new row's day, so a replay
+    or a stale version adds nothing and a re-score moves.  Stored rows are read
+    for the touched keys only (a join on the key).  Read with
+    ``result_stats``."""
+    spark = results.sparkSession
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        stored = appended(spark, f"{target}/results").filter(F.col("epoch") < epoch)
+        touched = stored.join(batch.select(key).filter(F.col(key).isNotNull()).distinct(), key, "left_semi").select(*stored.columns)
+        # a NULL key is no key: nothing can overwrite such a result
+        new = batch.select(*batch.columns, F.lit(epoch).alias("epoch"))
+        now = latest_results(touched.unionByName(new.filter(F.col(key).isNotNull())), key, version_col)
+        old = latest_results(touched, key, version_col)
+        cols = [ts_col, "sentiment_score", "sentiment_label"]
+        signed = old.select(*cols, F.lit(-1).alias("_sign")).unionByName(
+            now.select(*cols, F.lit(1).alias("_sign"))).unionByName(new.filter(F.col(key).isNull()).select(*cols, F.lit(1).alias("_sign")))
+        epoch_writer(f"{target}/daily")(R.signed_state(signed, [C.day(ts_col).alias("stat_date")], "_sign"), epoch)
+        epoch_writer(f"{target}/results")(batch, epoch)
+
+    empty = spark.createDataFrame([], results.schema)
+    start_table(f"{target}/results", empty)
+    write(empty, -1)
+    return run_available(results.writeStream.foreachBatch(write), checkpoint, every)
+
+
+def result_stats(spark: SparkSession, target: str) -> DataFrame:
+    """Daily statistics that ``stream_result_stats`` has stored, days without a result left out."""
+    rows = appended(spark, f"{target}/daily")
+    state = rows.groupBy("stat_date").agg(*[F.sum(c).alias(c) for c in R.STATE_COLS])
+    return R.finish_state(state.filter(F.col("news_count") != 0))
+
+
 # ---- R-7 hourly windows per source ----------------------------------------------------------------------
 HOUR_KEYS = ["hour", "source_name"]
 
@@ -207,8 +264,7 @@ def stream_hourly_window(scored: DataFrame, target: str, checkpoint: str, every:
     """Event-time hourly stats per source.  An epoch appends the partial state
     of its own rows: no watermark and no state store, so a row counts in its
     hour however late it is.  Read with ``hourly_stats(appended(...))``."""
-    write = epoch_writer(target)
-    return run_available(scored.writeStream.foreachBatch(lambda b, n: write(hourly_state(b), n)), checkpoint, every)
+    return run_epochs(scored, hourly_state, target, checkpoint, every)
 
 
 def hourly_stats(rows: DataFrame) -> DataFrame:
@@ -219,10 +275,36 @@ def hourly_stats(rows: DataFrame) -> DataFrame:
 
 
 # ---- R-8 dedupe inside the stream ---------------------------------------------------------------------
-def stream_dedup(news: DataFrame, keys: list[str], id_col: str = "id") -> DataFrame:
-    """Dedupe of (source_id, external_id) against all keys seen so far (the
-    state; no watermark, so a late copy is still a copy and a late first row is
-    kept).  A NULL key part never collides: such rows get a unique surrogate key."""
-    k = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.concat(F.lit("\u0000null-"), F.col(id_col).cast("string")))
-                               for c in keys])
-    return news.withColumn("_dk", k).dropDuplicates(["_dk"]).drop("_dk")
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def stream_dedup(news: DataFrame, keys: list[str], target: str, checkpoint: str, id_col: str = "id", span: str = "1 hour",
+                 every: str | None = None) -> StreamingQuery:
+    """The first row of every key (earliest epoch, then lowest ``id_col``), ever.
+
+    Copies that arrive within ``span`` of each other meet in the state store
+    (RocksDB, off the heap): one row per key and span, let go when the span has
+    passed.  The span is one of arrival, not of the rows' own time, so a late
+    first row is not dropped.  Copies of what is older are dropped by an anti join
+    against the stored keys of earlier epochs.  A key with a NULL part never
+    collides: its rows are told apart by their id."""
+    spark = news.sparkSession
+    own = F.when(~I.key_not_null(keys), F.col(id_col)).alias("_own")
+    rest = [c for c in news.columns if c not in keys]
+    arrived = news.select("*", own, F.current_timestamp().alias("_arrived")).withWatermark("_arrived", span)
+    first = arrived.groupBy(F.window("_arrived", span), *keys, "_own").agg(
+        F.min_by(F.struct(*rest), F.struct("_arrived", id_col)).alias("_r")).select(*keys, "_r.*").select(*news.columns)
+    start_table(target, spark.createDataFrame([], first.schema))
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        stored = appended(spark, target).filter(F.col("epoch") < epoch)
+        epoch_writer(target)(I.anti_join_existing(batch, stored, keys, skew_safe=False).select(*news.columns), epoch)
+
+    before = {k: spark.conf.get(k, None) for k in ROCKSDB}
+    for k, v in ROCKSDB.items():  # a query keeps the settings it starts with
+        spark.conf.set(k, v)
+    try:
+        return run_available(first.writeStream.outputMode("update").foreachBatch(write), checkpoint, every)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
