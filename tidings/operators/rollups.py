@@ -117,50 +117,71 @@ def high_impact_count(events: DataFrame, threshold: int = S.HIGH_IMPACT_MIN) ->
 
 
 # ---- D-3 / D-4 top-k words per group -------------------------------------------------------
-def top_terms(rows: DataFrame, group_cols: list[str], term_col: str, k: int = 5, salt_buckets: int = 16,
-              out_col: str = "top_keywords") -> DataFrame:
-    """k most frequent terms per group, ties by term; exact.
-
-    1. count per (group, term) -- partial aggregation absorbs repeats;
-    2. rank within (group, hash(term) % salt_buckets) and keep k -- a hot
-       group is split over ``salt_buckets`` tasks;
-    3. rank the <= k * salt_buckets survivors per group.
-    The global top k of a group is inside the union of its per-bucket top k.
-    """
-    counts = rows.filter(F.col(term_col).isNotNull() & (F.col(term_col) != "")).groupBy(*group_cols, term_col).agg(
-        F.count(F.lit(1)).alias("cnt"))
-    order = [F.col("cnt").desc(), F.col(term_col).asc()]
-    top = top_n_per_group(counts, group_cols, order, k, salt_key=F.col(term_col), buckets=salt_buckets)
-    agg = top.groupBy(*group_cols).agg(F.sort_array(F.collect_list(F.struct("_rank", F.col(term_col).alias("t")))).alias("_l"))
-    return agg.select(*group_cols, F.transform("_l", lambda x: x["t"]).alias(out_col))
-
-
-def keyword_rows(t) -> DataFrame:
-    """(sector_id, stat_date, word) for every token of scored news."""
-    rows = scored_sector_rows(t)
-    text = t.raw_news.select(F.col("id").alias("news_id"), C.tokens("content").alias("kw"))
-    return rows.select("news_id", "sector_id", C.day("published_at").alias("stat_date")).join(text, "news_id").select(
-        "sector_id", "stat_date", F.explode("kw").alias("word"))
+# Sectors of that many news are broadcast to the texts (about 100 bytes each).
+SMALL_SETS = 500_000
+TERM_KEYS = ("sector_id", "stat_date", "term")
 
 
-def top_keywords(t, k: int = 5) -> DataFrame:
-    return top_terms(keyword_rows(t), ["sector_id", "stat_date"], "word", k)
+def sector_sets(rows: DataFrame, ts_col: str = "published_at") -> DataFrame:
+    """One narrow row per news: its day and the sorted list of its sectors."""
+    return rows.groupBy("news_id", C.day(ts_col).alias("stat_date")).agg(F.sort_array(F.collect_list("sector_id")).alias("sectors"))
+
+
+def term_counts(sets: DataFrame, terms: DataFrame, small: int = SMALL_SETS) -> DataFrame:
+    """Count per (sector_id, stat_date, term) over the ``terms`` (an array per
+    ``news_id``) of the news in ``sets``; NULL and empty terms are ignored.
+
+    A term is counted once per day and *set* of sectors, then for each sector of
+    the set.  Few sets (measured) are broadcast to the terms, so no text is
+    shuffled; otherwise terms are first counted per news and these narrow counts
+    are joined.  The counts are mergeable: ``merge_terms`` adds stored and new ones."""
+    ok = F.col("term").isNotNull() & (F.col("term") != "")
+    if sets.limit(small + 1).count() <= small:
+        x = terms.join(F.broadcast(sets), "news_id").select("stat_date", "sectors", F.explode("terms").alias("term"))
+        per_set = x.filter(ok).groupBy("stat_date", "sectors", "term").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        per_news = terms.select("news_id", F.explode("terms").alias("term")).filter(ok).groupBy("news_id", "term").agg(F.count(F.lit(1)).alias("n"))
+        per_set = per_news.join(sets, "news_id").groupBy("stat_date", "sectors", "term").agg(F.sum("n").alias("n"))
+    x = per_set.select(F.explode("sectors").alias("sector_id"), "stat_date", "term", "n")
+    return x.groupBy(*TERM_KEYS).agg(F.sum("n").alias("n"))
+
+
+def merge_terms(*states: DataFrame) -> DataFrame:
+    """Term counts of several epochs added up."""
+    u = states[0]
+    for s in states[1:]:
+        u = u.unionByName(s.select(*u.columns))
+    return u.groupBy(*TERM_KEYS).agg(F.sum("n").alias("n"))
+
 
+def top_terms(counts: DataFrame, k: int = 5, salt_buckets: int = 16, out_col: str = "top_keywords",
+              group: tuple[str, ...] = ("sector_id", "stat_date")) -> DataFrame:
+    """k most frequent terms per group of exact ``counts``, ties by term.
 
-def entity_names(t) -> DataFrame:
-    """(sector_id, stat_date, name) of entities: capitalised tokens,
-    normalised to the entity struct first (G-4)."""
-    from .scoring import normalise_entities
+    Ranked first within (group, hash(term) % salt_buckets), so a hot group is
+    split over ``salt_buckets`` tasks, then among the <= k * salt_buckets
+    survivors: the top k of a group is inside the union of its buckets' top k."""
+    top = top_n_per_group(counts, list(group), [F.col("n").desc(), F.col("term").asc()], k, salt_key=F.col("term"), buckets=salt_buckets)
+    agg = top.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("_rank", "term"))).alias("_l"))
+    return agg.select(*group, F.transform("_l", lambda x: x["term"]).alias(out_col))
 
-    rows = scored_sector_rows(t)
-    toks = t.raw_news.select(F.col("id").alias("news_id"), F.filter(C.tokens("content"), lambda x: x.rlike("^[A-Z]")).alias("ents"))
-    ents = toks.select("news_id", normalise_entities(F.to_json("ents")).alias("entities"))
-    j = rows.select("news_id", "sector_id", C.day("published_at").alias("stat_date")).join(ents, "news_id")
-    return j.select("sector_id", "stat_date", F.explode("entities").alias("e")).select("sector_id", "stat_date", F.col("e.name").alias("name"))
+
+def keyword_terms(news: DataFrame) -> DataFrame:
+    """All tokens of every news."""
+    return news.select(F.col("id").alias("news_id"), C.tokens("content").alias("terms"))
+
+
+def entity_terms(news: DataFrame) -> DataFrame:
+    """Entity names of every news: its capitalised tokens."""
+    return news.select(F.col("id").alias("news_id"), F.filter(C.tokens("content"), lambda x: x.rlike("^[A-Z]")).alias("terms"))
+
+
+def top_keywords(t, k: int = 5) -> DataFrame:
+    return top_terms(term_counts(sector_sets(scored_sector_rows(t)), keyword_terms(t.raw_news)), k)
 
 
 def top_entities(t, k: int = 5) -> DataFrame:
-    return top_terms(entity_names(t), ["sector_id", "stat_date"], "name", k, out_col="top_entities")
+    return top_terms(term_counts(sector_sets(scored_sector_rows(t)), entity_terms(t.raw_news)), k, out_col="top_entities")
 
 
 # ---- D-5 trend ---------------------------------------------------------------------------------
