@@ -1,6 +1,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tidings.functions import core as C
 from tidings.operators import scoring as G
 from tidings.sources.fixtures import LEXICON_ROWS
 
@@ -61,7 +62,23 @@ def test_one_failing_text_defaults_only_itself(spark):
         return pd.DataFrame({"sentiment_score": [0.5] * len(texts), "sentiment_label": ["positive"] * len(texts),
                              "confidence": [None] * len(texts), "market_impact_score": [None] * len(texts)})
 
-    got = {r.id: r for r in G.model_score(news, scorer, attempts=2, backoff=0.0).collect()}
+    got = {r.id: r for r in G.model_score(news, scorer, C.scoring_text("title", "content"), attempts=2, backoff=0.0).collect()}
     assert len(got) == 50 and [i for i, r in got.items() if not r.scored_ok] == [7]
     assert got[7].confidence == 0.5 and got[7].market_impact_score == 50
     assert got[8].confidence == 0.0 and got[8].market_impact_score is None and got[8].sentiment_score == 0.5
+
+
+def test_scorer_gets_the_whole_request_and_replies_with_lists(spark):
+    long = "word " * 1000
+    news = spark.createDataFrame([(1, "Title", long), (2, None, None)], "id long, title string, content string")
+
+    def scorer(texts: pd.Series) -> pd.DataFrame:
+        whole = texts.str.contains(long.strip()).tolist()
+        return pd.DataFrame({"sentiment_score": [0.1] * len(texts), "sentiment_label": ["neutral"] * len(texts), "confidence": [1.0] * len(texts),
+                             "market_impact_score": [1] * len(texts), "entities": [["A", "B"] if w else None for w in whole],
+                             "keywords": [["k"] if w else [] for w in whole]})
+
+    got = {r.id: (r.entities, r.keywords, r.scored_ok) for r in G.model_score(news, scorer).collect()}
+    assert got == {1: (["A", "B"], ["k"], True), 2: ([], [], True)}
+    text = {r.id: r.t for r in news.select("id", G.request_text("title", "content").alias("t")).collect()}
+    assert text[1].count("word") == 1000 and "标题: Title\n" in text[1] and text[2].startswith(G.REQUEST_PARTS[0])

@@ -186,3 +186,66 @@ def test_equal_updates_and_null_keys(spark):
     assert len(found) == 1
     rows = found.pop()
     assert len(rows) == 4 and sum("k=None" in r for r in rows) == 3 and any("k=1" in r and "v='u" in r and "created_at='t0'" in r for r in rows)
+
+
+def _files(path):
+    import os
+
+    return {os.path.relpath(os.path.join(d, f), path): os.stat(os.path.join(d, f)).st_mtime_ns
+            for d, _, names in os.walk(path) for f in names if f.startswith("part-")}
+
+
+def test_purge_drops_whole_months_and_leaves_other_files_alone(spark):
+    import tempfile
+    from datetime import datetime, timedelta
+
+    from tidings.operators import writes as W
+    from tidings.sources.fixtures import ts
+
+    start = datetime(2023, 10, 1)
+    rows = [(i, start + timedelta(hours=9 * i)) for i in range(400)] + [(1000, None), (1001, None)]
+    news = spark.createDataFrame(rows, "id long, published_at timestamp_ntz")
+    kids = spark.createDataFrame([(i % 400, f"r{i}", rows[i % 400][1]) for i in range(900)] + [(1000, "x", None)],
+                                 "news_id long, what string, published_at timestamp_ntz")
+    root = tempfile.mkdtemp()
+    parent, child = f"{root}/news", f"{root}/kids"
+    W.write_by_month(news, parent, "published_at")
+    W.write_by_month(kids, child, "published_at")
+    before = _files(parent), _files(child)
+    cut = datetime(2024, 1, 11, 6)
+    gone = {i for i, at in rows if at and at < cut}
+    log = {r.table_name: r for r in W.purge_stored(spark, parent, "published_at", ts("2024-01-11 06:00:00"), {"kids": (child, "news_id")}).collect()}
+    assert sorted(r.id for r in spark.read.parquet(parent).collect()) == sorted(i for i, _ in rows if i not in gone)
+    assert sorted(r.what for r in spark.read.parquet(child).collect()) == sorted([f"r{i}" for i in range(900) if i % 400 not in gone] + ["x"])
+    assert log["raw_news"].records_processed == len(gone) and log["kids"].records_processed == sum(i % 400 in gone for i in range(900))
+    assert log["raw_news"].months_dropped == log["kids"].months_dropped == [202310, 202311, 202312]
+    for old, path in zip(before, (parent, child)):
+        untouched = {f: t for f, t in old.items() if f.split("/")[0] not in ("yyyymm=202310", "yyyymm=202311", "yyyymm=202312", "yyyymm=202401")}
+        assert untouched and untouched.items() <= _files(path).items()
+        assert not any(f.startswith("yyyymm=2023") for f in _files(path))
+    # again: nothing to remove, no file is touched; then the whole boundary month goes
+    after = _files(parent), _files(child)
+    again = W.purge_stored(spark, parent, "published_at", ts("2024-01-11 06:00:00"), {"kids": (child, "news_id")}).collect()
+    assert all(r.records_processed == 0 and r.months_dropped == [] for r in again) and (_files(parent), _files(child)) == after
+    W.purge_stored(spark, parent, "published_at", ts("2024-02-01 00:00:00"), {"kids": (child, "news_id")})
+    W.purge_stored(spark, parent, "published_at", ts("2024-02-28 23:00:00"), {"kids": (child, "news_id")})
+    left = sorted(r.id for r in spark.read.parquet(parent).collect())
+    assert left == sorted(i for i, at in rows if at is None or at >= datetime(2024, 2, 28, 23))
+    assert set(r.news_id for r in spark.read.parquet(child).collect()) <= set(left)
+
+
+def test_purge_by_configured_days_of_a_stored_table(spark):
+    import tempfile
+    from datetime import datetime
+
+    from tidings.operators import writes as W
+    from tidings.sources.fixtures import ts
+
+    config = spark.createDataFrame([("data_retention_days", "20")], "config_key string, config_value string")
+    path = f"{tempfile.mkdtemp()}/t"
+    news = spark.createDataFrame([(i, datetime(2024, 1, i)) for i in range(1, 31)], "id long, published_at timestamp_ntz")
+    W.write_by_month(news, path, "published_at")
+    cutoff = F.timestamp_add("DAY", -W.retention_days(config, "data_retention_days"), ts("2024-01-31 00:00:00"))
+    log = W.purge_stored(spark, path, "published_at", cutoff).collect()
+    assert [r.records_processed for r in log] == [10]
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(11, 31))

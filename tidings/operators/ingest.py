@@ -338,6 +338,15 @@ def sources_due(sources: DataFrame, as_of: Column) -> DataFrame:
     return sources.filter(F.col("is_active") & (F.col("last_fetch_at").isNull() | (due_at <= as_of)))
 
 
+# ---- U-5 last fetch ---------------------------------------------------------------------------------
+def touch_last_fetch(sources: DataFrame, polled: DataFrame, at: Column, key: str = "source_id") -> DataFrame:
+    """Sources of which a poll brought entries were last fetched ``at``; the others keep their time."""
+    from .writes import update_by_key
+
+    hit = polled.filter(F.col(key).isNotNull()).select(F.col(key).alias("id")).distinct().withColumn("last_fetch_at", at)
+    return update_by_key(sources, hit, "id", ["last_fetch_at"])
+
+
 # ---- S-10 generated series --------------------------------------------------------------------------
 # The three sample rows of the seed data, chosen by n % 3.
 SAMPLE_TITLES = ["科技巨头发布新款AI芯片，性能提升50%", "新能源汽车销量创新高，市场前景广阔", "金融市场波动加剧，投资者需谨慎"]

@@ -11,9 +11,11 @@ default reply on failure.
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,25 +55,40 @@ def lexicon_score(news: DataFrame, lexicon: DataFrame, text: Column | None = Non
 
 
 # ---- G-2 pluggable scorer ------------------------------------------------------------------
-REPLY_SCHEMA = "id long, sentiment_score double, sentiment_label string, confidence double, market_impact_score int, scored_ok boolean"
+# The request that the scorer gets for a news item.
+REQUEST_PARTS = ("请分析以下财经新闻的情感倾向和市场影响：\n\n标题: ", "\n\n内容: ", "\n\n请返回JSON格式的分析结果。")
+REPLY_SCHEMA = ("id long, sentiment_score double, sentiment_label string, confidence double, entities array<string>, "
+                "keywords array<string>, market_impact_score int, scored_ok boolean")
+
+
+def request_text(title, content) -> Column:
+    """The scorer's request over the whole text; NULL parts are empty."""
+    before, between, after = REQUEST_PARTS
+    part = lambda c: F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+    return F.concat(F.lit(before), part(title), F.lit(between), part(content), F.lit(after))
 
 
 def model_score(news: DataFrame, scorer: Callable[[pd.Series], pd.DataFrame], text: Column | None = None,
                 id_col: str = "id", attempts: int = 3, backoff: float = 2.0) -> DataFrame:
-    """Score each batch with ``scorer`` (Series of texts -> frame with
-    sentiment_score, sentiment_label, confidence, market_impact_score).
+    """Score each batch with ``scorer`` (Series of request texts -> frame with
+    sentiment_score, sentiment_label, confidence, market_impact_score, and, if
+    the scorer gives them, entities and keywords as lists of texts).
 
     A batch is retried ``attempts`` times with growing waits; if it still
     fails its rows are scored one by one, and only a row that fails alone gets
     the fixed default reply and ``scored_ok = false``.  A reply of another
-    length, or without one of the fields, is a failure; an absent value follows
-    C-10 (0.0, 'neutral', market impact stays NULL).  Output schema is fixed, so
-    the plan is stable.  The function must be deterministic (a retried task
-    re-scores the same rows)."""
-    text = text if text is not None else C.scoring_text("title", "content")
+    length, or without one of the required fields, is a failure; an absent value
+    follows C-10 (0.0, 'neutral', no entities or keywords, market impact stays
+    NULL).  Output schema is fixed, so the plan is stable.  The function must be
+    deterministic (a retried task re-scores the same rows)."""
+    text = text if text is not None else request_text("title", "content")
     x = news.select(F.col(id_col).alias("id"), text.alias("text"))
     d = S.DEFAULT_SCORE_REPLY
 
+    def lists(out: pd.DataFrame, name: str) -> list[list[str]]:
+        given = out[name] if name in out else [None] * len(out)
+        return [[str(v) for v in x] if isinstance(x, (list, tuple)) else [] for x in given]
+
     def attempt(texts: pd.Series, tries: int) -> pd.DataFrame | None:
         for i in range(tries):
             try:
@@ -82,6 +99,7 @@ def model_score(news: DataFrame, scorer: Callable[[pd.Series], pd.DataFrame], te
                     "sentiment_score": pd.to_numeric(out["sentiment_score"]).astype("float64").fillna(0.0).values,
                     "sentiment_label": out["sentiment_label"].astype(object).where(out["sentiment_label"].notna(), "neutral").values,
                     "confidence": pd.to_numeric(out["confidence"]).astype("float64").fillna(0.0).values,
+                    "entities": lists(out, "entities"), "keywords": lists(out, "keywords"),
                     "market_impact_score": pd.to_numeric(out["market_impact_score"]).astype("Int32").values,
                     "scored_ok": True,
                 })
@@ -91,7 +109,7 @@ def model_score(news: DataFrame, scorer: Callable[[pd.Series], pd.DataFrame], te
         return None
 
     def default() -> pd.DataFrame:
-        names = ("sentiment_score", "sentiment_label", "confidence", "market_impact_score")
+        names = ("sentiment_score", "sentiment_label", "confidence", "entities", "keywords", "market_impact_score")
         return pd.DataFrame({**{n: [d[n]] for n in names}, "scored_ok": [False]}).astype({"market_impact_score": "Int32"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,36 +127,32 @@ def model_score(news: DataFrame, scorer: Callable[[pd.Series], pd.DataFrame], te
 
 
 def pandas_lexicon_scorer(lexicon_rows: list[tuple[str, str]]) -> Callable[[pd.Series], pd.DataFrame]:
-    """A local scorer with G-1's formula, for tests and as an example plug-in."""
-    pos = [w for p, w in lexicon_rows if p == "positive" and w]
-    neg = [w for p, w in lexicon_rows if p == "negative" and w]
+    """A local scorer with G-1's formula, for tests and as an example plug-in;
+    the keywords are the words it found."""
+    listed = [(p, w) for p, w in lexicon_rows if p in ("positive", "negative") and w]
 
-    def half_away(num: int, den: int, digits: int) -> float:
-        if den == 0:
-            return 0.0
-        scale = 10**digits
-        k = (abs(num) * 2 * scale + den) // (2 * den)
-        return (k if num >= 0 else -k) / scale
+    def half_away(num: np.ndarray, den: np.ndarray) -> np.ndarray:
+        """num / den to four digits, halves away from zero, 0 where den is 0."""
+        scale, safe = 10_000, np.maximum(den, 1)
+        return np.where(den > 0, np.sign(num) * ((np.abs(num) * 2 * scale + safe) // (2 * safe)), 0) / scale
 
     def score(texts: pd.Series) -> pd.DataFrame:
         t = texts.fillna("")
-        p = sum((t.str.count(_re_escape(w)) for w in pos), pd.Series(0, index=t.index))
-        n = sum((t.str.count(_re_escape(w)) for w in neg), pd.Series(0, index=t.index))
-        s = [half_away(int(a) - int(b), int(a) + int(b), 4) for a, b in zip(p, n)]
-        lab = ["positive" if v > S.POSITIVE_THRESHOLD else "negative" if v < S.NEGATIVE_THRESHOLD else "neutral" for v in s]
-        conf = [half_away(int(a) + int(b), int(a) + int(b) + 1, 4) if a + b > 0 else 0.5 for a, b in zip(p, n)]
-        return pd.DataFrame({"sentiment_score": s, "sentiment_label": lab, "confidence": conf,
-                             "market_impact_score": [50] * len(s)})
+        counts = np.array([t.str.count(re.escape(w)).to_numpy(np.int64) for _, w in listed]).reshape(len(listed), len(t))
+        is_pos = np.array([p == "positive" for p, _ in listed], bool)
+        p, n = counts[is_pos].sum(axis=0), counts[~is_pos].sum(axis=0)
+        s = half_away(p - n, p + n)
+        words = np.array([w for _, w in listed], dtype=object)
+        return pd.DataFrame({
+            "sentiment_score": s,
+            "sentiment_label": np.select([s > S.POSITIVE_THRESHOLD, s < S.NEGATIVE_THRESHOLD], ["positive", "negative"], "neutral"),
+            "confidence": np.where(p + n > 0, half_away(p + n, p + n + 1), 0.5),
+            "keywords": [sorted(set(words[hit])) for hit in (counts > 0).T],
+            "market_impact_score": 50})
 
     return score
 
 
-def _re_escape(w: str) -> str:
-    import re
-
-    return re.escape(w)
-
-
 # ---- G-4 entities ------------------------------------------------------------------------------
 def normalise_entities(text: Column) -> Column:
     """JSON entities given as strings or as objects -> array<struct<name,type,sentiment>>."""

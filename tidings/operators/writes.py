@@ -94,8 +94,93 @@ def set_null_purge(news: DataFrame, kept_sources: DataFrame, fk: str = "source_i
     return j.withColumn(fk, F.when(F.col("_alive"), F.col(fk))).drop("_alive").select(*news.columns)
 
 
-def affected_rows(removed: DataFrame, table: str) -> DataFrame:
-    return removed.agg(F.count(F.lit(1)).alias("records_processed")).select(F.lit(table).alias("table_name"), "records_processed")
+# ---- U-6 / J-11 / A-15 / D-16 on stored tables: whole months go, one is rewritten ------------------
+MONTH = "yyyymm"
+
+
+def _months(spark: SparkSession, path: str) -> dict[int, str]:
+    """month -> folder of a table stored by month, from the file system's listing alone."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = {str(s.getPath().getName()): str(s.getPath()) for s in fs.listStatus(root) if s.isDirectory()}
+    return {int(n.split("=")[1]): p for n, p in names.items() if n.startswith(f"{MONTH}=") and n.split("=")[1].isdigit()}
+
+
+def _drop(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _rewrite_month(spark: SparkSession, path: str, month: int, rows: DataFrame, keep: Column) -> int:
+    """The month keeps the rows of ``keep``; returns how many it lost, counted by
+    the write itself.  They are staged first, because a folder that is read is
+    never overwritten; a run that fails in between can be repeated.  A month that
+    loses nothing is not touched."""
+    import uuid
+
+    from pyspark.sql import Observation
+
+    seen = Observation(f"purge-{uuid.uuid4().hex[:8]}")
+    staged = f"{path.rstrip('/')}/_staged-{month}-{uuid.uuid4().hex[:8]}"
+    flagged = rows.withColumn("_keep", F.coalesce(keep, F.lit(False))).observe(seen, F.count_if(~F.col("_keep")).alias("lost"))
+    kept = flagged.filter("_keep").drop("_keep", "_alive")
+    kept.write.parquet(staged)
+    lost = seen.get["lost"]
+    if lost:
+        spark.read.schema(kept.schema).parquet(staged).withColumn(MONTH, F.lit(month)).write.option(
+            "partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(MONTH).parquet(path)
+        if not spark.read.schema(kept.schema).parquet(staged).limit(1).count():  # nothing is left to overwrite it with
+            _drop(spark, _months(spark, path)[month])
+    _drop(spark, staged)
+    return lost
+
+
+def write_by_month(df: DataFrame, path: str, ts_col: str) -> None:
+    """Rows stored by the month of ``ts_col``, a time or a date (rows without one in a folder of their own)."""
+    df.withColumn(MONTH, C.yyyymm(C.day(ts_col))).write.partitionBy(MONTH).parquet(path)
+
+
+def purge_stored(spark: SparkSession, path: str, ts_col: str, cutoff: Column, children: dict[str, tuple[str, str]] | None = None,
+                 name: str = "raw_news", pk: str = "id") -> DataFrame:
+    """Purges, in place, a table stored by the month of ``ts_col`` of all rows
+    before ``cutoff``, and from its ``children`` (name -> (path, foreign key),
+    stored by their parent's month) all rows of removed parents.
+
+    Months before the cutoff's go as whole folders: nothing of them is read but
+    the row counts in the file footers.  Only the cutoff's month is rewritten, the
+    children's by a semi join with the ids that stay in it.  Later months and rows
+    without a time keep their files.  Returns (table_name, records_processed,
+    months_dropped), the rows removed as the writes themselves counted them."""
+    when, boundary = spark.range(1).select(cutoff.alias("c"), C.yyyymm(C.day(cutoff)).alias("m")).first()
+    if when is None:
+        raise ValueError("no cutoff")
+    children = children or {}
+
+    def read(at: str) -> DataFrame:
+        return spark.read.parquet(at)
+
+    parents = _months(spark, path)
+    lost = {name: 0}
+    dropped = {n: [] for n in (name, *children)}
+    if boundary in parents:  # children first: a run that fails can be repeated
+        month = read(parents[boundary])
+        alive = month.filter(F.col(ts_col) >= cutoff).select(F.col(pk).alias("_pk")).withColumn("_alive", F.lit(True))
+        for child, (at, fk) in children.items():
+            folder = _months(spark, at).get(boundary)
+            if folder:
+                rows = read(folder)
+                flagged = rows.join(alive, rows[fk] == alive["_pk"], "left").drop("_pk")
+                lost[child] = _rewrite_month(spark, at, boundary, flagged, F.col("_alive"))
+        lost[name] = _rewrite_month(spark, path, boundary, month, F.col(ts_col) >= cutoff)
+    for table, at in ((name, path), *((c, p) for c, (p, _) in children.items())):
+        old = {m: f for m, f in _months(spark, at).items() if m < boundary}
+        if old:
+            lost[table] = lost.get(table, 0) + read(at).where(F.col(MONTH) < boundary).count()
+        for m, folder in sorted(old.items()):
+            _drop(spark, folder)
+            dropped[table].append(m)
+    out = [(t, lost.get(t, 0), dropped[t]) for t in (name, *children)]
+    return spark.createDataFrame(out, "table_name string, records_processed long, months_dropped array<int>")
 
 
 # ---- S-8 partitioned wide fact --------------------------------------------------------------

@@ -342,6 +342,21 @@ def q_sources_due(spark, sf_dir):
     return I.sources_due(source_table(Tables(spark, sf_dir)), ts("2024-01-30 22:00:00"))
 
 
+@register(
+    "update_last_fetch",
+    """WITH last AS (SELECT source_id, max(published_at) AS last_fetch_at FROM raw_news GROUP BY source_id)
+SELECT ns.id, ns.name, CASE WHEN EXISTS (SELECT 1 FROM raw_news rn WHERE rn.source_id = ns.id AND rn.published_at >= TIMESTAMP '2024-01-30 12:00:00')
+                            THEN TIMESTAMP '2024-01-31 00:00:00' WHEN ns.id % 5 <> 4 THEN last.last_fetch_at END AS last_fetch_at
+FROM news_sources ns LEFT JOIN last ON last.source_id = ns.id""",
+    views=("raw_news", "news_sources"),
+)
+def q_update_last_fetch(spark, sf_dir):
+    """A poll brings the news of the last twelve hours."""
+    t = Tables(spark, sf_dir)
+    polled = t.raw_news.select("source_id", "published_at").filter(F.col("published_at") >= ts("2024-01-30 12:00:00"))
+    return I.touch_last_fetch(source_table(t).select("id", "name", "last_fetch_at"), polled, ts("2024-01-31 00:00:00"))
+
+
 def _by_n(vals, kind: str = "VARCHAR") -> str:
     """SQL text: the sample value of n % 3."""
     return "CAST(list_extract([" + ", ".join(f"'{v}'" for v in vals) + f"], CAST(n % 3 + 1 AS BIGINT)) AS {kind})"

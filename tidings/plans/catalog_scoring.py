@@ -39,7 +39,9 @@ def q_lexicon_score(spark, sf_dir):
     LEX_SQL + """
 SELECT id, CAST(sentiment_score AS DOUBLE) AS sentiment_score,
        CASE WHEN sentiment_score > 0.3 THEN 'positive' WHEN sentiment_score < -0.3 THEN 'negative' ELSE 'neutral' END AS sentiment_label,
-       CAST(confidence AS DOUBLE) AS confidence, 50 AS market_impact_score, true AS scored_ok
+       CAST(confidence AS DOUBLE) AS confidence, CAST([] AS VARCHAR[]) AS entities,
+       COALESCE((SELECT list(DISTINCT l.word ORDER BY l.word) FROM t, lexicon l WHERE t.id = s.id AND contains(t.txt, l.word)), []) AS keywords,
+       50 AS market_impact_score, true AS scored_ok
 FROM s""",
     views=("raw_news", "lexicon"),
 )
@@ -50,6 +52,17 @@ def q_model_score(spark, sf_dir):
     return G.model_score(t.raw_news, G.pandas_lexicon_scorer(LEXICON_ROWS))
 
 
+_REQUEST = " || ".join(f"'{p}'" if i % 2 == 0 else f"COALESCE({p}, '')" for i, p in enumerate(
+    [G.REQUEST_PARTS[0], "title", G.REQUEST_PARTS[1], "content", G.REQUEST_PARTS[2]]))
+
+
+@register("model_request", f"SELECT id, md5({_REQUEST}) AS request_md5, length({_REQUEST}) AS request_chars FROM raw_news", views=("raw_news",))
+def q_model_request(spark, sf_dir):
+    """The whole request text of every news (as its digest and length)."""
+    x = Tables(spark, sf_dir).raw_news.select("id", G.request_text("title", "content").alias("request"))
+    return x.select("id", F.md5("request").alias("request_md5"), F.length("request").cast("long").alias("request_chars"))
+
+
 def entity_json(t):
     """Entity lists as JSON: objects on even ids, plain strings on odd ids."""
     toks = F.filter(C.tokens("content"), lambda x: x.rlike("^[A-Z]"))

@@ -96,47 +96,57 @@ def q_update_by_key(spark, sf_dir):
     return W.update_by_key(store, upd, "id", ["sentiment_score", "sentiment_label", "keywords", "analyzed"])
 
 
+# the stored news of the purges: times spread over three months
+STORED = "(SELECT id, published_at - to_days(CAST(id % 3 * 25 AS INT)) AS published_at FROM raw_news)"
 KEEP = f"(published_at IS NULL OR published_at >= {AS_OF} - INTERVAL 20 DAY)"
+GONE = f"(SELECT id FROM {STORED} x WHERE NOT {KEEP})"
 
 
-def _purge(t):
-    return W.retention_purge(t.raw_news.select("id", "published_at"), 20, ts("2024-01-31 00:00:00"))
-
-
-@register("retention_purge", f"SELECT id, published_at FROM raw_news WHERE {KEEP}", views=("raw_news",))
+def _purged(spark, sf_dir):
+    """News, results and sector links stored by the news' month, then purged in
+    place of all news older than 20 days."""
+    t = Tables(spark, sf_dir)
+    news = t.raw_news.select("id", F.timestamp_add("DAY", -(F.col("id") % 3 * 25), F.col("published_at")).alias("published_at"))
+    month = news.select(F.col("id").alias("news_id"), "published_at")
+    paths = {n: scratch_path(spark, f"stored-{n}") for n in ("raw_news", "sentiment_results", "news_sectors")}
+    W.write_by_month(news, paths["raw_news"], "published_at")
+    for n in ("sentiment_results", "news_sectors"):
+        W.write_by_month(getattr(t, n).join(month, "news_id"), paths[n], "published_at")
+    cutoff = F.timestamp_add("DAY", F.lit(-20), ts("2024-01-31 00:00:00"))
+    log = W.purge_stored(spark, paths["raw_news"], "published_at", cutoff,
+                         {n: (paths[n], "news_id") for n in ("sentiment_results", "news_sectors")})
+    return paths, log
+
+
+@register("retention_purge", f"SELECT id, published_at FROM {STORED} x WHERE {KEEP}", views=("raw_news",))
 def q_retention_purge(spark, sf_dir):
-    kept, _ = _purge(Tables(spark, sf_dir))
-    return kept
+    paths, _ = _purged(spark, sf_dir)
+    return spark.read.parquet(paths["raw_news"]).select("id", "published_at")
 
 
 @register(
     "cascade_purge",
-    f"""SELECT ns.news_id, ns.sector_id, ns.is_primary FROM news_sectors ns
-WHERE ns.news_id IN (SELECT id FROM raw_news WHERE {KEEP})""",
+    f"SELECT ns.news_id, ns.sector_id, ns.is_primary FROM news_sectors ns WHERE ns.news_id NOT IN {GONE}",
     views=("raw_news", "news_sectors"),
 )
 def q_cascade_purge(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    kept, _ = _purge(t)
-    return W.cascade_purge(t.news_sectors, kept, "news_id")
+    paths, _ = _purged(spark, sf_dir)
+    return spark.read.parquet(paths["news_sectors"]).select("news_id", "sector_id", "is_primary")
 
 
 @register(
     "affected_rows",
-    f"""SELECT 'raw_news' AS table_name, COUNT(*) AS records_processed FROM raw_news WHERE NOT {KEEP}
+    f"""SELECT 'raw_news' AS table_name, COUNT(*) AS records_processed FROM {GONE} g
 UNION ALL
-SELECT 'sentiment_results', COUNT(*) FROM sentiment_results WHERE news_id IN (SELECT id FROM raw_news WHERE NOT {KEEP})
+SELECT 'sentiment_results', COUNT(*) FROM sentiment_results WHERE news_id IN {GONE}
 UNION ALL
-SELECT 'news_sectors', COUNT(*) FROM news_sectors WHERE news_id IN (SELECT id FROM raw_news WHERE NOT {KEEP})""",
+SELECT 'news_sectors', COUNT(*) FROM news_sectors WHERE news_id IN {GONE}""",
     views=("raw_news", "sentiment_results", "news_sectors"),
 )
 def q_affected_rows(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    _, removed = _purge(t)
-    sr = t.sentiment_results.join(removed.select(F.col("id").alias("news_id")), "news_id", "left_semi")
-    ns = t.news_sectors.join(removed.select(F.col("id").alias("news_id")), "news_id", "left_semi")
-    return (W.affected_rows(removed, "raw_news").unionByName(W.affected_rows(sr, "sentiment_results"))
-            .unionByName(W.affected_rows(ns, "news_sectors")))
+    """Rows removed, as the purge's own writes counted them."""
+    _, log = _purged(spark, sf_dir)
+    return log.select("table_name", "records_processed")
 
 
 @register(
