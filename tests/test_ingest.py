@@ -67,7 +67,7 @@ def test_extract_pages(spark):
     df = spark.createDataFrame([(1, "https://a.example.com:8080/x?y", '<html lang="de"><title>T\nx</title><a href="/1">a</a><a href="/2">b</a>')],
                                "page_id long, url string, html string")
     r = I.extract_pages(df).first()
-    assert (r.host, r.title, r.lang, r.links, r.n_links) == ("a.example.com", "T\nx", "de", ["/1", "/2"], 2)
+    assert (r.host, r.title, r.lang, r.links, r.n_links) == ("a.example.com", "T\nx", "de", ["https://a.example.com:8080/1", "https://a.example.com:8080/2"], 2)
 
 
 def test_parse_messages_flags_corrupt(spark):

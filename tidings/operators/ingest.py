@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions import core as C
+from ..functions import html as H
 from .skew import group_for_join
 from .topn import top_n_per_group
 
@@ -38,9 +39,16 @@ def write_atom_files(items: DataFrame, path: str, feed_col: str = "feed") -> Non
      .option("rootTag", "feed").option("rowTag", "entry").save(path))
 
 
-def _read_xml(spark: SparkSession, path: str, tag: str, schema: T.StructType) -> DataFrame:
-    return (spark.read.format("xml").option("rowTag", tag).option("ignoreSurroundingSpaces", "false")
-            .schema(T.StructType([*schema.fields, T.StructField("feed", T.StringType())])).load(path))
+def write_json_feed_files(items: DataFrame, path: str, payload_col: str, feed_col: str = "feed") -> None:
+    """Land entries as JSON Feed payloads, a document per feed and ``payload_col``, one folder per feed."""
+    entry = F.struct(F.col("guid").alias("id"), F.col("link").alias("url"), "title", F.col("description").alias("summary"),
+                     F.col("content").alias("content_html"), F.col("pubDate").alias("date_published"),
+                     F.when(F.col("author").isNotNull(), F.array(F.struct(F.col("author").alias("name")))).alias("authors"))
+    docs = items.groupBy(feed_col, payload_col).agg(F.to_json(F.struct(
+        F.lit("https://jsonfeed.org/version/1.1").alias("version"), F.first(feed_col).alias("title"), F.collect_list(entry).alias("items"))).alias("value"))
+    # a file per document: a reader takes a file as one payload
+    docs.select(feed_col, "value").write.mode("append").option(
+        "maxRecordsPerFile", 1).partitionBy(feed_col).text(path)
 
 
 def _links(links: Column) -> Column:
@@ -50,21 +58,48 @@ def _links(links: Column) -> Column:
     return F.coalesce(F.get(page, F.lit(0))["_href"], F.get(links, F.lit(0))["_href"])
 
 
+# entries of an RSS or Atom document; what stands in CDATA is no markup
+_ENTRY = r"(?s)<(item|entry)(?=[\s>])[^>]*>(?:[^<]++|<!\[CDATA\[.*?\]\]>|<(?!/\1\s*>|!\[CDATA\[)){0,100000}+</\1\s*>"
+_XML = {"ignoreSurroundingSpaces": "false"}
+
+
 def read_feed_items(spark: SparkSession, path: str, now: Column) -> DataFrame:
-    """RSS (``item``) and Atom (``entry``) payload files -> entry rows (feed,
-    guid, title, link, description, content, author, published).  The feed is
-    the folder name.  Author: the entry's, of several the first, else ''.  Content: else the description."""
-    rss = _read_xml(spark, path, "item", S.FEED_ITEM).select(
-        "feed", "guid", "title", "link", "description", C.first_nonempty("content", "`content:encoded`").alias("content"),
-        C.first_nonempty("author", "`dc:creator`").alias("author"), C.parse_feed_date("pubDate", now).alias("published"))
-    when = C.first_nonempty("published", "updated")
-    atom = _read_xml(spark, path, "entry", S.ATOM_ENTRY).select(
-        "feed", F.col("id").alias("guid"), "title", _links(F.col("link")).alias("link"), F.col("summary").alias("description"), "content",
-        F.get(F.col("author"), F.lit(0))["name"].alias("author"),
-        F.coalesce(F.try_to_timestamp(when).cast("timestamp_ntz"), C.parse_feed_date(when, now)).alias("published"))
-    return rss.unionByName(atom).select(
+    """Payload files, RSS, Atom and JSON Feed side by side, -> entry rows (feed,
+    guid, title, link, description, content, author, published).
+
+    Every payload is read once and its format found from its content: a JSON
+    object by its ``items`` (VARIANT), else the ``item`` and ``entry`` elements
+    (``from_xml``).  A payload that is neither has no rows.  The feed is the
+    folder name.  Author: the entry's, of several the first, else ''.  Content: else the description."""
+    raw = spark.read.schema("value string, feed string").text(path, wholetext=True)
+    is_json = F.col("value").rlike(r"^\ufeff?\s*[\{\[]")
+    x = raw.select("feed", F.when(is_json, F.try_parse_json("value")).alias("_doc"), F.when(~is_json, F.col("value")).alias("_text"))
+    none = F.array().cast("array<struct<xml:string,json:variant>>")
+    listed = F.try_variant_get("_doc", "$.items", "array<variant>")
+    entry = F.concat(
+        F.coalesce(F.transform(listed, lambda v: F.struct(F.lit(None).cast("string").alias("xml"), v.alias("json"))), none),
+        F.coalesce(F.transform(F.regexp_extract_all("_text", F.lit(_ENTRY), 0),
+                               lambda e: F.struct(e.alias("xml"), F.lit(None).cast("variant").alias("json"))), none))
+    x = x.select("feed", F.explode(entry).alias("e")).select("feed", "e.xml", "e.json")
+    x = x.select("feed", "json",
+                 F.from_xml(F.when(F.startswith("xml", F.lit("<item")), F.col("xml")), S.FEED_ITEM, {**_XML, "rowTag": "item"}).alias("r"),
+                 F.from_xml(F.when(F.startswith("xml", F.lit("<entry")), F.col("xml")), S.ATOM_ENTRY, {**_XML, "rowTag": "entry"}).alias("a"))
+    field = lambda at: F.try_variant_get("json", at, "string")
+    x = x.select("*", F.coalesce(C.first_nonempty("a.published", "a.updated"),
+                                 C.first_nonempty(field("$.date_published"), field("$.date_modified"))).alias("_when"))
+    stamp = F.when(F.col("r").isNotNull(), C.parse_feed_date("r.pubDate", now)).otherwise(
+        F.coalesce(F.try_to_timestamp("_when").cast("timestamp_ntz"), C.parse_feed_date("_when", now)))
+    return x.select(
+        "feed", F.coalesce("r.guid", "a.id", field("$.id")).alias("guid"), F.coalesce("r.title", "a.title", field("$.title")).alias("title"),
+        F.coalesce(F.col("r.link"), _links(F.col("a.link")), C.first_nonempty(field("$.url"), field("$.external_url"))).alias("link"),
+        F.coalesce(F.col("r.description"), F.col("a.summary"), field("$.summary")).alias("description"),
+        F.coalesce(C.first_nonempty("r.content", "r.`content:encoded`"), F.col("a.content"),
+                   C.first_nonempty(field("$.content_html"), field("$.content_text"))).alias("content"),
+        F.coalesce(C.first_nonempty("r.author", "r.`dc:creator`"), F.get("a.author", F.lit(0))["name"],
+                   C.first_nonempty(field("$.authors[0].name"), field("$.author.name")), F.lit("")).alias("author"),
+        stamp.alias("published")).select(
         "feed", C.first_nonempty("guid", "link").alias("guid"), "title", "link", "description",
-        C.first_nonempty("content", "description").alias("content"), F.coalesce("author", F.lit("")).alias("author"), "published")
+        C.first_nonempty("content", "description").alias("content"), "author", "published")
 
 
 # ---- S-2 first n entries per feed ------------------------------------------------------------
@@ -74,14 +109,23 @@ def limit_per_feed(df: DataFrame, n: int = S.FEED_ENTRY_LIMIT, feed_col: str = "
 
 # ---- S-3 HTML pages ----------------------------------------------------------------------------------
 def extract_pages(pages: DataFrame) -> DataFrame:
-    html = F.col("html")
-    return pages.select(
-        "page_id", "url",
-        F.regexp_extract(F.col("url"), r"^[A-Za-z]+://([^/:?#]+)", 1).alias("host"),
-        F.regexp_extract(html, r"(?s)<title>(.*?)</title>", 1).alias("title"),
-        F.regexp_extract(html, r'<html[^>]*\blang="([^"]*)"', 1).alias("lang"),
-        F.regexp_extract_all(html, F.lit(r'href="([^"]*)"'), 1).alias("links"),
-    ).withColumn("n_links", F.size("links"))
+    """page_id, url, host, title, lang, links, n_links of every page
+    (``functions.html``: tags in any case and quoting, nothing out of comments,
+    scripts and styles, character references decoded).
+
+    Links are the ``href`` of all tags but ``base``, in order, absolute against
+    the page's ``base`` if it has one, else its address."""
+    wanted = F.filter(H.tags(F.col("html")), lambda t: t.rlike(r"(?i)^<(html|base|title)\b|\bhref\b"))
+    x = pages.select("page_id", "url", wanted.alias("_tags"))
+    first = lambda name: F.get(F.filter("_tags", lambda t: H.tag_name(t) == name), F.lit(0))
+    linked = F.filter("_tags", lambda t: t.rlike(r"(?i)\bhref\b") & (H.tag_name(t) != "base"))
+    x = x.select("page_id", "url", H.title(F.col("_tags")).alias("title"), F.coalesce(H.attribute(first("html"), "lang"), F.lit("")).alias("lang"),
+                 H.attribute(first("base"), "href").alias("_base"), F.transform(linked, lambda t: H.attribute(t, "href")).alias("_links"))
+    x = x.withColumn("_url", H.address(F.coalesce("url", F.lit(""))))
+    x = x.withColumn("_at", F.when(F.col("_base").isNotNull(), H.address(H.resolved(F.col("_base"), F.col("_url")))).otherwise(F.col("_url")))
+    links = F.transform(F.filter("_links", lambda h: h.isNotNull()), lambda h: H.resolved(h, F.col("_at")))
+    return x.select("page_id", "url", F.regexp_extract("url", r"^[A-Za-z]+://([^/:?#]+)", 1).alias("host"), "title", "lang",
+                    F.coalesce(links, F.array().cast("array<string>")).alias("links")).withColumn("n_links", F.size("links"))
 
 
 # ---- S-4 / S-5 / S-6 messages ----------------------------------------------------------------------

@@ -28,7 +28,8 @@ def feed_entries(t):
         F.when(F.col("id") % 4 == 0, F.lit(None).cast("string")).otherwise(F.col("content")).alias("content"),
         F.when(F.col("id") % 6 < 2, F.concat(F.lit("author "), F.col("id").cast("string"))).alias("author"),
         F.concat(F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000")).alias("pubDate"),
-        (F.col("id") % 5 == 0).alias("is_atom"),
+        F.when(F.col("id") % 5 == 0, "atom").when(F.col("id") % 5 == 1, "json").otherwise("rss").alias("format"),
+        F.floor(F.col("id") / 500).alias("payload"),
     )
 
 
@@ -44,12 +45,14 @@ FROM raw_news rn LEFT JOIN news_sources src ON rn.source_id = src.id""",
     views=("raw_news", "news_sources"),
 )
 def q_feed_items_scan(spark, sf_dir):
-    """RSS payloads, and Atom payloads for every fifth entry."""
+    """RSS payloads, and Atom and JSON Feed payloads for every fifth entry each."""
     t = Tables(spark, sf_dir)
     path = scratch_path(spark, "feeds")
     entries = feed_entries(t)
-    I.write_feed_files(entries.filter(~F.col("is_atom")).drop("is_atom"), path)
-    I.write_atom_files(entries.filter("is_atom"), path)
+    of = lambda name: entries.filter(F.col("format") == name).drop("format")
+    I.write_feed_files(of("rss").drop("payload"), path)
+    I.write_atom_files(of("atom").drop("payload"), path)
+    I.write_json_feed_files(of("json"), path, "payload")
     items = I.read_feed_items(spark, path, ts("2024-01-31 00:00:00"))
     return items.select("feed", "guid", "title", "link", "description", F.md5("content").alias("content_md5"), "author", "published")
 
@@ -68,13 +71,16 @@ def q_feed_items_topn(spark, sf_dir):
 
 @register(
     "page_items_scan",
-    """SELECT page_id, url,
-       regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1) AS host,
-       regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title,
-       regexp_extract(html, '<html[^>]*\\blang="([^"]*)"', 1) AS lang,
-       regexp_extract_all(html, 'href="([^"]*)"', 1) AS links,
-       len(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS n_links
-FROM pages""",
+    """WITH clean AS (SELECT page_id, url, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
+                                  '(?is)<(script)[^>]*>.*?</script *>|<style[^>]*>.*?</style *>', '', 'g') AS h FROM pages),
+t AS (SELECT page_id, url, regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1) AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') AS origin,
+             regexp_extract(h, '(?is)<title[^>]*>(.*?)</title *>', 1) AS raw_title, regexp_extract(h, '(?i)<html[^>]* lang="([^"]*)"', 1) AS lang,
+             list_transform(regexp_extract_all(h, '(?is)<[a-z][^>]* href="[^"]*"'), lambda x: regexp_extract(x, '(?is) href="([^"]*)"$', 1)) AS hrefs
+      FROM clean)
+SELECT page_id, url, host, replace(replace(replace(replace(replace(raw_title, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS title,
+       lang, list_transform(hrefs, lambda x: CASE WHEN x LIKE '/%' AND x NOT LIKE '//%' THEN origin || replace(x, '&amp;', '&') ELSE replace(x, '&amp;', '&') END) AS links,
+       len(hrefs) AS n_links
+FROM t""",
 )
 def q_page_items_scan(spark, sf_dir):
     return I.extract_pages(Tables(spark, sf_dir).pages)
