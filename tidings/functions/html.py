@@ -9,18 +9,26 @@ either quote or not at all.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _INSIDE = r"""(?:"[^"]*+"|'[^']*+'|[^'">]++){0,500}+>"""
-_TOKEN = (r"(?is)<!--(?:.*?-->|.*)|<(script|style|noscript)\b" + _INSIDE + r"(?:.*?</\1\s*>|.*)|<title\b" + _INSIDE
-          + r"(?:.*?</title\s*>|.*)|<[a-z]" + _INSIDE)
+_TOKEN = (r"(?is)<(?:!--(?:.*?-->|.*)|(script|style|noscript)\b" + _INSIDE + r"(?:.*?</\1\s*>|.*)|title\b" + _INSIDE
+          + r"(?:.*?</title\s*>|.*)|[a-z]" + _INSIDE + ")")
 _ATTRIBUTE = r"""(?s)[^\s"'<>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*))?"""
 _SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*"
 # The named character references that are decoded (the ampersand last).
 NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " "}
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also inside a lambda, where
+    Catalyst shares no subexpressions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tags(html: Column) -> Column:
     """Start tags in order (a title with its text); comments, scripts and styles are left out."""
     return F.filter(F.regexp_extract_all(html, F.lit(_TOKEN), 0), lambda t: ~t.rlike(r"(?i)^<(!--|script\b|style\b|noscript\b)"))
@@ -36,8 +44,7 @@ def attribute(tag: Column, name: str) -> Column:
     parts = F.regexp_extract_all(F.regexp_extract(tag, r"(?s)^<[A-Za-z][^\s/>]*(.*)", 1), F.lit(_ATTRIBUTE), 0)
     own = F.get(F.filter(parts, lambda a: F.lower(F.regexp_extract(a, r"^[^\s=]+", 0)) == name), F.lit(0))
     value = F.regexp_extract(own, r"(?s)^[^\s=]+\s*=\s*(.*)$", 1)
-    quoted = value.rlike(r"""^["']""")
-    return decoded(F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value))
+    return decoded(_let(value, lambda v: F.when(v.rlike(r"""^["']"""), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)))
 
 
 def title(tag_list: Column) -> Column:
@@ -50,8 +57,6 @@ def title(tag_list: Column) -> Column:
 def decoded(text: Column) -> Column:
     """Character references replaced, each once: the named ones above and numeric
     ones that stand for a character."""
-    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit("&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), 0))
-
     def replaced(acc: Column, ref: Column) -> Column:
         is_hex = ref.rlike("^&#[xX]")
         digits = F.regexp_extract(ref, "^&#[xX]?([0-9a-fA-F]+)", 1)
@@ -60,10 +65,14 @@ def decoded(text: Column) -> Column:
         char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
         return F.when(valid, F.replace(acc, ref, char)).otherwise(acc)
 
-    out = F.aggregate(numbers, text, replaced)
-    for ref, char in NAMED.items():
-        out = F.replace(out, F.lit(ref), F.lit(char))
-    return F.when(text.contains("&"), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(text)
+    def read(t: Column) -> Column:
+        numbers = F.array_distinct(F.regexp_extract_all(t, F.lit("&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), 0))
+        out = F.aggregate(numbers, t, replaced)
+        for ref, char in NAMED.items():
+            out = F.replace(out, F.lit(ref), F.lit(char))
+        return F.when(t.contains("&"), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(t)
+
+    return _let(text, read)
 
 
 def _without_dots(path: Column) -> Column:
@@ -86,12 +95,15 @@ def address(base: Column) -> Column:
 
 def resolved(link: Column, base: Column) -> Column:
     """``link`` as an absolute address against ``base`` (of ``address``); as it is if ``base`` is none."""
-    link = F.trim(link)
-    own = F.regexp_extract(link, "^[^?#]*", 0)
-    rest = F.substring(link, F.length(own) + 1, F.length(link))
-    whole = F.when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(base["folder"], own))
-    return (F.when((base["origin"] == "") | link.rlike(f"^{_SCHEME}:"), link)
+
+    def joined(link: Column) -> Column:
+        own = F.regexp_extract(link, "^[^?#]*", 0)
+        whole = F.when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(base["folder"], own))
+        return F.concat(base["origin"], _let(whole, _without_dots), F.substring(link, F.length(own) + 1, F.length(link)))
+
+    return _let(F.trim(link), lambda link: (
+            F.when((base["origin"] == "") | link.rlike(f"^{_SCHEME}:"), link)
             .when(F.startswith(link, F.lit("//")), F.concat(base["scheme"], link))
             .when((link == "") | F.startswith(link, F.lit("#")), F.concat(base["page"], link))
             .when(F.startswith(link, F.lit("?")), F.concat(base["origin"], base["path"], link))
-            .otherwise(F.concat(base["origin"], _without_dots(whole), rest)))
+            .otherwise(joined(link))))
