@@ -5,11 +5,13 @@ text.  A text is compressed in blocks once per language; the language whose
 dictionary gives the smallest total wins.  The margin to the second smallest,
 as a share of it, is the score; documents with a narrow margin are rejected.
 
-Scale.  Training reads at most ``rows_per_lang`` labelled rows of each language
-(a documented bound, picked by hash over all rows), and the dictionaries have
-``dict_bytes`` at most, so the broadcast is ``languages x dict_bytes``.
-Prediction is map-only; a text is compressed block by block, so a long text
-costs time in proportion and no more memory.
+Scale.  Training takes about ``rows_per_lang`` labelled rows of each language (a
+documented bound, picked by hash over all rows) and ``dict_bytes / rows_per_lang``
+characters of each different text among them, so that all of them enter; the
+dictionaries have ``dict_bytes`` at most, and the broadcast is the number of
+labels times that.  Prediction is map-only, with the same compressor settings for
+every text; a text is compressed block by block, in time proportional to its
+length and memory a few times its own.
 
 Edge cases.  A null text, an empty text and a text without any letter is `und`
 with score 0 (rejected).  Equal sizes: the language with more labelled rows (then
@@ -33,7 +35,6 @@ from .common import utf8
 ROWS_PER_LANG = 400
 DICT_BYTES = 64 << 10
 BLOCK = 4096  # bytes compressed at a time
-SHORT = 1024  # bytes up to which the more thorough match search is used
 MIN_MARGIN = 0.005
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -58,11 +59,12 @@ def dictionaries(labelled: DataFrame, rows_per_lang: int = ROWS_PER_LANG, dict_b
         return {}
     rate = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, rows_per_lang / n))])
     share = (F.col("h").cast("double") / F.lit(2.0 ** 64)) + F.lit(0.5)
-    # of a sampled row at most dict_bytes / 32 characters enter the dictionary, from a place given by its hash
-    piece = dict_bytes // 32
-    at = F.lit(1) + F.pmod(F.shiftright("h", 7), F.greatest(F.length("text") - F.lit(piece) + 1, F.lit(1)))
+    # a piece of every sampled text, from a place given by the text's hash; copies of a text give one
+    piece = max(dict_bytes // rows_per_lang, 1)
+    at = F.lit(1) + F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - F.lit(piece) + 1, F.lit(1)))
     sample = (rows.where(share < rate[F.col("lang")])
-              .select("lang", "h", F.substring(F.col("text"), at.cast("int"), F.lit(piece)).alias("part")))
+              .select("lang", "h", F.substring(F.col("text"), at.cast("int"), F.lit(piece)).alias("part"))
+              .groupBy("lang", "part").agg(F.min("h").alias("h")).select("lang", "h", "part"))
     out: dict[str, bytearray] = {k: bytearray() for k in sorted(counts, key=lambda k: (-counts[k], k))}
     for r in sorted(sample.collect()):
         if len(out[r["lang"]]) < dict_bytes:
@@ -78,18 +80,14 @@ class Classifier:
 
         self.langs = list(dicts)
 
-        def compressors(**search):
-            out = []
-            for k in self.langs:
-                p = z.ZstdCompressionParameters(window_log=17, hash_log=16, write_content_size=False, write_checksum=False,
-                                                write_dict_id=False, **search)
-                d = z.ZstdCompressionDict(dicts[k], dict_type=z.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(compression_params=p)
-                out.append(z.ZstdCompressor(dict_data=d, compression_params=p))
-            return out
-
-        self.usual = compressors(strategy=z.STRATEGY_GREEDY, min_match=4, chain_log=16, search_log=4)
-        self.thorough = compressors(strategy=z.STRATEGY_BTLAZY2, min_match=3, chain_log=17, search_log=6, target_length=32)
+        params = z.ZstdCompressionParameters(
+            window_log=17, hash_log=16, chain_log=17, search_log=6, min_match=3, target_length=32, strategy=z.STRATEGY_BTLAZY2,
+            write_content_size=False, write_checksum=False, write_dict_id=False)
+        self.compressors = []
+        for k in self.langs:
+            d = z.ZstdCompressionDict(dicts[k], dict_type=z.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=params)
+            self.compressors.append(z.ZstdCompressor(dict_data=d, compression_params=params))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language or `und`, margin in 0..1)."""
@@ -97,10 +95,9 @@ class Classifier:
             return "und", 0.0
         data = letters(text).encode()
         sizes = [0] * len(self.langs)
-        use = self.usual if len(data) > SHORT else self.thorough
         for at in range(0, len(data), BLOCK):
             block = data[at:at + BLOCK]
-            for i, c in enumerate(use):
+            for i, c in enumerate(self.compressors):
                 sizes[i] += len(c.compress(block))
         if len(sizes) == 1:
             return self.langs[0], 1.0
