@@ -37,6 +37,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+import zlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -213,10 +214,13 @@ def fold(maps: list[StateMap], count: Callable[[str], int]) -> StateMap:
 class Counter(dict):
     """Counts tokens of texts; a dict of the counts of words between white space."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, text: str | None = None):
+        """From the tokenizer file at ``path``, or from its ``text`` (``path`` then only names it)."""
         super().__init__()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        if text is None:
+            with open(path, encoding="utf-8") as f:
+                text = f.read()
+        spec = json.loads(text)
         kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         model = spec["model"]
@@ -280,10 +284,14 @@ class Counter(dict):
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of every document."""
+    """doc_id, n_bytes, n_tokens, over_limit of every document.  The tokenizer file
+    is read here and sent to the workers."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    key = (path, zlib.crc32(text.encode()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _compiled(path)
+        counter = _compiled(key, text)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             tokens = [counter.count(t) for t in texts]
@@ -295,11 +303,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
-_COUNTERS: dict[str, Counter] = {}
+_COUNTERS: dict[tuple[str, int], Counter] = {}
 
 
-def _compiled(path: str) -> Counter:
+def _compiled(key: tuple[str, int], text: str) -> Counter:
     """One compiled tokenizer per worker process."""
-    if path not in _COUNTERS:
-        _COUNTERS[path] = Counter(path)
-    return _COUNTERS[path]
+    if key not in _COUNTERS:
+        _COUNTERS[key] = Counter(key[0], text)
+    return _COUNTERS[key]
