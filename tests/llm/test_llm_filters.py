@@ -122,6 +122,40 @@ def test_held_out_labels_are_never_read(spark, tmp_path):
     assert "zz" not in dicts and all(len(d) <= language_id.DICT_BYTES for d in dicts.values())
 
 
+def test_predictions_equal_plain_compression(spark):
+    """Sizes of every language from zstandard itself, one setting for texts of all lengths."""
+    import re
+
+    import zstandard as z
+
+    docs = table(spark, SMALL, "documents")
+    dicts = language_id.dictionaries(docs.where(~language_id.held_out()))
+    texts = [r["text"] for r in docs.collect()] + ["und", "der Hund", "le " * 3000, "x" * 1024, "y" * 1025, None, "", "12 34"]
+    params = z.ZstdCompressionParameters(strategy=z.STRATEGY_BTLAZY2, min_match=3, search_log=6, chain_log=17, hash_log=16, window_log=17,
+                                         target_length=32, write_content_size=False, write_checksum=False, write_dict_id=False)
+    tools = {k: z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=params) for k, d in dicts.items()}
+    classifier = language_id.Classifier(dicts)
+    for text in texts:
+        data = " ".join(re.findall(r"[^\W\d_]+", text or "")).lower().encode()
+        got = classifier.predict(text)
+        if not data:
+            assert got == ("und", 0.0)
+            continue
+        sizes = {k: sum(len(c.compress(data[i:i + 4096])) for i in range(0, len(data), 4096)) for k, c in tools.items()}
+        small, second = sorted(sizes.values())[:2]
+        assert got == (min(dicts, key=sizes.__getitem__), (second - small) / second)
+
+
+def test_every_sampled_text_enters_its_dictionary(spark):
+    rng = random.Random(2)
+    some = [(i, prose(rng, 60), "en", "s", 1) for i in range(40)] + [(100 + i, "the one copied text of many rows " * 9, "en", "s", 1) for i in range(40)]
+    dicts = language_id.dictionaries(frame(spark, some), rows_per_lang=80, dict_bytes=8000)
+    text = dicts["en"].decode()
+    pieces = [language_id.letters(r[1]) for r in some[:40]]
+    assert sum(any(p[i:i + 40] in text for i in range(len(p) - 40)) for p in pieces) == 40
+    assert text.count("copied") <= 3  # a piece of it, not one per copy
+
+
 def test_language_edges(spark):
     docs = frame(spark)
     dicts = language_id.dictionaries(docs)
