@@ -275,3 +275,32 @@ def test_redelivered_and_rescored_results_count_once(spark):
         assert sorted(map(tuple, J.result_stats(spark, out).select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
     days = {r.stat_date.day: r.news_count for r in J.result_stats(spark, out).collect()}
     assert days == {1: 2, 2: 1, 3: 1, 5: 2}
+
+
+def test_polls_are_bounded_by_records_and_a_failed_one_is_replayed(spark, tables):
+    import pytest
+    from tidings import schemas as S
+
+    land, out, ck = tempfile.mkdtemp() + "/in", tempfile.mkdtemp() + "/t", tempfile.mkdtemp()
+    sent = [(str(i), f'{{"id":{i},"title":"the","content":"tab \\\\t {i}"}}') for i in range(35)]
+    for part in (sent[:23], sent[23:]):
+        J.land_messages(spark.createDataFrame(part, "key string, value string").coalesce(1), land)
+    write, failed = J.score_writer(out, S.NEWS_MESSAGE, tables.lexicon), []
+
+    def once_broken(batch, epoch):
+        write(batch, epoch)
+        if epoch == 2 and not failed:
+            failed.append(epoch)
+            raise RuntimeError("the poll is lost after its write")
+
+    stream = lambda: J.message_source(spark, land).writeStream.foreachBatch(once_broken)
+    with pytest.raises(Exception, match="the poll is lost"):
+        J.run_available(stream(), ck)
+    J.run_available(stream(), ck)
+    rows = J.appended(spark, out).select("epoch", "news_id", "original_data.content").collect()
+    per_epoch = {}
+    for r in rows:
+        per_epoch.setdefault(r.epoch, []).append(r.news_id)
+    assert sorted(r.news_id for r in rows) == list(range(35)) and all(len(x) <= J.POLL_RECORDS for x in per_epoch.values())
+    assert len(per_epoch) >= 4 and set(per_epoch[0] + per_epoch[1] + per_epoch[2]) == set(range(23))  # the first delivery first
+    assert rows[0].content.startswith("tab ")

@@ -35,6 +35,23 @@ def file_source(spark: SparkSession, path: str, fmt: str, schema: T.StructType |
     return r.load(path)
 
 
+POLL_RECORDS = 10  # fixed value: messages that the scorer takes per poll
+
+
+def land_messages(messages: DataFrame, path: str, per_file: int = POLL_RECORDS) -> None:
+    """(key, value) messages appended as files of at most ``per_file`` records;
+    ``message_source`` with one file a poll then takes at most that many records
+    at a time, earliest files first (a Kafka source is bounded by its offsets)."""
+    line = F.concat(F.coalesce("key", F.lit("")), F.lit("\t"), F.col("value"))
+    messages.filter(F.col("value").isNotNull()).select(line.alias("value")).write.mode("append").option("maxRecordsPerFile", per_file).text(path)
+
+
+def message_source(spark: SparkSession, path: str, max_files: int | None = 1) -> DataFrame:
+    """(key, value) messages of the files of ``land_messages``."""
+    parts = F.split(F.col("value"), "\t", 2)
+    return file_source(spark, path, "text", max_files=max_files).select(parts[0].alias("key"), parts[1].alias("value"))
+
+
 def kafka_source(spark: SparkSession, servers: str, topic: str, max_offsets: int | None = None) -> DataFrame:
     """(key, value) strings from a Kafka topic, earliest offset first.
     Needs the Kafka connector on the classpath (not present in the test image)."""
