@@ -56,9 +56,8 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    frequent, weights, _ = pseudo_likelihood.fit(docs)
-    return pseudo_likelihood.score(docs, frequent, weights)
+    model, texts = pseudo_likelihood.fit(table(spark, sf_dir, "documents"))
+    return pseudo_likelihood.score(texts, model)
 
 
 def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
