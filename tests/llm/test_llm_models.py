@@ -155,56 +155,135 @@ def test_long_text_without_white_space(word_bpe):
 
 # ---- LM scoring -------------------------------------------------------------------------
 
-def naive_windows(text, symbols):
-    ids = [0, *(symbols[w] for w in pseudo_likelihood.words(text)), 0]
-    return [(ids[i - 1], ids[i + 1], ids[i]) for i in range(1, len(ids) - 1)]
-
-
-def test_windows_and_counts_equal_brute_force(spark, monkeypatch):
-    docs = frame(spark)
-    texts = [None if r[1] is None else r[1].encode() for r in rows()]
-    words = Counter(w for t in texts for w in pseudo_likelihood.words(t))
-    frequent = pseudo_likelihood.frequent_words(docs, 15)
-    assert frequent == sorted(words, key=lambda w: (-words[w], w))[:15]
-    symbols = pseudo_likelihood.Symbols(frequent, 24, 8)
-    expect = Counter((l * 24 + r, c) for t in texts for l, r, c in naive_windows(t, symbols))
-    got = {(r["context"], c): n for r in pseudo_likelihood.window_counts(docs, frequent, 24, 8).collect() for c, n in zip(r["centres"], r["counts"])}
-    assert got == expect
-    monkeypatch.setattr(pseudo_likelihood, "BLOCK", 3)
-    for t in texts[:10]:
-        flat = np.concatenate([*symbols.windows(t), np.zeros(0, int)]).tolist()
-        assert flat == [(l * 24 + r) * 24 + c for l, r, c in naive_windows(t, symbols)]
-
-
-def test_gradient_is_the_derivative():
+def bytes_of(docs):
+    return [None if r[1] is None else r[1].encode() for r in docs]
+
+
+def by_hand(texts):
+    """(word counts, words with a symbol, tokens and words of each bucket)."""
+    n = Counter(w for t in texts for w in pseudo_likelihood.words(t))
+    own = {w for w in n if n[w] ** 2 >= sum(n.values())}
+    tokens, distinct = Counter(), Counter()
+    for w in n.keys() - own:
+        tokens[pseudo_likelihood.bucket(w)] += n[w]
+        distinct[pseudo_likelihood.bucket(w)] += 1
+    return n, own, tokens, distinct
+
+
+def inside(word, hand):
+    n, own, tokens, distinct = hand
+    b = pseudo_likelihood.bucket(word)
+    return 0.0 if word in own else np.log((n[word] + 0.5) / (tokens[b] + (distinct[b] + 1) / 2))
+
+
+def test_vocabulary_equals_brute_force(spark):
+    hand = n, own, tokens, distinct = by_hand(bytes_of(rows()))
+    counts = pseudo_likelihood.word_counts(frame(spark)).cache()
+    assert {bytes(r["word"]): r["n"] for r in counts.collect()} == n
+    assert all(r["b"] == pseudo_likelihood.bucket(bytes(r["word"])) for r in counts.select("word", pseudo_likelihood.bucket_column(counts.word).alias("b")).collect())
+    for direct in (1, 30, 10 ** 6):
+        v = pseudo_likelihood.vocabulary(counts, direct)
+        ranked = sorted(n, key=lambda w: (-n[w], w))
+        assert v.direct == ranked[:max(direct, len(own))] and len(v.totals) == len(own) + pseudo_likelihood.BUCKETS
+        assert list(v.totals) == sorted([n[w] for w in own] + [tokens[b] for b in range(pseudo_likelihood.BUCKETS)], reverse=True)
+        for i, w in enumerate(v.direct):
+            assert v.inside[i] == pytest.approx(inside(w, hand))
+            assert v.totals[v.symbol[i]] == (n[w] if w in own else tokens[pseudo_likelihood.bucket(w)])
+            assert w in own or v.symbol[i] == v.symbol[len(v.direct) + pseudo_likelihood.bucket(w)]
+        assert len(set(v.symbol[:len(own)])) == len(own)
+    for b in tokens:  # all words of a bucket and the unknown one
+        assert sum(np.exp(inside(w, hand)) for w in n.keys() - own if pseudo_likelihood.bucket(w) == b) + 0.5 / (tokens[b] + (distinct[b] + 1) / 2) == pytest.approx(1)
+
+
+def naive_windows(ids, edge):
+    line = [edge, edge, *ids, edge, edge]
+    return [([line[i - 2], line[i - 1], line[i + 1], line[i + 2]], line[i]) for i in range(2, len(line) - 2)]
+
+
+def naive_log_prob(net, near, centre):
+    """By the definition, in doubles."""
+    h = np.tanh(sum(net.sides[i, x].astype(float) for i, x in enumerate(near)) + net.a)
+    k, at = divmod(centre, net.size)
+    top, low = h @ net.top + net.top_bias, h @ net.low[k] + net.low_bias[k]
+    return top[k] - np.log(np.exp(top).sum()) + low[at] - np.log(np.exp(low).sum())
+
+
+def test_windows_equal_brute_force():
+    rng = random.Random(11)
+    texts = [[rng.randrange(9) for _ in range(rng.choice([0, 1, 2, 3, 50]))] for _ in range(30)]
+    near, centre = pseudo_likelihood.windows([np.array(t, np.int32) for t in texts], 9)
+    assert list(zip(near.T.tolist(), centre.tolist())) == [w for t in texts for w in naive_windows(t, 9)]
+    assert pseudo_likelihood.windows([], 9)[0].shape == (4, 0)
+
+
+def test_network_probabilities_and_gradient(monkeypatch):
     rng = np.random.default_rng(1)
-    net = pseudo_likelihood.Network(6, 3, rng.normal(size=6 * 3 * 3 + 3 + 6))
-    contexts, counts = np.array([0, 7, 35, 7]), rng.integers(0, 5, (4, 6)).astype(float)
-    g, loss = net.gradient(contexts, counts)
-    for i in range(0, len(net.weights), 4):
-        net.weights[i] += 1e-6
-        assert (net.gradient(contexts, counts)[1] - loss) / 1e-6 == pytest.approx(g[i], abs=1e-3)
-        net.weights[i] -= 1e-6
+    net = pseudo_likelihood.Network(11, 3)
+    net.weights[:] = rng.normal(0, 0.5, len(net.weights))
+    net.start(rng.integers(0, 50, 11))
+    net.top += rng.normal(0, 0.5, net.top.shape)
+    near, centre = rng.integers(0, 12, (4, 40)), rng.integers(0, 11, 40)
+    monkeypatch.setattr(pseudo_likelihood, "BLOCK", 7)
+    assert net.log_probs(near, centre) == pytest.approx([naive_log_prob(net, near[:, i], centre[i]) for i in range(40)], abs=1e-4)
+    total = sum(np.exp(net.log_probs(near[:, :1], np.array([c]))[0]) for c in range(11))
+    assert total == pytest.approx(1, abs=1e-5)  # places without a symbol have nothing
+    grad = pseudo_likelihood.Network(11, 3, np.zeros_like(net.weights))
+    order = net.by_class(centre)
+    near, centre = near[:, order], centre[order]
+    net.step(near, centre, grad)
+    for i in range(0, len(net.weights), 5):
+        if net.weights[i] < -1e6:
+            continue
+        was, losses = net.weights[i], []
+        for move in (0.01, -0.01):
+            net.weights[i] = was + move
+            losses.append(-sum(naive_log_prob(net, near[:, j], centre[j]) for j in range(40)))
+        net.weights[i] = was
+        assert (losses[0] - losses[1]) / 0.02 == pytest.approx(grad.weights[i], abs=2e-2)
 
 
 def test_scores_are_summed_conditionals_and_training_helps(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    frequent, weights, losses = pseudo_likelihood.fit(docs, 32, 8, 4, 12)
-    assert losses[-1] < losses[0] - 0.02  # the first loss is about that of word frequencies alone
-    net, symbols = pseudo_likelihood.Network(32, 4, weights), pseudo_likelihood.Symbols(frequent, 32, 8)
-    texts = {r["doc_id"]: r["text"].encode() for r in docs.limit(20).collect()}
-    got = {r["doc_id"]: r for r in pseudo_likelihood.score(docs, frequent, weights, 32, 8, 4).collect()}
-    for i, t in texts.items():
-        w = naive_windows(t, symbols)
-        expect = sum(net.log_probs(np.array([l * 32 + r]))[0][0][c] for l, r, c in w)
-        assert got[i]["n_tokens"] == len(w) and got[i]["pll"] == pytest.approx(expect, rel=1e-4)
+    model, texts = pseudo_likelihood.fit(docs, 8, 300, 6)
+    parts = pseudo_likelihood.PARTS
+    assert sum(model.losses[-parts:]) < sum(model.losses[:parts]) - 0.1 * parts
+    all_rows = docs.select("doc_id", "text").collect()
+    hand = by_hand(bytes_of(all_rows))
+    v, number = model.vocab, pseudo_likelihood.Numbers(model.vocab.direct)
+    net = pseudo_likelihood.Network(len(v.totals), 8, model.weights)
+    got = {r["doc_id"]: r for r in pseudo_likelihood.score(texts, model).collect()}
+    assert len(got) == len(all_rows)
+    for r in all_rows[:25]:
+        w = pseudo_likelihood.words(r["text"].encode())
+        ids = [int(v.symbol[number[x]]) for x in w]
+        expect = sum(naive_log_prob(net, *x) for x in naive_windows(ids, len(v.totals))) + sum(inside(x, hand) for x in w)
+        assert got[r["doc_id"]]["n_tokens"] == len(w) and got[r["doc_id"]]["pll"] == pytest.approx(expect, rel=1e-4)
+
+
+def test_any_word_changes_the_score(spark):
+    """Words of one bucket are told apart by their corpus counts, and a model scores
+    texts it was not fitted on, unknown words included."""
+    rng = random.Random(12)
+    base = [" ".join(rng.choice(["the", "sea", "is", "wide", "and", "cold"]) for _ in range(60)) for _ in range(40)]
+    docs = spark.createDataFrame([*enumerate(base), (100, "zzqaing"), (101, "zzqbing"), (102, "zzqbing")], "doc_id long, text string")
+    for direct in (1, 1000):
+        model, _ = pseudo_likelihood.fit(docs, 4, direct, 2)
+        new = spark.createDataFrame([(1, "the zzqaing sea"), (2, "the zzqbing sea"), (3, "the zzqcing sea")], "doc_id long, text string")
+        s = {r["doc_id"]: r["pll"] for r in pseudo_likelihood.score(pseudo_likelihood.coded(new, model.vocab), model).collect()}
+        assert s[2] - s[1] == pytest.approx(np.log(2.5 / 1.5), abs=1e-5) and s[1] - s[3] == pytest.approx(np.log(1.5 / 0.5), abs=1e-5)
 
 
 def test_lm_edges(spark):
-    frequent, weights, losses = pseudo_likelihood.fit(frame(spark, []), 16, 4, 2, 3)
-    assert frequent == [] and losses == []
-    got = pseudo_likelihood.score(frame(spark), frequent, weights, 16, 4, 2).collect()
+    empty, texts = pseudo_likelihood.fit(frame(spark, []), 2)
+    assert empty.losses == [] and pseudo_likelihood.score(texts, empty).count() == 0
+    got = pseudo_likelihood.score(pseudo_likelihood.coded(frame(spark), empty.vocab), empty).collect()
     assert len(got) == len(rows())
+    model, texts = pseudo_likelihood.fit(frame(spark), 2, 50, 2)
+    got += pseudo_likelihood.score(texts, model).collect()
+    assert len(got) == 2 * len(rows())
     for r in got:
-        assert (r["mean_pll"] is None) == (r["n_tokens"] == 0)
-        assert r["mean_pll"] is None or r["mean_pll"] == pytest.approx(-np.log(16), rel=1e-4)
+        assert (r["mean_pll"] is None) == (r["n_tokens"] == 0) and np.isfinite(r["pll"])
+        assert r["n_tokens"] or r["pll"] == 0
+    assert sorted(r["n_tokens"] for r in got[len(rows()):]) == sorted(len(pseudo_likelihood.words(t)) for t in bytes_of(rows()))
+    repeats = [r["pll"] for r in got[len(rows()):] if r["doc_id"] == 4]
+    assert len(repeats) == 3 and repeats[0] == pytest.approx(repeats[1]) == pytest.approx(repeats[2])

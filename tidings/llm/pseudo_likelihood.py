@@ -60,14 +60,14 @@ BUCKETS = 256  # a power of two
 SUFFIX = 3  # bytes of a word that choose its bucket
 DIRECT = 1 << 18  # words whose counts the tasks have at hand
 WIDTH = 16
-RATE = 0.05
+RATE = 0.1
 START = 1e-7  # of the sums of squared gradients
 PARTS = 6
 PASSES = 20
 SETTLED = 0.01  # nats a token
 ENOUGH = 5_000_000  # windows; fewer are passed again
-BATCH = 4096  # windows a step
-BLOCK = 1 << 16  # windows scored at a time
+BATCH = 1 << 14  # windows a step, at least
+BLOCK = 1 << 15  # windows scored at a time
 CHUNK = 1 << 16  # weights a row while they are averaged
 FLUSH = 400_000
 SIDES = (-2, -1, 1, 2)
@@ -187,7 +187,7 @@ class Network:
         self.size = ceil(sqrt(symbols))  # symbols a class
         self.classes = -(-symbols // self.size)
         c, s = self.classes, self.size
-        shapes = [(len(SIDES) * (symbols + 1), width), (width,), (width, c), (c,), (c, width, s), (c, s)]
+        shapes = [(len(SIDES), symbols + 1, width), (width,), (width, c), (c,), (c, width, s), (c, s)]
         ends = np.cumsum([0, *(int(np.prod(x)) for x in shapes)])
         if weights is None:
             weights = np.random.default_rng(0).normal(0, 0.1, ends[-1]).astype(np.float32)
@@ -197,15 +197,20 @@ class Network:
     def start(self, totals: np.ndarray) -> None:
         """The biases say how frequent symbols are; places without one get nothing."""
         cells = np.full(self.classes * self.size, -1e9)
-        cells[:self.symbols] = np.log(totals + 0.5)
+        cells[:self.symbols] = np.log((totals + 0.5) / (totals + 0.5).sum())
         cells = cells.reshape(self.classes, self.size)
-        self.low_bias[:] = cells
-        self.top_bias[:] = np.log(np.exp(cells).sum(axis=1))
+        top = np.log(np.exp(cells).sum(axis=1))
+        self.top_bias[:] = top
+        self.low_bias[:] = cells - top[:, None]
+
+    def by_class(self, centre: np.ndarray) -> np.ndarray:
+        """An order of windows in which classes stand together."""
+        return np.argsort((centre // self.size).astype(np.uint16), kind="stable")
 
     def step(self, near: np.ndarray, centre: np.ndarray, grad: Network | None = None) -> np.ndarray:
-        """log p(centre | near) of windows sorted by centre; ``near`` holds the rows
-        of ``sides``.  With ``grad``, the gradient of the negative sum is added to it."""
-        h = np.tanh(self.sides[near].sum(axis=1) + self.a)
+        """log p(centre | near) of windows ordered ``by_class``; ``near`` is (side,
+        window).  With ``grad``, the gradient of the negative sum is added to it."""
+        h = np.tanh(sum(self.sides[i].take(x, axis=0) for i, x in enumerate(near)) + self.a)
         k, at = np.divmod(centre, self.size)
         every = np.arange(len(centre))
         z, logp = _softmax(h @ self.top + self.top_bias, every, k)
@@ -214,8 +219,9 @@ class Network:
             grad.top += h.T @ z
             grad.top_bias += z.sum(axis=0)
             dh = z @ self.top.T
-        for c in np.unique(k):
-            i, j = np.searchsorted(k, [c, c + 1])
+        first = np.flatnonzero(np.diff(k, prepend=-1, append=-1))
+        for i, j in zip(first, first[1:]):
+            c = k[i]
             z, lp = _softmax(h[i:j] @ self.low[c] + self.low_bias[c], every[:j - i], at[i:j])
             logp[i:j] += lp
             if grad is not None:
@@ -226,39 +232,38 @@ class Network:
         if grad is not None:
             dh *= 1 - h * h
             grad.a += dh.sum(axis=0)
-            rows = near.ravel()
-            order = np.argsort(rows, kind="stable")
-            rows = rows[order]
-            first = np.flatnonzero(np.diff(rows, prepend=-1))
-            grad.sides[rows[first]] += np.add.reduceat(dh[order // len(SIDES)], first)
+            columns = dh.T.astype(np.float64)
+            for i, x in enumerate(near):
+                for w, column in enumerate(columns):
+                    grad.sides[i, :, w] += np.bincount(x, column, self.symbols + 1)
         return logp
 
     def log_probs(self, near: np.ndarray, centre: np.ndarray) -> np.ndarray:
         out = np.empty(len(centre), np.float64)
         for at in range(0, len(centre), BLOCK):
-            order = at + np.argsort(centre[at:at + BLOCK], kind="stable")
-            out[order] = self.step(near[order], centre[order])
+            order = at + self.by_class(centre[at:at + BLOCK])
+            out[order] = self.step(near[:, order], centre[order])
         return out
 
 
 def _softmax(z: np.ndarray, row: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(probabilities, log-probability of the chosen)."""
-    z -= z.max(axis=1, keepdims=True)
+    """(probabilities, log-probability of the chosen).  The outcomes' biases start as
+    log-probabilities, so values stay near them; the clip keeps float32 from overflow."""
+    np.clip(z, -80, 60, out=z)
     own = z[row, chosen]
     np.exp(z, out=z)
-    total = z.sum(axis=1)
+    total = z @ np.ones(z.shape[1], np.float32)
     z /= total[:, None]
     return z, own - np.log(total)
 
 
 def windows(texts: list[np.ndarray], symbols: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows of ``Network.sides`` of the four neighbours, centre) of every token;
-    beyond a text's ends stands the edge, which is number ``symbols``."""
+    """((side, window) symbols of the neighbours, centre) of every token; beyond a
+    text's ends stands the edge, which is number ``symbols``."""
     gap = np.full(2, symbols, np.int32)
     line = np.concatenate([gap, *(x for t in texts for x in (t, gap))])
     at = np.flatnonzero(line != symbols)
-    near = np.stack([line[at + d] + i * (symbols + 1) for i, d in enumerate(SIDES)], axis=1) if len(at) else np.zeros((0, len(SIDES)), int)
-    return near, line[at]
+    return np.stack([line[at + d] for d in SIDES]), line[at]
 
 
 def numbers(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -281,14 +286,15 @@ def train(texts: DataFrame, vocab: Vocabulary, width: int = WIDTH, rate: float =
             net, p = Network(symbols, width, w.copy()), p.copy()
             grad = Network(symbols, width, np.zeros_like(w))
             rng, seen, loss = np.random.default_rng(turn), 0, 0.0
+            size = max(BATCH, 8 * symbols)  # a step's own cost grows with the symbols
             for batch in batches:
                 near, centre = windows([symbol[t] for t in numbers(batch)], symbols)
                 mixed = rng.permutation(len(centre))
-                for at in range(0, len(mixed), BATCH):
-                    some = mixed[at:at + BATCH]
-                    some = some[np.argsort(centre[some], kind="stable")]
+                for at in range(0, len(mixed), size):
+                    some = mixed[at:at + size]
+                    some = some[net.by_class(centre[some])]
                     grad.weights[:] = 0
-                    loss -= float(net.step(near[some], centre[some], grad).sum(dtype=np.float64))
+                    loss -= float(net.step(near[:, some], centre[some], grad).sum(dtype=np.float64))
                     grad.weights /= len(some)
                     p += grad.weights ** 2
                     net.weights -= rate * grad.weights / np.sqrt(p)
