@@ -22,9 +22,9 @@ if those are more) are kept beside them with their count in the text.  3. Train:
 each round takes one of ``PARTS`` parts of the documents, every task runs Adagrad
 over its windows in numpy from the same weights, and the tasks' weights are
 averaged chunk by chunk in Spark.  Whole passes over all parts go on until
-``ENOUGH`` windows were seen and the last round's loss, taken on each batch before
-its step, is less than ``SETTLED`` below that of the round before, ``PASSES`` at
-most.  4. Score: the network and the known
+``ENOUGH`` windows were seen and the loss of the last ``SPAN`` rounds, taken on
+each batch before its step, is less than ``SETTLED`` below that of the ``SPAN``
+rounds before; ``PASSES`` at most.  4. Score: the network and the known
 counts in the tasks, the counts of the other words by a join on the word.
 
 Scale.  No window is shuffled.  A word outside the frequent ones is rare, so the
@@ -58,13 +58,14 @@ from .common import utf8, written
 
 BUCKETS = 256  # a power of two
 SUFFIX = 3  # bytes of a word that choose its bucket
-DIRECT = 1 << 18  # words whose counts the tasks have at hand
+DIRECT = 1 << 17  # words whose counts the tasks have at hand
 WIDTH = 16
 RATE = 0.1
 START = 1e-7  # of the sums of squared gradients
 PARTS = 6
-PASSES = 20
-SETTLED = 0.01  # nats a token
+PASSES = 6
+SPAN = 2  # rounds whose mean loss is compared: parts differ among each other
+SETTLED = 0.05  # nats a token
 ENOUGH = 5_000_000  # windows; fewer are passed again
 BATCH = 1 << 14  # windows a step, at least
 BLOCK = 1 << 15  # windows scored at a time
@@ -123,9 +124,8 @@ def vocabulary(counts: DataFrame, direct: int = DIRECT) -> Vocabulary:
     """Symbols and known counts from ``word_counts``."""
     total = counts.agg(F.sum("n")).first()[0] or 0
     own = counts.where(F.col("n") >= sqrt(total)).count()
-    rows = counts.orderBy(F.desc("n"), "word").limit(max(direct, own)).collect()
-    n = np.array([r["n"] for r in rows], float)
-    known = [bytes(r["word"]) for r in rows]
+    top = counts.select("word", "n").orderBy(F.desc("n"), "word").limit(max(direct, own)).toArrow()
+    n, known = top["n"].to_numpy().astype(float), top["word"].to_pylist()
     shared = counts.where(F.col("n") < sqrt(total)).groupBy(bucket_column(F.col("word")).alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("d"))
     tokens, distinct = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in shared.collect():
@@ -315,7 +315,7 @@ def train(texts: DataFrame, vocab: Vocabulary, width: int = WIDTH, rate: float =
             weights, power = mean[0], mean[1]
             losses.append(found[0]["loss"] / found[0]["seen"])
             total += found[0]["seen"]
-        settled = total >= ENOUGH and losses[-2] - losses[-1] < SETTLED
+        settled = total >= ENOUGH and np.mean(losses[-2 * SPAN:-SPAN]) - np.mean(losses[-SPAN:]) < SETTLED
         if (turn + 1) % PARTS == 0 and (settled or not total):
             break
     return weights, losses
