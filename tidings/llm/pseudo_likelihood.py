@@ -28,8 +28,9 @@ rounds before; ``PASSES`` at most.  4. Score: the network and the known
 counts in the tasks, the counts of the other words by a join on the word.
 
 Scale.  No window is shuffled.  A word outside the frequent ones is rare, so the
-join has no hot key.  Sent to the workers: the frequent words and the network,
-both at most in the order of sqrt(T).  As many trainers run as the cluster has
+join has no hot key.  Sent to the workers: the frequent words (``DIRECT``, or
+sqrt(T) at most if that is more) and the network, whose size is in the order of the
+symbols.  As many trainers run as the cluster has
 cores, so what is averaged grows with cores and symbols, not with the corpus.
 
 Edge cases.  Null and empty texts have no token: score 0, no mean.  An empty
