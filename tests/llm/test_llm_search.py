@@ -275,6 +275,41 @@ def test_segments_align_like_the_whole_text(aligner, monkeypatch):
             assert joined == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in naive_groups(text)), text[:80]
 
 
+def test_documents_of_units_equal_whole_texts(aligner, monkeypatch):
+    rng = random.Random(8)
+    marks = [".", ",", "'s", "\u0301", "\u200b", "\x1c", "\x85", "\u00a0", "\u3000", "\u180e", "😀", "日本", "_", "12", "a", "É", "'", "<s>", "\n"]
+    texts = ["".join(rng.choice([" ", " ", "  ", *marks]) for _ in range(60)) for _ in range(150)]
+    texts += [" ".join(rng.choice(["the", "été.", "(un", "x\ny", "long" * 12, "日" * 50, "'ll", "-"]) for _ in range(80)) for _ in range(20)] + [" " * 99 + "x " * 40, "a▁b c", "a", " ", "", None]
+    expect = list(naive_statistics(texts))
+    holders = Counter(p for x in map(naive_groups, texts) for p in {(a, b) for u, v in x for a in u for b in v})
+    for settings in ({}, {"MAX_UNITS": 3, "PART": 2}, {"UNIT": 2, "PART_CHARS": 5}, {"LISTED": 1, "SEGMENT": 30}, {"LISTED": 0}):
+        with monkeypatch.context() as m:
+            for name, value in settings.items():
+                m.setattr(token_alignment, name, value)
+            m.setattr(aligner, "known", {})
+            m.setattr(aligner, "before", {})
+            got = [token_alignment.Document(aligner, t) for t in texts]
+        assert [(d.n_a, d.n_b, d.n_groups, d.n_links, d.digest) for d in got] == [(*e[:4], e[6]) for e in expect], settings
+        assert Counter((p >> 32, p & 0xFFFFFFFF) for d in got for p in d.pairs.tolist()) == holders
+        assert [int(sum(n * holders[p >> 32, p & 0xFFFFFFFF] for p, n in zip(d.pairs.tolist(), d.counts.tolist()))) for d in got] == [e[5] for e in expect]
+
+
+def test_unseen_units_are_encoded_once_in_short_texts(aligner, monkeypatch):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=7)) for _ in range(3000)]
+    sent = []
+    monkeypatch.setattr(aligner, "a_ids", lambda text, ids=aligner.a_ids: sent.append(text) or ids(text))
+    monkeypatch.setattr(token_alignment, "MAX_UNITS", 1000)
+    for name in ("known", "before"):
+        monkeypatch.setattr(aligner, name, {}, raising=False)
+    for start in range(0, 3000, 100):  # the same words at every turn, behind others that fill the store
+        token_alignment.Document(aligner, ", ".join(words[start:start + 100]) + " the, same. words")
+    assert sum(t.count(" the,") for t in sent) == 1
+    sent.clear()
+    token_alignment.Document(aligner, " ".join(w[::-1] for w in words))
+    assert sum(map(len, sent)) > 8 * 2000 and max(map(len, sent)) < 8000
+
+
 def test_both_libraries_of_the_first_tokenizer_agree(aligner):
     assert aligner.by_rank is not None
     rng = random.Random(12)

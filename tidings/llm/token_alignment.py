@@ -21,11 +21,13 @@ block and distinct pair, not per document and pair.
 
 Scale.  A pair has a row per block that holds it, so the commonest pairs
 have equally many rows and none is hot; copies share their block's pairs.  A long
-text is cut, at single spaces between word characters where neither tokenizer
-joins anything, into segments of about ``SEGMENT`` characters; memory then follows
+text is cut, at single spaces between characters other than white space, where neither
+tokenizer joins anything, into segments of about ``SEGMENT`` characters; memory then follows
 the segment and the distinct pairs.  A text without such places is encoded whole.
-The units between such spaces are encoded by the libraries, and the ids of short
-ones are kept in the worker (``MAX_UNITS``, then anew).
+Tokens of both end before such a space, so the units between them are aligned by
+themselves: unseen ones in parts of up to ``PART`` units, each part as one text.  The
+groups of short ones are kept in the worker; those not met again while
+``MAX_UNITS`` others were give way.
 
 Edge cases.  Null and empty texts, and texts that A or B do not spell byte for
 byte, have no tokens.  A group of many tokens (long white space) is counted by its
@@ -41,7 +43,7 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -57,15 +59,20 @@ from .token_counts import byte_symbols
 BLOCK_BYTES = 4 << 20
 SEGMENT = 1 << 16
 UNIT = 40  # characters up to which a unit's ids are kept
-MAX_UNITS = 60_000
+MAX_UNITS = 80_000
+PART, PART_CHARS = 256, 4096  # units encoded as one text: the libraries slow down on long ones
 LISTED = 4096  # links of a group up to which they are listed one by one
 
-_CUT = re.compile(r"(?<=\w) (?=\w)")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 # characters whose pre-tokens are alike in every library: ASCII and Latin letters
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u024f]*")
 _PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+# a unit's groups as text, its linked pairs (int64, repeats included), its numbers of A's and B's tokens
+Unit = tuple[str, bytes, int, int]
+
+
 class Aligned(NamedTuple):
     """Tokens of one segment; group g is A's tokens a_cuts[g]:a_cuts[g + 1] and B's alike."""
 
@@ -115,15 +122,23 @@ def cuts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, at + np.repeat(np.array(shifts, np.int64), sizes)
 
 
+def _sizes(at: np.ndarray) -> np.ndarray:
+    return at[1:] - at[:-1]
+
+
+def _listed(x: Aligned, which: np.ndarray) -> np.ndarray:
+    """The linked pairs (A id * 2**32 + B id) of the groups ``which``, one by one."""
+    high = _sizes(x.b_cuts)[which]
+    per = _sizes(x.a_cuts)[which] * high
+    place = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    high = np.repeat(high, per)
+    return (x.a[np.repeat(x.a_cuts[which], per) + place // high] << 32) + x.b[np.repeat(x.b_cuts[which], per) + place % high]
+
+
 def links(x: Aligned) -> tuple[np.ndarray, np.ndarray]:
     """Distinct linked pairs (A id * 2**32 + B id) and how often each is linked."""
-    wide, high = np.diff(x.a_cuts), np.diff(x.b_cuts)
-    per = wide * high
-    small = np.flatnonzero(per <= LISTED)
-    group = np.repeat(small, per[small])
-    place = np.arange(len(group)) - np.repeat(np.cumsum(per[small]) - per[small], per[small])
-    pairs = (x.a[x.a_cuts[group] + place // high[group]] << 32) + x.b[x.b_cuts[group] + place % high[group]]
-    found, counts = np.unique(pairs, return_counts=True)
+    per = _sizes(x.a_cuts) * _sizes(x.b_cuts)
+    found, counts = np.unique(_listed(x, np.flatnonzero(per <= LISTED)), return_counts=True)
     for g in np.flatnonzero(per > LISTED):
         a, n_a = np.unique(x.a[x.a_cuts[g]:x.a_cuts[g + 1]], return_counts=True)
         b, n_b = np.unique(x.b[x.b_cuts[g]:x.b_cuts[g + 1]], return_counts=True)
@@ -138,6 +153,19 @@ def _summed(pairs: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return found, total
 
 
+def parts(units: Iterable[str]) -> Iterator[list[str]]:
+    """``units`` in lists of up to ``PART``; lists of several have up to ``PART_CHARS`` characters."""
+    part, size = [], 0
+    for u in units:
+        size += len(u)
+        if part and (len(part) == PART or size > PART_CHARS):
+            yield part
+            part, size = [], len(u)
+        part.append(u)
+    if part:
+        yield part
+
+
 class Aligner:
     """Both tokenizers, from the contents of their files."""
 
@@ -168,8 +196,9 @@ class Aligner:
         self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int32) for x in (self.a_bytes, self.b_bytes))
         self.cuttable = not any("▁" in p.lstrip("▁") for p in pieces)
         self.base = max(len(self.a_bytes), len(self.b_bytes))
-        self.names = [f"{i}{mark}" for mark in ",|;" for i in range(self.base)]
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.names = [f"{i}{mark}" for mark in ",|;\n" for i in range(self.base)]
+        self.known: dict[str, Unit | None] = {}
+        self.before: dict[str, Unit | None] = {}
 
     def segments(self, text: str) -> Iterator[str]:
         """``text`` in parts; the space between two of them is left out."""
@@ -185,60 +214,103 @@ class Aligner:
             return self.by_rank.encode_ordinary(text)
         return self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def encode(self, units: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Ids (int32) of A and of B for each unit, None where one does not spell it.
-        The units are encoded as one text, with a space between two."""
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids (int32) of A and of B for units encoded as one text, with a space
+        between two; None if A or B does not spell it."""
         text = " ".join(units)
         spelled = (" " + text).encode()
         a_ids, b_ids = self.a_ids(" " + text), self.b.encode(text)
-        if b"".join(map(self.a_bytes.__getitem__, a_ids)) != spelled or b"".join(map(self.b_bytes.__getitem__, b_ids)) != spelled:
-            half = len(units) // 2
-            return [None] if not half else self.encode(units[:half]) + self.encode(units[half:])
-        ends = np.cumsum([len(u.encode()) + 1 for u in units])
-        out = []
-        for ids, sizes in ((a_ids, self.a_sizes), (b_ids, self.b_sizes)):
-            ids = np.array(ids, np.int32)
-            flat, at = ids.tobytes(), (4 * np.searchsorted(np.cumsum(sizes[ids]), ends, "right")).tolist()
-            out.append([flat[s:e] for s, e in zip([0, *at], at)])
-        return list(zip(*out))
-
-    def ids(self, text: str) -> list[tuple[bytes, bytes] | None]:
-        """Ids of the units of a segment; those of short units are kept in the worker."""
-        if not self.cuttable:
-            return self.encode([text])
-        units, known = _CUT.split(text), self.known
-        new = [u for u in dict.fromkeys(units) if u not in known]
-        if len(known) + len(new) > MAX_UNITS:
-            known.clear()
-            new = list(dict.fromkeys(units))
-        if new:
-            known.update(zip(new, self.encode(new)))
-        found = [known[u] for u in units]
-        for u in new:
-            if len(u) > UNIT:
-                del known[u]
-        return found
+        a_bytes, b_bytes = self.a_bytes, self.b_bytes
+        if b"".join([a_bytes[i] for i in a_ids]) != spelled or b"".join([b_bytes[i] for i in b_ids]) != spelled:
+            return None
+        return np.array(a_ids, np.int32), np.array(b_ids, np.int32)
+
+    def grouped(self, a: np.ndarray, b: np.ndarray) -> Aligned:
+        at = cuts(np.cumsum(self.a_sizes[a], dtype=np.int32), np.cumsum(self.b_sizes[b], dtype=np.int32))
+        return Aligned(a.astype(np.int64), b.astype(np.int64), *at)
 
     def align(self, text: str | None) -> Iterator[Aligned | None]:
         """Groups of each segment of ``text``; ends with None if it is not spelled."""
-        for part in self.segments(text) if text else ():
-            found = self.ids(part)
+        for segment in self.segments(text) if text else ():
+            found = [self.encode(part) for part in parts(self.units(segment))]
             if None in found:
                 yield None
                 return
-            a, b = (np.frombuffer(b"".join(x), np.int32) for x in zip(*found))
-            at = cuts(np.cumsum(self.a_sizes[a], dtype=np.int32), np.cumsum(self.b_sizes[b], dtype=np.int32))
-            yield Aligned(a.astype(np.int64), b.astype(np.int64), *at)
-
-    def text_of(self, x: Aligned) -> str:
-        """Groups as `a1,a2|b1;a3|b2,b3`."""
+            yield self.grouped(*map(np.concatenate, zip(*found)))
+
+    def units(self, text: str) -> list[str]:
+        return _CUT.split(text) if self.cuttable else [text]
+
+    def learn(self, units: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """Adds ``units``, encoded as one text, to the known ones (None if not spelled).
+        Links of a unit with many are not listed but returned, as ``links`` gives them."""
+        found = self.encode(units)
+        if found is None:
+            if len(units) == 1:
+                self.known[units[0]] = None
+                return {}
+            half = len(units) // 2
+            return self.learn(units[:half]) | self.learn(units[half:])
+        x = self.grouped(*found)
+        ends = np.cumsum(self.a_sizes[x.a])[x.a_cuts[1:] - 1]
+        last = np.searchsorted(ends, np.cumsum([len(u.encode()) + 1 for u in units]))  # each unit's last group
+        edges = np.concatenate([[0], last + 1])
+        linked = np.concatenate([[0], np.cumsum(_sizes(x.a_cuts) * _sizes(x.b_cuts))])[edges]
+        many = _sizes(linked) > LISTED
+        if many.any() and len(units) > 1:
+            few = [u for u, m in zip(units, many) if not m]
+            out = self.learn(few) if few else {}
+            for u in (u for u, m in zip(units, many) if m):
+                out |= self.learn([u])
+            return out
+        n_a, n_b = _sizes(x.a_cuts[edges]).tolist(), _sizes(x.b_cuts[edges]).tolist()
+        if many.any():
+            self.known[units[0]] = self.text_of(x), b"", n_a[0], n_b[0]
+            return {units[0]: links(x)}
+        flat, at = _listed(x, np.arange(len(ends))).tobytes(), (8 * linked).tolist()
+        pairs = [flat[s:e] for s, e in zip(at, at[1:])]
+        self.known.update(zip(units, zip(self.text_of(x, last).split("\n"), pairs, n_a, n_b)))
+        return {}
+
+    def count(self, text: str) -> tuple[str, int, int, np.ndarray, np.ndarray] | None:
+        """A segment's groups as text, numbers of A's and B's tokens, distinct linked
+        pairs and their counts; None if it is not spelled."""
+        if len(self.known) > MAX_UNITS:
+            self.known, self.before = {}, self.known
+        units, many = self.units(text), {}
+        new = []  # in the text's order: only its first may begin, its last end with white space
+        for u in [u for u in dict.fromkeys(units) if u not in self.known]:
+            if u in self.before:
+                self.known[u] = self.before[u]
+            else:
+                new.append(u)
+        for part in parts(new):
+            many |= self.learn(part)
+        found = [self.known[u] for u in units]
+        for u in new:
+            if len(u) > UNIT or u in many:
+                del self.known[u]
+        if None in found:
+            return None
+        texts, pairs, n_a, n_b = zip(*found)
+        distinct, counts = np.unique(np.frombuffer(b"".join(pairs), np.int64), return_counts=True)
+        if many:
+            more = [many[u] for u in units if u in many]
+            distinct, counts = _summed([distinct, *(p for p, _ in more)], [counts, *(n for _, n in more)])
+        return ";".join(texts), sum(n_a), sum(n_b), distinct, counts
+
+    def text_of(self, x: Aligned, last: np.ndarray | None = None) -> str:
+        """Groups as `a1,a2|b1;a3|b2,b3`; a line ends after each group of ``last``."""
         out = np.zeros(len(x.a) + len(x.b), np.int64)
         a, b = x.a.copy(), x.b.copy()
         a[x.a_cuts[1:] - 1] += self.base  # the mark that follows each id: a comma, or at a group's last
         b[x.b_cuts[1:] - 1] += 2 * self.base
-        out[np.arange(len(a)) + np.repeat(x.b_cuts[:-1], np.diff(x.a_cuts))] = a
-        out[np.arange(len(b)) + np.repeat(x.a_cuts[1:], np.diff(x.b_cuts))] = b
-        return "".join(map(self.names.__getitem__, out.tolist()))[:-1]
+        if last is not None:
+            b[x.b_cuts[last + 1] - 1] += self.base
+        out[np.arange(len(a)) + np.repeat(x.b_cuts[:-1], _sizes(x.a_cuts))] = a
+        out[np.arange(len(b)) + np.repeat(x.a_cuts[1:], _sizes(x.b_cuts))] = b
+        names = self.names
+        return "".join([names[i] for i in out.tolist()])[:-1]
 
 
 class Document:
@@ -249,16 +321,17 @@ class Document:
         self.pairs = self.counts = np.zeros(0, np.int64)
         self.digest = ""
         digest, pairs, counts, held = hashlib.sha256(), [], [], 0
-        for number, x in enumerate(aligner.align(text)):
+        for number, segment in enumerate(aligner.segments(text) if text else ()):
+            x = aligner.count(segment)
             if x is None:
                 self.__init__(aligner, None)
                 return
-            digest.update(((";" if number else "") + aligner.text_of(x)).encode())
-            self.n_a += len(x.a)
-            self.n_b += len(x.b)
-            self.n_groups += len(x.a_cuts) - 1
-            self.n_links += int((np.diff(x.a_cuts) * np.diff(x.b_cuts)).sum())
-            found, n = links(x)
+            groups, n_a, n_b, found, n = x
+            digest.update(((";" if number else "") + groups).encode())
+            self.n_a += n_a
+            self.n_b += n_b
+            self.n_groups += groups.count("|")
+            self.n_links += int(n.sum())
             pairs.append(found)
             counts.append(n)
             held += len(found)
@@ -332,6 +405,7 @@ def _blocks(docs: DataFrame, files: tuple[str, bytes], block_bytes: int) -> Data
                 if size >= block_bytes:
                     yield packed(first + number, ids, done)
                     number, size, ids, done = number + 1, 0, [], []
+        aligner.before = {}  # later stages need the memory
         if done:
             yield packed(first + number, ids, done)
 
