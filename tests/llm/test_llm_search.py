@@ -8,6 +8,7 @@ import string
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from llm_cases import frame, prose, rows
 from pyspark.sql import functions as F
@@ -310,6 +311,18 @@ def test_unseen_units_are_encoded_once_in_short_texts(aligner, monkeypatch):
     assert sum(map(len, sent)) > 8 * 2000 and max(map(len, sent)) < 8000
 
 
+def test_kept_units_are_bounded_by_bytes(aligner, monkeypatch):
+    rng = random.Random(14)
+    for name, value in (("known", {}), ("before", {}), ("held", 0)):
+        monkeypatch.setattr(aligner, name, value, raising=False)
+    monkeypatch.setattr(token_alignment, "STORE_BYTES", 1 << 20, raising=False)
+    for _ in range(80):  # few units, but of many tokens each
+        token_alignment.Document(aligner, " ".join("".join(chr(rng.randrange(0x1F300, 0x1F5FF)) for _ in range(12)) for _ in range(200)))
+        held = [len(u[0]) + len(u[1]) for store in (aligner.known, aligner.before) for u in store.values()]
+        assert sum(held) < 2 * (1 << 20) + 200 * 4096
+    assert len(held) > 200
+
+
 def test_both_libraries_of_the_first_tokenizer_agree(aligner):
     assert aligner.by_rank is not None
     rng = random.Random(12)
@@ -330,6 +343,32 @@ def test_statistics_equal_brute_force(spark):
     assert empty.collect() == []
 
 
+def test_blocks_and_texts_move_in_small_parts(spark, monkeypatch):
+    rng = random.Random(15)
+    docs = spark.createDataFrame([(i, prose(rng, 30)) for i in range(60)], "doc_id long, text string").coalesce(1)
+    batch, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(batch)
+
+    def written(*args, write=token_alignment.written, **options):
+        size = spark.conf.get(batch)
+        blocks = write(*args, **options)
+        seen.append((size, blocks))
+        return blocks
+
+    monkeypatch.setattr(token_alignment, "written", written)
+    files = [queries.tokenizer_path(name) for name in (queries.BYTE_BPE, queries.PIECE_MODEL)]
+    assert token_alignment.link_statistics(docs, *files, 500).count() == 60
+    (size, blocks), = seen
+    assert int(size.rstrip("b")) <= 4 << 20 and spark.conf.get(batch) == before
+    stored = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in blocks.inputFiles()]
+    assert sum(m.num_rows for m in stored) > 20
+    assert max(m.row_group(i).num_rows for m in stored for i in range(m.num_row_groups)) <= 8
+    # nothing per document and pair is a list, which Spark would take apart
+    pairs = blocks.selectExpr("sum(aggregate(n_pairs, 0, (s, n) -> s + n))", "sum(size(pairs))").first()
+    assert max(m.row_group(i).column(c).num_values for m in stored for i in range(m.num_row_groups) for c in range(m.num_columns)) < pairs[0] / 4
+    assert pairs[0] > 60 * 20
+
+
 def test_alignment_query_and_groups_of_the_table(spark):
     docs = table(spark, SMALL, "documents").orderBy("doc_id").collect()
     expect = dict(zip((r["doc_id"] for r in docs), naive_statistics([r["text"] for r in docs])))

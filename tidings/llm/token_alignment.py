@@ -17,17 +17,19 @@ Counts of linked ids.  A task packs its documents into blocks of about
 of its documents that hold each, and its documents refer to these by position.
 The pairs of all blocks are summed, each A id's highest count is found, and the
 counts return to the blocks by a join on the pair: what is shuffled is a row per
-block and distinct pair, not per document and pair.
+block and distinct pair, not per document and pair.  The documents' positions and
+counts are two compressed values a block, which Spark moves without reading them.
 
 Scale.  A pair has a row per block that holds it, so the commonest pairs
 have equally many rows and none is hot; copies share their block's pairs.  A long
 text is cut, at single spaces between characters other than white space, where neither
 tokenizer joins anything, into segments of about ``SEGMENT`` characters; memory then follows
 the segment and the distinct pairs.  A text without such places is encoded whole.
+Texts come to a worker ``BATCH_BYTES`` at a time, and ``ROWS`` blocks are read at once.
 Tokens of both end before such a space, so the units between them are aligned by
 themselves: unseen ones in parts of up to ``PART`` units, each part as one text.  The
 groups of short ones are kept in the worker; those not met again while
-``MAX_UNITS`` others were give way.
+``MAX_UNITS`` others, or ``STORE_BYTES`` of them, were give way.
 
 Edge cases.  Null and empty texts, and texts that A or B do not spell byte for
 byte, have no tokens.  A group of many tokens (long white space) is counted by its
@@ -53,13 +55,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import written
+from .common import batches_of, written
 from .token_counts import byte_symbols
 
 BLOCK_BYTES = 4 << 20
 SEGMENT = 1 << 16
 UNIT = 40  # characters up to which a unit's ids are kept
 MAX_UNITS = 80_000
+STORE_BYTES = 48 << 20  # of kept units, counted as ``UNIT_BYTES`` each besides groups and pairs
+UNIT_BYTES = 320
+BATCH_BYTES = 4 << 20  # of texts sent to a worker at once
+ROWS = 8  # blocks of a Parquet row group: Spark reads the lists of a row group at once
 PART, PART_CHARS = 256, 4096  # units encoded as one text: the libraries slow down on long ones
 LISTED = 4096  # links of a group up to which they are listed one by one
 
@@ -199,6 +205,7 @@ class Aligner:
         self.names = [f"{i}{mark}" for mark in ",|;\n" for i in range(self.base)]
         self.known: dict[str, Unit | None] = {}
         self.before: dict[str, Unit | None] = {}
+        self.held = 0  # bytes of ``known``
 
     def segments(self, text: str) -> Iterator[str]:
         """``text`` in parts; the space between two of them is left out."""
@@ -275,13 +282,14 @@ class Aligner:
     def count(self, text: str) -> tuple[str, int, int, np.ndarray, np.ndarray] | None:
         """A segment's groups as text, numbers of A's and B's tokens, distinct linked
         pairs and their counts; None if it is not spelled."""
-        if len(self.known) > MAX_UNITS:
-            self.known, self.before = {}, self.known
+        if len(self.known) > MAX_UNITS or self.held > STORE_BYTES:
+            self.known, self.before, self.held = {}, self.known, 0
         units, many = self.units(text), {}
         new = []  # in the text's order: only its first may begin, its last end with white space
         for u in [u for u in dict.fromkeys(units) if u not in self.known]:
             if u in self.before:
                 self.known[u] = self.before[u]
+                self.held += self.bytes_of(u)
             else:
                 new.append(u)
         for part in parts(new):
@@ -290,6 +298,8 @@ class Aligner:
         for u in new:
             if len(u) > UNIT or u in many:
                 del self.known[u]
+            else:
+                self.held += self.bytes_of(u)
         if None in found:
             return None
         texts, pairs, n_a, n_b = zip(*found)
@@ -299,6 +309,11 @@ class Aligner:
             distinct, counts = _summed([distinct, *(p for p, _ in more)], [counts, *(n for _, n in more)])
         return ";".join(texts), sum(n_a), sum(n_b), distinct, counts
 
+    def bytes_of(self, unit: str) -> int:
+        """About what a known unit holds in memory."""
+        found = self.known[unit]
+        return UNIT_BYTES + (len(found[0]) + len(found[1]) if found else 0)
+
     def text_of(self, x: Aligned, last: np.ndarray | None = None) -> str:
         """Groups as `a1,a2|b1;a3|b2,b3`; a line ends after each group of ``last``."""
         out = np.zeros(len(x.a) + len(x.b), np.int64)
@@ -377,19 +392,28 @@ def groups(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
 
 _BLOCK = ("block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, "
-          "groups_sha256 array<string>, n_pairs array<int>, place array<int>, times array<long>, pairs array<long>, holders array<int>")
+          "groups_sha256 array<string>, n_pairs array<int>, place binary, times binary, pairs array<long>, holders array<int>")
 _RESULT = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
 
+def _packed(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(x: bytes, n: int, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(x, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
+
+
 def _blocks(docs: DataFrame, files: tuple[str, bytes], block_bytes: int) -> DataFrame:
     """Documents packed into blocks with their distinct pairs."""
 
     def packed(number: int, ids: list, done: list[Document]) -> pa.RecordBatch:
         pairs, place, holders = np.unique(np.concatenate([d.pairs for d in done]), return_inverse=True, return_counts=True)
         times = np.concatenate([d.counts for d in done])
+        steps = np.diff(place, prepend=0).astype(np.int32)  # small: a document's pairs rise
         columns = [number, ids, *([getattr(d, name) for d in done] for name in ("n_a", "n_b", "n_groups", "n_links", "digest")),
-                   [len(d.pairs) for d in done], place, times, pairs, holders]
-        kinds = [pa.int64(), *map(pa.list_, [*[pa.int64()] * 5, pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()])]
+                   [len(d.pairs) for d in done], _packed(steps), _packed(times), pairs, holders]
+        kinds = [pa.int64(), *map(pa.list_, [*[pa.int64()] * 5, pa.string(), pa.int32()]), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
         names = [c.split()[0] for c in _BLOCK.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, kinds)], names=names)
 
@@ -414,12 +438,13 @@ def _blocks(docs: DataFrame, files: tuple[str, bytes], block_bytes: int) -> Data
 
 def _settle(left: pa.Table, right: pa.Table) -> pa.Table:
     """One block's documents with the corpus counts of its pairs."""
-    row = {name: left.column(name).combine_chunks().flatten() for name in left.column_names if name != "block"}
+    row = {name: left.column(name).combine_chunks().flatten() for name in left.column_names if name not in ("block", "place", "times")}
     count, best = (np.zeros(len(right), np.int64) for _ in range(2))
     at = right.column("at").to_numpy()
     count[at], best[at] = right.column("n").to_numpy(), right.column("best").to_numpy()
-    place, times = row["place"].to_numpy(), row["times"].to_numpy()
     ends = np.concatenate([[0], np.cumsum(row["n_pairs"].to_numpy(), dtype=np.int64)])
+    place = np.cumsum(_unpacked(left.column("place")[0].as_py(), ends[-1], np.int32))
+    times = _unpacked(left.column("times")[0].as_py(), ends[-1], np.int64)
 
     def summed(x: np.ndarray) -> pa.Array:
         return pa.array(np.diff(np.concatenate([[0], np.cumsum(x)])[ends]).astype(np.int64))
@@ -431,7 +456,8 @@ def _settle(left: pa.Table, right: pa.Table) -> pa.Table:
 
 def link_statistics(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
-    blocks = written(_blocks(docs, _files(a_path, b_path), block_bytes), "alignment-blocks")
+    with batches_of(docs.sparkSession, BATCH_BYTES):
+        blocks = written(_blocks(docs, _files(a_path, b_path), block_bytes), "alignment-blocks", **{"parquet.block.row.count.limit": ROWS})
     held = blocks.select("block", F.posexplode(F.arrays_zip("pairs", "holders")).alias("at", "x")) \
         .select("block", "at", F.col("x.pairs").alias("pair"), F.col("x.holders").alias("holders"))
     totals = held.groupBy("pair").agg(F.sum("holders").alias("n"))
